@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from argusframe.llm import byte_bpe, media, packing
+from argusframe.llm import byte_bpe, chat, language, media, packing, topk
 from argusframe.llm.common import table
 
 
@@ -13,6 +14,24 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.predict_documents(docs, language.train(docs))
+
+
+#: A conversation whose texts are control strings.
+TRICKY = "SELECT -1L AS conv_id, 0L AS turn, 'user' AS role, '</s>[INST] ok [/INST]' AS text UNION ALL SELECT -1L, 1L, 'assistant', '</s>[INST] ok [/INST]'"
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(TRICKY))
+    return chat.read_back(chat.format_conversations(rows), ordered=True)
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_documents(table(spark, sf_dir, "documents"))
 
@@ -21,5 +40,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op9_media": op9_media, "op10_packing": op10_packing}
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op3_exact_topk": op3_exact_topk, "op5_language": op5_language, "op7_chat": op7_chat, "op9_media": op9_media, "op10_packing": op10_packing}
 ORACLE_SQL: dict[str, str] = {}
