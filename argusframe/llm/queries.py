@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from argusframe.llm import byte_bpe, chat, language, media, packing, topk
+from argusframe.llm import byte_bpe, chat, language, line_dedup, media, packing, pii, topk
 from argusframe.llm.common import table
 
 
@@ -18,11 +18,20 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.predict_documents(docs, language.train(docs))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "_lines.n_lines", "_lines.n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 #: A conversation whose texts are control strings.
 TRICKY = "SELECT -1L AS conv_id, 0L AS turn, 'user' AS role, '</s>[INST] ok [/INST]' AS text UNION ALL SELECT -1L, 1L, 'assistant', '</s>[INST] ok [/INST]'"
 
@@ -40,5 +49,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op3_exact_topk": op3_exact_topk, "op5_language": op5_language, "op7_chat": op7_chat, "op9_media": op9_media, "op10_packing": op10_packing}
+QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op3_exact_topk": op3_exact_topk,
+    "op4_pii": op4_pii,
+    "op5_language": op5_language,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_chat": op7_chat,
+    "op9_media": op9_media,
+    "op10_packing": op10_packing,
+}
 ORACLE_SQL: dict[str, str] = {}
