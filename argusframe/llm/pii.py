@@ -135,7 +135,7 @@ def with_base_spans(docs: DataFrame) -> DataFrame:
 
 def occurrences(based: DataFrame) -> DataFrame:
     """(doc_id, _key, start, end, token, pattern, kind, seed) of seeds and candidates; kind is what a token
-    is, or by its shape might be."""
+    is, or what by its shape it might be (a row for each)."""
     rows = based.where(F.size("_beside") > 0).select("doc_id", "_key", *KINDS, F.explode("_beside").alias("_b"))
     pattern = F.lower(F.regexp_extract("_b.t", r"^([\p{L}:#=-]+)", 1))
     raw = F.regexp_extract("_b.t", r"([^\x20\x09-\x0D]+)$", 1)
@@ -147,20 +147,21 @@ def occurrences(based: DataFrame) -> DataFrame:
     seeded = F.coalesce(*[F.when(whole[k], k) for k in KINDS]).alias("_seed")
     seed_text = F.coalesce(*[F.get(F.filter(k, lambda x: x["s"] == F.col("start")), F.lit(0))["t"] for k in KINDS], F.col("token"))
     rows = rows.select("doc_id", "_key", "start", "end", seed_text.alias("token"), "pattern", seeded, F.greatest(*covered.values()).alias("_covered"))
-    shaped = F.coalesce(*[F.when(F.col("token").rlike(f"^(?:{SHAPES[k]})$"), k) for k in KINDS])
-    rows = rows.select("doc_id", "_key", "start", "end", "token", "pattern", F.coalesce("_seed", F.when(~F.col("_covered"), shaped)).alias("kind"), F.col("_seed").isNotNull().alias("seed"))
-    return rows.where("kind IS NOT NULL AND pattern <> ''")
+    shaped = F.array_compact(F.array(*[F.when(~F.col("_covered") & F.col("token").rlike(f"^(?:{SHAPES[k]})$"), k) for k in KINDS]))
+    kinds = F.when(F.col("_seed").isNotNull(), F.array("_seed")).otherwise(shaped)
+    rows = rows.select("doc_id", "_key", "start", "end", "token", "pattern", F.explode(kinds).alias("kind"), F.col("_seed").isNotNull().alias("seed"))
+    return rows.where("pattern <> ''")
 
 
 def discover(based: DataFrame) -> DataFrame:
     """doc_id, _key and extra: located spans with their kind that high-confidence patterns mark."""
     seen = materialize(occurrences(based), "pii-occurrences")
-    edges = materialize(seen.groupBy("pattern", "token").agg(F.max_by("kind", F.col("seed")).alias("kind"), F.max("seed").alias("seed")), "pii-graph")
+    edges = materialize(seen.groupBy("pattern", "token", "kind").agg(F.max("seed").alias("seed")), "pii-graph")
     belief = edges.groupBy("token", "kind").agg(F.max(F.col("seed").cast("double")).alias("belief"))
     instances = edges.select("pattern", "token", "kind")
     for _ in range(ROUNDS):
         held = instances.join(belief, ["token", "kind"])
-        total = instances.groupBy("pattern").agg(F.count("*").alias("n"))
+        total = instances.groupBy("pattern").agg(F.count_distinct("token").alias("n"))
         by_kind = held.groupBy("pattern", "kind").agg(F.sum("belief").alias("believed"), F.count_if(F.col("belief") == 1).alias("seeds"))
         scores = by_kind.join(total, "pattern").select("pattern", "kind", (F.col("believed") / F.col("n")).alias("score"), "seeds")
         doubt = F.sum(F.log1p(-F.least("score", F.lit(0.999999))))
