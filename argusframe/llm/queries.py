@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from argusframe.llm import byte_bpe, chat, language, line_dedup, media, packing, pii, topk
+from argusframe.llm import byte_bpe, chat, language, line_dedup, media, near_dedup, packing, pii, topk
 from argusframe.llm.common import table
 
 
@@ -41,6 +41,10 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows), ordered=True)
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.group(table(spark, sf_dir, "documents"))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_documents(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op5_language": op5_language,
     "op6_line_dedup": op6_line_dedup,
     "op7_chat": op7_chat,
+    "op8_near_dedup": op8_near_dedup,
     "op9_media": op9_media,
     "op10_packing": op10_packing,
 }
