@@ -17,6 +17,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -175,3 +176,15 @@ def predict_documents(docs: DataFrame, model: Model) -> DataFrame:
 
     found = map_rows(doc_texts(docs), make, "doc_id long, lang_pred string, score double, rejected boolean")
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def keep_recognised(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` whose language the model does not reject; all columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def recognised(texts: pd.Series) -> pd.Series:
+        predict = shared.value.predict
+        return pd.Series([not predict(t)[2] for t in texts], dtype=bool)
+
+    return docs.where(recognised(F.col("text").cast("string")))
