@@ -29,6 +29,8 @@ SAMPLE_CHARS = 2000
 BITS = 16
 WIDTH = 16
 EPOCHS = 4
+#: Small samples are gone through more often, until there were so many steps.
+LEAST_STEPS = 12_000
 RATE = 0.3
 #: One row in so many of the sample calibrates and is not trained on.
 CALIBRATE = 5
@@ -126,8 +128,9 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
                 (held if i % CALIBRATE == 0 and len(rows) >= 5 * CALIBRATE else examples).append((which, (counts / counts.sum()).astype(np.float32), index[lang]))
     embed = rng.uniform(-1 / WIDTH, 1 / WIDTH, (1 << BITS, WIDTH)).astype(np.float32)
     out, bias = np.zeros((WIDTH, n_lang), np.float32), np.zeros(n_lang, np.float32)
-    steps, done = EPOCHS * len(examples), 0
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, -(-LEAST_STEPS // max(len(examples), 1))) if examples else 0
+    steps, done = epochs * len(examples), 0
+    for _ in range(epochs):
         for i in rng.permutation(len(examples)).tolist():
             which, weight, y = examples[i]
             rate = np.float32(RATE * (1 - done / steps) + 1e-4)

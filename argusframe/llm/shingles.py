@@ -7,7 +7,7 @@ import xxhash
 
 WORDS = 5
 BINS = 128
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 300_000
 _BIN_SHIFT = np.uint64(57)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _EDGES = np.arange(BINS, dtype=np.uint64) << _BIN_SHIFT
