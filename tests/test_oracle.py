@@ -1,8 +1,8 @@
 """Every query of the plans beside its SQL on the smallest tables."""
 
 import pytest
-from conftest import SF
-from oracle import connect, differences
+
+from oracle import SF, connect, differences
 
 import __spark_entry__
 
