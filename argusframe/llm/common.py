@@ -23,6 +23,16 @@ def doc_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until ``df`` has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def emit(columns: list[str], rows: list[tuple], types: list[pa.DataType]) -> pa.RecordBatch:
     cols = zip(*rows, strict=True) if rows else [()] * len(columns)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=columns)

@@ -1,12 +1,11 @@
 """Near-duplicates: one-permutation hashing with optimal densification, banding, star-shaped candidates.
 
 Documents of equal shingle sets form a class, and only one of each class goes on. Its signature is cut into
-bands; documents that share a band's key share a bucket. In each bucket the best-connected document is the
-hub, and only hub and member are candidates, so candidates grow with the members of buckets, not with their
-pairs. Candidates are confirmed on their whole sets. Where a bucket still holds more than one component
-after the star rounds, members outside its hub's component meet the others, but for pairs that the sizes and
-the shingles found in no other unresolved document prove too different; those left are confirmed as well,
-so that no link between members of a bucket is lost. A pair at the threshold shares no bucket with a
+bands; documents that share a band's key share a bucket. In each bucket the best-connected document and one
+more are hubs, and only hub and member are candidates, so candidates grow with the members of buckets, not
+with their pairs. Candidates are confirmed on their whole sets. Where a bucket still holds more than one
+component then, members outside its hub's component are matched with all the others in blocks, over an
+inverted index of whole sets, so that no link between members of a bucket is lost. A pair at the threshold shares no bucket with a
 chance of about five in a million.
 
 Texts that are null or without words have the empty set and link with nothing. A null doc_id links with
@@ -25,14 +24,17 @@ from pyspark.sql import functions as F
 
 from argusframe.checkpoints import materialize
 from argusframe.components import connected_components
-from argusframe.llm.common import doc_texts
+from argusframe.llm.common import doc_texts, unused
 from argusframe.llm.shingles import WORDS, WordHashes, band_keys, one_permutation, shingle_set, similar, word_hashes, words_of
 from argusframe.sizing import join_checked
 
 PERCENT = 75
 BANDS = 32
 ROWS = 4
-STAR_ROUNDS = 2
+#: Sizes of the blocks in which unresolved families are matched, and of what a task holds of one at once.
+ASKED_A_BLOCK = 512
+HELD_A_BLOCK = 2048
+HELD_SHINGLES = 1 << 21
 
 
 def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
@@ -88,60 +90,98 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "b").join(right, "a").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def unshared(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and alone: how many of its shingles no other of ``nodes`` has."""
+def range_rows(low: np.ndarray, high: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The entries of ``at`` in each of the ranges low..high, one after the other."""
+    sizes = high - low
+    return at[np.repeat(low - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+
+
+def match_block(asked: list[tuple[int, int, np.ndarray]], held: list[tuple[int, int, np.ndarray]], percent: int) -> Iterator[tuple[int, int]]:
+    """For each (node, part, set) asked, one similar node held of every other part. Overlaps are counted
+    through an inverted index of the block, so pairs without a common shingle cost nothing."""
+    shingles = np.concatenate([x[2] for x in held])
+    owner = np.repeat(np.arange(len(held)), [len(x[2]) for x in held])
+    order = np.argsort(shingles, kind="stable")
+    shingles, owner = shingles[order], owner[order]
+    parts, sizes, nodes = np.array([x[1] for x in held]), np.array([len(x[2]) for x in held]), np.array([x[0] for x in held])
+    for node, part, own in asked:
+        both = np.bincount(range_rows(np.searchsorted(shingles, own, "left"), np.searchsorted(shingles, own, "right"), owner), minlength=len(held))
+        hits = np.flatnonzero((100 * both >= percent * (len(own) + sizes - both)) & (parts != part))
+        for i in np.unique(parts[hits], return_index=True)[1].tolist():
+            yield node, int(nodes[hits[i]])
+
+
+def match_families(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between parts of each family; rows are (family, node, part, is_asked), one a node and
+    family. The nodes asked meet all nodes of their family, block by block: a task takes the asked of one
+    block, then streams the others past them, and yields links alone, never pairs."""
+    sizes = rows.groupBy("family").agg(F.count_if("is_asked").alias("n_asked"), F.count("*").alias("n_held"))
+    sizes = materialize(sizes.select("family", F.ceil(F.col("n_asked") / ASKED_A_BLOCK).cast("int").alias("asked_blocks"), F.ceil(F.col("n_held") / HELD_A_BLOCK).cast("int").alias("held_blocks")), "near-families")
+    rows = join_checked(rows, sizes, "family")
+    block = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    asked = rows.where("is_asked").select("family", block(F.col("asked_blocks")).alias("i"), every(F.col("held_blocks")).alias("j"), F.lit(0).alias("side"), "node", "part")
+    held = rows.select("family", every(F.col("asked_blocks")).alias("i"), block(F.col("held_blocks")).alias("j"), F.lit(1).alias("side"), "node", "part")
+    cells = asked.unionByName(held).join(sets, "node").select("family", "i", "j", "side", "node", "part", "set")
+    cells = cells.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "side")
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, asked, held, n, out = None, [], [], 0, []
+
+        def flush() -> None:
+            nonlocal held, n
+            if asked and held:
+                out.extend(match_block(asked, held, percent))
+            held, n = [], 0
+
         for batch in batches:
-            for node, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = np.frombuffer(held, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), node)), pa.array(found)], names=["node", "shingle"])
+            for family, i, j, side, node, part, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (family, i, j) != now:
+                    flush()
+                    now, asked = (family, i, j), []
+                shingles = np.frombuffer(found, np.uint64)
+                if side == 0:
+                    asked.append((node, part, shingles))
+                else:
+                    held.append((node, part, shingles))
+                    n += len(shingles)
+                    if n >= HELD_SHINGLES:
+                        flush()
+            if len(out) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
+                out = []
+        flush()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
 
-    each = join_checked(sets, nodes, "node", "left_semi").mapInArrow(run, "node long, shingle long")
-    once = each.groupBy("shingle").agg(F.count("*").alias("c"), F.max("node").alias("node")).where("c = 1")
-    return once.groupBy("node").agg(F.count("*").alias("alone"))
+    return cells.mapInArrow(run, "a long, b long")
 
 
 def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, component) of all nodes that link with any; members are (bucket, node, n) of shared buckets."""
-    sized = members.groupBy("bucket").agg(F.count("*").alias("c"))
+    """(node, component) of all nodes that link with any; members are (bucket, c, node, n) of shared buckets
+    of c nodes each."""
     # How crowded a node's buckets are: the centre of a family of copies collides most, and makes the best hub.
-    crowd = materialize(members.join(sized, "bucket").groupBy("node").agg(F.sum("c").alias("crowd")), "near-crowd")
-    members = materialize(members.join(crowd, "node"), "near-members")
+    crowd = materialize(members.groupBy("node").agg(F.sum("c").alias("crowd")), "near-crowd")
+    members = materialize(join_checked(members.drop("c"), crowd, "node"), "near-members")
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    found, tested, parts = None, None, None
-    for r in range(STAR_ROUNDS):
-        now = members.withColumn("part", F.col("node")) if parts is None else join_checked(members, parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-        hubs = now.groupBy("bucket").agg(F.max(F.struct("crowd" if r == 0 else F.xxhash64("node", F.lit(r)), "node", "n", "part")).alias("h"), F.min("part").alias("p"), F.max("part").alias("q"))
-        hubs = materialize(hubs.where("p <> q").select("bucket", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.part").alias("hub_part")), "near-hubs")
-        stars = join_checked(now, hubs, "bucket").where((F.col("part") != F.col("hub_part")) & fits(F.col("n"), F.col("hub_n")))
-        stars = stars.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        if tested is not None:
-            stars = stars.join(tested, ["a", "b"], "left_anti")
-        stars = materialize(stars, "near-stars")
-        tested = stars if tested is None else tested.unionByName(stars)
-        new = materialize(confirm(stars, sets, percent), "near-links")
-        found = new if found is None else found.unionByName(new)
-        parts = materialize(connected_components(found), "near-parts")
+    best, other = F.max(F.struct("crowd", "node", "n")), F.max(F.struct(F.xxhash64("node"), "node", "n"))
+    hubs = members.groupBy("bucket").agg(best.alias("h"), other.alias("o")).select("bucket", F.array("h.node", "o.node").alias("hub"), F.array("h.n", "o.n").alias("hub_n"))
+    hubs = materialize(hubs, "near-hubs")
+    stars = join_checked(members.select("bucket", "node", "n"), hubs, "bucket").select("node", "n", F.explode(F.arrays_zip("hub", "hub_n")).alias("h"))
+    stars = stars.where((F.col("node") != F.col("h.hub")) & fits(F.col("n"), F.col("h.hub_n")))
+    tested = materialize(stars.select(F.least("node", "h.hub").alias("a"), F.greatest("node", "h.hub").alias("b")).distinct(), "near-stars")
+    found = materialize(confirm(tested, sets, percent), "near-links")
+    parts = materialize(connected_components(found), "near-parts")
 
     now = join_checked(members, parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
     open_ = now.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.max(F.struct("crowd", "node", "part"))["part"].alias("main")).where("p <> q").select("bucket", "main")
     open_ = materialize(open_, "near-open")
-    now = materialize(join_checked(now, open_, "bucket"), "near-unresolved")
+    now = join_checked(now, open_, "bucket").groupBy(F.col("main").alias("family"), "node").agg(F.first("part").alias("part"))
+    now = materialize(now.withColumn("is_asked", F.col("part") != F.col("family")), "near-unresolved")
     if now.isEmpty():
         return parts
-    alone = materialize(unshared(sets, materialize(now.select("node").distinct(), "near-nodes")), "near-alone")
-    now = join_checked(now, alone, "node", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0)))
-    now = now.where(F.col("shared") * 100 >= F.col("n") * percent).select("bucket", "node", "n", "part", "main", "shared")
-    other = now.select("bucket", *[F.col(c).alias(f"other_{c}") for c in ("node", "n", "part", "shared")])
-    # similar sets have at least percent / (100 + percent) of their sizes' sum in common, and each at most what it shares
-    enough = F.least("shared", "other_shared") * (100 + percent) >= (F.col("n") + F.col("other_n")) * percent
-    once = (F.col("other_part") == F.col("main")) | (F.col("node") < F.col("other_node"))
-    rest = now.where("part <> main").join(other, "bucket").where((F.col("part") != F.col("other_part")) & once & enough & fits(F.col("n"), F.col("other_n")))
-    rest = rest.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
-    rest = materialize(rest.join(tested, ["a", "b"], "left_anti"), "near-rest")
-    last = materialize(confirm(rest, sets, percent), "near-links")
+    last = materialize(match_families(now, sets, percent), "near-links")
     return parts if last.isEmpty() else connected_components(found.unionByName(last))
 
 
@@ -152,9 +192,9 @@ def group(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, bands: int =
     classes = materialize(some.groupBy("class").agg(F.min("doc_id").alias("node")), "near-classes")
     heads = join_checked(some, classes, "class").where("doc_id = node").dropDuplicates(["node", "class"])
     in_buckets = heads.select("node", "n", F.explode("keys").alias("bucket"))
-    shared = in_buckets.groupBy("bucket").agg(F.min("node").alias("p"), F.max("node").alias("q")).where("p <> q").select("bucket")
+    shared = in_buckets.groupBy("bucket").agg(F.min("node").alias("p"), F.max("node").alias("q"), F.count("*").alias("c")).where("p <> q").select("bucket", "c")
     shared = materialize(shared, "near-buckets")
-    members = materialize(join_checked(in_buckets, shared, "bucket", "left_semi").distinct(), "near-members")
+    members = materialize(join_checked(in_buckets, shared, "bucket").select("bucket", "c", "node", "n"), "near-members")
     named = signed.select("doc_id", "n", "class")
     if members.isEmpty():
         parts = None
@@ -169,5 +209,6 @@ def group(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, bands: int =
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: of each group of near-duplicates, those of the smallest doc_id."""
-    gone = materialize(group(docs).where("NOT kept").select(F.col("doc_id").alias("_gone_id")).distinct(), "near-gone")
-    return join_checked(docs, gone, docs["doc_id"].cast("long") == F.col("_gone_id"), "left_anti")
+    gone_id = unused(docs, "_gone_id")[0]
+    gone = materialize(group(docs).where("NOT kept").select(F.col("doc_id").alias(gone_id)).distinct(), "near-gone")
+    return join_checked(docs, gone, docs["doc_id"].cast("long") == F.col(gone_id), "left_anti")

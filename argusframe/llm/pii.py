@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from argusframe.checkpoints import materialize
+from argusframe.llm.common import unused
 from argusframe.sizing import join_checked
 
 # The kinds in their order and the expression of each, as its contract has it. The forms below
@@ -201,9 +202,10 @@ def report(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, each found span of text replaced by its kind in brackets; where spans overlap,
     the one that starts first (then the longer) names the stretch."""
-    found = find(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("_p_id"), F.col("_key").alias("_p_key"), F.array_sort(F.transform("spans", lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["kind"].alias("kind")))).alias("_p_spans")).distinct()
+    p_id, p_key, p_spans = unused(docs, "_p_id", "_p_key", "_p_spans")
+    found = find(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias(p_id), F.col("_key").alias(p_key), F.array_sort(F.transform("spans", lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["kind"].alias("kind")))).alias(p_spans)).distinct()
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    joined = docs.join(found.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(F.col("_p_id")) & (F.xxhash64(text) == F.col("_p_key")), "left")
+    joined = docs.join(found.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(F.col(p_id)) & (F.xxhash64(text) == F.col(p_key)), "left")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -214,5 +216,5 @@ def redact(docs: DataFrame) -> DataFrame:
     def close(acc: Column) -> Column:
         return F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text").cast("string"), acc["at"] + 1, F.length(F.col("text").cast("string"))))
 
-    clean = F.when(F.col("_p_spans").isNull(), F.col("text").cast("string")).otherwise(F.aggregate("_p_spans", start, step, close))
-    return joined.select(*[clean.alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    clean = F.when(F.col(p_spans).isNull(), F.col("text").cast("string")).otherwise(F.aggregate(p_spans, start, step, close))
+    return joined.select(*[clean.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
