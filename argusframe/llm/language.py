@@ -34,8 +34,10 @@ LEAST_STEPS = 12_000
 RATE = 0.3
 #: One row in so many of the sample calibrates and is not trained on.
 CALIBRATE = 5
-#: At most this share of calibration rows is rejected, and nothing above MOST_DOUBT.
-REJECTED_SHARE = 0.001
+#: The threshold is the lowest score above which this share of calibration rows is right, but at least so many
+#: times what a guess scores, and at most MOST_DOUBT.
+RIGHT_SHARE = 0.98
+OVER_GUESS = 1.2
 MOST_DOUBT = 0.5
 SLICE = 1 << 18
 SPACE = 32
@@ -117,6 +119,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     n_lang = len(languages)
     examples: list[tuple[np.ndarray, np.ndarray, int]] = []
     held: list[tuple[np.ndarray, np.ndarray, int]] = []
+    held_whole: list[bool] = []
     for i, (text, lang) in enumerate(rows):
         parts = text.split()
         few = int(rng.integers(1, 13))
@@ -125,7 +128,10 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
             found = list(buckets(one))
             if found:
                 which, counts = np.unique(np.concatenate(found), return_counts=True)
-                (held if i % CALIBRATE == 0 and len(rows) >= 5 * CALIBRATE else examples).append((which, (counts / counts.sum()).astype(np.float32), index[lang]))
+                kept = i % CALIBRATE == 0 and len(rows) >= 5 * CALIBRATE
+                if kept:
+                    held_whole.append(one is text)
+                (held if kept else examples).append((which, (counts / counts.sum()).astype(np.float32), index[lang]))
     embed = rng.uniform(-1 / WIDTH, 1 / WIDTH, (1 << BITS, WIDTH)).astype(np.float32)
     out, bias = np.zeros((WIDTH, n_lang), np.float32), np.zeros(n_lang, np.float32)
     epochs = max(EPOCHS, -(-LEAST_STEPS // max(len(examples), 1))) if examples else 0
@@ -148,7 +154,12 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
         y = np.array([label for _, _, label in held])
         loss = lambda t: -np.log(softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean()
         model.temperature = min((math.exp(t) for t in np.linspace(-3, 3, 121)), key=loss)
-        model.threshold = min(MOST_DOUBT, float(np.quantile(softmax(z / model.temperature).max(1), REJECTED_SHARE)))
+        p, y = softmax(z / model.temperature)[held_whole], y[held_whole]  # documents are rejected, not parts of them
+        order = np.argsort(-p.max(1), kind="stable")
+        right = np.cumsum(p.argmax(1)[order] == y[order]) / np.arange(1, len(order) + 1)
+        good = np.flatnonzero(right >= RIGHT_SHARE)
+        lowest = 1.0 if not len(good) else 0.0 if good[-1] == len(order) - 1 else float(p.max(1)[order[good[-1]]])
+        model.threshold = min(MOST_DOUBT, max(lowest, OVER_GUESS / n_lang))
     return model
 
 
