@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from argusframe.functions.columns import sigmoid
@@ -44,13 +44,11 @@ class Detector:
 
     def save(self, path: str) -> None:
         self.trees.write().overwrite().save(f"{path}/trees")
-        spark = self.trees._sc  # the session that trained it
-        from pyspark.sql import SparkSession
-
-        SparkSession(spark).createDataFrame([(self.features, self.slope, self.intercept)], "features array<string>, slope double, intercept double").write.mode("overwrite").json(f"{path}/calibration")
+        spark = SparkSession.getActiveSession()
+        spark.createDataFrame([(self.features, self.slope, self.intercept)], "features array<string>, slope double, intercept double").write.mode("overwrite").json(f"{path}/calibration")
 
     @staticmethod
-    def load(spark, path: str) -> Detector:
+    def load(spark: SparkSession, path: str) -> Detector:
         meta = spark.read.json(f"{path}/calibration", schema="features array<string>, slope double, intercept double").first()
         return Detector(list(meta.features), GBTClassificationModel.load(f"{path}/trees"), meta.slope, meta.intercept)
 
