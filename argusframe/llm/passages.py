@@ -3,7 +3,8 @@
 A paragraph is a line; a long line is cut where its own words say so (at the least shingle hash of
 every stretch of words), so that a passage is cut alike wherever it stands. Equal paragraphs form a class.
 Lines are banded by MinHash, colliding classes meet their bucket's smallest one, and are confirmed by exact
-Jaccard similarity of their shingles; components of confirmed links are clusters. A cluster that occurs in
+Jaccard similarity of their shingles; where members of a bucket are still apart then, they are matched with each
+other in blocks, so that no link inside a bucket is lost. Components of confirmed links are clusters. A cluster that occurs in
 two documents or more marks its paragraphs there, and neighbouring marked paragraphs join into passages, of
 which the long ones are returned. The first document of a cluster keeps its passage.
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from argusframe.checkpoints import materialize
 from argusframe.components import connected_components
 from argusframe.llm.common import doc_texts
-from argusframe.llm.near_dedup import confirm
+from argusframe.llm.near_dedup import confirm, match_families
 from argusframe.llm.shingles import WORDS, WordHashes, mixed, word_hashes
 from argusframe.sizing import join_checked
 
@@ -175,13 +176,24 @@ def clusters(docs: DataFrame, found: DataFrame) -> DataFrame:
     lines = found.where("NOT cut").select(F.col("class").alias("node"), F.explode("keys").alias("bucket"))
     hubs = lines.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").select("bucket", "hub")
     hubs = materialize(hubs, "passage-hubs")
-    pairs = join_checked(lines, hubs, "bucket").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = materialize(pairs, "passage-pairs")
+    members = materialize(join_checked(lines, hubs, "bucket").select("bucket", "hub", "node").distinct(), "passage-members")
+    pairs = materialize(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "passage-pairs")
     wanted = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "passage-wanted")
     held = join_checked(found.where("NOT cut").select("doc_id", F.col("class").alias("node")), wanted, "node", "left_semi")
     held = materialize(held.select("doc_id").distinct(), "passage-holders")
     sets = materialize(shingles_of(join_checked(doc_texts(docs), held, "doc_id", "left_semi"), wanted), "passage-sets")
-    return materialize(connected_components(confirm(pairs, sets, PERCENT)), "passage-parts")
+    star = materialize(confirm(pairs, sets, PERCENT), "passage-links")
+    parts = materialize(connected_components(star), "passage-parts")
+    # Hubs have met all of their buckets. Where the others are of several components, they meet each other too.
+    now = join_checked(members.where("node <> hub"), parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    open_ = now.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.max(F.struct(F.xxhash64("node"), "part"))["part"].alias("main")).where("p <> q").select("bucket", "main")
+    open_ = materialize(open_, "passage-open")
+    rest = join_checked(now.select("bucket", "node", "part"), open_, "bucket").groupBy(F.col("main").alias("family"), "node").agg(F.first("part").alias("part"))
+    rest = materialize(rest.withColumn("is_asked", F.col("part") != F.col("family")), "passage-unresolved")
+    if rest.isEmpty():
+        return parts
+    last = materialize(match_families(rest, sets, PERCENT), "passage-links")
+    return parts if last.isEmpty() else materialize(connected_components(star.unionByName(last)), "passage-parts")
 
 
 def repeated(docs: DataFrame, passage_words: int = PASSAGE_WORDS, cut_words: int = CUT_WORDS) -> DataFrame:

@@ -186,6 +186,33 @@ def test_passages_odd_rows(spark, odd, none):
     assert {r.doc_id for r in passages.repeated(odd).collect()} == {4, 5}
 
 
+def line_components(docs):
+    """{class: component} by the operator, and the pairs of classes that brute force finds similar."""
+    found = passages.units(docs).cache()
+    parts = {r.node: r.component for r in passages.clusters(docs, found).collect()}
+    memo, sets = shingles.WordHashes(), {}
+    for r in docs.collect():
+        p = passages.Paragraphs(r.text, memo)
+        for node, a, w in zip(p.classes(p.line_first, p.line_words).tolist(), p.line_first.tolist(), p.line_words.tolist(), strict=True):
+            sets[node] = set(p.shingles[a : a + w - 4].tolist())
+    nodes = sorted(sets)
+    return parts, [(x, y) for i, x in enumerate(nodes) for y in nodes[:i] if 100 * len(sets[x] & sets[y]) >= 75 * len(sets[x] | sets[y])]
+
+
+def test_passages_template_family(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base, rows = [word() for _ in range(50)], []
+    for i in range(150):  # two lines at 0.84, and at most 0.65 to all others of the template
+        one = base[:40] + [word() for _ in range(10)]
+        rows += [(2 * i, " ".join(one)), (2 * i + 1, " ".join([word() for _ in range(4)] + one[4:]))]
+    parts, pairs = line_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len(pairs) == 150
+    lost = [p for p in pairs if p[0] not in parts or parts[p[0]] != parts.get(p[1])]
+    assert not lost, f"{len(lost)} of {len(pairs)} pairs are apart"
+    assert len({parts[x] for p in pairs for x in p}) == 150
+
+
 # --- personal data
 
 BASE = {k: re.compile(p) for k, p in pii.PATTERNS.items()}
