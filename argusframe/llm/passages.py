@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from argusframe.checkpoints import materialize
 from argusframe.components import connected_components
-from argusframe.llm.common import doc_texts
+from argusframe.llm.common import BATCH_BYTES, doc_texts
 from argusframe.llm.near_dedup import confirm, match_families
 from argusframe.llm.shingles import WORDS, WordHashes, mixed, word_hashes
 from argusframe.sizing import join_checked
@@ -33,8 +33,7 @@ PERCENT = 75
 #: Two minima a band and six bands miss a pair at the threshold about once in 140.
 BANDS = 6
 ROWS = 2
-#: Lines of more words are no paragraph but only cut; from so many words on, lines are cut.
-LONG_WORDS = 56
+#: From so many words on, lines are also cut.
 CUT_FROM_WORDS = 30
 #: A stretch of so many shingles has one cut at least.
 STRETCH = 12
@@ -66,16 +65,12 @@ class Paragraphs:
             for i in range(1, WORDS):
                 total = (total << np.uint64(13) | total >> np.uint64(51)) ^ self.hashes[i : n - WORDS + 1 + i] * _STEP
             self.shingles = mixed(total)
-        whole = (sizes >= LEAST_WORDS) & (sizes <= LONG_WORDS)
+        whole = sizes >= LEAST_WORDS
         self.line_first, self.line_words = (ends - sizes)[whole], sizes[whole]
         # beside a line that is cut, a passage may go on unseen
         big = np.concatenate([[False], sizes >= CUT_FROM_WORDS, [False]])
         self.line_is_open = (big[:-2] | big[2:])[whole]
-        # lines too long to be compared are still paragraphs by their whole words
-        long = sizes > LONG_WORDS
-        cut_first, cut_words = self.cuts(ends - sizes, sizes)
-        self.rest_first, self.rest_words = np.append((ends - sizes)[long], cut_first), np.append(sizes[long], cut_words)
-        self.rest_is_cut = np.arange(len(self.rest_first)) >= long.sum()
+        self.cut_first, self.cut_words = self.cuts(ends - sizes, sizes)
 
     def cuts(self, firsts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Lines of enough words, cut at the least shingle of every stretch of neighbouring ones in them."""
@@ -130,13 +125,13 @@ def units(docs: DataFrame) -> DataFrame:
                 cut_batch = batch.slice(part, 200)
                 for doc_id, text in zip(*(c.to_pylist() for c in cut_batch.columns), strict=True):
                     p = Paragraphs(text, memo)
-                    a, b = len(p.line_first), len(p.rest_first)
-                    first, words = np.append(p.line_first, p.rest_first), np.append(p.line_words, p.rest_words)
+                    a, b = len(p.line_first), len(p.cut_first)
+                    first, words = np.append(p.line_first, p.cut_first), np.append(p.line_words, p.cut_words)
                     ids.append(np.full(a + b, doc_id))
                     firsts.append(first)
                     sizes.append(words)
-                    open_ends.append(np.append(p.line_is_open, p.rest_is_cut))
-                    cut.append(np.append(np.zeros(a, bool), p.rest_is_cut))
+                    open_ends.append(np.append(p.line_is_open, np.ones(b, bool)))
+                    cut.append(np.append(np.zeros(a, bool), np.ones(b, bool)))
                     classes.append(p.classes(first, words))
                     keys.append((p.line_keys(), b))
                 counts = np.concatenate([np.append(np.full(len(k), BANDS), np.zeros(b, np.int64)) for k, b in keys])
@@ -153,13 +148,15 @@ def shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
-            for part in range(0, batch.num_rows, 200):
-                nodes, sets = [], []
-                for text in batch.slice(part, 200).column(1).to_pylist():
-                    p = Paragraphs(text, memo)
-                    nodes.append(p.classes(p.line_first, p.line_words))
-                    sets += [p.shingles[a : a + w - WORDS + 1].tobytes() for a, w in zip(p.line_first.tolist(), p.line_words.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes), pa.int64()), pa.array(sets, pa.binary())], names=["node", "set"])
+            nodes, sets, held = [], [], 0
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                p = Paragraphs(text, memo)
+                nodes.append(p.classes(p.line_first, p.line_words))
+                sets += [p.shingles[a : a + w - WORDS + 1].tobytes() for a, w in zip(p.line_first.tolist(), p.line_words.tolist(), strict=True)]
+                held += p.shingles.nbytes
+                if held >= BATCH_BYTES or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes), pa.int64()), pa.array(sets, pa.binary())], names=["node", "set"])
+                    nodes, sets, held = [], [], 0
 
     def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

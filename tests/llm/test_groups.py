@@ -213,6 +213,28 @@ def test_passages_template_family(spark):
     assert len({parts[x] for p in pairs for x in p}) == 150
 
 
+def test_passages_long_lines(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows, missed = [], []
+    for i in range(100):
+        one = [word() for _ in range(rng.randint(60, 150))]
+        other = list(one)
+        for at in rng.sample(range(len(one)), 2):
+            other[at] = word()
+        rows += [(2 * i, f"{word()}\n{' '.join(one)}"), (2 * i + 1, f"{' '.join(other)}\n{word()}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    parts, pairs = line_components(docs)
+    assert len(pairs) >= 50
+    assert [p for p in pairs if p[0] not in parts or parts[p[0]] != parts.get(p[1])] == []
+    got = {(r.doc_id, r.n_words): r.cluster_id for r in passages.repeated(docs).collect()}
+    for i in range(100):
+        a, b = (got.get((d, len(rows[d][1].split()) - 1), got.get((d, len(rows[d][1].split())))) for d in (2 * i, 2 * i + 1))
+        if a is None or a != b:
+            missed.append(i)
+    assert len(missed) <= 100 - len(pairs), f"{len(missed)} of 100 pairs are not one cluster of whole lines"
+
+
 # --- personal data
 
 BASE = {k: re.compile(p) for k, p in pii.PATTERNS.items()}
