@@ -1,7 +1,8 @@
 """Substring dedup: paragraphs that recur across documents, whole or nearly so.
 
-A paragraph is a line; a long line is cut where its own words say so (at the least shingle hash of
-every stretch of words), so that a passage is cut alike wherever it stands. Equal paragraphs form a class.
+A paragraph is a line; besides, the words of the whole text, across its lines, are cut where they say so
+themselves (at the least shingle hash of every stretch of words), so that a passage is cut alike wherever it
+stands and however its lines break. Equal paragraphs form a class.
 Lines are banded by MinHash, colliding classes meet their bucket's smallest one, and are confirmed by exact
 Jaccard similarity of their shingles; where members of a bucket are still apart then, they are matched with each
 other in blocks, so that no link inside a bucket is lost. Components of confirmed links are clusters. A cluster that occurs in
@@ -33,14 +34,14 @@ PERCENT = 75
 #: Two minima a band and six bands miss a pair at the threshold about once in 140.
 BANDS = 6
 ROWS = 2
-#: From so many words on, lines are also cut.
-CUT_FROM_WORDS = 30
+#: Beside a line of so many words, a passage may go on unseen.
+LONG_WORDS = 30
 #: A stretch of so many shingles has one cut at least.
 STRETCH = 12
 LEAST_WORDS = 5
 #: Marked paragraphs join across so many words, such as those of lines too short to be paragraphs.
 GAP_WORDS = 8
-#: Words of a passage: of whole lines, and of cuts of long lines, where its ends are not seen.
+#: Words of a passage: of whole lines, and of cuts, where its ends are not seen.
 PASSAGE_WORDS = 45
 CUT_WORDS = 20
 
@@ -67,26 +68,19 @@ class Paragraphs:
             self.shingles = mixed(total)
         whole = sizes >= LEAST_WORDS
         self.line_first, self.line_words = (ends - sizes)[whole], sizes[whole]
-        # beside a line that is cut, a passage may go on unseen
-        big = np.concatenate([[False], sizes >= CUT_FROM_WORDS, [False]])
+        # beside a long line, a passage may go on that is a near copy, but not a line of its own elsewhere
+        big = np.concatenate([[False], sizes >= LONG_WORDS, [False]])
         self.line_is_open = (big[:-2] | big[2:])[whole]
-        self.cut_first, self.cut_words = self.cuts(ends - sizes, sizes)
-
-    def cuts(self, firsts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lines of enough words, cut at the least shingle of every stretch of neighbouring ones in them."""
-        none = np.zeros(0, np.int64)
-        line = np.repeat(np.arange(len(sizes)), sizes)
-        long = sizes >= CUT_FROM_WORDS
-        span = STRETCH + WORDS - 1
-        if not long.any():
-            return none, none
-        start = np.flatnonzero((line[: len(line) - span + 1] == line[span - 1 :]) & long[line[: len(line) - span + 1]])
-        windows = np.lib.stride_tricks.sliding_window_view(self.shingles, STRETCH)
-        at = np.unique(windows[start].argmin(1) + start)
-        at = np.union1d(at, firsts[long])
-        end = np.append(at[1:], 0)
-        last = (firsts + sizes)[line[at]]
-        words = np.where((end == 0) | (end > last), last, end) - at
+        self.cut_first, self.cut_words = self.cuts()
+
+    def cuts(self) -> tuple[np.ndarray, np.ndarray]:
+        """The words of the text, whatever its lines, cut at the least shingle of every stretch of neighbouring ones."""
+        n = len(self.hashes)
+        at = np.zeros(min(n, 1), np.int64)
+        if len(self.shingles) >= STRETCH:
+            windows = np.lib.stride_tricks.sliding_window_view(self.shingles, STRETCH)
+            at = np.union1d(at, windows.argmin(1) + np.arange(len(windows)))
+        words = np.append(at[1:], n)[: len(at)] - at
         said = words >= LEAST_WORDS  # shorter ones say nothing; passages join across them
         return at[said], words[said]
 
@@ -130,7 +124,7 @@ def units(docs: DataFrame) -> DataFrame:
                     ids.append(np.full(a + b, doc_id))
                     firsts.append(first)
                     sizes.append(words)
-                    open_ends.append(np.append(p.line_is_open, np.ones(b, bool)))
+                    open_ends.append(np.append(p.line_is_open, np.zeros(b, bool)))
                     cut.append(np.append(np.zeros(a, bool), np.ones(b, bool)))
                     classes.append(p.classes(first, words))
                     keys.append((p.line_keys(), b))
@@ -204,7 +198,7 @@ def repeated(docs: DataFrame, passage_words: int = PASSAGE_WORDS, cut_words: int
     totals = named.groupBy("cluster_id").agg(F.min("lo").alias("keeper"), F.max("hi").alias("last"), F.sum("places").alias("places")).where("keeper <> last")
     marks = materialize(named.select("class", "cluster_id").join(totals, "cluster_id").select("class", "cluster_id", "keeper", "places"), "passage-marks")
     marked = join_checked(found.drop("keys"), marks, "class")
-    item = F.struct("first_word", "n_words", "open", "cluster_id", "keeper", "places")
+    item = F.struct("first_word", "n_words", "cut", "open", "cluster_id", "keeper", "places")
     each = marked.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,17 +207,20 @@ def repeated(docs: DataFrame, passage_words: int = PASSAGE_WORDS, cut_words: int
         for batch in batches:
             out = []
             for doc_id, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                runs: list[list] = []
+                runs: list[list] = []  # first, end, open, first and end of its cuts, what holds it
                 for x in items:
-                    end = x["first_word"] + x["n_words"]
-                    if runs and x["first_word"] <= runs[-1][1] + GAP_WORDS:
-                        runs[-1][1] = max(end, runs[-1][1])
-                        runs[-1][2] |= x["open"]
-                        runs[-1][3].append((x["n_words"], x["cluster_id"], x["keeper"], x["places"]))
-                    else:
-                        runs.append([x["first_word"], end, x["open"], [(x["n_words"], x["cluster_id"], x["keeper"], x["places"])]])
-                for first, end, cut, held_by in runs:
-                    if end - first >= (cut_words if cut else passage_words):
+                    first, end, held_by = x["first_word"], x["first_word"] + x["n_words"], (x["n_words"], x["cluster_id"], x["keeper"], x["places"])
+                    if not runs or first > runs[-1][1] + GAP_WORDS:
+                        runs.append([first, end, False, None, None, []])
+                    now = runs[-1]
+                    now[1] = max(end, now[1])
+                    now[2] |= x["open"]
+                    if x["cut"]:
+                        now[3:5] = first if now[3] is None else now[3], end
+                    now[5].append(held_by)
+                for first, end, open_end, cut_first, cut_end, held_by in runs:
+                    seen = 0 if cut_first is None else cut_end - cut_first
+                    if end - first >= (cut_words if open_end else passage_words) or seen >= cut_words:
                         _, cluster, keeper, _ = max(held_by)
                         out.append((doc_id, first, end - first, cluster, max(h[3] for h in held_by), keeper == doc_id))
             if out:

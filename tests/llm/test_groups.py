@@ -235,6 +235,23 @@ def test_passages_long_lines(spark):
     assert len(missed) <= 100 - len(pairs), f"{len(missed)} of 100 pairs are not one cluster of whole lines"
 
 
+def test_passages_across_line_breaks(spark):
+    rng = random.Random(10)
+    some = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    wrap = lambda words, width: "\n".join(" ".join(words[i : i + width]) for i in range(0, len(words), width))
+    rows = []
+    for i in range(60):
+        shared = some(60)
+        rows += [(6 * i, wrap(some(31) + shared + some(20), 12)), (6 * i + 1, wrap(some(17) + shared + some(20), 15)), (6 * i + 2, f"{wrap(some(25), 10)}\n{' '.join(shared)}\n{wrap(some(5), 10)}")]
+        cut = some(51)
+        for k in (3, 4):  # in two lines under 30 words, whole in neither
+            rows.append((6 * i + k, f"{' '.join(some(3) + cut[:25])}\n{' '.join(cut[25:] + some(3))}"))
+        rows.append((6 * i + 5, wrap(some(100), 12)))
+    got = {r.doc_id for r in passages.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {i for i, _ in rows if i % 6 < 5}
+    assert got == want, f"{len(want - got)} of {len(want)} documents are missing, {len(got - want)} are too many"
+
+
 # --- personal data
 
 BASE = {k: re.compile(p) for k, p in pii.PATTERNS.items()}
