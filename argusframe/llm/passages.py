@@ -41,7 +41,8 @@ STRETCH = 12
 LEAST_WORDS = 5
 #: Marked paragraphs join across so many words, such as those of lines too short to be paragraphs.
 GAP_WORDS = 8
-#: Words of a passage: of whole lines, and of cuts, where its ends are not seen.
+#: Words of a passage: of whole lines, and of cuts, where up to STRETCH - 1 words at each of its ends are not seen:
+#: of 51 words 29 are seen at least.
 PASSAGE_WORDS = 45
 CUT_WORDS = 20
 
@@ -80,8 +81,9 @@ class Paragraphs:
         if len(self.shingles) >= STRETCH:
             windows = np.lib.stride_tricks.sliding_window_view(self.shingles, STRETCH)
             at = np.union1d(at, windows.argmin(1) + np.arange(len(windows)))
-        words = np.append(at[1:], n)[: len(at)] - at
-        said = words >= LEAST_WORDS  # shorter ones say nothing; passages join across them
+        # each goes on to the end of the next one's first shingle, so that the shortest says enough too
+        words = np.append(at[1:] + WORDS, n)[: len(at)] - at
+        said = words >= LEAST_WORDS  # all but a shorter text
         return at[said], words[said]
 
     def classes(self, first: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -93,6 +95,15 @@ class Paragraphs:
         sums = np.append(np.zeros(1, np.uint64), np.cumsum(mixed(self.hashes) * powers[:n], dtype=np.uint64))
         return mixed((sums[first + words] - sums[first]) * backs[first] + words.astype(np.uint64)).view(np.int64)
 
+    def cut_classes(self) -> np.ndarray:
+        """Names of the cuts. Where a text repeats a few words on and on, its equal cuts are numbered, so
+        that a long such stretch does not pass for a shorter one."""
+        names = self.classes(self.cut_first, self.cut_words).view(np.uint64)
+        at = np.arange(len(names))
+        fresh = np.append(True, names[1:] != names[:-1])[: len(names)]
+        nth = (at - np.maximum.accumulate(np.where(fresh, at, 0))).astype(np.uint64)
+        return np.where(nth > 0, mixed(names + nth * _STEP), names).view(np.int64)
+
     def line_keys(self) -> np.ndarray:
         """Band keys of each whole line, from the minima of several hashes of its shingles."""
         if not len(self.line_first):
@@ -126,7 +137,7 @@ def units(docs: DataFrame) -> DataFrame:
                     sizes.append(words)
                     open_ends.append(np.append(p.line_is_open, np.zeros(b, bool)))
                     cut.append(np.append(np.zeros(a, bool), np.ones(b, bool)))
-                    classes.append(p.classes(first, words))
+                    classes.append(np.append(p.classes(p.line_first, p.line_words), p.cut_classes()))
                     keys.append((p.line_keys(), b))
                 counts = np.concatenate([np.append(np.full(len(k), BANDS), np.zeros(b, np.int64)) for k, b in keys])
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(np.concatenate([k.ravel() for k, _ in keys]), pa.int64()))
@@ -194,7 +205,9 @@ def repeated(docs: DataFrame, passage_words: int = PASSAGE_WORDS, cut_words: int
     parts = clusters(docs, found)
     # Only lines have links, so cuts keep their class. Counting before the join keeps a hot class small.
     held = found.groupBy("class").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("places"))
-    named = held.join(parts, F.col("class") == F.col("node"), "left").withColumn("cluster_id", F.coalesce("component", "class"))
+    # A class of one document without a link is a cluster by itself, and never of two documents.
+    named = held.join(parts, F.col("class") == F.col("node"), "left").where("lo <> hi OR component IS NOT NULL").withColumn("cluster_id", F.coalesce("component", "class"))
+    named = materialize(named.drop("node", "component"), "passage-named")
     totals = named.groupBy("cluster_id").agg(F.min("lo").alias("keeper"), F.max("hi").alias("last"), F.sum("places").alias("places")).where("keeper <> last")
     marks = materialize(named.select("class", "cluster_id").join(totals, "cluster_id").select("class", "cluster_id", "keeper", "places"), "passage-marks")
     marked = join_checked(found.drop("keys"), marks, "class")
@@ -207,20 +220,19 @@ def repeated(docs: DataFrame, passage_words: int = PASSAGE_WORDS, cut_words: int
         for batch in batches:
             out = []
             for doc_id, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                runs: list[list] = []  # first, end, open, first and end of its cuts, what holds it
+                runs: list[list] = []  # first, end, first and end of its last cuts and open lines without a gap, most words of such, what holds it
                 for x in items:
                     first, end, held_by = x["first_word"], x["first_word"] + x["n_words"], (x["n_words"], x["cluster_id"], x["keeper"], x["places"])
                     if not runs or first > runs[-1][1] + GAP_WORDS:
-                        runs.append([first, end, False, None, None, []])
+                        runs.append([first, end, first, first, 0, []])
                     now = runs[-1]
                     now[1] = max(end, now[1])
-                    now[2] |= x["open"]
-                    if x["cut"]:
-                        now[3:5] = first if now[3] is None else now[3], end
+                    if x["cut"] or x["open"]:
+                        now[2:4] = (now[2], max(end, now[3])) if first <= now[3] else (first, end)
+                        now[4] = max(now[4], now[3] - now[2])
                     now[5].append(held_by)
-                for first, end, open_end, cut_first, cut_end, held_by in runs:
-                    seen = 0 if cut_first is None else cut_end - cut_first
-                    if end - first >= (cut_words if open_end else passage_words) or seen >= cut_words:
+                for first, end, _, _, seen, held_by in runs:
+                    if end - first >= passage_words or seen >= cut_words:
                         _, cluster, keeper, _ = max(held_by)
                         out.append((doc_id, first, end - first, cluster, max(h[3] for h in held_by), keeper == doc_id))
             if out:

@@ -252,6 +252,17 @@ def test_passages_across_line_breaks(spark):
     assert got == want, f"{len(want - got)} of {len(want)} documents are missing, {len(got - want)} are too many"
 
 
+def test_passages_exact_in_long_lines(spark):
+    rng = random.Random(11)
+    some = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    rows = []
+    for i in range(800):
+        shared = some(51)
+        rows += [(2 * i + k, " ".join(some(rng.randint(30, 60)) + shared + some(rng.randint(30, 60)))) for k in (0, 1)]
+    got = {r.doc_id for r in passages.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == len(rows), f"{len(rows) - len(got)} of {len(rows)} documents are missing"
+
+
 # --- personal data
 
 BASE = {k: re.compile(p) for k, p in pii.PATTERNS.items()}
