@@ -1,22 +1,96 @@
-"""Lineage cuts that survive a lost executor.
+"""Lineage cuts that survive a lost executor, and the tables they leave.
 
 Every cut goes to the folder the cluster names in ``spark.checkpoint.dir``, which driver and executors
-share. Only a session that names none (tests, a notebook) gets a folder of its own.
+share. Only a local session that names none (tests, a notebook) gets a folder of its own; a cluster
+without one is an error, since each machine would write to its own disk.
+
+A cut table belongs to the innermost open :func:`scratch` scope and is deleted when that closes, unless
+it was passed on to the scope around it. What belongs to none is deleted when the process ends.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+from pyspark import SparkContext
+from pyspark.errors import PySparkRuntimeError
 from pyspark.sql import DataFrame, SparkSession
 
 
+class Scope:
+    """The folders of intermediate tables that are to go together."""
+
+    def __init__(self, around: Scope | None = None):
+        self.around = around
+        self.folders: list[str] = []
+
+    def pass_on(self, *tables: DataFrame | None) -> None:
+        """Leave these tables to the scope around, because a lazy result still reads them."""
+        wanted = names_of(*tables)
+        for folder in [f for f in self.folders if name_of(f) in wanted]:
+            self.folders.remove(folder)
+            if self.around is not None:
+                self.around.folders.append(folder)
+
+    def close(self) -> None:
+        while self.folders:
+            delete(self.folders.pop())
+
+
+_outermost = Scope()
+_open: list[Scope] = [_outermost]
+
+
+def name_of(folder: str) -> str:
+    """The last part of a path: unique, however the rest is written."""
+    return folder.rstrip("/").rsplit("/", 1)[-1]
+
+
+def names_of(*tables: DataFrame | None) -> set[str]:
+    return {name_of(f.rsplit("/", 1)[0]) for t in tables if t is not None for f in t.inputFiles()}
+
+
+def delete(folder: str) -> None:
+    jvm = SparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    active = SparkContext._active_spark_context
+    conf = active._jsc.hadoopConfiguration() if active else jvm.org.apache.hadoop.conf.Configuration()
+    path.getFileSystem(conf).delete(path, True)
+
+
+@atexit.register
+def _at_end() -> None:
+    if SparkContext._jvm is not None:
+        with contextlib.suppress(Exception):  # the session may be gone; nothing can be reported here
+            _outermost.close()
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[Scope]:
+    """A scope whose intermediate tables are deleted at its end."""
+    scope = Scope(_open[-1])
+    _open.append(scope)
+    try:
+        yield scope
+    finally:
+        _open.remove(scope)
+        scope.close()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one is set only where none is configured."""
+    """The session's checkpoint folder; one of its own only for a local session that names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise PySparkRuntimeError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         named = tempfile.mkdtemp(prefix="argusframe-checkpoints-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
@@ -25,13 +99,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back: one job, no lineage left."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _open[-1].folders.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table that :func:`materialize` wrote, once nothing reads it any more."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`materialize` wrote, once nothing reads them any more."""
+    wanted = names_of(*tables)
+    for scope in _open:
+        for folder in [f for f in scope.folders if name_of(f) in wanted]:
+            scope.folders.remove(folder)
+            delete(folder)

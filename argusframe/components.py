@@ -37,8 +37,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         moved = small.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         now = materialize(below.select("hi", F.col("m").alias("lo")).unionByName(moved).distinct(), "components")
         seen, was = fingerprint(now), seen
-        discard(large)
-        discard(links)
+        discard(large, links)
         links = now
         if seen == was:
             break
