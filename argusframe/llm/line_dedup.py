@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from argusframe.checkpoints import materialize
+from argusframe.checkpoints import materialize, scratch
 from argusframe.llm.common import BLANKS, doc_texts, map_rows, unused
 from argusframe.sizing import join_checked
 
@@ -53,7 +53,9 @@ def frequent_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """The rows of ``docs`` with their text shortened, and the added column _lines: n_lines before, n_dropped."""
     lost_id, lost_lines, made_name = unused(docs, "_lost_id", "_lost", "_made")
-    lost = frequent_lines(docs, min_chars, min_docs).select(F.col("doc_id").alias(lost_id), F.col("dropped").alias(lost_lines))
+    with scratch() as held:
+        lost = materialize(frequent_lines(docs, min_chars, min_docs).select(F.col("doc_id").alias(lost_id), F.col("dropped").alias(lost_lines)), "lost-lines")
+        held.pass_on(lost)
 
     @F.pandas_udf("text string, n_lines long, n_dropped long")
     def reassemble(texts: pd.Series, dropped: pd.Series) -> pd.DataFrame:
@@ -68,7 +70,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
             out.append(("\n".join(kept), len(lines), len(lines) - len(kept)))
         return pd.DataFrame(out, columns=["text", "n_lines", "n_dropped"])
 
-    joined = docs.join(lost.hint("shuffle_hash"), docs["doc_id"].cast("long") == F.col(lost_id), "left")
+    joined = join_checked(docs, lost, docs["doc_id"].cast("long") == F.col(lost_id), "left")
     made = joined.withColumn(made_name, reassemble(F.col("text").cast("string"), F.col(lost_lines)))
     names = [F.col(made_name)["text"].alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     counts = F.struct(F.col(made_name)["n_lines"].alias("n_lines"), F.col(made_name)["n_dropped"].alias("n_dropped"))

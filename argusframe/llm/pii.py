@@ -1,16 +1,20 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions alone.
 
-Four patterns give the base spans. They are the seeds: the word before each is a lexical pattern. Tokens
-shaped like an identifier that no base span covers are the candidates. Patterns and instances form a graph
-whose scores are computed in turn, in Spark: a pattern's score for a kind is the share of its distinct
-instances believed to be of it, an instance's belief grows with every pattern it occurs in. Patterns seen
-with enough different seeds and a high score then mark the candidates beside them. Base spans always stay.
+Four patterns give the base spans, which are the seeds. Every token with a digit or an @ (or run of digit groups)
+is an instance; the words around it, on either side and at several widths, are its lexical patterns. Patterns and
+distinct instances form a graph whose scores are computed in turn, in Spark: a pattern's score for a kind is the
+share of its instances believed to be of it, among all it stands beside; those that could be of the kind by their
+form and aren't believed to be weigh little. Patterns seen with enough different seeds and a high score lend it to
+such instances, which count in the next round. What the last round's patterns stand beside, and no base span
+touches, is marked. Base spans always stay.
 
 The expressions are written so that time stays in proportion to the text: a run of name characters or of
 digits is tried once, from its start or from where the last match ended, and never backtracked.
 
-Null text is the empty text. Rows of equal doc_id and text get equal spans, each on its own row; a null
-doc_id stays. Empty tables give no rows. Offsets count code points, ends are exclusive.
+Nulls: null text is the empty text; a null doc_id stays. Repeats and ties: rows of equal doc_id and text get equal
+spans, each on its own row, and copies of a text add no instance. Very long texts and tokens count whole; a pattern
+is made of whole words. Empty tables give no rows. Extra columns of any name pass through redact and do not travel
+otherwise. Offsets count code points, ends are exclusive.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from argusframe.checkpoints import materialize
+from argusframe.checkpoints import discard, materialize, scratch
 from argusframe.llm.common import unused
 from argusframe.sizing import join_checked
 
@@ -41,18 +45,29 @@ LINEAR = {
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: A pattern counts from so many different seeds on, and marks candidates from such a score on.
-MIN_SEEDS = 5
+MIN_SEEDS = 8
 MIN_SCORE = 0.8
 ROUNDS = 3
-#: Shapes of unseen identifiers, by kind: what a token must match as a whole to be a candidate.
-SHAPES = {
-    "email": r"[A-Za-z0-9._%+-]+(?:@|\(at\)|\[at\])[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*",
-    "ip": r"(?:[0-9A-Fa-f]{0,4}:){3,7}[0-9A-Fa-f]{1,4}|(?:[0-9]{1,3}-){3}[0-9]{1,3}",
-    "card": r"[0-9]{4}(?:[-.][0-9]{3,6}){2,4}|[0-9]{13,19}",
-    "phone": r"\(?[0-9]{2,4}\)?(?:[-./]?[0-9]{2,4}){2,4}",
+#: What an instance that could be of a kind, but is not believed to be, weighs against a pattern.
+DOUBT = 0.25
+#: Forms of unseen identifiers, by kind: what an instance must match as a whole to be one.
+FORMS = {
+    "email": r"[A-Za-z0-9._%+-]++(?:@|\(at\)|\[at\]|\{at\})[A-Za-z0-9-]++(?:(?:\.|\(dot\)|\[dot\])[A-Za-z0-9-]++)*+",
+    "ip": r"(?:[0-9A-Fa-f]{0,4}:){3,7}[0-9A-Fa-f]{1,4}|(?:[0-9]{1,3}[-_]){3}[0-9]{1,3}",
+    "card": r"[0-9](?:[\x20.-]?[0-9]){12,18}",
+    "phone": r"\(?[0-9]{1,5}\)?(?:[\x20./-]{0,2}\(?[0-9]{1,5}\)?){1,5}",
 }
-#: A candidate as it stands in a text: the word before it, and a token holding a digit or an @.
-BESIDE = r"(?<![^\x20\x09-\x0D])[\p{L}:#=-]{1,32}+[\x20\x09]++(?=[^\x20\x09-\x0D]{2,64}(?:[\x20\x09-\x0D]|$))(?=[^\x20\x09-\x0D0-9@]*[0-9@])[^\x20\x09-\x0D]++"
+PHONE_DIGITS = (7, 15)
+#: An instance as it stands in a text: digit groups with single spaces between, or any token with a digit or an @.
+GROUP = r"[(+]?[0-9][0-9()./-]*+(?![^\x20\x09-\x0D])"
+SIGN = r"(?:[0-9@]|[(\[{]at[)\]}])"
+INSTANCE = rf"(?<![^\x20\x09-\x0D])(?:{GROUP}(?:\x20{GROUP})++|(?=[^\x20\x09-\x0D]*?{SIGN})[^\x20\x09-\x0D]++)"
+#: Of a token: what names the value and is written together with it, and marks around it.
+LABEL = r"^[\p{L}_-]+[:=]+"
+OPENING = r"^(?:[\"'<\[{,;:=]|\((?=[^)]*$))+"
+CLOSING = r"[\"'>\]},;:.!?]+$"
+CLOSING_OPEN = r"[\"'>\]}),;:.!?]+$"
+BLANKS_FROM = "\t\n\x0b\f\r"
 
 
 def matches(text: Column, pattern: str) -> tuple[Column, Column]:
@@ -60,9 +75,16 @@ def matches(text: Column, pattern: str) -> tuple[Column, Column]:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
 
-def located(found: Column, between: Column) -> Column:
-    """Matches as structs of text, start and end. Starts are running sums over blocks of about the square
-    root of their number, so a text of very many matches costs little more than its length."""
+def nearby(between: Column, i: Column) -> tuple[Column, Column]:
+    """The stretches before and after match i, blanks as spaces and none at the match."""
+    plain = lambda at: F.translate(F.coalesce(F.get(between, at), F.lit("")), BLANKS_FROM, " " * len(BLANKS_FROM))
+    return F.rtrim(plain(i)), F.ltrim(plain(i + 1))
+
+
+def located(found: Column, between: Column, with_words: bool = False) -> Column:
+    """Matches as structs of text, start and end, and with up to two words before and one after if wanted. Starts
+    are running sums over blocks of about the square root of their number, so a text of very many matches costs
+    little more than its length."""
     steps = F.transform(found, lambda m, i: F.length(m) + F.length(F.get(between, i)))
     width = F.ceil(F.sqrt(F.size(found))).cast("int")
     total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
@@ -78,13 +100,17 @@ def located(found: Column, between: Column) -> Column:
             def one(m: Column, i: Column) -> Column:
                 b = F.floor(i / y["w"]).cast("int")
                 at = F.get(y["c"], b) + total(F.slice(y["s"], b * y["w"] + 1, i - b * y["w"])) + F.length(F.get(y["g"], i))
-                return F.struct(m.alias("t"), at.alias("s"), (at + F.length(m)).alias("e"))
+                columns = [m.alias("t"), at.alias("s"), (at + F.length(m)).alias("e")]
+                if with_words:
+                    before, after = nearby(y["g"], i)
+                    columns += [F.substring_index(before, " ", -2).alias("l"), F.substring_index(after, " ", 1).alias("r")]
+                return F.struct(*columns)
 
             return F.transform(y["m"], one)
 
         return F.get(F.transform(with_bases, starts), F.lit(0))
 
-    nothing = F.array().cast("array<struct<t:string,s:int,e:int>>")
+    nothing = F.array().cast(f"array<struct<t:string,s:int,e:int{',l:string,r:string' if with_words else ''}>>")
     return F.when(F.size(found) > 0, F.get(F.transform(F.array(whole), place), F.lit(0))).otherwise(nothing)
 
 
@@ -111,11 +137,11 @@ def fits(kind: str, t: Column) -> Column:
     return F.lit(True)
 
 
-def with_base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, _key (of the text), one array of located base spans a kind, and _beside: the located tokens
-    of an identifier's looks with the word before each."""
+def with_base_spans(docs: DataFrame, *kept: Column) -> DataFrame:
+    """doc_id, _key (of the text), one array of located base spans a kind, and the columns ``kept``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("_t"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("_t"), *kept)
+    more = rows.columns[2:]
     rows = rows.withColumn("_digit", F.col("_t").rlike("[0-9]"))
     t = F.col("_t")
     none = F.array().cast("array<string>")
@@ -126,65 +152,89 @@ def with_base_spans(docs: DataFrame) -> DataFrame:
         found, between = matches(t, LINEAR[kind])
         rows = rows.withColumn(f"_m_{kind}", F.when(worth, found).otherwise(none))
         rows = rows.withColumn(f"_g_{kind}", F.when(F.size(f"_m_{kind}") > 0, between).otherwise(none))
-    found, between = matches(t, BESIDE)
-    rows = rows.withColumn("_m_beside", F.when(F.col("_digit") | t.contains("@"), found).otherwise(none))
-    rows = rows.withColumn("_g_beside", F.when(F.size("_m_beside") > 0, between).otherwise(none))
     fitting = lambda kind: lambda x: fits(kind, x["t"])
     spans = [F.filter(located(F.col(f"_m_{k}"), F.col(f"_g_{k}")), fitting(k)).alias(k) for k in KINDS]
-    return rows.select("doc_id", F.xxhash64("_t").alias("_key"), *spans, located(F.col("_m_beside"), F.col("_g_beside")).alias("_beside"))
-
-
-def occurrences(based: DataFrame) -> DataFrame:
-    """(doc_id, _key, start, end, token, pattern, kind, seed) of seeds and candidates; kind is what a token
-    is, or what by its shape it might be (a row for each)."""
-    rows = based.where(F.size("_beside") > 0).select("doc_id", "_key", *KINDS, F.explode("_beside").alias("_b"))
-    pattern = F.lower(F.regexp_extract("_b.t", r"^([\p{L}:#=-]+)", 1))
-    raw = F.regexp_extract("_b.t", r"([^\x20\x09-\x0D]+)$", 1)
-    start = F.col("_b.e") - F.length(raw) + F.length(F.regexp_extract(raw, r"^([\"'<\[{,;]*)", 1))
-    token = F.regexp_replace(raw, r"^[\"'<\[{,;]+|[\"'>\]},;:.!?]+$", "")
-    rows = rows.select("doc_id", "_key", *KINDS, pattern.alias("pattern"), token.alias("token"), start.alias("start"), (start + F.length(token)).alias("end"))
-    covered = {k: F.exists(k, lambda x: (x["s"] < F.col("end")) & (x["e"] > F.col("start"))) for k in KINDS}
-    whole = {k: F.exists(k, lambda x: x["s"] == F.col("start")) for k in KINDS}
-    seeded = F.coalesce(*[F.when(whole[k], k) for k in KINDS]).alias("_seed")
-    seed_text = F.coalesce(*[F.get(F.filter(k, lambda x: x["s"] == F.col("start")), F.lit(0))["t"] for k in KINDS], F.col("token"))
-    rows = rows.select("doc_id", "_key", "start", "end", seed_text.alias("token"), "pattern", seeded, F.greatest(*covered.values()).alias("_covered"))
-    shaped = F.array_compact(F.array(*[F.when(~F.col("_covered") & F.col("token").rlike(f"^(?:{SHAPES[k]})$"), k) for k in KINDS]))
-    kinds = F.when(F.col("_seed").isNotNull(), F.array("_seed")).otherwise(shaped)
-    rows = rows.select("doc_id", "_key", "start", "end", "token", "pattern", F.explode(kinds).alias("kind"), F.col("_seed").isNotNull().alias("seed"))
-    return rows.where("pattern <> ''")
-
-
-def discover(based: DataFrame) -> DataFrame:
-    """doc_id, _key and extra: located spans with their kind that high-confidence patterns mark."""
-    seen = materialize(occurrences(based), "pii-occurrences")
-    edges = materialize(seen.groupBy("pattern", "token", "kind").agg(F.max("seed").alias("seed")), "pii-graph")
-    belief = edges.groupBy("token", "kind").agg(F.max(F.col("seed").cast("double")).alias("belief"))
-    instances = edges.select("pattern", "token", "kind")
-    for _ in range(ROUNDS):
-        held = instances.join(belief, ["token", "kind"])
-        total = instances.groupBy("pattern").agg(F.count_distinct("token").alias("n"))
-        by_kind = held.groupBy("pattern", "kind").agg(F.sum("belief").alias("believed"), F.count_if(F.col("belief") == 1).alias("seeds"))
-        scores = by_kind.join(total, "pattern").select("pattern", "kind", (F.col("believed") / F.col("n")).alias("score"), "seeds")
-        doubt = F.sum(F.log1p(-F.least("score", F.lit(0.999999))))
-        grown = instances.join(scores, ["pattern", "kind"]).groupBy("token", "kind").agg(F.when(F.max("seeds") >= MIN_SEEDS, 1 - F.exp(doubt)).otherwise(0.0).alias("grown"))
-        belief = materialize(belief.join(grown, ["token", "kind"]).select("token", "kind", F.when(F.col("belief") == 1, 1.0).otherwise(F.col("grown")).alias("belief")), "pii-beliefs")
-    trusted = materialize(scores.where((F.col("score") >= MIN_SCORE) & (F.col("seeds") >= MIN_SEEDS)).select("pattern", "kind"), "pii-patterns")
-    marked = join_checked(seen.where("NOT seed"), trusted, ["pattern", "kind"], "left_semi")
-    return marked.groupBy("doc_id", "_key").agg(F.collect_set(F.struct("kind", F.col("start").alias("s"), F.col("end").alias("e"))).alias("extra"))
-
-
-def find(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, _key, and base and spans: arrays of (kind, s, e) by kind as listed, then start."""
-    based = materialize(with_base_spans(docs), "pii-base")
+    return rows.select("doc_id", F.xxhash64("_t").alias("_key"), *spans, *more)
+
+
+def instances(docs: DataFrame) -> DataFrame:
+    """Every instance where it stands: doc_id, _key, start, end, token, patterns, seed (its kind if a base span is in
+    it) and kinds (what it might be by its form)."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("_t")).where(F.col("_t").rlike(SIGN))
+    found, between = matches(F.col("_t"), INSTANCE)
+    rows = rows.select("doc_id", F.xxhash64("_t").alias("_key"), found.alias("_m"), between.alias("_g")).where(F.size("_m") > 0)
+    rows = rows.select("doc_id", "_key", F.explode(located(F.col("_m"), F.col("_g"), True)).alias("x")).select("doc_id", "_key", "x.*")
+    label = F.regexp_extract("t", LABEL, 0)
+    rows = rows.withColumn("_label", label).withColumn("_rest", F.expr("substring(t, length(_label) + 1)"))
+    rows = rows.withColumn("_bare", F.regexp_replace("_rest", OPENING, ""))
+    rows = rows.withColumn("token", F.when(F.col("_bare").contains("("), F.regexp_replace("_bare", CLOSING, "")).otherwise(F.regexp_replace("_bare", CLOSING_OPEN, "")))
+    start = F.col("e") - F.length("_bare")
+    fitting = lambda kind: lambda x: fits(kind, x)
+    seed = F.coalesce(*[F.when(F.exists(matches(F.col("t"), LINEAR[k])[0], fitting(k)), k) for k in KINDS])
+    n = F.length(digits(F.col("token")))
+    enough = {"phone": (n >= PHONE_DIGITS[0]) & (n <= PHONE_DIGITS[1])}
+    kinds = F.array_compact(F.array(*[F.when(F.col("token").rlike(f"^(?:{FORMS[k]})$") & enough.get(k, F.lit(True)), k) for k in KINDS]))
+    norm = lambda c: F.lower(F.regexp_replace(c, "[0-9]+", "9"))
+    one = norm(F.when(F.col("_label") != "", F.col("_label")).otherwise(F.substring_index("l", " ", -1)))
+    two = norm(F.when(F.col("_label") != "", F.concat_ws(" ", F.substring_index("l", " ", -1), "_label")).otherwise(F.col("l")))
+    after = norm(F.col("r"))
+    patterns = F.array_distinct(F.array(F.concat(F.lit("1<"), one), F.concat(F.lit("2<"), two), F.concat(F.lit(">"), after), F.concat(F.lit("<>"), one, F.lit(" _ "), after)))
+    named = F.filter(patterns, lambda p: ~p.isin("1<", "2<", ">", "<> _ "))
+    out = rows.select("doc_id", "_key", start.alias("start"), (start + F.length("token")).alias("end"), "token", named.alias("patterns"), seed.alias("seed"), kinds.alias("kinds"))
+    return out.where("token <> ''")
+
+
+def discover(docs: DataFrame) -> DataFrame:
+    """doc_id, _key and extra: located spans with their kind that high-confidence patterns mark. Materialised."""
+    with scratch() as held:
+        seen = materialize(instances(docs), "pii-instances")
+        edges = seen.select("token", "seed", "kinds", F.explode("patterns").alias("pattern"))
+        edges = materialize(edges.groupBy("pattern", "token").agg(F.max("seed").alias("seed"), F.first("kinds").alias("kinds")), "pii-graph")
+        # Only patterns that stand beside enough different seeds of a kind can ever be trusted.
+        worth = edges.where("seed IS NOT NULL").groupBy("pattern", "seed").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_SEEDS)
+        worth = materialize(worth.select("pattern").distinct(), "pii-worth")
+        edges = materialize(join_checked(edges, worth, "pattern", "left_semi"), "pii-edges")
+        total = materialize(edges.groupBy("pattern").agg(F.count("*").alias("n")), "pii-totals")
+        kinds = F.when(F.col("seed").isNotNull(), F.array("seed")).otherwise(F.col("kinds"))
+        graph = materialize(edges.select("pattern", "token", F.explode(kinds).alias("kind"), F.col("seed").isNotNull().alias("is_seed")), "pii-kinds")
+        belief = materialize(graph.groupBy("token", "kind").agg(F.max(F.col("is_seed").cast("double")).alias("belief"), F.max("is_seed").alias("is_seed")), "pii-beliefs")
+        trusted = None
+        for _ in range(ROUNDS):
+            sums = graph.drop("is_seed").join(belief, ["token", "kind"]).groupBy("pattern", "kind")
+            by_kind = sums.agg(F.sum("belief").alias("believed"), F.sum(F.greatest("belief", F.lit(DOUBT))).alias("weight"), F.count("*").alias("forms"), F.count_if("is_seed").alias("seeds"))
+            score = F.col("believed") / (F.col("n") - F.col("forms") + F.col("weight"))
+            scores = by_kind.where(F.col("seeds") >= MIN_SEEDS).join(total, "pattern").select("pattern", "kind", score.alias("score"))
+            trusted = materialize(scores.where(F.col("score") >= MIN_SCORE), "pii-patterns")
+            grown = join_checked(graph.select("pattern", "token", "kind"), trusted, ["pattern", "kind"]).groupBy("token", "kind").agg(F.max("score").alias("grown"))
+            updated = belief.join(grown, ["token", "kind"], "left").select("token", "kind", F.when(F.col("is_seed"), 1.0).otherwise(F.coalesce("grown", F.lit(0.0))).alias("belief"), "is_seed")
+            was, belief = belief, materialize(updated, "pii-beliefs")
+            discard(was)
+        trusted = materialize(trusted.drop("score"), "pii-patterns")
+        near = seen.where("seed IS NULL AND size(kinds) > 0").select("doc_id", "_key", "start", "end", F.explode("kinds").alias("kind"), "patterns")
+        near = near.select("doc_id", "_key", "start", "end", "kind", F.explode("patterns").alias("pattern"))
+        marked = join_checked(near, trusted, ["pattern", "kind"], "left_semi")
+        extra = marked.groupBy("doc_id", "_key").agg(F.collect_set(F.struct("kind", F.col("start").alias("s"), F.col("end").alias("e"))).alias("extra"))  # spans of one text
+        extra = materialize(extra.select(F.col("doc_id").alias("_x_id"), F.col("_key").alias("_x_key"), "extra"), "pii-extra")
+        held.pass_on(extra)
+    return extra
+
+
+def find(docs: DataFrame, *kept: Column) -> DataFrame:
+    """Per row: doc_id, base and spans: arrays of (o, s, e, kind) by kind as listed, then start; and ``kept``."""
+    extra = discover(docs)
     span = lambda n, kind: lambda x: F.struct(F.lit(n).alias("o"), x["s"].alias("s"), x["e"].alias("e"), F.lit(kind).alias("kind"))
     listed = [F.transform(k, span(n, k)) for n, k in enumerate(KINDS)]
-    extra = discover(based).select(F.col("doc_id").alias("_x_id"), F.col("_key").alias("_x_key"), "extra")
-    rows = based.select("doc_id", "_key", F.concat(*listed).alias("base"))
-    rows = rows.join(extra, F.col("doc_id").eqNullSafe(F.col("_x_id")) & (F.col("_key") == F.col("_x_key")), "left")
+    based = with_base_spans(docs, *kept)
+    more = based.columns[2 + len(KINDS) :]
+    rows = based.select("doc_id", "_key", F.concat(*listed).alias("base"), *more)
+    same = F.col("doc_id").eqNullSafe(F.col("_x_id")) & (F.col("_key") == F.col("_x_key"))
+    rows = join_checked(rows, extra, same, "left")
     number = F.create_map(*[F.lit(v) for n, k in enumerate(KINDS) for v in (k, n)])
-    more = F.transform("extra", lambda x: F.struct(number[x["kind"]].alias("o"), x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind")))
-    every = F.array_sort(F.concat("base", F.coalesce(more, F.array().cast("array<struct<o:int,s:int,e:int,kind:string>>"))))
-    return rows.select("doc_id", "_key", "base", every.alias("spans"))
+    apart = lambda x: ~F.exists("base", lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))
+    added = F.transform(F.filter("extra", apart), lambda x: F.struct(number[x["kind"]].alias("o"), x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind")))
+    every = F.when(F.col("extra").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", added)))
+    return rows.select("doc_id", "base", every.alias("spans"), *more)
 
 
 def as_text(spans: Column) -> Column:
@@ -201,20 +251,22 @@ def report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, each found span of text replaced by its kind in brackets; where spans overlap,
-    the one that starts first (then the longer) names the stretch."""
-    p_id, p_key, p_spans = unused(docs, "_p_id", "_p_key", "_p_spans")
-    found = find(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias(p_id), F.col("_key").alias(p_key), F.array_sort(F.transform("spans", lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["kind"].alias("kind")))).alias(p_spans)).distinct()
-    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    joined = docs.join(found.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(F.col(p_id)) & (F.xxhash64(text) == F.col(p_key)), "left")
+    the one that starts first (then the longer) names the stretch. Base spans are found and replaced in one
+    projection; only what patterns mark is joined to the texts."""
+    (row,) = unused(docs, "_row")
+    found = find(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row))
+    text = F.col(row)["text"].cast("string")
+    order = lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["kind"].alias("kind"))
+    spans = F.array_sort(F.transform("spans", order))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         end = -x["e"]
-        fresh = F.concat(acc["out"], F.array(F.substring(F.col("text").cast("string"), acc["at"] + 1, x["s"] - acc["at"]), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))))
+        fresh = F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))))
         return F.when(x["s"] >= acc["at"], F.struct(end.alias("at"), fresh.alias("out"))).otherwise(F.struct(F.greatest(acc["at"], end).alias("at"), acc["out"].alias("out")))
 
     def close(acc: Column) -> Column:
-        return F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text").cast("string"), acc["at"] + 1, F.length(F.col("text").cast("string"))))
+        return F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
 
-    clean = F.when(F.col(p_spans).isNull(), F.col("text").cast("string")).otherwise(F.aggregate(p_spans, start, step, close))
-    return joined.select(*[clean.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    clean = F.when(F.size("spans") == 0, text).otherwise(F.aggregate(spans, start, step, close))
+    return found.select(*[clean.alias(c) if c == "text" else F.col(row)[c].alias(c) for c in docs.columns])
