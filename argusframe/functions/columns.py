@@ -43,12 +43,6 @@ def family_of(name: Column) -> Column:
     return F.regexp_replace(strip_dump_suffix(name), r"-[0-9a-fA-F]{6,}$", "")
 
 
-def byte_counts(content: Column) -> Column:
-    """256 counts of the bytes of a binary column: occurrences in the hexadecimal pairs, by sorted run lengths."""
-    pairs = F.regexp_extract_all(F.hex(content), F.lit("(..)"), F.lit(1))
-    return F.transform(F.sequence(F.lit(0), F.lit(255)), lambda b: F.size(F.filter(pairs, lambda p: p == F.lpad(F.hex(b), 2, "0"))))
-
-
 def printable_runs(text: Column, least: int = 5) -> Column:
     return F.regexp_extract_all(text, F.lit(f"([\\x20-\\x7f]{{{least},}})"), F.lit(1))
 
@@ -57,13 +51,6 @@ def sequence_hash(items: Column) -> Column:
     return F.sha2(F.array_join(items, SEPARATOR), 256)
 
 
-def padded_ids(tokens: Column, ids: Column, length: int) -> Column:
-    """The first ``length`` tokens by a map token -> id (misses are UNKNOWN), padded on the right."""
-    some = F.slice(tokens, 1, length)
-    known = F.transform(some, lambda t: F.coalesce(F.try_element_at(ids, t), F.lit(UNKNOWN)))
-    return F.concat(known, F.array_repeat(F.lit(PAD), F.lit(length) - F.size(some)))
-
-
 def behavioral_status(n: Column) -> Column:
     return F.when(n == 0, "empty").when(n < 10, "too_short").when(n < 100, "short").when(n == 100, "ok").otherwise("truncated")
 
@@ -76,6 +63,11 @@ def length_band(n: Column) -> Column:
     return F.when(n < 10, "<10").when(n < 100, "10-99").otherwise(">=100")
 
 
+def odds_label(prevalence: Column) -> Column:
+    """``1 in N`` with thousands separated."""
+    return F.concat(F.lit("1 in "), F.format_number(half_even(1 / prevalence).cast("long"), 0))
+
+
 def multi_hot(names: Column, vocabulary: list[str]) -> Column:
     return F.array(*[F.array_contains(names, v).cast("int") for v in vocabulary])
 

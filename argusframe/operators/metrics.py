@@ -7,7 +7,6 @@ distinct scores, and that part runs as distributed running totals. A rate withou
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from argusframe.checkpoints import materialize
@@ -52,16 +51,23 @@ def auc(scored: DataFrame) -> DataFrame:
     return totals.select("n_pos", "n_neg", rate_or_null(F.col("w"), F.col("n_pos") * F.col("n_neg")).alias("auc"))
 
 
+def aucs_by(scored: DataFrame, by: list[str]) -> DataFrame:
+    """by, n_pos, n_neg, auc: ``auc`` for each key. One order over (key, score), dealt in ranges, so a key with most
+    of the scores is summed by many tasks."""
+    counted = by_score(scored, by)
+    run = materialize(running_totals(counted, [*map(F.col, by), F.col("score")], {"upto": F.col("neg")}, "aucs"), "aucs-summed")
+    starts = run.groupBy(*by).agg(F.min(F.col("upto") - F.col("neg")).alias("base"))
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by]
+    below = run.alias("l").join(starts.alias("r"), same).select(*[F.col(f"l.{c}") for c in by], "pos", "neg", (F.col("upto") - F.col("neg") - F.col("base")).alias("below"))
+    got = below.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(F.col("pos") * (F.col("below").cast("double") + F.col("neg") / 2.0)).alias("w"))
+    return got.select(*by, "n_pos", "n_neg", rate_or_null(F.col("w"), F.col("n_pos") * F.col("n_neg")).alias("auc"))
+
+
 def feature_aucs(features: DataFrame, columns: dict[str, Column], label: Column) -> DataFrame:
-    """feature, auc, separation = max(auc, 1 - auc) of each column alone, all in one pass over the rows:
-    one aggregate by (feature, value), then a window by feature over its distinct values."""
+    """feature, auc, separation = max(auc, 1 - auc) of each column alone, all in one pass over the rows."""
     stacked = features.select(label.alias("label"), F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), c.cast("double").alias("score")) for k, c in columns.items()])).alias("x")).select("label", "x.*")
-    counted = by_score(stacked, ["feature"])
-    up = W.partitionBy("feature").orderBy("score").rowsBetween(W.unboundedPreceding, -1)
-    below = counted.withColumn("below", F.coalesce(F.sum("neg").over(up), F.lit(0)))
-    got = below.groupBy("feature").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.sum(F.col("pos") * (F.col("below").cast("double") + F.col("neg") / 2.0)).alias("w"))
-    a = rate_or_null(F.col("w"), F.col("p") * F.col("n"))
-    return got.select("feature", a.alias("auc"), F.greatest(a, 1 - a).alias("separation"))
+    a = F.col("auc")
+    return aucs_by(stacked, ["feature"]).select("feature", "auc", F.greatest(a, 1 - a).alias("separation"))
 
 
 def roc_points(scored: DataFrame, corners_only: bool = True) -> DataFrame:
@@ -132,3 +138,11 @@ def error_statistics(pairs: DataFrame, threshold: float, near: float = 1e-6) ->
     gap = F.abs(F.col("a") - F.col("b"))
     flip = (F.col("a") >= threshold) != (F.col("b") >= threshold)
     return pairs.agg(F.count("*").alias("n"), F.max(gap).alias("max_abs"), F.avg(gap).alias("mean_abs"), F.percentile(gap, 0.5).alias("median_abs"), F.count_if(flip).alias("n_flips"), F.count_if(F.abs(F.col("a") - threshold) <= near).alias("n_ties"), F.corr("a", "b").alias("correlation"))
+
+
+def worst_row(pairs: DataFrame, key: list[str]) -> DataFrame:
+    """The row (key, a, b, gap) whose scores differ most; of equals the smallest key. A NaN is no difference."""
+    gap = F.abs(F.col("a") - F.col("b"))
+    order = F.struct(F.coalesce(F.nanvl(gap, F.lit(-1.0)), F.lit(-1.0)).alias("g"))
+    best = pairs.select(*key, "a", "b", order["g"].alias("gap")).where("gap >= 0")
+    return best.agg(F.min(F.struct((-F.col("gap")).alias("_g"), *key, "a", "b", "gap")).alias("w")).where("w IS NOT NULL").select(*[f"w.{k}" for k in key], "w.a", "w.b", "w.gap")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from argusframe.functions.columns import half_even, padded_ids
+from argusframe.checkpoints import materialize
+from argusframe.functions.columns import PAD, UNKNOWN, half_even
+from argusframe.operators.ordering import running_totals
 
-#: Vocabularies up to this size are ranked on one task and travel as a literal map.
+#: Vocabularies up to this size are ranked on one task and travel as a hash table.
 MOST_TOKENS = 100_000
 
 
@@ -26,20 +29,30 @@ def traces(events: DataFrame, by: list[str], order: list[str], token: str, most:
 
 
 def vocabulary(tokens: DataFrame, token: str, least: int = 1, reserved: int = 2) -> DataFrame:
-    """token, freq, token_id: dense ids by falling frequency, then by the token's bytes. The ranking runs over
-    distinct tokens alone."""
+    """token, freq, token_id: dense ids by falling frequency, then by the token's bytes. Only distinct tokens are
+    ranked: few in one window, many in ranges."""
     counted = tokens.where(F.col(token).isNotNull()).groupBy(F.col(token).alias("token")).agg(F.count("*").alias("freq")).where(F.col("freq") >= least)
-    return counted.withColumn("token_id", F.row_number().over(W.orderBy(F.desc("freq"), "token")) + (reserved - 1))
+    counted = materialize(counted, "vocabulary")
+    if counted.count() <= MOST_TOKENS:
+        return counted.withColumn("token_id", F.row_number().over(W.orderBy(F.desc("freq"), "token")) + (reserved - 1))
+    ranked = running_totals(counted, [F.desc("freq"), F.col("token")], {"i": F.lit(1)}, "vocabulary-order")
+    return ranked.select("token", "freq", (F.col("i") + (reserved - 1)).cast("int").alias("token_id"))
 
 
 def encode(sequences: DataFrame, vocab: DataFrame, length: int, tokens: str = "tokens") -> DataFrame:
-    """``sequences`` with ids: the fixed-length encoding. The vocabulary is gathered into one map, which is
-    why its size is tested first."""
-    n = vocab.count()
-    if n > MOST_TOKENS:
-        raise ValueError(f"{n} tokens are more than {MOST_TOKENS}: raise min_count")
-    table = vocab.agg(F.map_from_entries(F.collect_list(F.struct("token", "token_id"))).alias("_map"))
-    return sequences.join(F.broadcast(table)).withColumn("ids", padded_ids(F.col(tokens), F.col("_map"), length)).drop("_map")
+    """``sequences`` with ids: the fixed-length encoding. The vocabulary travels as one hash table, which is why its
+    size is tested first; a token costs one look-up, however large it is."""
+    known = {r.token: r.token_id for r in vocab.select("token", "token_id").limit(MOST_TOKENS + 1).collect()}
+    if len(known) > MOST_TOKENS:
+        raise ValueError(f"more than {MOST_TOKENS} tokens: raise min_count")
+    shared = sequences.sparkSession.sparkContext.broadcast(known)
+
+    @F.pandas_udf("array<int>")
+    def ids(rows: pd.Series) -> pd.Series:
+        get, blank = shared.value.get, [PAD] * length
+        return pd.Series([None if r is None else ([get(t, UNKNOWN) for t in r[:length]] + blank)[:length] for r in rows])
+
+    return sequences.withColumn("ids", ids(F.col(tokens)))
 
 
 def lookup_baseline(train: DataFrame, test: DataFrame, sequence: str = "seq") -> DataFrame:

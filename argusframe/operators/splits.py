@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from argusframe.checkpoints import materialize
-from argusframe.functions.columns import half_even
+from argusframe.components import connected_components
+from argusframe.functions.columns import family_of, half_even, strip_dump_suffix
+from argusframe.operators.dedup import by_sample, group_sizes, majority
 from argusframe.operators.ordering import running_totals, seeded
+from argusframe.sizing import BROADCAST_BYTES, bytes_of
 
 FRACTIONS = {"val": 0.1, "test": 0.1, "cal": 0.2}
 
@@ -78,9 +82,50 @@ def sampling_plan(rows: DataFrame, strata: list[str], target: int, protect: int)
     return counts.join(F.broadcast(sums)).select(*strata, "n", F.when(small, F.col("n")).otherwise(half_even(F.col("n") * rate)).cast("long").alias("plan"))  # one row
 
 
+#: Standard deviations by which the planned share of a stratum is widened; only rows in between are ranked.
+SURELY = 6.0
+
+
 def stratified_sample(rows: DataFrame, strata: list[str], key: list[str], target: int, protect: int, seed: str) -> DataFrame:
-    """The planned number of rows of each stratum, first in seeded order."""
-    run = in_seeded_order(rows, strata, key, F.lit(1), seed)
+    """The planned number of rows of each stratum, first in seeded order. Digests are spread evenly, so where the
+    planned share ends is known but for a sliver: rows under it stay, rows over it go, and only the sliver is
+    ordered. Where digests are not even (keys repeat without end), all rows are ordered."""
+    # In whole numbers: the first 52 bits of the digest.
+    hashed = rows.withColumn("_h", seeded(F.concat_ws("|", *key), seed))
+    place = F.conv(F.substring("_h", 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
     plan = sampling_plan(rows, strata, target, protect)
-    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"p.{c}")) for c in strata]
-    return run.alias("l").join(plan.alias("p"), same).where(F.col("_before") < F.col("plan")).select(*[F.col(f"l.{c}") for c in rows.columns])
+    slack = (F.sqrt("plan") * SURELY + 10) / F.col("n")
+    whole = F.col("plan") >= F.col("n")
+    plan = plan.withColumn("_low", F.when(whole, 2.0).otherwise(F.col("plan") / F.col("n") - slack)).withColumn("_high", F.when(whole, 2.0).otherwise(F.col("plan") / F.col("n") + slack))
+    plan = materialize(plan, "sample-plan")
+    same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in strata]
+    names = [F.col(f"l.{c}") for c in hashed.columns]
+    marked = hashed.alias("l").join((F.broadcast(plan) if bytes_of(plan) <= BROADCAST_BYTES else plan).alias("p"), same("l", "p")).select(*names, "_low", "_high").withColumn("_u", place)
+    counted = marked.groupBy(*strata).agg(F.count_if(F.col("_u") < F.col("_low")).alias("_under"), F.count_if(F.col("_u") < F.col("_high")).alias("_upto"))
+    counted = materialize(plan.alias("l").join(counted.alias("r"), same("l", "r")).select("l.*", "_under", "_upto"), "sample-cuts")
+    if not counted.where((F.col("_under") > F.col("plan")) | (F.col("_upto") < F.col("plan"))).isEmpty():
+        run = in_seeded_order(rows, strata, key, F.lit(1), seed)
+        return run.alias("l").join(plan.alias("p"), same("l", "p")).where(F.col("_before") < F.col("plan")).select(*[F.col(f"l.{c}") for c in rows.columns])
+    sure = marked.where(F.col("_u") < F.col("_low")).select(*rows.columns)
+    sliver = marked.where((F.col("_u") >= F.col("_low")) & (F.col("_u") < F.col("_high")))
+    ranked = sliver.withColumn("_i", F.row_number().over(W.partitionBy(*strata).orderBy("_h", *key)))
+    ranked = ranked.alias("l").join(F.broadcast(counted).alias("r") if bytes_of(counted) <= BROADCAST_BYTES else counted.alias("r"), same("l", "r"))
+    return sure.unionByName(ranked.where(F.col("_i") <= F.col("plan") - F.col("_under")).select(*[F.col(f"l.{c}") for c in rows.columns]))
+
+
+def memory_split(rows: DataFrame, key: list[str], category: str, vector: str, label: str = "label", seed: str = "42", fractions: dict[str, float] = FRACTIONS) -> DataFrame:
+    """``rows`` with split: four ways, by groups that never leak. Dumps of one sample are a group where a label's
+    samples have several dumps, else each row is one; groups that share a feature vector are merged; a merged group
+    goes whole to the bucket of its most frequent family. A group of two labels is an error."""
+    named = rows.select(*key, label, F.col(vector).alias("_vector"), family_of(F.col(category)).alias("_family"), strip_dump_suffix(F.col(category)).alias("_sample"))
+    decided = by_sample(group_sizes(named, F.col("_sample"), label)).select(label, "is_grouped_by_sample")
+    own = F.when(F.col("is_grouped_by_sample") == 1, F.concat_ws("|", F.lit("s"), F.col(label), "_sample")).otherwise(F.concat_ws("|", F.lit("r"), *key))
+    named = materialize(named.join(F.broadcast(decided), label).withColumn("_group", own), "memory-groups")  # a row a label
+    links = named.select(F.col("_group").alias("a"), F.concat(F.lit("v|"), F.sha2(F.col("_vector").cast("string"), 256)).alias("b"))
+    parts = connected_components(links)
+    merged = materialize(named.join(parts, F.col("_group") == F.col("node")).drop("node"), "memory-merged")
+    sizes = merged.groupBy("component").agg(F.count("*").alias("_n"), F.min(label).alias(label), F.max(label).alias("_other"))
+    checked = F.when(F.col(label) == F.col("_other"), F.col(label)).otherwise(F.raise_error(F.concat(F.lit("a group of two labels: "), "component")))
+    buckets = sizes.withColumn(label, checked).drop("_other").join(majority(merged, ["component"], ["_family"]), "component")
+    split = allocate(buckets, ["_family", label], ["component"], "_n", seed, fractions).select("component", "split")
+    return rows.join(merged.select(*key, "component").join(split, "component").select(*key, "split"), key)

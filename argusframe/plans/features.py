@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from argusframe.functions import byteops
 from argusframe.functions import columns as C
 from argusframe.functions import strings
 from argusframe.plans.tables import table
@@ -24,22 +24,15 @@ def q61_zscores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return z.groupBy("i").agg(F.round(F.max("mean"), 9).alias("mean"), F.round(F.max("std"), 9).alias("std"), F.round(F.max("z"), 6).alias("max_z"), F.round(F.min("z"), 6).alias("min_z"))
 
 
-def _byte_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, byte, n: by exploding hexadecimal pairs and counting, with partial sums on the map side."""
-    pairs = F.explode(F.regexp_extract_all(F.hex(F.encode("text", "utf-8")), F.lit("(..)"), F.lit(1)))
-    return docs.select("doc_id", pairs.alias("byte")).groupBy("doc_id", "byte").agg(F.count("*").alias("n"))
-
-
 def q62_byte_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _byte_counts(table(spark, sf_dir, "documents"))
-    sums = counts.groupBy("doc_id").agg(F.sum("n").alias("size"), F.sum(F.col("n") * F.log2("n")).alias("w"))
-    return sums.select("doc_id", "size", F.round(F.log2("size") - F.col("w") / F.col("size"), 9).alias("entropy"))
+    docs = table(spark, sf_dir, "documents").where("text <> ''")
+    return byteops.byte_profile(docs, "doc_id", "text").select("doc_id", "size", F.round("entropy", 9).alias("entropy"))
 
 
 def q63_byte_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _byte_counts(table(spark, sf_dir, "documents")).groupBy("byte").agg(F.sum("n").alias("n"))
+    counts = byteops.byte_histogram(table(spark, sf_dir, "documents"), "text").groupBy("byte").agg(F.sum("n").alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
-    return counts.join(F.broadcast(total)).select(F.conv("byte", 16, 10).cast("int").alias("byte"), "n", (F.col("n") / F.col("total")).alias("share"))  # one row
+    return counts.join(F.broadcast(total)).select("byte", "n", (F.col("n") / F.col("total")).alias("share"))  # one row
 
 
 def q64_string_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,15 +91,7 @@ def q88_float32(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q89_window_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Joint histogram of local entropy and byte value over windows of 2048 bytes at steps of 1024 (a shorter
     file is one window, its counts still over 2048), summed over all documents: 16 entropy rows, 16 nibbles."""
-    hexed = table(spark, sf_dir, "documents").select("doc_id", F.hex(F.encode("text", "utf-8")).alias("h")).where("h <> ''")
-    n = F.floor(F.length("h") / 2)
-    starts = F.when(n < 2048, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), n - 2048, F.lit(1024).cast("long")))
-    blocks = hexed.select("doc_id", F.explode(starts).alias("at"), "h").select("doc_id", "at", F.regexp_extract_all(F.expr("substring(h, cast(at * 2 + 1 as int), 4096)"), F.lit("(.)."), F.lit(1)).alias("nibbles"))
-    counts = blocks.select("doc_id", "at", F.explode("nibbles").alias("nibble")).groupBy("doc_id", "at", "nibble").agg(F.count("*").alias("c"))
-    share = F.col("c") / 2048.0
-    w = W.partitionBy("doc_id", "at")
-    rows = counts.withColumn("h2", F.round(-F.sum(share * F.log2(share)).over(w) * 4, 9))
-    return rows.groupBy(F.least(F.floor("h2"), F.lit(15)).cast("int").alias("row"), F.conv("nibble", 16, 10).cast("int").alias("nibble")).agg(F.sum("c").alias("n"))
+    return byteops.window_entropy(table(spark, sf_dir, "documents"), "text").groupBy("row", "nibble").agg(F.sum("n").alias("n"))
 
 
 QUERIES = {

@@ -1,8 +1,9 @@
 """Portable executables: a bounded parser of their structures, and the feature vector models take.
 
-The vector has twelve groups. Each group is computed by itself; one that fails, or for which this engine has
-no parser (signatures, another parser's warnings), is left zero and named in ``degraded``, never passed off as
-a real zero. Only bytes are read, offsets are tested, and loops are bounded, so hostile files end quickly.
+The vector has twelve groups. Each group is computed by itself; one that fails is left zero and named in
+``degraded``, never passed off as a real zero, while an unsigned file's signatures or a clean file's warnings are
+truly zero. Warnings are those this parser can tell, in the words of the vocabulary. Only bytes are read, offsets
+are tested, and loops are bounded, so hostile files end quickly.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 
 from argusframe.functions.hashing import hashed
 from argusframe.functions.strings import categories
+from argusframe.functions.warnings import flags
 
 # Groups of the vector in order with their sizes, and the names of header fields and flags.
 GROUPS = {
@@ -292,11 +294,56 @@ def richheader(data: bytes, pe: PE | None) -> list[float]:
     return [len(values) // 2, *hashed(pairs, 32)] if values else [0.0] * GROUPS["richheader"]
 
 
-def not_available(data: bytes, pe: PE | None) -> list[float]:
-    raise NotImplementedError
-
-
-EXTRACTORS: dict[str, Callable] = dict(zip(GROUPS, (general, histogram, byteentropy, strings, header, section, imported, exported, datadirectories, richheader, not_available, not_available), strict=True))
+def authenticode(data: bytes, pe: PE | None) -> list[float]:
+    from argusframe.sources import signatures
+
+    return signatures.authenticode(data, pe)
+
+
+def warnings_of(pe: PE) -> Iterator[str]:
+    """What is odd about a file's headers, sections and bytes, in the words of the vocabulary."""
+    o, n = pe.optional, len(pe.data)
+    for byte, count in enumerate(counts_of(pe.data).tolist()):
+        if count > n * (0.15 if byte else 0.5):
+            yield f"Byte 0x{byte:02x} makes up {100 * count / n:.4f}% of the file's contents."
+    entry = o["address_of_entrypoint"]
+    if entry < o["sizeof_headers"]:
+        yield "SizeOfHeaders is smaller than AddressOfEntryPoint: this file cannot run under Windows 8."
+    if o["number_of_rvas_and_sizes"] > 16:
+        yield "Suspicious NumberOfRvaAndSizes in the Optional Header. Normal values are never larger than 0x10"
+    if o["file_alignment"] > 0x200 and o["file_alignment"] & (o["file_alignment"] - 1):
+        yield f"If FileAlignment > 0x200 it should be a power of 2. Value: {o['file_alignment']:x}"
+    if o["section_alignment"] < 0x1000 and o["section_alignment"] != o["file_alignment"]:
+        yield f"If SectionAlignment({o['section_alignment']:x}) < 0x1000 it should equal FileAlignment({o['file_alignment']:x})"
+    inside = [s for s in pe.sections if s.address <= entry < s.address + max(s.vsize, s.size)]
+    if entry and not inside:
+        yield f"AddressOfEntryPoint lies outside the sections' boundaries. AddressOfEntryPoint: 0x{entry:x}"
+    elif inside and entry - inside[0].address + inside[0].offset > n:
+        yield f"Possibly corrupt file. AddressOfEntryPoint lies outside the file. AddressOfEntryPoint: 0x{entry:x}"
+    if pe.coff[1] > MOST_SECTIONS:
+        yield f"Too many sections {pe.coff[1]}"
+    for i, s in enumerate(pe.sections):
+        if s.size and s.content and not any(s.content):
+            yield f"Suspicious value found parsing section {i}. Contents are null-bytes."
+        if s.size + s.offset > n:
+            yield f"Error parsing section {i}. SizeOfRawData is larger than file."
+        if s.offset > n:
+            yield f"Error parsing section {i}. PointerToRawData points beyond the end of the file."
+        if s.vsize > 0x10000000:
+            yield f"Suspicious value found parsing section {i}. VirtualSize is extremely large > 256MiB"
+        if s.address > 0x10000000:
+            yield f"Suspicious value found parsing section {i}. VirtualAddress is beyond 0x10000000"
+        if o["file_alignment"] and s.offset % o["file_alignment"]:
+            yield f"Error parsing section {i}. PointerToRawData should normally be a multiple of FileAlignment, this might imply the file is trying to confuse tools which parse this incorrectly."
+        if s.flags & SECTION_FLAGS["MEM_WRITE"] and s.flags & SECTION_FLAGS["MEM_EXECUTE"]:
+            yield f"Suspicious flags set for section {i}. Both IMAGE_SCN_MEM_WRITE and IMAGE_SCN_MEM_EXECUTE are set."
+
+
+def pefilewarnings(data: bytes, pe: PE | None) -> list[float]:
+    return flags(warnings_of(pe)) if pe else [0.0] * GROUPS["pefilewarnings"]
+
+
+EXTRACTORS: dict[str, Callable] = dict(zip(GROUPS, (general, histogram, byteentropy, strings, header, section, imported, exported, datadirectories, richheader, authenticode, pefilewarnings), strict=True))
 
 
 def vector(data: bytes, extractors: dict[str, Callable] = EXTRACTORS) -> tuple[bool, np.ndarray, list[str]]:
@@ -337,18 +384,27 @@ def pe_features(files: DataFrame, key: str, content: str = "content") -> DataFra
     return files.select(key, content).mapInArrow(run, f"`{key}` {kind}, is_pe boolean, features array<float>, degraded array<string>")
 
 
-def self_test(data: bytes) -> str | None:
-    """What is wrong with extraction on a known good file, or None."""
+def self_test(data: bytes | None, signed: bool = False) -> list[str]:
+    """What is wrong with extraction on a known good file; empty if nothing is. ``signed``: the file has a signature."""
+    if data is None:
+        return ["reference_pe_not_found"]
     try:
         ok, features, degraded = vector(data)
-    except Exception:
-        return "extractor_raised"
-    if not ok:
-        return "reference_not_parsed"
+    except Exception as error:
+        return [f"extraction_raised:{error!r}"]
+    out = [f"degraded_group:{g}" for g in degraded] + ["reference_not_parsed"] * (not ok)
     if features.shape != (DIMENSIONS,):
-        return "wrong_dimensions"
-    if not np.isfinite(features).all():
-        return "not_finite"
-    if abs(features[7 : 7 + 256].sum() - 1) > 1e-3:
-        return "histogram_not_normalised"
-    return "critical_group_degraded" if {*degraded} & {"general", "histogram", "byteentropy", "strings", "header", "section", "imports", "datadirectories"} else None
+        return [*out, f"vector_shape:{features.shape}"]
+    at = dict(zip(GROUPS, np.cumsum([0, *GROUPS.values()]).tolist(), strict=False))
+    of = lambda g: features[at[g] : at[g] + GROUPS[g]]
+    wrong = {
+        "vector_nonfinite": not np.isfinite(features).all(), "authenticode_all_zero_on_signed_pe": signed and not of("authenticode").any(), "imports_pair_count_zero": of("imports")[0] <= 0,
+        "histogram_not_normalised": abs(float(of("histogram").sum()) - 1) > 1e-4, "general_size_mismatch": float(features[0]) != float(np.float32(len(data))),
+    }
+    return out + [name for name, is_so in wrong.items() if is_so]
+
+
+def blocking(failures: list[str], critical: tuple[str, ...]) -> list[str]:
+    """Those failures that must stop a scanner: not a missing reference file, nor a group that isn't critical."""
+    group = lambda f: f.partition(":")[2] if f.startswith("degraded_group:") else None
+    return [f for f in failures if f != "reference_pe_not_found" and (group(f) is None or group(f) in critical)]

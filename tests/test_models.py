@@ -28,13 +28,52 @@ def test_train_calibrate_threshold(spark, tmp_path):
     assert np.allclose(ours, theirs, rtol=0, atol=1e-12)
 
 
-def test_sequence_margin_ignores_padding():
-    rng = np.random.default_rng(0)
-    w = rng.normal(size=(20, 8)), rng.normal(size=(3, 8, 8)), rng.normal(size=8), rng.normal(size=8), rng.normal(size=9)
-    short = models.sequence_margin(*w, np.array([2, 3, 4, 5, 6, 0]))
-    assert np.isclose(short, models.sequence_margin(*w, np.array([2, 3, 4, 5, 6] + [0] * 15)))
-    assert not np.isclose(short, models.sequence_margin(*w, np.array([2, 3, 4, 5, 7, 0])))
-    assert models.sequence_margin(*w, np.zeros(5, int)) == w[4][-1]
+def test_sequence_net_masks_padding_in_attention_and_pooling():
+    net = models.SequenceNet.initial(20, 20, 16, heads=4, seed=1)
+    ids = np.zeros((1, 20), int)
+    ids[0, :5] = range(2, 7)
+    states, real = net.attended(ids), (ids != 0)[:, :, None]
+    masked, full = (states * real).sum(1) / real.sum(1), states.mean(1)
+    assert np.allclose(net.margins(ids), net.classify(masked)) and not np.allclose(net.margins(ids), net.classify(full), atol=1e-4)
+    # what stands at padded places can be no key: changing their places' embedding beyond the convolutions' reach does nothing
+    moved = models.SequenceNet(net.w | {"place": np.concatenate([net.w["place"][:13], net.w["place"][13:] + 5])}, 4)
+    assert np.allclose(moved.margins(ids), net.margins(ids), atol=1e-5)
+    assert np.isfinite(net.margins(np.zeros((2, 20), int))).all()
+
+
+def test_sequence_net_without_padding_is_unmasked():
+    net = models.SequenceNet.initial(20, 10, 16, heads=2, seed=2)
+    ids = np.random.default_rng(0).integers(1, 20, (3, 10))
+    assert np.allclose(net.margins(ids), net.classify(net.attended(ids).mean(1)))
+    one_by_one = np.concatenate([net.margins(ids[i : i + 1]) for i in range(3)])
+    assert np.allclose(one_by_one, net.margins(ids), atol=1e-5)
+
+
+def test_sequence_net_in_spark(spark):
+    net = models.SequenceNet.initial(20, 12, 8, seed=3)
+    rows = spark.createDataFrame([(1, [2, 3, 4] + [0] * 9), (2, None), (3, [5] * 12)], "i int, ids array<int>")
+    got = {r.i: r for r in net.score(rows).collect()}
+    assert got[2].margin is None and got[2].score is None
+    assert np.isclose(got[1].margin, net.margins(np.array([[2, 3, 4] + [0] * 9]))[0], atol=1e-5) and 0 < got[3].score < 1
+
+
+def test_trained_sequences(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(400):
+        bad = i % 4 == 0
+        tokens = [f"t{x}" for x in rng.integers(0, 30, rng.integers(10, 40))]
+        if bad:  # an order of common tokens, not a token, tells
+            at = int(rng.integers(0, len(tokens) - 2))
+            tokens[at : at + 3] = ["t1", "t2", "t3"]
+        rows.append((i, int(bad), ("train", "train", "val", "test")[(i // 4) % 4], tokens))
+    df = spark.createDataFrame([*rows, (1000, 0, "test", None)], "id int, label int, split string, tokens array<string>")
+    found = models.train_sequences(df)
+    test = {r.id: r for r in found.score(df.where("split = 'test'")).collect()}
+    bad, good = [r.score for r in test.values() if r.label], [r.score for r in test.values() if not r.label]
+    assert np.mean([b > g for b in bad for g in good]) > 0.9 and test[1000].score is not None
+    assert found.losses[models.STRENGTHS.index(found.strength)] == min(found.losses)
+
 
 
 def test_stream_equals_batch(spark, tmp_path):

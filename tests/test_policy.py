@@ -54,3 +54,40 @@ def test_thresholds_load(tmp_path):
     path = tmp_path / "t.yaml"
     path.write_text("\n".join(f"{k}: {v}" for k, v in vars(policy.Thresholds()).items()))
     assert policy.load_thresholds(str(path)) == policy.Thresholds()
+
+
+def test_scan_from_files(spark, tmp_path):
+    """Missing paths, folders, other files, executables, a raising model and one that isn't there."""
+    import numpy as np
+    from argusframe.operators import scan
+    from argusframe.plans.scans import HEAD
+    from argusframe.sources import readers
+
+    (tmp_path / "d").mkdir()
+    for name, data in (("a.exe", HEAD), ("b.exe", HEAD + b"over"), ("c.exe", HEAD + b"raise"), ("e.exe", HEAD + b"listed"), ("t.txt", b"text")):
+        (tmp_path / "d" / name).write_bytes(data)
+    names = ["a.exe", "b.exe", "c.exe", "e.exe", "t.txt", "gone.exe", ""]
+    wanted = spark.createDataFrame([(f"{tmp_path}/d/{n}".rstrip("/"),) for n in names], "path string")
+    found = readers.read_files(spark, str(tmp_path / "d"))
+    digests = found.where("path LIKE '%e.exe' AND path LIKE '%/e.exe'").select("sha256")
+
+    def predict(matrix):
+        if any(int(v[0]) == len(HEAD) + 5 for v in matrix):
+            raise RuntimeError
+        return np.where(matrix[:, 0] > len(HEAD), 0.99, 0.1)
+
+    def score(parsed):
+        return parsed.withColumn("s", scan.guarded(predict)(F.col("features"))).select("path", F.col("s.score").alias("static_score"))
+
+    rows = scan.with_static(scan.manifest(found, wanted), "path", score, digests)
+    rows = rows.withColumns({"n_calls": F.when(F.col("path").like("%a.exe"), 50), "behavioral_score": F.lit(0.9), "memory_score": F.lit(None).cast("double"), "network_score": F.when(F.col("path").like("%b.exe"), 0.99)})
+    got = {r.path.rsplit("/", 1)[-1]: r for r in scan.decide_scans(rows, policy.Thresholds()).collect()}
+    assert got["a.exe"].static == "ALLOW" and got["a.exe"].final_decision == "TERMINATE" and got["a.exe"].reason_codes[0] == "behavioral_short_trace"
+    assert got["b.exe"].static == "BLOCK" and got["b.exe"].final_decision == "BLOCK"
+    assert got["c.exe"].static == "ERROR" and got["c.exe"].reason_codes[0] == "static_scan_exception" and got["c.exe"].final_decision == "NEEDS_REVIEW"
+    assert got["e.exe"].static == "ALLOW" and got["e.exe"].reason_codes[0] == "static_allowlisted_nsrl" and got["e.exe"].static_score is None
+    assert got["t.txt"].reason_codes[0] == "invalid_or_non_pe_file" and got["gone.exe"].reason_codes[0] == "path_not_found" and got["d"].reason_codes[0] == "not_a_file"
+    assert all(got[n].static == "ERROR" for n in ("t.txt", "gone.exe", "d"))
+    neutral = {r.path.rsplit("/", 1)[-1]: r for r in scan.decide_scans(rows, policy.Thresholds(), {"behavioral": False, "network": False}).collect()}
+    assert neutral["a.exe"].behavioral == "NOT_PROVIDED" and neutral["a.exe"].signal_health == {"behavioral": "model_not_configured"}
+    assert neutral["b.exe"].final_decision == "ALERT" and neutral["b.exe"].signal_health == {"network": "model_not_configured"}
