@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from argusframe import models
 from argusframe.checkpoints import materialize
-from argusframe.operators import metrics, splits
+from argusframe.operators import metrics, sequences, splits
 from argusframe.plans.tables import table
 from argusframe.sources import pe
 from argusframe.streaming import scoring
@@ -54,7 +54,15 @@ def m04_session_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.session_traces(events, "6 hours").select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.array_join("tokens", " ").alias("tokens"), F.col("n").cast("long").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (m01_calibrated_scores, m02_model_evaluation, m03_pe_features, m04_session_traces)}
+def m06_sequence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traces of events by user: a classifier trained on runs of tokens, stopped on val, scores them all."""
+    traces = sequences.traces(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type")
+    rows = traces.select("user_id", "tokens", (F.array_position("tokens", "purchase") % 2).cast("int").alias("label"), F.when(F.col("user_id") % 5 < 3, "train").when(F.col("user_id") % 5 == 3, "val").otherwise("test").alias("split"))
+    rows = materialize(rows, "sequence-rows")
+    return models.train_sequences(rows).score(rows).select("user_id", "split", "label", "margin", "score")
+
+
+QUERIES = {f.__name__: f for f in (m01_calibrated_scores, m02_model_evaluation, m03_pe_features, m04_session_traces, m06_sequence_scores)}
 ORACLE_SQL = {
     "m04_session_traces": """WITH l AS (SELECT user_id, ts, event_id, event_type, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
  s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM l) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, string_agg(event_type, ' ' ORDER BY ts, event_id) AS tokens, count(*) AS n FROM s GROUP BY user_id, s""",

@@ -19,6 +19,16 @@ def one_database(folder: str) -> Path:
     return found[0]
 
 
+def fetched(path: str, announced: int | None) -> Path:
+    """A file that came from elsewhere, if it is as long as was announced; a shorter or longer one is an error."""
+    found = Path(path)
+    if not found.is_file():
+        raise BadSource(f"{path} was not fetched")
+    if announced is not None and found.stat().st_size != announced:
+        raise BadSource(f"{path} has {found.stat().st_size} bytes, but {announced} were announced")
+    return found
+
+
 def write_report(text: str, path: str, outside: str) -> Path:
     """Write a report, but never below the folder ``outside``, wherever links lead."""
     target = Path(path).expanduser().resolve()

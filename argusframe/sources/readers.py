@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -82,9 +83,8 @@ def memory_features(columns: list[str]) -> list[str]:
     return [c for c in columns if c not in ("Category", "Class", "label", *MEMORY_RATIOS)] + list(MEMORY_RATIOS)
 
 
-def read_flows(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Flows of files in either layout: capture_day, Timestamp, 78 floats, label_raw, label. Columns that name
-    machines are dropped; rows of unknown label (repeated headers) and of unusable rates are left out."""
+def flow_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """All columns of both layouts as text, with capture_day; columns that name machines are dropped."""
     out = None
     for path in paths:
         names = header_of(spark, path)
@@ -95,7 +95,20 @@ def read_flows(spark: SparkSession, paths: list[str]) -> DataFrame:
         out = raw if out is None else out.unionByName(raw)
     if out is None:
         raise BadSource("no files")
-    known = out.where(F.col("Label").isin(FLOW_LABELS))
+    return out
+
+
+def dropped_labels(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """label_raw and n of the rows that ``read_flows`` leaves out for their label."""
+    rows = flow_lines(spark, paths)
+    known = F.coalesce(F.col("Label").isin(FLOW_LABELS), F.lit(False))
+    return rows.where(~known).groupBy(F.col("Label").alias("label_raw")).agg(F.count("*").alias("n"))
+
+
+def read_flows(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Flows of files in either layout: capture_day, Timestamp, 78 floats, label_raw, label. Rows of unknown label
+    (repeated headers; ``dropped_labels`` counts them) and of unusable rates are left out."""
+    known = flow_lines(spark, paths).where(F.col("Label").isin(FLOW_LABELS))
     number = lambda c: F.when(F.trim(F.col(f"`{c}`")) != "", F.regexp_replace(F.trim(F.col(f"`{c}`")), "(?i)^([+-]?)inf(inity)?$", "$1Infinity")).cast("double")
     typed = known.select("capture_day", "Timestamp", *[number(c).alias(c) for c in FLOW_FEATURES], F.col("Label").alias("label_raw"))
     usable = lambda c: F.col(f"`{c}`").isNotNull() & ~F.isnan(F.col(f"`{c}`")) & (F.abs(F.col(f"`{c}`")) < float("inf"))
@@ -104,10 +117,13 @@ def read_flows(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """value and line, counted from 0 across the file: Spark keeps the order of a file's lines in its partitions,
-    and only their counts meet on the driver."""
-    lines = spark.read.text(path)
-    return lines.rdd.zipWithIndex().map(lambda x: (x[0].value, x[1])).toDF("value string, line long")
+    """value and line, counted from 0 across the file. A file's lines stand in order in its partitions, so a line's
+    number is its place there plus the lines of the partitions before, of which only the counts meet."""
+    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_id"))
+    lines = lines.select("value", F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    bases = lines.groupBy("_part").agg(F.count("*").alias("n")).select("_part", before.alias("_before"))
+    return lines.join(F.broadcast(bases), "_part").select("value", (F.col("_before") + F.col("_at")).alias("line"))  # a row a partition
 
 
 def read_text_traces(spark: SparkSession, traces: str, labels: str) -> DataFrame:

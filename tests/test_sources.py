@@ -195,6 +195,10 @@ def test_driver_helpers(tmp_path):
     (tmp_path / "y.sqlite").touch()
     with pytest.raises(readers.BadSource):
         driver.one_database(str(tmp_path))
+    assert driver.fetched(str(tmp_path / "y.sqlite"), 0).name == "y.sqlite" and driver.fetched(str(tmp_path / "y.sqlite"), None)
+    for name, size in (("y.sqlite", 5), ("z", None)):
+        with pytest.raises(readers.BadSource):
+            driver.fetched(str(tmp_path / name), size)
     assert driver.write_report("text", str(tmp_path / "r.txt"), str(tmp_path / "a")).read_text() == "text"
     with pytest.raises(ValueError):
         driver.write_report("text", str(tmp_path / "a" / ".." / "a" / "r.txt"), str(tmp_path / "a"))
