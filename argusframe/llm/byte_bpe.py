@@ -6,7 +6,9 @@ that is compatible with its left neighbour, and steps back where none is. One Ah
 the longest match at each byte (bytes stand as Latin-1 characters), compatibility is memoised, and dead
 positions are marked, so that no position is entered twice: time is linear in the piece.
 
-Null text encodes as the empty text (no ids, the digest of nothing). Repeated rows give repeated rows.
+Nulls: null text encodes as the empty text (no ids, the digest of nothing); a null doc_id stays null. Repeated
+rows give repeated rows, and ties cannot occur. Very long texts: work and memory are linear in the text, one text
+at a time. Empty tables give no rows. Extra columns of any name are not looked at.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import ahocorasick
@@ -130,12 +133,18 @@ class ByteBPE:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+@lru_cache(maxsize=2)
+def codec_of(ranks_path: str, pattern: str) -> ByteBPE:
+    """One for a worker process, whose tasks share its automaton and memos."""
+    return ByteBPE(ranks_path, pattern)
+
+
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (hex digest of the decimal ids joined by a space), decoded_sha256
     (hex digest of the bytes the ids decode to), for each row. A map over partitions: nothing is shuffled."""
 
     def make():
-        codec = ByteBPE(ranks_path, pattern)
+        codec = codec_of(ranks_path, pattern)
         decimal = [str(i) for i in range(len(codec.bytes_of))]
 
         def one(doc_id: int | None, text: str | None) -> Iterator[tuple]:

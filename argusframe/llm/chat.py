@@ -5,9 +5,10 @@ which tests the order of roles and emits text segments, each with its own loss f
 texts are escaped, so the segments read back to the very turns. A conversation is never held as a whole:
 the longest thing in memory is one turn.
 
-Null text or role is the empty string; a null conv_id is a conversation of its own; roles outside the
-template break its order but are written and read back all the same. No rows give no conversations.
-Repeated rows are turns like any other.
+Nulls: null text or role is the empty string; a null conv_id is a conversation of its own. Roles outside the
+template break its order but are written and read back all the same. Repeated rows are turns like any other. Very
+long texts: a turn is escaped and written whole, in memory linear in its length. Empty tables give no
+conversations. Extra columns of any name are not looked at.
 """
 
 from __future__ import annotations

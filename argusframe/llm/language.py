@@ -5,10 +5,15 @@ bucket with a learned embedding. The mean embedding goes through a linear softma
 by stochastic gradient descent in numpy. A temperature fitted on rows kept from training turns scores
 into probabilities, and a probability below the calibrated threshold is a rejection.
 
-The classifier is fitted on at most ``SAMPLE_ROWS`` labelled rows (those of the smallest hashes of doc_id)
-and ``SAMPLE_CHARS`` characters of each; predictions read whole texts. Text that is null or has no letter
-is ``und`` with score 0 and rejected; with nothing to learn from, every text is. Null lang is never learned
-from. Repeated rows repeat.
+The classifier is fitted on at most ``SAMPLE_ROWS`` labelled rows (those of the smallest hashes of doc_id and
+text) and one stretch of ``SAMPLE_CHARS`` characters of each, at a hashed place; predictions read whole texts,
+slice after slice, however long.
+
+Nulls: text that is null or has no letter is ``und`` with score 0 and rejected; null lang is never learned from,
+nor is a row of null doc_id. With nothing to learn from, every text is ``und``. Repeats: equal rows get equal
+predictions; rows that share a doc_id are learned from and predicted each by its own text. Ties between languages
+go to the first in order. Empty tables give no rows. Extra columns of any name pass through keep_recognised and
+do not travel otherwise.
 """
 
 from __future__ import annotations
@@ -172,11 +177,20 @@ def train(docs: DataFrame) -> Model:
     """Fit on the bounded sample of the rows that may be learned from."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    # Only about twice the rows of the sample are ordered, so what tasks send does not grow with their number.
-    share = 2 * SAMPLE_ROWS / max(rows.count(), 1)
-    drawn = rows.withColumn("h", F.xxhash64("doc_id")).where(F.pmod("h", F.lit(1 << 30)) < F.lit(int(min(share, 1) * (1 << 30))))
-    few = drawn.select("h", "doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h", "doc_id", "text", "lang").limit(SAMPLE_ROWS)
-    return fit([(r.text, r.lang) for r in few.collect()])
+    # Rows of one doc_id differ by their texts, so that few ids make no small sample.
+    rows = rows.withColumn("h", F.xxhash64("doc_id", "text"))
+    low = F.pmod("h", F.lit(1 << 30))
+    place = F.pmod(F.shiftrightunsigned("h", 30), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1)
+    stretch = F.substring("text", place.cast("int") + 1, F.lit(SAMPLE_CHARS)).alias("text")
+    n = rows.count()
+    # Only about twice the rows of the sample are ordered, so what tasks send does not grow with their number;
+    # where equal rows hash so unevenly that fewer are found, all are.
+    for share in (2 * SAMPLE_ROWS / max(n, 1), 1.0):
+        drawn = rows.where(low < F.lit(int(min(share, 1) * (1 << 30))))
+        few = drawn.select("h", "doc_id", stretch, "lang").orderBy(low, "h", "doc_id", "text", "lang").limit(SAMPLE_ROWS).collect()
+        if len(few) >= min(SAMPLE_ROWS, n):
+            break
+    return fit([(r.text, r.lang) for r in few])
 
 
 def predict_documents(docs: DataFrame, model: Model) -> DataFrame:

@@ -4,7 +4,9 @@ A payload is a text's UTF-8 padded with spaces to a positive multiple of ``ROW``
 8-bit RGB image of 64 pixels a row. The encoder picks a filter for each image; the decoder tests the
 signature, every chunk's checksum and the sizes, and undoes all five filters in numpy.
 
-Null text is the empty text: one row of spaces. Equal texts give equal files. Repeated rows repeat.
+Nulls: null text is the empty text, one row of spaces; a null doc_id stays null. Equal texts give equal files, and
+repeated rows repeat. Very long texts are one image each, in memory linear in their length. Empty tables give no
+rows. Extra columns of any name are not looked at.
 """
 
 from __future__ import annotations

@@ -4,11 +4,12 @@ Work goes in blocks of at most ``BLOCK_TOKENS`` tokens of one input partition, s
 nothing is shuffled, however the lengths are spread. In a block every document is cut at the window; what
 is left over is a set of items shorter than it. Their histogram is matched by shallow combinations that
 fill a window exactly (one, two or three items): non-negative least squares gives how often each is used,
-rounding down makes that feasible, and the items no combination takes are packed greedily, cut where a
+counts are rounded and lowered to what there is, and the items no combination takes are packed greedily, cut where a
 window ends. The last window of a block is cut into powers of two, which need no padding.
 
-Null or empty text is a document of the closing id alone. Repeated rows are packed as often as they occur;
-a null doc_id stays null. An empty table gives no pieces.
+Nulls: null or empty text is a document of the closing id alone; a null doc_id stays null. Repeated rows are packed
+as often as they occur. Ties of length go in order of input. Very long texts are cut at the window; the ids of one
+text are held at once. An empty table gives no pieces. Extra columns of any name are not looked at.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import json
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -86,7 +88,7 @@ def combinations(histogram: np.ndarray, window: int) -> np.ndarray:
 
 def repeat_counts(histogram: np.ndarray, combos: np.ndarray) -> np.ndarray:
     """Whole repeat counts: non-negative least squares of the histogram by multiplicative steps
-    (which keep signs), rounded down, then lowered where they would use more items than there are."""
+    (which keep signs), rounded, then lowered where they would use more items than there are."""
     if not len(combos):
         return np.zeros(0, np.int64)
     size = len(histogram)
@@ -159,6 +161,12 @@ def pack_lengths(sizes: list[int], window: int = WINDOW) -> list[tuple[int, int,
     return pieces
 
 
+@lru_cache(maxsize=2)
+def ids_of(tokenizer_path: str) -> LibraryIds:
+    """One for a worker process, whose tasks share it."""
+    return LibraryIds(tokenizer_path)
+
+
 COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -170,7 +178,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, c
     schema = SCHEMA + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = LibraryIds(tokenizer_path)
+        encode = ids_of(tokenizer_path)
         base = TaskContext.get().partitionId() << 40
         keys, ids, held = [], [], 0
         types = [pa.int64()] * len(COLUMNS) + [pa.list_(pa.int32())] * with_ids

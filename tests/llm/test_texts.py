@@ -219,7 +219,42 @@ def test_language_odd_rows(spark, odd, none):
     assert kept.columns == odd.columns and kept.where("text IS NULL").isEmpty()
 
 
+def test_language_learns_from_many_rows_of_few_ids(spark, monkeypatch):
+    """A sample by doc_id alone would be all rows or none."""
+    monkeypatch.setattr(language, "SAMPLE_ROWS", 300)
+    words = {"en": "the of and to in is that it was for", "de": "der die und das ist nicht mit ein sich auf"}
+    rows = spark.range(16_000).selectExpr("id", "if(id % 2 = 0, 'en', 'de') AS lang")
+    some = F.concat_ws(" ", F.when(F.col("lang") == "en", words["en"]).otherwise(words["de"]), F.col("id").cast("string"))
+    for doc_id in (1, 3, 5):
+        model = language.train(rows.select(F.lit(doc_id).alias("doc_id"), some.alias("text"), "lang"))
+        assert model.languages == ["de", "en"] and model.predict(words["de"])[0] == "de" and not model.predict(words["de"])[2]
+    equal = rows.select(F.lit(1).alias("doc_id"), F.when(F.col("id") % 2 == 0, words["en"]).otherwise(words["de"]).alias("text"), "lang")
+    assert language.train(equal).languages in (["de", "en"], ["de"], ["en"])
+
+
 def test_language_whole_text_counts():
     model = language.fit([("the of and to in is that it was for on are as with", "en"), ("der die und das ist nicht mit ein sich auf", "de")] * 30)
     english, german = "the of and to in is that it was for " * 50, "der die und das ist nicht mit ein sich auf " * 5_000
     assert model.predict(english)[0] == "en" and model.predict(english + german)[0] == "de"
+
+
+CLASHING = ["key", "node", "set", "class", "_row", "_t", "h", "bucket", "first_word", "component", "lines", "_key", "base", "spans", "extra", "_lost_id", "_made", "_gone_id", "kept", "n", "N_TOKENS", "held_out", "score"]
+
+
+@pytest.mark.parametrize("name", ["op1", "op2", "op4", "op5", "op6", "op8", "op9", "op10"])
+def test_columns_of_any_name_change_nothing(spark, odd, name):
+    """Extra columns that are called like the operators' own, over many partitions of which most are empty."""
+    import public_tokenizers
+
+    from argusframe.llm import line_dedup, near_dedup, passages, pii
+
+    model = language.fit([("the of and", "en"), ("der die und", "de")] * 30)
+    run = {
+        "op1": lambda d: byte_bpe.encode_documents(d, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN), "op2": lambda d: passages.repeated(d).drop("cluster_id"), "op4": pii.report,
+        "op5": lambda d: language.predict_documents(d, model), "op6": lambda d: line_dedup.dedup_lines(d).select("doc_id", "text", "_lines.*"), "op8": near_dedup.group, "op9": media.media_documents,
+        "op10": lambda d: packing.pack_documents(d, public_tokenizers.path("byte_bpe_50k.json")).drop("sequence_id", "offset", "start", "length", "ids_crc32").distinct(),
+    }[name]
+    plain = odd.select("doc_id", "text")
+    wide = plain.select("*", *[F.lit(i).alias(c) for i, c in enumerate(CLASHING)]).repartition(40)
+    rows = lambda d: sorted(str(tuple(r)) for r in run(d).collect())
+    assert rows(wide) == rows(plain)
