@@ -1,35 +1,40 @@
 """Exact top-k by inner product over an impact-ordered, score-at-a-time index.
 
-Candidates and queries are dealt into blocks, and each pair of blocks is one task of bounded size. In a
-task, postings of each dimension are sorted by component and cut into segments of one quantised impact.
+Candidates are dealt into blocks of bounded size. A task indexes a block once, then streams all queries past it:
+postings of each dimension are sorted by component and cut into segments of one quantised impact.
 A query takes segments by falling bound on what they add, whatever their dimension, and sums bounds into
 accumulators. A candidate can still reach its accumulator plus, for each dimension not yet seen, the bound
 of the next segment. Work stops only when few enough candidates can reach the k-th best exact score known;
 all of those are then scored exactly. Ties go to the smaller id, so results don't depend on the blocks.
 
-Vectors that are null or hold null or non-finite components take no part. Shorter vectors count as padded
-with zeros. Rows that share an id are candidates each, and none of them for queries of that id. An empty
-table, or no query, gives no rows.
+Nulls: vectors that are null or hold null or non-finite components take no part, nor does a null vec_id. Shorter
+vectors count as padded with zeros. Repeats: rows that share an id are candidates each, and none of them for queries
+of that id; equal rows beyond k can stand in no result, so a block holds k of them at most. Ties go to the smaller
+vec_id. Scores are summed in whole numbers where doubles might not be exact; one beyond the range of long is clamped
+to it. Very long vectors: a block is of so many rows whatever their width. An empty table, or no query, gives no rows.
+Extra columns of any name are not looked at.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 TOP = 5
 SCALE = 256
 CANDIDATES_A_BLOCK = 8192
-QUERIES_A_BLOCK = 512
 #: Components of one segment differ by less than this.
 IMPACT_STEP = 8
 #: Shares of all postings after which the proof is tried.
 TRIES = (0.25, 0.4, 0.5, 0.6, 0.75, 1.0)
-#: Beyond this size of a component sums might not be exact in double precision; such blocks use whole numbers throughout.
-EXACT_IN_DOUBLE = 1 << 21
+#: Whole numbers up to this are exact in double precision; queries whose sums may pass it use whole numbers throughout.
+EXACT_IN_DOUBLE = 1 << 53
+LONGEST = np.iinfo(np.int64).max
 
 
 def whole_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -112,38 +117,76 @@ class ImpactIndex:
         return self.best(query_id, query, everything, k)
 
 
-def search_blocks(candidates: pd.DataFrame, queries: pd.DataFrame, k: int) -> list[tuple[int, int, int]]:
-    """(query_id, vec_id, score) of the best of one block of candidates for each query of another."""
-    if not len(candidates) or not len(queries):
-        return []
-    width = max(max(map(len, candidates["v"])), max(map(len, queries["v"])), 1)
-    ids, vectors, asked = candidates["vec_id"].to_numpy(), stack(list(candidates["v"]), width), stack(list(queries["v"]), width)
-    if max(np.abs(vectors).max(), np.abs(asked).max()) > EXACT_IN_DOUBLE:
-        most = np.iinfo(np.int64).max
-        whole = [[int(c) for c in v] for v in vectors]
-        out = []
-        for q, v in zip(queries["vec_id"].tolist(), asked, strict=True):
-            scored = sorted((-sum(int(a) * b for a, b in zip(v, w, strict=True)), i) for i, w in zip(ids.tolist(), whole, strict=True) if i != q)[:k]
-            out += [(q, i, max(-most, min(most, -s))) for s, i in scored]
-        return out
-    index = ImpactIndex(ids, vectors)
-    return [(q, i, int(s)) for q, v in zip(queries["vec_id"].tolist(), asked, strict=True) for i, s in index.search(q, v, k)]
+class Block:
+    """A block of candidates, indexed when the first query comes."""
+
+    def __init__(self):
+        self.ids: list[np.ndarray] = []
+        self.vectors: list[np.ndarray] = []
+        self.index: ImpactIndex | None = None
+
+    def add(self, ids: np.ndarray, vectors: list[np.ndarray]) -> None:
+        self.ids.append(ids)
+        self.vectors += vectors
+
+    def best(self, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
+        if not self.vectors:
+            return []
+        if self.index is None:
+            width = max(1, max(map(len, self.vectors)))
+            self.index = ImpactIndex(np.concatenate(self.ids), stack(self.vectors, width))
+            self.largest = np.abs(self.index.vectors).max(initial=0)
+        width = self.index.vectors.shape[1]
+        asked = np.zeros(width)
+        asked[: len(query)] = query[:width]
+        if self.largest * np.abs(asked).max() * width < EXACT_IN_DOUBLE:
+            return [(i, int(s)) for i, s in self.index.search(query_id, asked, k)]
+        whole = [int(x) for x in asked]
+        pairs = ((i, v) for i, v in zip(self.index.ids.tolist(), self.index.vectors, strict=True) if i != query_id)
+        scored = sorted((-sum(a * int(b) for a, b in zip(whole, v, strict=True)), i) for i, v in pairs)[:k]
+        return [(i, max(-LONGEST, min(LONGEST, -s))) for s, i in scored]
+
+
+def at_most(rows: DataFrame, k: int) -> DataFrame:
+    """``rows`` with k of any that are equal, which is as many as a result can hold. Looks at ids first, as hardly any
+    table needs it."""
+    often = rows.groupBy("vec_id").agg(F.count("*").alias("n")).where(F.col("n") > k)
+    if often.isEmpty():
+        return rows
+    counted = rows.groupBy("vec_id", "v").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n"))
+    return counted.select("vec_id", "v", F.explode(F.sequence(F.lit(1), F.col("n")))).drop("col")
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = TOP) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k best among the other vectors. ``is_query``
-    is a condition on vec_id. Rows meet block by block, so each task holds two blocks and no more."""
-    rows = whole_vectors(vectors)
-    sizes = rows.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
-    c_blocks, q_blocks = max(1, -(-sizes.n // CANDIDATES_A_BLOCK)), max(1, -(-sizes.q // QUERIES_A_BLOCK))
-    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    candidates = rows.withColumn("c", block(c_blocks)).withColumn("q", every(q_blocks))
-    queries = rows.where(is_query).withColumn("q", block(q_blocks)).withColumn("c", every(c_blocks))
-
-    def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(search_blocks(left, right, k), columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    found = candidates.groupBy("c", "q").cogroup(queries.groupBy("c", "q")).applyInPandas(one, "query_id long, vec_id long, score long")
+    is a condition on vec_id. A task holds one block of candidates and one batch of queries."""
+    rows = at_most(whole_vectors(vectors), k)
+    blocks = max(1, -(-rows.count() // CANDIDATES_A_BLOCK))
+    place = F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")
+    candidates = rows.select(place.alias("block"), F.lit(0).alias("side"), "vec_id", "v")
+    queries = whole_vectors(vectors).where(is_query).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("side"), "vec_id", "v")
+    dealt = candidates.unionByName(queries).repartition(blocks, "block").sortWithinPartitions("block", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, block = None, Block()
+        for batch in batches:
+            of, side, ids = (batch.column(i).to_numpy() for i in range(3))
+            lists = batch.column(3)
+            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            changes = np.flatnonzero((np.diff(of) != 0) | (np.diff(side) != 0)) + 1
+            out = []
+            for a, b in zip([0, *changes.tolist()], [*changes.tolist(), len(of)], strict=True):
+                if of[a] != now:
+                    now, block = of[a], Block()
+                vectors = [values[x:y] for x, y in zip(ends[a:b].tolist(), ends[a + 1 : b + 1].tolist(), strict=True)]
+                if side[a] == 0:
+                    block.add(ids[a:b].copy(), [v.copy() for v in vectors])
+                else:
+                    for q, v in zip(ids[a:b].tolist(), vectors, strict=True):
+                        out += [(q, i, s) for i, s in block.best(q, v, k)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+
+    found = dealt.mapInArrow(run, "query_id long, vec_id long, score long")
     first = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
