@@ -69,4 +69,23 @@ QUERIES = {
     "op9_media": op9_media,
     "op10_packing": op10_packing,
 }
-ORACLE_SQL: dict[str, str] = {}
+BLANK = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: The exact operators that SQL can express; the others are tested by brute force, round trips or held-out accuracy.
+ORACLE_SQL: dict[str, str] = {
+    "op3_exact_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.e, v.e) AS BIGINT) AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
+ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s) SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op6_line_dedup": f"""WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), x AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM d),
+ k AS (SELECT *, {LOWER.format(f"trim(line, {BLANK})")} AS key FROM x), f AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+ m AS (SELECT k.*, keeper IS NULL OR keeper = doc_id AS stays FROM k LEFT JOIN f USING (key))
+ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (stays), '')) AS kept_sha256 FROM m GROUP BY doc_id""",
+    "op8_near_dedup": rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+ p AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i, len(w) AS l FROM w),
+ q AS (SELECT doc_id, l, i, hash(t, lead(t, 1) OVER o, lead(t, 2) OVER o, lead(t, 3) OVER o, lead(t, 4) OVER o) AS g FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+ x AS (SELECT DISTINCT doc_id, g FROM q WHERE i <= greatest(l - 4, 1)), z AS (SELECT doc_id, count(*) AS n FROM x GROUP BY doc_id),
+ o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+ e AS (SELECT a, b FROM o JOIN z y ON a = y.doc_id JOIN z v ON b = v.doc_id WHERE 100 * k >= 75 * (y.n + v.n - k)),
+ r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN z USING (doc_id)""",
+}
