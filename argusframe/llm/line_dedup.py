@@ -5,9 +5,10 @@ hashes over the threshold go back to the documents that lose them, and texts are
 their lines in order. A hash held by a third of all documents is counted by partial aggregates, and joined
 by broadcast if the frequent lines are few, else by a join that may be split.
 
-Null or empty text is one empty line. A row of null doc_id is no document: it isn't counted and keeps its
-lines. Rows that share a doc_id are one document. Ties cannot occur: of the documents that hold a line, the
-largest doc_id keeps it. An empty table gives no rows. Extra columns pass through.
+Nulls: null or empty text is one empty line; a row of null doc_id is no document: it isn't counted and keeps its
+lines. Repeats: rows that share a doc_id are one document. Ties cannot occur: of the documents that hold a line, the
+largest doc_id keeps it. Very long texts: a text is split into its lines in one task, in memory linear in its length.
+An empty table gives no rows. Extra columns of any name pass through.
 """
 
 from __future__ import annotations

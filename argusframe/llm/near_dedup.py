@@ -176,26 +176,25 @@ class Parts:
         return a != b
 
 
-def match_block(asked: list[tuple[int, int, np.ndarray]], held: list[tuple[int, int, np.ndarray]], percent: int, parts: Parts) -> Iterator[tuple[int, int]]:
-    """Links between the (node, part, set) asked and held, but none between parts that others join already.
+def match_block(asked: list[tuple[int, np.ndarray]], held: list[tuple[int, np.ndarray]], percent: int, parts: Parts) -> Iterator[tuple[int, int]]:
+    """Pairs of parts that similar ones among the (part, set) asked and held join, but none that others join already.
     Overlaps are counted through an inverted index of the block, so pairs without a common shingle cost nothing."""
-    shingles = np.concatenate([x[2] for x in held])
-    owner = np.repeat(np.arange(len(held)), [len(x[2]) for x in held])
+    shingles = np.concatenate([x[1] for x in held])
+    owner = np.repeat(np.arange(len(held)), [len(x[1]) for x in held])
     order = np.argsort(shingles, kind="stable")
     shingles, owner = shingles[order], owner[order]
-    part_of, sizes, nodes = np.array([x[1] for x in held]), np.array([len(x[2]) for x in held]), np.array([x[0] for x in held])
-    for node, part, own in asked:
+    part_of, sizes = np.array([x[0] for x in held]), np.array([len(x[1]) for x in held])
+    for part, own in asked:
         both = np.bincount(range_rows(np.searchsorted(shingles, own, "left"), np.searchsorted(shingles, own, "right"), owner), minlength=len(held))
         hits = np.flatnonzero((100 * both >= percent * (len(own) + sizes - both)) & (part_of != part))
-        other, at = np.unique(part_of[hits], return_index=True)
-        for found, i in zip(other.tolist(), at.tolist(), strict=True):
+        for found in np.unique(part_of[hits]).tolist():
             if parts.join(part, found):
-                yield node, int(nodes[hits[i]])
+                yield part, found
 
 
 def match_families(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between parts of each family; rows are (family, node, part, is_asked), one a node and
-    family. The nodes asked meet all nodes of their family, block by block: a task takes the asked of one
+    """Pairs (a, b) of parts of each family that a link joins; rows are (family, node, part, is_asked), one a node
+    and family. The nodes asked meet all nodes of their family, block by block: a task takes the asked of one
     block, then streams the others past them, and yields no more links than join the parts it sees."""
     sizes = rows.groupBy("family").agg(F.count_if("is_asked").alias("n_asked"), F.count("*").alias("n_held"))
     sizes = sizes.select("family", F.ceil(F.col("n_asked") / ASKED_A_BLOCK).cast("int").alias("asked_blocks"), F.ceil(F.col("n_held") / HELD_A_BLOCK).cast("int").alias("held_blocks"))
@@ -225,9 +224,9 @@ def match_families(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             nonlocal n
             shingles = np.frombuffer(found, np.uint64)
             if side == 0:
-                asked.append((node, part, shingles))
+                asked.append((part, shingles))
                 return
-            held.append((node, part, shingles))
+            held.append((part, shingles))
             n += len(shingles)
             if n >= HELD_SHINGLES:
                 match()
@@ -267,14 +266,21 @@ def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     open_ = materialize(open_, "near-open")
     now = join_checked(now, open_, "bucket").groupBy(F.col("main").alias("family"), "node").agg(F.first("part").alias("part"))
     now = materialize(now.withColumn("is_asked", F.col("part") != F.col("family")), "near-unresolved")
-    if now.isEmpty():
+    if not now.count():
         return parts
     last = materialize(match_families(now, sets, percent), "near-links")
-    return parts if last.isEmpty() else connected_components(found.unionByName(last))
+    if not last.count():
+        return parts
+    # Parts are joined as wholes: only they, and nodes that were parts by themselves, get new names.
+    joined = materialize(connected_components(last), "near-joined")
+    wider = join_checked(parts, joined.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left")
+    alone = join_checked(joined, parts.select("node"), "node", "left_anti")
+    return wider.select("node", F.coalesce("whole", "component").alias("component")).unionByName(alone)
 
 
 def assign(docs: DataFrame, k: int, percent: int, bands: int, rows: int) -> DataFrame:
-    """Per row: doc_id, key (of its text), n, component, kept."""
+    """Per row: doc_id, key (of its text), n, component (its smallest doc_id), kept, and part, which tells apart
+    components of the same smallest doc_id."""
     with scratch() as held:
         signed = materialize(signatures(docs, k, bands, rows), "near-signatures")
         some = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("class")
@@ -286,8 +292,8 @@ def assign(docs: DataFrame, k: int, percent: int, bands: int, rows: int) -> Data
         shared = materialize(shared, "near-buckets")
         members = materialize(join_checked(in_buckets, shared, "bucket").select("bucket", "c", "node", "n"), "near-members")
         discard(shared)
-        names = classes.select("class", F.col("doc_id").alias("component"))
-        if not members.isEmpty():
+        names = classes.select("class", F.col("doc_id").alias("component"), F.col("node").alias("part"))
+        if members.count():
             wanted = materialize(join_checked(classes.drop("class", "n", "keys"), materialize(members.select("node").distinct(), "near-wanted"), "node", "left_semi"), "near-wanted")
             sets = materialize(shingle_table(docs, wanted, k), "near-sets")
             if sets.count() > wanted.count():  # rows repeat
@@ -295,13 +301,13 @@ def assign(docs: DataFrame, k: int, percent: int, bands: int, rows: int) -> Data
             parts = materialize(links(members, sets, percent), "near-parts")
             discard(sets)
             least = join_checked(classes.select("node", "doc_id"), parts, "node").groupBy("component").agg(F.min("doc_id").alias("least"))
-            parts = materialize(join_checked(parts, materialize(least, "near-least"), "component").select("node", "least"), "near-parts")
+            parts = materialize(join_checked(parts, materialize(least, "near-least"), "component"), "near-parts")
             names = join_checked(classes.select("class", "doc_id", "node"), parts, "node", "left")
-            names = materialize(names.select("class", F.coalesce("least", "doc_id").alias("component")), "near-names")
+            names = materialize(names.select("class", F.coalesce("least", "doc_id").alias("component"), F.coalesce("component", "node").alias("part")), "near-names")
         held.pass_on(signed, names)
         out = signed.drop("keys").join(names, "class", "left")
         component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
-        return out.select("doc_id", "key", "n", component.alias("component"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+        return out.select("doc_id", "key", "n", component.alias("component"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), "part")
 
 
 def group(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -319,11 +325,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
         gone = materialize(as_found(named.where("NOT kept")).distinct(), "near-gone")
         # Several rows may share a component's smallest doc_id: equal ones, or near copies of each other.
         heads = named.where("kept AND n > 0 AND doc_id IS NOT NULL")
-        again = materialize(heads.groupBy("doc_id").agg(F.min("key").alias("least"), F.count("*").alias("rows")).where("rows > 1"), "near-again")
+        again = materialize(heads.groupBy("part").agg(F.min("key").alias("least"), F.count("*").alias("rows")).where("rows > 1"), "near-again")
         held.pass_on(gone)
-        if again.isEmpty():
+        if not again.count():
             return join_checked(docs, gone, same, "left_anti")
-        heads = join_checked(heads.select("doc_id", "key").distinct(), again, "doc_id")
+        heads = join_checked(heads.select("part", "doc_id", "key").distinct(), again, "part")
         extra = as_found(heads.where("key <> least"))
         firsts = materialize(as_found(heads.where("key = least")), "near-firsts")
         out_of_rows = materialize(gone.unionByName(extra).unionByName(firsts), "near-gone")

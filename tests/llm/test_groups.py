@@ -7,9 +7,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from oracle import SF
+from oracle import SF, connect, differences
 from pyspark.sql import functions as F
 
+from argusframe.checkpoints import materialize
 from argusframe.llm import chat, line_dedup, near_dedup, passages, pii, queries, shingles, topk
 from argusframe.llm.common import BLANKS
 
@@ -131,6 +132,44 @@ def test_near_odd_rows(spark, odd, none):
     assert near_dedup.group(none).count() == 0 and near_dedup.keep_one(odd).columns == odd.columns
 
 
+def test_near_texts_that_share_a_doc_id(spark):
+    """Each text counts: what is dropped has a near copy that stays, and one row of each component stays."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    a, b, c = ([word() for _ in range(60)] for _ in range(3))
+    near = lambda w: " ".join([*w[:58], word(), word()])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (0, near(a)), (3, near(b)), (5, " ".join(b)), (7, " ".join(c)), (7, " ".join(c)), (7, near(c)), (8, " ".join(c)), (9, None), (9, ""), (9, "alone here"), (None, " ".join(a)), (2, "x"), (2, "y")]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, component long")
+    sets = [word_set(t) if i is not None else frozenset() for i, t in rows]
+    root = list(range(len(rows)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x in range(len(rows)):
+        for y in range(x):
+            if sets[x] and sets[y] and 100 * len(sets[x] & sets[y]) >= 75 * len(sets[x] | sets[y]):
+                root[top(x)] = top(y)
+    least = {x: min((rows[y][0] for y in range(len(rows)) if top(y) == top(x) and rows[y][0] is not None), default=None) for x in range(len(rows))}
+    want = Counter((i, len(word_set(t)), least[x] if sets[x] else i) for x, (i, t) in enumerate(rows))
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.group(docs).collect()) == want
+    kept = {r.component for r in near_dedup.keep_one(docs).collect()}
+    for x in range(len(rows)):
+        same = [y for y in range(len(rows)) if top(y) == top(x)]
+        assert len(kept.intersection(same)) == 1, (x, same, kept)
+        assert not sets[x] or {rows[y][0] for y in kept.intersection(same)} == {least[x]}
+
+
+def test_near_family_of_strangers_and_copies(spark):
+    """Links that hubs leave out are found, and no more of them than join the parts."""
+    asked = [(i, np.arange(100 + i, dtype=np.uint64)) for i in range(20)]
+    joined = near_dedup.Parts()
+    found = list(near_dedup.match_block(asked, asked, 75, joined))
+    assert len(found) == 19 and len({joined.root(i) for i in range(20)}) == 1
+
+
 def test_densified_signatures_estimate():
     rng = np.random.default_rng(0)
     for n in (4, 30, 2000):
@@ -167,9 +206,9 @@ def test_passages_recall(spark):
     rows = [(i, t.lower().split()) for i, t in docs]
     holders = lambda n: {i for ids in _held(rows, n).values() if len(ids) > 1 for i in ids}
     got = {r.doc_id for r in queries.op2_passages(spark, SF).collect()}
-    assert holders(51) <= got
+    assert holders(49) <= got
     lines = [(i, s) for i, t in docs for line in t.split("\n") if len(s := word_set(line)) >= 20]
-    for i in got - holders(20):  # then it has nearly the same line as another
+    for i in got - holders(33):  # then it has nearly the same line as another
         assert any(100 * len(a & b) >= 75 * len(a | b) for x, a in lines if x == i for y, b in lines if y != i), i
 
 
@@ -188,15 +227,39 @@ def test_passages_odd_rows(spark, odd, none):
 
 def line_components(docs):
     """{class: component} by the operator, and the pairs of classes that brute force finds similar."""
-    found = passages.units(docs).cache()
-    parts = {r.node: r.component for r in passages.clusters(docs, found).collect()}
+    classes = passages.line_classes(materialize(passages.units(docs), "units"))
+    classes = materialize(classes, "classes")
+    of_node = {r.node: (r.c1, r.c2) for r in classes.collect()}
+    parts = {of_node[r.node]: r.component for r in passages.clusters(docs, classes).collect()}
     memo, sets = shingles.WordHashes(), {}
     for r in docs.collect():
         p = passages.Paragraphs(r.text, memo)
-        for node, a, w in zip(p.classes(p.line_first, p.line_words).tolist(), p.line_first.tolist(), p.line_words.tolist(), strict=True):
-            sets[node] = set(p.shingles[a : a + w - 4].tolist())
-    nodes = sorted(sets)
-    return parts, [(x, y) for i, x in enumerate(nodes) for y in nodes[:i] if 100 * len(sets[x] & sets[y]) >= 75 * len(sets[x] | sets[y])]
+        for name, a, w in zip(zip(p.names(p.first, p.words).tolist(), p.names(p.first, p.words, 1).tolist(), strict=True), p.first.tolist(), p.words.tolist(), strict=True):
+            sets[name] = frozenset(p.shingles[a : a + w - 4].tolist())
+    return parts, similar_pairs(sets)
+
+
+def similar_pairs(sets):
+    """All pairs of at least 0.75, by the rarest shingles of each: similar sets share one of them."""
+    often = Counter(x for s in sets.values() for x in s)
+    held, pairs = defaultdict(list), []
+    for name, s in sets.items():
+        rare = sorted(s, key=lambda x: (often[x], x))[: len(s) - -(-3 * len(s) // 4) + 1]
+        for other in {o for x in rare for o in held[x]}:
+            both = len(s & sets[other])
+            if 100 * both >= 75 * (len(s) + len(sets[other]) - both):
+                pairs.append((name, other))
+        for x in rare:
+            held[x].append(name)
+    return pairs
+
+
+def test_passages_recall_of_similar_lines(spark):
+    """All pairs of similar lines among 10,000 documents, by brute force; at least 99 of 100 in one component."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    parts, pairs = line_components(docs)
+    together = sum(parts.get(a, a) == parts.get(b, b) for a, b in pairs)
+    assert len(pairs) > 300 and together >= 0.99 * len(pairs), f"{together} of {len(pairs)}"
 
 
 def test_passages_template_family(spark):
@@ -317,6 +380,52 @@ def test_pii_discovery_and_redaction(spark):
     assert clean.columns == docs.columns and text[100] == "mehr Handy: [PHONE] und so" and text[3] == "word Handy: [PHONE] ende" and text[101] == rows[9][1] and text[102] is None and text[104] == "[EMAIL] [EMAIL]"
 
 
+PLANTED = {  # contexts, forms the base has, forms it misses
+    "phone": (["Handy:", "call me at", "ruf an unter"], lambda r: f"+49 170 {r.randrange(10**6, 10**7)}", [lambda r: f"0170-{r.randrange(10**3, 10**4)}-{r.randrange(100, 1000)}", lambda r: f"(030) 555-{r.randrange(10**3, 10**4)}"]),
+    "email": (["E-Mail an", "write to", "contact <"], lambda r: f"m{r.randrange(10**6)}@mail.example.com", [lambda r: f"m{r.randrange(10**6)}(at)mail.de", lambda r: f"m{r.randrange(10**6)}[at]post[dot]org"]),
+    "ip": (["server IP", "login from host"], lambda r: ".".join(str(r.randrange(256)) for _ in range(4)), [lambda r: "-".join(str(r.randrange(10, 256)) for _ in range(4)), lambda r: ":".join(f"{r.randrange(1, 65536):x}" for _ in range(8))]),
+}
+
+
+def test_pii_discovers_planted_identifiers(spark):
+    """Forms that no base expression has, beside contexts learned from those it has; the same forms stand in neutral
+    contexts too, where they must be left alone."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 7))) for _ in range(800)]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows, planted, seen = [], set(), set()
+    for kind, (contexts, seed, forms) in PLANTED.items():
+        for context in contexts:
+            glue = "" if context.endswith("<") else " "
+            for n in range(60):
+                form = seed if n < 40 else forms[n % len(forms)]
+                value, before = form(rng), f"{some(rng.randint(3, 30))} {context}{glue}"
+                if n >= 40:
+                    planted.add((len(rows), f"{kind}:{len(before)}:{len(before) + len(value)}"))
+                rows.append((len(rows), f"{before}{value}{'>' if glue == '' else ''} {some(rng.randint(3, 30))}"))
+        for _ in range(60):
+            rows.append((len(rows), f"{some(20)} {rng.choice(['order', 'page', 'part no.'])} {rng.choice(forms)(rng)} {some(20)} {rng.randrange(5000)} {some(3)}"))
+    got = pii.report(spark.createDataFrame(rows, "doc_id long, text string")).where("n_discovered > 0").collect()
+    for r in got:
+        seen |= {(r.doc_id, x) for x in r.spans.split(",")} - {(r.doc_id, f"{k}:{a}:{b}") for k, a, b in base_spans(rows[r.doc_id][1])}
+    precision, recall = len(seen & planted) / max(len(seen), 1), len(seen & planted) / len(planted)
+    assert precision >= 0.95 and recall >= 0.9, (precision, recall, sorted(planted - seen)[:5], sorted(seen - planted)[:5])
+
+
+def test_pii_supplied_tables_hold_no_other_identifiers(spark):
+    """Why nothing is discovered there: whatever has a digit or an @ and no base span is a number that fails its
+    check digit, a version, a key of hexadecimal digits, or a part of one of these."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").collect()
+    known = re.compile(r"[\"'(]*(?:\d{16}|\d{1,2}(?:\.\d)?|[0-9a-f]{32,40})[\"')]*\W*", re.I)
+    odd = Counter()
+    for r in rows:
+        covered = [(a, b) for _, a, b in base_spans(r.text)]
+        for m in re.finditer(r"\S*[0-9@]\S*", r.text or ""):
+            if not known.fullmatch(m[0]) and not any(a < m.end() and b > m.start() for a, b in covered):
+                odd[m[0]] += 1
+    assert sum(odd.values()) <= 20, odd.most_common(10)
+
+
 def test_pii_needs_many_seeds(spark):
     """Copies of one document are one seed: they make no pattern."""
     rows = [(i, "word Handy: +49 170 1234567 ende") for i in range(50)] + [(100, "mehr Handy: 0170-5551-234 und so")]
@@ -356,8 +465,12 @@ def test_topk_ties_and_odd_rows(spark):
     assert got == brute_top(rows, lambda i: i % 2 == 0)
     assert topk.top_k(docs.limit(0), F.col("vec_id") % 2 == 0).count() == 0
     assert topk.top_k(docs, F.lit(False)).count() == 0
+    equal = spark.createDataFrame([(7, [1.0])] * 300 + [(7, [0.5]), (8, [1.0]), (9, [0.25])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in topk.top_k(equal, F.col("vec_id") == 9).orderBy("rank").collect()] == [(7, 64 * 256)] * 5
+    wide = spark.createDataFrame([(i, [float(2**12 + i)] * 3000) for i in range(3)], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in topk.top_k(wide, F.col("vec_id") == 0).orderBy("rank").collect()] == [(i, 3000 * 2**20 * (2**20 + 256 * i)) for i in (2, 1)]
     big = spark.createDataFrame([(0, [1e12, 3.0]), (1, [1e12, 1.0]), (2, [1e12, 2.0])], "vec_id long, embedding array<double>")
-    assert [r.vec_id for r in topk.top_k(big.where("vec_id < 3"), F.col("vec_id") == 0).orderBy("rank").collect()] == [2, 1] or True
+    assert [r.vec_id for r in topk.top_k(big.where("vec_id < 3"), F.col("vec_id") == 0).orderBy("rank").collect()] in ([2, 1], [1, 2])
 
 
 @pytest.mark.parametrize("spread", [1, 20, 120])
@@ -371,6 +484,14 @@ def test_index_stops_only_on_proof(spread):
         assert index.search(q, vectors[q]) == [(int(i), scores[i]) for i in want]
 
 
+# --- SQL
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_equal_sql(spark, name):
+    assert differences(queries.QUERIES[name](spark, SF), connect(SF), queries.ORACLE_SQL[name]) == []
+
+
 # --- chat
 
 
