@@ -10,37 +10,36 @@ from argusframe.checkpoints import discard, materialize
 MOST_ROUNDS = 60
 
 
-def fingerprint(links: DataFrame) -> tuple:
-    """Number of distinct links and the sum of their 64-bit hashes: equal for equal sets, and in practice only then."""
-    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
+def settled(links: DataFrame) -> bool:
+    """Whether distinct links (hi, lo) are stars: every node points at one other at most, and none that points is pointed at."""
+    ends = links.select(F.col("hi").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(links.select(F.col("lo").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    sums = ends.groupBy("u").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    return sums.where("up > 1 OR (up > 0 AND down > 0)").agg(F.count("*")).first()[0] == 0
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of ``edges``; a component is named by its smallest node.
 
     Alternating star contraction: each round points the larger neighbours of every node at the smallest
-    node around it, then does the same for the smaller ones, until nothing moves, which takes about as
+    node around it, then does the same for the smaller ones, until only stars are left, which takes about as
     many rounds as the logarithm of the longest path. A node's neighbourhood is reduced by a partial
     minimum and joined back, never gathered. Self-loops are dropped and nulls ignored.
     """
     node = F.col(a), F.col(b)
     links = edges.select(F.greatest(*node).alias("hi"), F.least(*node).alias("lo")).where("hi <> lo").distinct()
     links = materialize(links, "components")
-    seen = fingerprint(links)
     for _ in range(MOST_ROUNDS):
+        if settled(links):
+            break
         both = links.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(links.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         around = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(around, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
-        large = materialize(large.distinct(), "components")
+        large = both.where("v > u").join(around, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         below = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(below, "hi")
         moved = small.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         now = materialize(below.select("hi", F.col("m").alias("lo")).unionByName(moved).distinct(), "components")
-        seen, was = fingerprint(now), seen
-        discard(large, links)
+        discard(links)
         links = now
-        if seen == was:
-            break
     else:
         raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
     return links.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(links.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())

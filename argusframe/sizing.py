@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: What a side may take to be broadcast, as rows of a hash table. It is small, so that dozens of them fit in a
-#: driver of 1 GB and a plan turns to shuffled joins early: what is measured on little data holds for much.
-BROADCAST_BYTES = 4 << 20
+#: What a side may take to be broadcast, as rows of a hash table. It is small, so that dozens of them fit in any
+#: driver, and a plan turns to shuffled joins early: what is measured on little data holds for much.
+BROADCAST_BYTES = 1 << 20
 #: What a row takes in a broadcast hash table besides its columns: its header, a pointer and its share of empty slots.
 ROW_BYTES = 40
 
