@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from argusframe.checkpoints import materialize
+from argusframe.checkpoints import discard, materialize, scratch
 from argusframe.llm import language, line_dedup, near_dedup, packing, pii
 
 
@@ -52,7 +52,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. A stage's table is deleted once the next one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"corpus-{name}")
+    with scratch() as held:
+        for k, (name, stage) in enumerate(STAGES[:-1]):
+            before, docs = docs, materialize(stage(spark, docs, sf_dir), f"corpus-{name}")
+            if k:
+                discard(before)
+        held.pass_on(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
