@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,30 @@ def byte_profile(rows: DataFrame, key: str, content: str) -> DataFrame:
     return rows.select(key, content).mapInArrow(run, f"`{key}` {kind}, size long, entropy double")
 
 
+RUNS = re.compile(rb"[\x20-\x7f]{5,}")
+
+
+def printable_profile(rows: DataFrame, key: str, content: str) -> DataFrame:
+    """key, n_strings, n_printable, entropy of the 96 printable characters in runs of five or more, and how many of
+    these characters occur; null gives nulls."""
+
+    def one(data: np.ndarray) -> tuple[int, int, float, int]:
+        found = RUNS.findall(data.tobytes())
+        counts = np.bincount(np.frombuffer(b"".join(found), np.uint8), minlength=128)[32:128]
+        return len(found), int(counts.sum()), entropy_of(counts), int(np.count_nonzero(counts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(None,) * 4 if b is None else one(b) for b in as_bytes(batch.column(1))]
+            columns = zip(*found, strict=True) if found else ((),) * 4
+            types = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
+            arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=[key, "n_strings", "n_printable", "entropy", "n_kinds"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, content).mapInArrow(run, f"`{key}` {kind}, n_strings long, n_printable long, entropy double, n_kinds long")
+
+
 def byte_histogram(rows: DataFrame, content: str) -> DataFrame:
     """byte and n, partial: one row a byte value and task, to be summed by byte."""
 

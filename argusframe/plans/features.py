@@ -94,10 +94,16 @@ def q89_window_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byteops.window_entropy(table(spark, sf_dir, "documents"), "text").groupBy("row", "nibble").agg(F.sum("n").alias("n"))
 
 
+def q96_printable_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the printable characters of each page's strings are spread."""
+    got = byteops.printable_profile(table(spark, sf_dir, "pages"), "page_id", "html")
+    return got.select("page_id", "n_strings", "n_printable", F.round("entropy", 9).alias("entropy"), "n_kinds")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        q60_safe_ratios, q61_zscores, q62_byte_entropy, q63_byte_histogram, q64_string_stats, q65_category_counts, q66_length_percentiles, q67_multi_hot, q68_json_extract, q69_family_parse, q86_category_index, q87_sigmoid_logit, q88_float32, q89_window_entropy,
+        q60_safe_ratios, q61_zscores, q62_byte_entropy, q63_byte_histogram, q64_string_stats, q65_category_counts, q66_length_percentiles, q67_multi_hot, q68_json_extract, q69_family_parse, q86_category_index, q87_sigmoid_logit, q88_float32, q89_window_entropy, q96_printable_spread,
     )
 }
 PAIRS = "p AS (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS byte FROM documents), c AS (SELECT doc_id, byte, count(*) AS n FROM p GROUP BY ALL)"
@@ -115,6 +121,9 @@ ORACLE_SQL = {
     "q64_string_stats": f"WITH {RUNS.format('text', 'documents')} SELECT doc_id, len(runs)::BIGINT AS n_strings, length(array_to_string(runs, ''))::BIGINT AS n_printable, coalesce(length(array_to_string(runs, ''))::DOUBLE / nullif(len(runs), 0), 0.0) AS mean_length FROM r",
     "q65_category_counts": f"WITH {RUNS.format('html', 'pages')}, m AS ({COUNTED}) SELECT category, sum(n)::BIGINT AS n_strings, count(*) AS n_pages FROM m WHERE n > 0 GROUP BY category",
     "q66_length_percentiles": "SELECT source, count(*) AS n, min(n_chars) AS least, max(n_chars) AS most, avg(n_chars) AS mean, quantile_cont(n_chars, 0.5) AS p50, quantile_cont(n_chars, 0.9) AS p90, quantile_cont(n_chars, 0.95) AS p95, quantile_cont(n_chars, 0.99) AS p99 FROM documents GROUP BY source",
+    "q96_printable_spread": f"""WITH {RUNS.format('html', 'pages')}, j AS (SELECT page_id, len(runs)::BIGINT AS n_strings, array_to_string(runs, '') AS s FROM r), x AS (SELECT page_id, unnest(string_split(s, '')) AS c FROM j),
+ c AS (SELECT page_id, c, count(*) AS n FROM x WHERE c <> '' GROUP BY ALL), e AS (SELECT page_id, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 9) AS entropy, count(*) AS k FROM c GROUP BY page_id)
+ SELECT page_id, n_strings, length(s)::BIGINT AS n_printable, coalesce(entropy, 0.0) AS entropy, coalesce(k, 0) AS n_kinds FROM j LEFT JOIN e USING (page_id)""",
     "q67_multi_hot": "SELECT user_id, " + " || ".join(f"CAST(bool_or(event_type = '{t}') AS INT)::VARCHAR" for t in KNOWN_TYPES) + " AS flags FROM events GROUP BY user_id",
     "q68_json_extract": "SELECT event_type, count(json_extract_string(props, '$.k')) AS n_with_k, sum(json_extract_string(props, '$.k')::DOUBLE) AS sum_k, max(json_extract_string(props, '$.k')::DOUBLE) AS max_k FROM events GROUP BY event_type",
     "q69_family_parse": "WITH c AS (SELECT regexp_replace(source || '-' || substr(md5(doc_id::VARCHAR), 1, 10) || '-' || (doc_id % 7) || '.raw', '^(.+)-([0-9]+)\\.raw$', '\\1') AS sample FROM documents) SELECT regexp_replace(sample, '-[0-9a-fA-F]{6,}$', '') AS family, count(*) AS n, count(DISTINCT sample) AS n_samples FROM c GROUP BY 1",
