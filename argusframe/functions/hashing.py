@@ -6,31 +6,46 @@ from collections.abc import Iterable
 
 import numpy as np
 
-_MASK = 0xFFFFFFFF
+_FIRST, _SECOND = np.uint32(0xCC9E2D51), np.uint32(0x1B873593)
+
+
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return x << np.uint32(by) | x >> np.uint32(32 - by)
+
+
+def murmur3_32_of(items: list[bytes], seed: int = 0) -> np.ndarray:
+    """MurmurHash3, x86, 32 bits, of each item, as signed integers. Items of one length are hashed together, four
+    bytes of all at a time."""
+    out = np.zeros(len(items), np.uint32)
+    lengths = np.fromiter(map(len, items), np.int64, len(items))
+    for n in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == n)
+        block = np.zeros((len(at), (n + 3) // 4 * 4), np.uint8)
+        block[:, :n] = np.frombuffer(b"".join(items[i] for i in at.tolist()), np.uint8).reshape(len(at), n)
+        words = block.view("<u4")
+        h = np.full(len(at), seed, np.uint32)
+        for j in range(n // 4):
+            h = _turned(h ^ _turned(words[:, j] * _FIRST, 15) * _SECOND, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+        if n % 4:
+            h = h ^ _turned(words[:, -1] * _FIRST, 15) * _SECOND
+        h = h ^ np.uint32(n & 0xFFFFFFFF)
+        h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+        h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+        out[at] = h ^ h >> np.uint32(16)
+    return out.view(np.int32)
 
 
 def murmur3_32(data: bytes, seed: int = 0) -> int:
-    """MurmurHash3, x86, 32 bits, as a signed integer."""
-    h, n = seed & _MASK, len(data)
-    for i in range(0, n - n % 4, 4):
-        k = int.from_bytes(data[i : i + 4], "little") * 0xCC9E2D51 & _MASK
-        k = ((k << 15 | k >> 17) & _MASK) * 0x1B873593 & _MASK
-        h ^= k
-        h = ((h << 13 | h >> 19) & _MASK) * 5 + 0xE6546B64 & _MASK
-    if n % 4:
-        k = int.from_bytes(data[n - n % 4 :], "little") * 0xCC9E2D51 & _MASK
-        h ^= ((k << 15 | k >> 17) & _MASK) * 0x1B873593 & _MASK
-    h ^= n
-    h = (h ^ h >> 16) * 0x85EBCA6B & _MASK
-    h = (h ^ h >> 13) * 0xC2B2AE35 & _MASK
-    h ^= h >> 16
-    return h - (1 << 32) if h >> 31 else h
+    return int(murmur3_32_of([data], seed)[0])
 
 
 def hashed(pairs: Iterable[tuple[str, float]], buckets: int, alternate_sign: bool = True) -> np.ndarray:
     """Sum of weights by bucket; half of the tokens count negatively if signs alternate."""
-    out = np.zeros(buckets)
-    for token, weight in pairs:
-        h = murmur3_32(token.encode("utf-8", "surrogatepass"))
-        out[abs(h) % buckets] += -weight if alternate_sign and h < 0 else weight
-    return out
+    found = list(pairs)
+    if not found:
+        return np.zeros(buckets)
+    h = murmur3_32_of([token.encode("utf-8", "surrogatepass") for token, _ in found]).astype(np.int64)
+    weights = np.array([weight for _, weight in found], float)
+    if alternate_sign:
+        weights = np.where(h < 0, -weights, weights)
+    return np.bincount(np.abs(h) % buckets, weights, buckets)
