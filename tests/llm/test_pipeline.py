@@ -38,3 +38,21 @@ def test_stage_on_odd_and_empty_tables(spark, odd, none, name):
     assert stage(spark, none, SF).count() == 0
     out = stage(spark, odd, SF)
     assert out.count() > 0 and (name == "packing" or out.columns == odd.columns)
+
+
+def test_no_text_is_lost_where_texts_share_a_doc_id(spark, odd):
+    """Of the near copies of two texts under one doc_id, one of each stays."""
+    kept = [r.text for r in near_dedup.keep_one(odd).collect() if r.doc_id in (11, 12, 13, 14)]
+    assert sorted(t.split()[0] for t in kept) == ["alpha0", "beta0"]
+
+
+def test_nothing_is_left_behind(spark):
+    """Once a scope closes, no intermediate table is."""
+    import os
+
+    from argusframe.checkpoints import scratch, shared_dir
+
+    before = set(os.listdir(shared_dir(spark)))
+    with scratch():
+        corpus_pipeline.run(spark, SF).count()
+    assert set(os.listdir(shared_dir(spark))) == before
