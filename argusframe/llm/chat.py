@@ -32,7 +32,11 @@ class Template:
     opens: dict[str, str] = field(default_factory=lambda: {"system": "<<SYS>>", "user": "[INST]", "assistant": "[/INST]"})
     closes: dict[str, str] = field(default_factory=lambda: {"system": "<</SYS>>", "user": "<eot>", "assistant": "</s>"})
     other: tuple[str, str, str] = ("<<ROLE>>", "<</ROLE>>", "<<END>>")
-    follows: dict[str, frozenset[str]] = field(default_factory=lambda: {"": frozenset({"system", "user"}), "system": frozenset({"user"}), "user": frozenset({"assistant"}), "assistant": frozenset({"user"})})
+    follows: dict[str, frozenset[str]] = field(
+        default_factory=lambda: {
+            "": frozenset({"system", "user"}), "system": frozenset({"user"}), "user": frozenset({"assistant"}), "assistant": frozenset({"user"})
+        }
+    )
     learned: frozenset[str] = frozenset({"assistant"})
 
     @property
@@ -121,7 +125,9 @@ def format_conversations(conversations: DataFrame, template: Template | None = N
     order, in one partition: the rows are dealt by conv_id and sorted there, then streamed."""
     template = template or Template()
     rows = conversations.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(
+            F.col("role").cast("string"), F.lit("")
+        ).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
@@ -151,7 +157,9 @@ def read_back(segments: DataFrame, template: Template | None = None, ordered: bo
     rows = segments.select("conv_id", "segment", "text", "loss", "valid")
     if not ordered:
         rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "segment")
-    ends = rows.mapInArrow(_reading(template), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
+    ends = rows.mapInArrow(
+        _reading(template), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean"
+    )
     return ends
 
 

@@ -148,7 +148,10 @@ def media_documents(docs: DataFrame, with_media: bool = False) -> DataFrame:
             stored = write_png(to_payload(text))
             back = read_png(stored)
             mark = spectrum_hash(back)
-            row = (doc_id, len((text or "").encode("utf-8", "surrogatepass")), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), mark)
+            row = (
+                doc_id, len((text or "").encode("utf-8", "surrogatepass")), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored),
+                hashlib.sha256(stored).hexdigest(), mark
+            )
             yield (*row, stored, bytes.fromhex(mark)) if with_media else row
 
         return one

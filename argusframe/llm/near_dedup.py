@@ -100,7 +100,9 @@ def cells_of(rows: DataFrame, sets: DataFrame, key: list[str]) -> DataFrame:
     return filled.repartition(*key).sortWithinPartitions(*key, "side")
 
 
-def streamed(width: int, start: Callable[[tuple], None], take: Callable[..., None], flush: Callable[[], list[tuple]], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def streamed(
+    width: int, start: Callable[[tuple], None], take: Callable[..., None], flush: Callable[[], list[tuple]], batches: Iterator[pa.RecordBatch]
+) -> Iterator[pa.RecordBatch]:
     """Rows of cells in order: the first ``width`` columns are the key of a cell, the others are given to ``take``;
     ``flush`` gives the links found so far."""
     now, out = None, []
@@ -125,7 +127,9 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR_BLOCK).cast("int").alias("blocks"))
     sizes = materialize(sizes, "near-stars")
     hubs = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(0).alias("side"), F.col("a").alias("node"))
-    members = join_checked(pairs, sizes, "a").select("a", F.pmod(F.xxhash64("b"), "blocks").cast("int").alias("i"), F.lit(1).alias("side"), F.col("b").alias("node"))
+    members = join_checked(pairs, sizes, "a").select(
+        "a", F.pmod(F.xxhash64("b"), "blocks").cast("int").alias("i"), F.lit(1).alias("side"), F.col("b").alias("node")
+    )
     cells = cells_of(hubs.unionByName(members), sets, ["a", "i"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,13 +201,20 @@ def match_families(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     and family. The nodes asked meet all nodes of their family, block by block: a task takes the asked of one
     block, then streams the others past them, and yields no more links than join the parts it sees."""
     sizes = rows.groupBy("family").agg(F.count_if("is_asked").alias("n_asked"), F.count("*").alias("n_held"))
-    sizes = sizes.select("family", F.ceil(F.col("n_asked") / ASKED_A_BLOCK).cast("int").alias("asked_blocks"), F.ceil(F.col("n_held") / HELD_A_BLOCK).cast("int").alias("held_blocks"))
+    sizes = sizes.select(
+        "family", F.ceil(F.col("n_asked") / ASKED_A_BLOCK).cast("int").alias("asked_blocks"),
+        F.ceil(F.col("n_held") / HELD_A_BLOCK).cast("int").alias("held_blocks")
+    )
     rows = join_checked(rows, materialize(sizes, "near-families"), "family")
     block = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     names = ["family", "i", "j", "side", "node", "part"]
-    asked = rows.where("is_asked").select("family", block(F.col("asked_blocks")).alias("i"), every(F.col("held_blocks")).alias("j"), F.lit(0).alias("side"), "node", "part")
-    held = rows.where("asked_blocks > 0").select("family", every(F.col("asked_blocks")).alias("i"), block(F.col("held_blocks")).alias("j"), F.lit(1).alias("side"), "node", "part")
+    asked = rows.where("is_asked").select(
+        "family", block(F.col("asked_blocks")).alias("i"), every(F.col("held_blocks")).alias("j"), F.lit(0).alias("side"), "node", "part"
+    )
+    held = rows.where("asked_blocks > 0").select(
+        "family", every(F.col("asked_blocks")).alias("i"), block(F.col("held_blocks")).alias("j"), F.lit(1).alias("side"), "node", "part"
+    )
     cells = cells_of(asked.unionByName(held).select(*names), sets, ["family", "i", "j"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +261,9 @@ def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     members = materialize(join_checked(members.drop("c"), crowd, "node"), "near-members")
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     best, other = F.max(F.struct("crowd", "node", "n")), F.max(F.struct(F.xxhash64("node"), "node", "n"))
-    hubs = members.groupBy("bucket").agg(best.alias("h"), other.alias("o")).select("bucket", F.array("h.node", "o.node").alias("hub"), F.array("h.n", "o.n").alias("hub_n"))
+    hubs = members.groupBy("bucket").agg(best.alias("h"), other.alias("o")).select(
+        "bucket", F.array("h.node", "o.node").alias("hub"), F.array("h.n", "o.n").alias("hub_n")
+    )
     hubs = materialize(hubs, "near-hubs")
     stars = join_checked(members.select("bucket", "node", "n"), hubs, "bucket").select("node", "n", F.explode(F.arrays_zip("hub", "hub_n")).alias("h"))
     stars = stars.where((F.col("node") != F.col("h.hub")) & fits(F.col("n"), F.col("h.hub_n")))
@@ -262,7 +275,9 @@ def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     discard(crowd, hubs, tested)
 
     now = join_checked(members, parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-    open_ = now.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.max(F.struct("crowd", "node", "part"))["part"].alias("main")).where("p <> q").select("bucket", "main")
+    open_ = now.groupBy("bucket").agg(
+        F.min("part").alias("p"), F.max("part").alias("q"), F.max(F.struct("crowd", "node", "part"))["part"].alias("main")
+    ).where("p <> q").select("bucket", "main")
     open_ = materialize(open_, "near-open")
     now = join_checked(now, open_, "bucket").groupBy(F.col("main").alias("family"), "node").agg(F.first("part").alias("part"))
     now = materialize(now.withColumn("is_asked", F.col("part") != F.col("family")), "near-unresolved")
@@ -294,7 +309,10 @@ def assign(docs: DataFrame, k: int, percent: int, bands: int, rows: int) -> Data
         discard(shared)
         names = classes.select("class", F.col("doc_id").alias("component"), F.col("node").alias("part"))
         if members.count():
-            wanted = materialize(join_checked(classes.drop("class", "n", "keys"), materialize(members.select("node").distinct(), "near-wanted"), "node", "left_semi"), "near-wanted")
+            wanted = materialize(
+                join_checked(classes.drop("class", "n", "keys"), materialize(members.select("node").distinct(), "near-wanted"), "node", "left_semi"),
+                "near-wanted"
+            )
             sets = materialize(shingle_table(docs, wanted, k), "near-sets")
             if sets.count() > wanted.count():  # rows repeat
                 sets = materialize(sets.dropDuplicates(["node"]), "near-sets")
@@ -303,7 +321,9 @@ def assign(docs: DataFrame, k: int, percent: int, bands: int, rows: int) -> Data
             least = join_checked(classes.select("node", "doc_id"), parts, "node").groupBy("component").agg(F.min("doc_id").alias("least"))
             parts = materialize(join_checked(parts, materialize(least, "near-least"), "component"), "near-parts")
             names = join_checked(classes.select("class", "doc_id", "node"), parts, "node", "left")
-            names = materialize(names.select("class", F.coalesce("least", "doc_id").alias("component"), F.coalesce("component", "node").alias("part")), "near-names")
+            names = materialize(
+                names.select("class", F.coalesce("least", "doc_id").alias("component"), F.coalesce("component", "node").alias("part")), "near-names"
+            )
         held.pass_on(signed, names)
         out = signed.drop("keys").join(names, "class", "left")
         component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))

@@ -188,7 +188,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, c
             rows, top = [], -1
             for d, start, length, sequence, offset in pack_lengths([len(x) for x in ids], window):
                 cut = ids[d][start : start + length]
-                rows.append((keys[d], start, length, zlib.crc32(cut.astype("<u4").tobytes()), len(ids[d]), base + sequence, offset, *([cut.astype(np.int32)] * with_ids)))
+                rows.append(
+                    (
+                        keys[d], start, length, zlib.crc32(cut.astype("<u4").tobytes()), len(ids[d]), base + sequence, offset,
+                        *([cut.astype(np.int32)] * with_ids)
+                    )
+                )
                 top = max(top, sequence)
                 if len(rows) * (1 + with_ids * 100) >= BATCH_BYTES >> 6:
                     yield emit(COLUMNS + ["ids"] * with_ids, rows, types)

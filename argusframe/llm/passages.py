@@ -132,14 +132,20 @@ def units(docs: DataFrame) -> DataFrame:
                     at, named = p.windows()
                     a, b = len(p.first), len(at)
                     none = np.zeros(b, np.int64)
-                    columns = (np.full(a + b, doc_id), np.append(p.first, at), np.append(p.words, none), np.append(p.names(p.first, p.words), named), np.append(p.names(p.first, p.words, 1), none), np.append(p.sizes(), none))
+                    columns = (
+                        np.full(a + b, doc_id), np.append(p.first, at), np.append(p.words, none), np.append(p.names(p.first, p.words), named),
+                        np.append(p.names(p.first, p.words, 1), none), np.append(p.sizes(), none)
+                    )
                     for held, column in zip(out, columns, strict=True):
                         held.append(column)
                     keys.append(p.keys().ravel())
                     counts.append(np.append(np.full(a, BANDS), none))
                 ends = np.append(0, np.cumsum(np.concatenate(counts)))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys), pa.int64()))
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x).astype(np.int64), pa.int64()) for x in out), lists], names=["doc_id", "first_word", "n_words", "c1", "c2", "n", "keys"])
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(np.concatenate(x).astype(np.int64), pa.int64()) for x in out), lists],
+                    names=["doc_id", "first_word", "n_words", "c1", "c2", "n", "keys"]
+                )
 
     return doc_texts(docs).where("doc_id IS NOT NULL").mapInArrow(run, UNIT)
 
@@ -199,10 +205,16 @@ def line_marks(docs: DataFrame, found: DataFrame) -> DataFrame:
         classes = materialize(line_classes(found), "passage-classes")
         parts = clusters(docs, classes)
         # A class of one document without a link is a cluster by itself, and never of two documents.
-        named = join_checked(classes.select("c1", "c2", "node", F.col("doc_id").alias("first"), "last", "places"), parts, "node", "left").where("first <> last OR component IS NOT NULL")
+        named = join_checked(
+            classes.select("c1", "c2", "node", F.col("doc_id").alias("first"), "last", "places"), parts, "node", "left"
+        ).where("first <> last OR component IS NOT NULL")
         named = materialize(named.select("c1", "c2", F.coalesce("component", "node").alias("cluster"), "first", "last", "places"), "passage-named")
-        totals = named.groupBy("cluster").agg(F.min("c1").alias("cluster_id"), F.min("first").alias("keeper"), F.max("last").alias("last"), F.sum("places").alias("places")).where("keeper <> last")
-        marks = materialize(named.select("c1", "c2", "cluster").join(totals, "cluster").select("c1", "c2", "cluster_id", "keeper", "places"), "passage-line-marks")
+        totals = named.groupBy("cluster").agg(
+            F.min("c1").alias("cluster_id"), F.min("first").alias("keeper"), F.max("last").alias("last"), F.sum("places").alias("places")
+        ).where("keeper <> last")
+        marks = materialize(
+            named.select("c1", "c2", "cluster").join(totals, "cluster").select("c1", "c2", "cluster_id", "keeper", "places"), "passage-line-marks"
+        )
         held.pass_on(marks)
     return marks
 
@@ -251,7 +263,9 @@ def repeated(docs: DataFrame, passage_words: int = PASSAGE_WORDS) -> DataFrame:
         found = materialize(units(docs), "passage-units")
         lines, windows = line_marks(docs, found), window_marks(found)
         of_lines = join_checked(found.where("n_words > 0").drop("n", "keys"), lines, ["c1", "c2"])
-        of_windows = join_checked(found.where("n_words = 0").select("doc_id", "first_word", "n_words", "c1"), windows, "c1").withColumn("cluster_id", F.col("c1"))
+        of_windows = join_checked(
+            found.where("n_words = 0").select("doc_id", "first_word", "n_words", "c1"), windows, "c1"
+        ).withColumn("cluster_id", F.col("c1"))
         names = ["doc_id", "first_word", "n_words", "cluster_id", "keeper", "places"]
         marks = of_lines.select(*names).unionByName(of_windows.select(*names))
         out = materialize(joined(marks, passage_words), "passages")

@@ -168,7 +168,9 @@ def instances(docs: DataFrame) -> DataFrame:
     label = F.regexp_extract("t", LABEL, 0)
     rows = rows.withColumn("_label", label).withColumn("_rest", F.expr("substring(t, length(_label) + 1)"))
     rows = rows.withColumn("_bare", F.regexp_replace("_rest", OPENING, ""))
-    rows = rows.withColumn("token", F.when(F.col("_bare").contains("("), F.regexp_replace("_bare", CLOSING, "")).otherwise(F.regexp_replace("_bare", CLOSING_OPEN, "")))
+    rows = rows.withColumn(
+        "token", F.when(F.col("_bare").contains("("), F.regexp_replace("_bare", CLOSING, "")).otherwise(F.regexp_replace("_bare", CLOSING_OPEN, ""))
+    )
     start = F.col("e") - F.length("_bare")
     fitting = lambda kind: lambda x: fits(kind, x)
     seed = F.coalesce(*[F.when(F.exists(matches(F.col("t"), LINEAR[k])[0], fitting(k)), k) for k in KINDS])
@@ -179,9 +181,14 @@ def instances(docs: DataFrame) -> DataFrame:
     one = norm(F.when(F.col("_label") != "", F.col("_label")).otherwise(F.substring_index("l", " ", -1)))
     two = norm(F.when(F.col("_label") != "", F.concat_ws(" ", F.substring_index("l", " ", -1), "_label")).otherwise(F.col("l")))
     after = norm(F.col("r"))
-    patterns = F.array_distinct(F.array(F.concat(F.lit("1<"), one), F.concat(F.lit("2<"), two), F.concat(F.lit(">"), after), F.concat(F.lit("<>"), one, F.lit(" _ "), after)))
+    patterns = F.array_distinct(
+        F.array(F.concat(F.lit("1<"), one), F.concat(F.lit("2<"), two), F.concat(F.lit(">"), after), F.concat(F.lit("<>"), one, F.lit(" _ "), after))
+    )
     named = F.filter(patterns, lambda p: ~p.isin("1<", "2<", ">", "<> _ "))
-    out = rows.select("doc_id", "_key", start.alias("start"), (start + F.length("token")).alias("end"), "token", named.alias("patterns"), seed.alias("seed"), kinds.alias("kinds"))
+    out = rows.select(
+        "doc_id", "_key", start.alias("start"), (start + F.length("token")).alias("end"), "token", named.alias("patterns"), seed.alias("seed"),
+        kinds.alias("kinds")
+    )
     return out.where("token <> ''")
 
 
@@ -198,16 +205,25 @@ def discover(docs: DataFrame) -> DataFrame:
         total = materialize(edges.groupBy("pattern").agg(F.count("*").alias("n")), "pii-totals")
         kinds = F.when(F.col("seed").isNotNull(), F.array("seed")).otherwise(F.col("kinds"))
         graph = materialize(edges.select("pattern", "token", F.explode(kinds).alias("kind"), F.col("seed").isNotNull().alias("is_seed")), "pii-kinds")
-        belief = materialize(graph.groupBy("token", "kind").agg(F.max(F.col("is_seed").cast("double")).alias("belief"), F.max("is_seed").alias("is_seed")), "pii-beliefs")
+        belief = materialize(
+            graph.groupBy("token", "kind").agg(F.max(F.col("is_seed").cast("double")).alias("belief"), F.max("is_seed").alias("is_seed")), "pii-beliefs"
+        )
         trusted = None
         for _ in range(ROUNDS):
             sums = graph.drop("is_seed").join(belief, ["token", "kind"]).groupBy("pattern", "kind")
-            by_kind = sums.agg(F.sum("belief").alias("believed"), F.sum(F.greatest("belief", F.lit(DOUBT))).alias("weight"), F.count("*").alias("forms"), F.count_if("is_seed").alias("seeds"))
+            by_kind = sums.agg(
+                F.sum("belief").alias("believed"), F.sum(F.greatest("belief", F.lit(DOUBT))).alias("weight"), F.count("*").alias("forms"),
+                F.count_if("is_seed").alias("seeds")
+            )
             score = F.col("believed") / (F.col("n") - F.col("forms") + F.col("weight"))
             scores = by_kind.where(F.col("seeds") >= MIN_SEEDS).join(total, "pattern").select("pattern", "kind", score.alias("score"))
             trusted = materialize(scores.where(F.col("score") >= MIN_SCORE), "pii-patterns")
-            grown = join_checked(graph.select("pattern", "token", "kind"), trusted, ["pattern", "kind"]).groupBy("token", "kind").agg(F.max("score").alias("grown"))
-            updated = belief.join(grown, ["token", "kind"], "left").select("token", "kind", F.when(F.col("is_seed"), 1.0).otherwise(F.coalesce("grown", F.lit(0.0))).alias("belief"), "is_seed")
+            grown = join_checked(
+                graph.select("pattern", "token", "kind"), trusted, ["pattern", "kind"]
+            ).groupBy("token", "kind").agg(F.max("score").alias("grown"))
+            updated = belief.join(grown, ["token", "kind"], "left").select(
+                "token", "kind", F.when(F.col("is_seed"), 1.0).otherwise(F.coalesce("grown", F.lit(0.0))).alias("belief"), "is_seed"
+            )
             was, belief = belief, materialize(updated, "pii-beliefs")
             discard(was)
         trusted = materialize(trusted.drop("score"), "pii-patterns")
@@ -232,7 +248,9 @@ def find(docs: DataFrame, *kept: Column) -> DataFrame:
     rows = join_checked(rows, extra, same, "left")
     number = F.create_map(*[F.lit(v) for n, k in enumerate(KINDS) for v in (k, n)])
     apart = lambda x: ~F.exists("base", lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))
-    added = F.transform(F.filter("extra", apart), lambda x: F.struct(number[x["kind"]].alias("o"), x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind")))
+    added = F.transform(
+        F.filter("extra", apart), lambda x: F.struct(number[x["kind"]].alias("o"), x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))
+    )
     every = F.when(F.col("extra").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", added)))
     return rows.select("doc_id", "base", every.alias("spans"), *more)
 
@@ -246,7 +264,10 @@ def report(docs: DataFrame) -> DataFrame:
     found = find(docs)
     of = lambda kind: lambda x: x["kind"] == kind
     counts = [F.size(F.filter("base", of(k))).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(as_text(F.col("base")), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_discovered"))
+    return found.select(
+        "doc_id", *counts, F.sha2(as_text(F.col("base")), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"),
+        (F.size("spans") - F.size("base")).cast("long").alias("n_discovered")
+    )
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -263,7 +284,9 @@ def redact(docs: DataFrame) -> DataFrame:
     def step(acc: Column, x: Column) -> Column:
         end = -x["e"]
         fresh = F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))))
-        return F.when(x["s"] >= acc["at"], F.struct(end.alias("at"), fresh.alias("out"))).otherwise(F.struct(F.greatest(acc["at"], end).alias("at"), acc["out"].alias("out")))
+        return F.when(x["s"] >= acc["at"], F.struct(end.alias("at"), fresh.alias("out"))).otherwise(
+            F.struct(F.greatest(acc["at"], end).alias("at"), acc["out"].alias("out"))
+        )
 
     def close(acc: Column) -> Column:
         return F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))

@@ -164,7 +164,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = TOP) -> DataFrame:
     blocks = max(1, -(-rows.count() // CANDIDATES_A_BLOCK))
     place = F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")
     candidates = rows.select(place.alias("block"), F.lit(0).alias("side"), "vec_id", "v")
-    queries = whole_vectors(vectors).where(is_query).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("side"), "vec_id", "v")
+    queries = whole_vectors(vectors).where(is_query).select(
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("side"), "vec_id", "v"
+    )
     dealt = candidates.unionByName(queries).repartition(blocks, "block").sortWithinPartitions("block", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
