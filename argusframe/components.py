@@ -12,7 +12,9 @@ MOST_ROUNDS = 60
 
 def settled(links: DataFrame) -> bool:
     """Whether distinct links (hi, lo) are stars: every node points at one other at most, and none that points is pointed at."""
-    ends = links.select(F.col("hi").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(links.select(F.col("lo").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    ends = links.select(F.col("hi").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        links.select(F.col("lo").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
     sums = ends.groupBy("u").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
     return sums.where("up > 1 OR (up > 0 AND down > 0)").agg(F.count("*")).first()[0] == 0
 
@@ -42,4 +44,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         links = now
     else:
         raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
-    return links.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(links.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
+    return links.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(
+        links.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
+    )

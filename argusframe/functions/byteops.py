@@ -101,6 +101,8 @@ def window_entropy(rows: DataFrame, content: str) -> DataFrame:
                 if b is not None:
                     counts += window_counts(b)
         row, nibble = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(row, pa.int32()), pa.array(nibble, pa.int32()), pa.array(counts[row, nibble], pa.int64())], names=["row", "nibble", "n"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(row, pa.int32()), pa.array(nibble, pa.int32()), pa.array(counts[row, nibble], pa.int64())], names=["row", "nibble", "n"]
+        )
 
     return rows.select(content).mapInArrow(run, "row int, nibble int, n long")

@@ -54,7 +54,9 @@ class Detector:
     def save(self, path: str) -> None:
         self.trees.write().overwrite().save(f"{path}/trees")
         spark = SparkSession.getActiveSession()
-        spark.createDataFrame([(self.features, self.slope, self.intercept)], "features array<string>, slope double, intercept double").write.mode("overwrite").json(f"{path}/calibration")
+        spark.createDataFrame(
+            [(self.features, self.slope, self.intercept)], "features array<string>, slope double, intercept double"
+        ).write.mode("overwrite").json(f"{path}/calibration")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Detector:
@@ -68,9 +70,13 @@ def train(rows: DataFrame, features: list[str], rounds: int = 20, depth: int = 4
     sizes = {r.label: r.n for r in parts.where("NOT _val").groupBy("label").agg(F.count("*").alias("n")).collect()}
     weight = F.when(F.col("label") == 1, sizes.get(0, 0) / max(sizes.get(1, 0), 1)).otherwise(1.0) if balanced else F.lit(1.0)
     ready = with_vector(parts.withColumn("_w", weight).withColumn("label", F.col("label").cast("double")), features)
-    trees = GBTClassifier(featuresCol="_x", labelCol="label", weightCol="_w", validationIndicatorCol="_val", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed).fit(ready)
+    trees = GBTClassifier(
+        featuresCol="_x", labelCol="label", weightCol="_w", validationIndicatorCol="_val", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed
+    ).fit(ready)
     raw = Detector(features, trees, 1.0, 0.0)
-    margins = VectorAssembler(inputCols=["margin"], outputCol="_m").transform(raw.margins(rows.where("split = 'cal'")).withColumn("label", F.col("label").cast("double")))
+    margins = VectorAssembler(inputCols=["margin"], outputCol="_m").transform(
+        raw.margins(rows.where("split = 'cal'")).withColumn("label", F.col("label").cast("double"))
+    )
     platt: LogisticRegressionModel = LogisticRegression(featuresCol="_m", labelCol="label", regParam=0.0).fit(margins)
     return Detector(features, trees, float(platt.coefficients[0]), float(platt.intercept))
 
@@ -95,11 +101,20 @@ class SequenceNet:
         w["embedding"][0] = 0
         before = width
         for i, (kernel, channels) in enumerate(zip(cls.KERNELS, cls.CHANNELS, strict=True)):
-            w |= {f"conv{i}": normal(kernel, before, channels, scale=(2 / (kernel * before)) ** 0.5), f"bias{i}": np.zeros(channels, np.float32), f"gain{i}": np.ones(channels, np.float32), f"shift{i}": np.zeros(channels, np.float32)}
+            w |= {
+                f"conv{i}": normal(kernel, before, channels, scale=(2 / (kernel * before)) ** 0.5), f"bias{i}": np.zeros(channels, np.float32),
+                f"gain{i}": np.ones(channels, np.float32), f"shift{i}": np.zeros(channels, np.float32)
+            }
             before = channels
         spread = lambda a, b: (2 / (a + b)) ** 0.5
-        w |= {"qkv": normal(before, 3 * before, scale=spread(before, 3 * before)), "qkv_bias": np.zeros(3 * before, np.float32), "out": normal(before, before, scale=spread(before, before)), "out_bias": np.zeros(before, np.float32)}
-        w |= {"norm_gain": np.ones(before, np.float32), "norm_shift": np.zeros(before, np.float32), "dense": normal(before, 64, scale=spread(before, 64)), "dense_bias": np.zeros(64, np.float32), "last": normal(64, scale=spread(64, 1)), "last_bias": np.zeros(1, np.float32)}
+        w |= {
+            "qkv": normal(before, 3 * before, scale=spread(before, 3 * before)), "qkv_bias": np.zeros(3 * before, np.float32),
+            "out": normal(before, before, scale=spread(before, before)), "out_bias": np.zeros(before, np.float32)
+        }
+        w |= {
+            "norm_gain": np.ones(before, np.float32), "norm_shift": np.zeros(before, np.float32), "dense": normal(before, 64, scale=spread(before, 64)),
+            "dense_bias": np.zeros(64, np.float32), "last": normal(64, scale=spread(64, 1)), "last_bias": np.zeros(1, np.float32)
+        }
         return cls(w, heads)
 
     def attended(self, ids: np.ndarray) -> np.ndarray:
@@ -191,7 +206,9 @@ def train_sequences(rows: DataFrame, tokens: str = "tokens", runs: int = 3, buck
     train_rows, val_rows = rows.where("split = 'train'"), rows.where("split = 'val'")
     sizes = {r.label: r.n for r in train_rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     weight = sizes.get(0, 0) / max(sizes.get(1, 0), 1) or 1.0
-    ready = hashed_runs(train_rows, tokens, runs, buckets).select("_x", F.col("label").cast("double").alias("label"), F.when(F.col("label") == 1, weight).otherwise(1.0).alias("_w")).cache()
+    ready = hashed_runs(train_rows, tokens, runs, buckets).select(
+        "_x", F.col("label").cast("double").alias("label"), F.when(F.col("label") == 1, weight).otherwise(1.0).alias("_w")
+    ).cache()
     best, least, losses, worse = None, float("inf"), [], 0
     for strength in STRENGTHS:
         model = LogisticRegression(featuresCol="_x", weightCol="_w", regParam=strength, maxIter=iterations, standardization=False).fit(ready)

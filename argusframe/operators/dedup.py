@@ -32,8 +32,12 @@ def duplicate_profile(rows: DataFrame, key: list[str], label: str = "label") ->
     """One row: rows, groups, rows in groups of several, such groups, their least and largest size, ambiguous ones."""
     several = F.col("size") > 1
     return groups(rows, key, label).agg(
-        F.sum("size").alias("n_rows"), F.count("*").alias("n_groups"), F.coalesce(F.sum(F.when(several, F.col("size"))), F.lit(0)).alias("n_duplicate_rows"), F.count_if(several).alias("n_duplicate_groups"),
-        F.min(F.when(several, F.col("size"))).alias("min_size"), F.max(F.when(several, F.col("size"))).alias("max_size"), F.count_if("is_ambiguous").alias("n_ambiguous"),
+        F.sum("size").alias("n_rows"), F.count("*").alias("n_groups"), F.coalesce(
+            F.sum(F.when(several, F.col("size"))), F.lit(0)
+        ).alias("n_duplicate_rows"), F.count_if(several).alias("n_duplicate_groups"),
+        F.min(
+            F.when(several, F.col("size"))
+        ).alias("min_size"), F.max(F.when(several, F.col("size"))).alias("max_size"), F.count_if("is_ambiguous").alias("n_ambiguous"),
     )
 
 
@@ -54,7 +58,10 @@ def key_validation(rows: DataFrame, given: Column, computed: Column) -> DataFram
 def group_sizes(rows: DataFrame, group: Column, label: str = "label") -> DataFrame:
     """Per label: rows, groups, and least, mean, median and largest group size."""
     sizes = rows.groupBy(label, group.alias("_g")).agg(F.count("*").alias("size"))
-    return sizes.groupBy(label).agg(F.sum("size").alias("n_rows"), F.count("*").alias("n_groups"), F.min("size").alias("min_size"), F.avg("size").alias("mean_size"), F.percentile("size", 0.5).alias("median_size"), F.max("size").alias("max_size"))
+    return sizes.groupBy(label).agg(
+        F.sum("size").alias("n_rows"), F.count("*").alias("n_groups"), F.min("size").alias("min_size"), F.avg("size").alias("mean_size"),
+        F.percentile("size", 0.5).alias("median_size"), F.max("size").alias("max_size")
+    )
 
 
 def by_sample(sizes: DataFrame) -> DataFrame:

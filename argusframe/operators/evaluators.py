@@ -28,7 +28,10 @@ def part(scored: DataFrame, name: str, threshold: float, positive: float = REAL_
     cells = metrics.confusion(rows.withColumn("score", F.nanvl("score", F.lit(float("-inf")))), threshold, ["split"])
     areas = metrics.aucs_by(rows.where(F.col("score").isNotNull()), ["split"]).select("split", "auc")
     out = cells.join(areas, "split", "left")
-    return out.select(F.lit(name).alias("part"), "split", "n", "tn", "fp", "fn", "tp", "precision", "recall", "f1", "fpr", "auc", prevalence.ppv(F.col("fpr"), F.col("recall"), F.lit(positive)).alias("ppv"))
+    return out.select(
+        F.lit(name).alias("part"), "split", "n", "tn", "fp", "fn", "tp", "precision", "recall", "f1", "fpr", "auc",
+        prevalence.ppv(F.col("fpr"), F.col("recall"), F.lit(positive)).alias("ppv")
+    )
 
 
 def together(parts: list[DataFrame]) -> DataFrame:

@@ -21,18 +21,24 @@ def confusion(scored: DataFrame, threshold: float, by: list[str] | None = None)
         F.count("*").alias("n"), F.count_if(~hit & ~bad).alias("tn"), F.count_if(hit & ~bad).alias("fp"), F.count_if(~hit & bad).alias("fn"), F.count_if(hit & bad).alias("tp")
     )
     p, r = safe_ratio(F.col("tp"), F.col("tp") + F.col("fp")), safe_ratio(F.col("tp"), F.col("tp") + F.col("fn"))
-    return counted.select("*", p.alias("precision"), r.alias("recall"), safe_ratio(2 * p * r, p + r).alias("f1"), safe_ratio(F.col("fp"), F.col("fp") + F.col("tn")).alias("fpr"))
+    return counted.select(
+        "*", p.alias("precision"), r.alias("recall"), safe_ratio(2 * p * r, p + r).alias("f1"), safe_ratio(F.col("fp"), F.col("fp") + F.col("tn")).alias("fpr")
+    )
 
 
 def three_way(scored: DataFrame, allow: float, block: float) -> DataFrame:
     """Per label: n_allow (score < allow), n_block (score >= block), n_alert (between)."""
     low, high = F.col("score") < allow, F.col("score") >= block
-    return scored.groupBy("label").agg(F.count("*").alias("n"), F.count_if(low).alias("n_allow"), F.count_if(~low & ~high).alias("n_alert"), F.count_if(high).alias("n_block"))
+    return scored.groupBy("label").agg(
+        F.count("*").alias("n"), F.count_if(low).alias("n_allow"), F.count_if(~low & ~high).alias("n_alert"), F.count_if(high).alias("n_block")
+    )
 
 
 def by_score(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
     """pos and neg of each distinct score; NaN scores take no part."""
-    return scored.where(~F.isnan("score")).groupBy(*(by or []), "score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg"))
+    return scored.where(~F.isnan("score")).groupBy(*(by or []), "score").agg(
+        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg")
+    )
 
 
 def curve(scored: DataFrame) -> DataFrame:
@@ -58,14 +64,20 @@ def aucs_by(scored: DataFrame, by: list[str]) -> DataFrame:
     run = materialize(running_totals(counted, [*map(F.col, by), F.col("score")], {"upto": F.col("neg")}, "aucs"), "aucs-summed")
     starts = run.groupBy(*by).agg(F.min(F.col("upto") - F.col("neg")).alias("base"))
     same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by]
-    below = run.alias("l").join(starts.alias("r"), same).select(*[F.col(f"l.{c}") for c in by], "pos", "neg", (F.col("upto") - F.col("neg") - F.col("base")).alias("below"))
-    got = below.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(F.col("pos") * (F.col("below").cast("double") + F.col("neg") / 2.0)).alias("w"))
+    below = run.alias("l").join(starts.alias("r"), same).select(
+        *[F.col(f"l.{c}") for c in by], "pos", "neg", (F.col("upto") - F.col("neg") - F.col("base")).alias("below")
+    )
+    got = below.groupBy(*by).agg(
+        F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(F.col("pos") * (F.col("below").cast("double") + F.col("neg") / 2.0)).alias("w")
+    )
     return got.select(*by, "n_pos", "n_neg", rate_or_null(F.col("w"), F.col("n_pos") * F.col("n_neg")).alias("auc"))
 
 
 def feature_aucs(features: DataFrame, columns: dict[str, Column], label: Column) -> DataFrame:
     """feature, auc, separation = max(auc, 1 - auc) of each column alone, all in one pass over the rows."""
-    stacked = features.select(label.alias("label"), F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), c.cast("double").alias("score")) for k, c in columns.items()])).alias("x")).select("label", "x.*")
+    stacked = features.select(
+        label.alias("label"), F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), c.cast("double").alias("score")) for k, c in columns.items()])).alias("x")
+    ).select("label", "x.*")
     a = F.col("auc")
     return aucs_by(stacked, ["feature"]).select("feature", "auc", F.greatest(a, 1 - a).alias("separation"))
 
@@ -95,7 +107,9 @@ def thresholds_for_fpr(scored: DataFrame, targets: list[float], exact: bool = Fa
     goals = F.broadcast(targets_table(scored, targets))  # the caller's list
     ok = F.col("fp") <= F.col("target") * F.col("n")
     chosen = points.join(goals).groupBy("target").agg(
-        F.min(F.when(ok, F.col("threshold"))).alias("threshold"), F.coalesce(F.max(F.when(ok, F.col("fp"))), F.lit(0)).alias("fp"), F.coalesce(F.max(F.when(ok, F.col("tp"))), F.lit(0)).alias("tp"),
+        F.min(F.when(ok, F.col("threshold"))).alias("threshold"), F.coalesce(
+            F.max(F.when(ok, F.col("fp"))), F.lit(0)
+        ).alias("fp"), F.coalesce(F.max(F.when(ok, F.col("tp"))), F.lit(0)).alias("tp"),
         F.max("n").alias("n_benign"), F.max("p").alias("n_malicious"),
     )
     return chosen
@@ -106,7 +120,11 @@ def sweep(scored: DataFrame, targets: list[float]) -> DataFrame:
     chosen = thresholds_for_fpr(scored, targets)
     ties = by_score(scored).select(F.col("score").alias("threshold"), (F.col("pos") + F.col("neg")).alias("n_tied"))
     out = ties.join(F.broadcast(chosen), "threshold", "right")  # a row a target
-    return out.select("target", "threshold", rate_or_null(F.col("fp"), F.col("n_benign")).alias("actual_fpr"), F.col("fp").alias("n_fp"), "n_benign", rate_or_null(F.col("tp"), F.col("n_malicious")).alias("detection_rate"), F.col("tp").alias("n_tp"), "n_malicious", F.coalesce("n_tied", F.lit(0)).alias("n_tied"))
+    return out.select(
+        "target", "threshold", rate_or_null(F.col("fp"), F.col("n_benign")).alias("actual_fpr"), F.col("fp").alias("n_fp"), "n_benign",
+        rate_or_null(F.col("tp"), F.col("n_malicious")).alias("detection_rate"), F.col("tp").alias("n_tp"), "n_malicious",
+        F.coalesce("n_tied", F.lit(0)).alias("n_tied")
+    )
 
 
 def pr_areas(scored: DataFrame) -> DataFrame:
@@ -130,14 +148,20 @@ def per_class_detection(scored: DataFrame, threshold: float, support: DataFrame,
     rate = safe_ratio(F.col("detected"), F.col("n"))
     low = (F.col("label") == 1) & (rate < F.col("aggregate") - margin)
     n_train = F.coalesce("n_train", F.lit(0))
-    return out.select("label_raw", "label", "n", "detected", rate.alias("rate"), n_train.alias("n_train"), low.cast("int").alias("is_low"), (low & (n_train < least)).cast("int").alias("is_low_support"))
+    return out.select(
+        "label_raw", "label", "n", "detected", rate.alias("rate"), n_train.alias("n_train"), low.cast("int").alias("is_low"),
+        (low & (n_train < least)).cast("int").alias("is_low_support")
+    )
 
 
 def error_statistics(pairs: DataFrame, threshold: float, near: float = 1e-6) -> DataFrame:
     """Of score pairs a, b: max, mean and median absolute difference, flips and near ties at a threshold, correlation."""
     gap = F.abs(F.col("a") - F.col("b"))
     flip = (F.col("a") >= threshold) != (F.col("b") >= threshold)
-    return pairs.agg(F.count("*").alias("n"), F.max(gap).alias("max_abs"), F.avg(gap).alias("mean_abs"), F.percentile(gap, 0.5).alias("median_abs"), F.count_if(flip).alias("n_flips"), F.count_if(F.abs(F.col("a") - threshold) <= near).alias("n_ties"), F.corr("a", "b").alias("correlation"))
+    return pairs.agg(
+        F.count("*").alias("n"), F.max(gap).alias("max_abs"), F.avg(gap).alias("mean_abs"), F.percentile(gap, 0.5).alias("median_abs"),
+        F.count_if(flip).alias("n_flips"), F.count_if(F.abs(F.col("a") - threshold) <= near).alias("n_ties"), F.corr("a", "b").alias("correlation")
+    )
 
 
 def worst_row(pairs: DataFrame, key: list[str]) -> DataFrame:
@@ -145,4 +169,6 @@ def worst_row(pairs: DataFrame, key: list[str]) -> DataFrame:
     gap = F.abs(F.col("a") - F.col("b"))
     order = F.struct(F.coalesce(F.nanvl(gap, F.lit(-1.0)), F.lit(-1.0)).alias("g"))
     best = pairs.select(*key, "a", "b", order["g"].alias("gap")).where("gap >= 0")
-    return best.agg(F.min(F.struct((-F.col("gap")).alias("_g"), *key, "a", "b", "gap")).alias("w")).where("w IS NOT NULL").select(*[f"w.{k}" for k in key], "w.a", "w.b", "w.gap")
+    return best.agg(
+        F.min(F.struct((-F.col("gap")).alias("_g"), *key, "a", "b", "gap")).alias("w")
+    ).where("w IS NOT NULL").select(*[f"w.{k}" for k in key], "w.a", "w.b", "w.gap")

@@ -59,7 +59,9 @@ def binary_verdict(score: Column, threshold: float) -> Column:
 def behavioral_verdict(static: Column, n_calls: Column, score: Column, t: Thresholds) -> Column:
     """The gate: only after a static verdict and with a trace; short traces wait."""
     asked = static.isin("ALLOW", "ALERT", "BLOCK") & n_calls.isNotNull()
-    return F.when(~F.coalesce(asked, F.lit(False)), "NOT_PROVIDED").when(n_calls < 10, "PENDING").otherwise(F.when(score.isNull(), "ERROR").otherwise(binary_verdict(score, t.behavioral)))
+    return F.when(~F.coalesce(asked, F.lit(False)), "NOT_PROVIDED").when(n_calls < 10, "PENDING").otherwise(
+        F.when(score.isNull(), "ERROR").otherwise(binary_verdict(score, t.behavioral))
+    )
 
 
 def corroborators(static: Column, memory: Column, network: Column) -> Column:

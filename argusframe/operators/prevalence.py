@@ -30,7 +30,9 @@ def project(rates: DataFrame, prevalences: list[float] = PREVALENCES, volumes: l
     at = rates.select("*", F.explode(F.array(*map(F.lit, prevalences))).alias("prevalence"))
     counts = [c for v in volumes for c in ((fpr * (1 - pi) * v).alias(f"fp_per_{v}"), (tpr * pi * v).alias(f"tp_per_{v}"))]
     bound = F.when(F.col("fp") == 0, safe_ratio(F.lit(3.0), F.col("tn") + F.col("fp")))
-    return at.select(*rates.columns, "prevalence", ppv(fpr, tpr, pi).alias("ppv"), alert_rate(fpr, tpr, pi).alias("alert_rate"), *counts, bound.alias("fpr_upper"))
+    return at.select(
+        *rates.columns, "prevalence", ppv(fpr, tpr, pi).alias("ppv"), alert_rate(fpr, tpr, pi).alias("alert_rate"), *counts, bound.alias("fpr_upper")
+    )
 
 
 def threshold_for_ppv(scored: DataFrame, targets: list[float], prevalence: float) -> DataFrame:

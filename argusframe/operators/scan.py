@@ -53,14 +53,21 @@ def manifest(files: DataFrame, wanted: DataFrame) -> DataFrame:
     bare = lambda c: F.regexp_replace(c, "^file:/*", "/")
     held = files.select(bare(F.col("path")).alias("_path"), "length", "content", "sha256")
     steps = F.split("_path", "/")
-    above = held.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))).alias("_folder")).distinct()
+    above = held.select(
+        F.explode(F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))).alias("_folder")
+    ).distinct()
     asked = wanted.select("path", bare(F.col("path")).alias("_asked"))
     found = asked.join(held, F.col("_asked") == F.col("_path"), "left").join(above, F.col("_asked") == F.col("_folder"), "left")
     is_file, is_folder = F.col("_path").isNotNull(), F.col("_folder").isNotNull()
-    return found.select("path", (is_file | is_folder).alias("exists"), is_file.alias("is_file"), (~is_file | F.col("length").isNotNull()).alias("readable"), "length", "content", "sha256")
+    return found.select(
+        "path", (is_file | is_folder).alias("exists"), is_file.alias("is_file"), (~is_file | F.col("length").isNotNull()).alias("readable"), "length",
+        "content", "sha256"
+    )
 
 
-def with_static(files: DataFrame, key: str, score: Callable[[DataFrame], DataFrame], digests: DataFrame | None = None, verify=None, most: int = policy.MAX_FILE_BYTES) -> DataFrame:
+def with_static(
+    files: DataFrame, key: str, score: Callable[[DataFrame], DataFrame], digests: DataFrame | None = None, verify=None, most: int = policy.MAX_FILE_BYTES
+) -> DataFrame:
     """``files`` (key, exists, is_file, readable, length, content, sha256) without content, but with problem,
     allowlist_reason, is_pe, degraded and static_score. Listed and trusted files are neither parsed nor scored."""
     rows = files.withColumn("problem", policy.path_problem(F.col("exists"), F.col("is_file"), F.col("readable"), F.col("length"), most))
@@ -72,10 +79,14 @@ def with_static(files: DataFrame, key: str, score: Callable[[DataFrame], DataFra
     scored = score(parsed.where("is_pe")).select(key, "static_score")
     out = rows.drop("content").join(parsed.drop("features"), key, "left").join(trusted, key, "left").join(scored, key, "left")
     # A listed file's format is known from its first bytes alone.
-    reason = F.when(F.col("is_allowlisted") & fine, "static_allowlisted_nsrl").when(F.col("is_pe") & (F.col("trust") == "verified"), "static_allowlisted_authenticode_chain")
+    reason = F.when(F.col("is_allowlisted") & fine, "static_allowlisted_nsrl").when(
+        F.col("is_pe") & (F.col("trust") == "verified"), "static_allowlisted_authenticode_chain"
+    )
     out = out.withColumn("allowlist_reason", reason).withColumn("problem", F.coalesce("problem", F.when(~F.col("is_pe"), "invalid_or_non_pe_file")))
     used = F.col("is_pe") & F.col("allowlist_reason").isNull()
-    return out.withColumn("static_score", F.when(used, F.col("static_score"))).withColumn("degraded", F.when(used, F.coalesce("degraded", NO_GROUPS)).otherwise(NO_GROUPS))
+    return out.withColumn("static_score", F.when(used, F.col("static_score"))).withColumn(
+        "degraded", F.when(used, F.coalesce("degraded", NO_GROUPS)).otherwise(NO_GROUPS)
+    )
 
 
 def decide_scans(rows: DataFrame, t: policy.Thresholds, configured: dict[str, bool] | None = None) -> DataFrame:
@@ -94,9 +105,15 @@ def decide_scans(rows: DataFrame, t: policy.Thresholds, configured: dict[str, bo
     rows = policy.with_decision(rows)
     raised = fine & F.col("allowlist_reason").isNull() & F.col("static_score").isNull()
     short = F.col("behavioral").isin("BENIGN", "MALICIOUS") & (F.col("n_calls") < SHORT_TRACE)
-    early = [F.col("problem"), F.col("allowlist_reason"), F.when(raised, "static_scan_exception"), F.when(short, "behavioral_short_trace"), F.when((F.col("static") == "ERROR") & (F.col("static_first") != "ERROR"), "static_features_degraded")]
+    early = [
+        F.col("problem"), F.col("allowlist_reason"), F.when(raised, "static_scan_exception"), F.when(short, "behavioral_short_trace"),
+        F.when((F.col("static") == "ERROR") & (F.col("static_first") != "ERROR"), "static_features_degraded")
+    ]
     rows = rows.withColumn("reason_codes", F.concat(F.array_compact(F.array(*early)), "reason_codes"))
-    supplied = {"behavioral": F.col("n_calls").isNotNull() & F.col("static_first").isin("ALLOW", "ALERT", "BLOCK"), "memory": F.col("memory_score").isNotNull(), "network": F.col("network_score").isNotNull()}
+    supplied = {
+        "behavioral": F.col("n_calls").isNotNull() & F.col("static_first").isin("ALLOW", "ALERT", "BLOCK"), "memory": F.col("memory_score").isNotNull(),
+        "network": F.col("network_score").isNotNull()
+    }
     states = [F.struct(F.lit("static").alias("key"), F.when(F.size("degraded") > 0, "degraded").alias("value"))]
     for name, is_given in supplied.items():
         state = F.when(F.col(name) == "ERROR", "model_error").when(is_given & F.lit(not has[name]), "model_not_configured")

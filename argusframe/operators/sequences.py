@@ -78,6 +78,12 @@ def early_stopping(log: DataFrame, patience: int = 15, gap: float = 0.05, run: i
     wide = (F.col("train_auc") - F.col("val_auc") > gap).cast("int")
     best = F.max("val_auc").over(upto)
     marked = log.select("*", best.alias("best"), wide.alias("is_wide")).select("*", F.lag("best").over(w).alias("_was"))
-    marked = marked.select("*", F.max(F.when(F.col("_was").isNull() | (F.col("best") > F.col("_was")), F.col("epoch"))).over(upto).alias("_best_at"), F.sum(1 - F.col("is_wide")).over(upto).alias("_island"))
-    out = marked.select("epoch", "best", (F.col("epoch") - F.col("_best_at")).alias("since_best"), F.sum("is_wide").over(W.partitionBy("_island").orderBy("epoch")).alias("gap_run"))
+    marked = marked.select(
+        "*", F.max(F.when(F.col("_was").isNull() | (F.col("best") > F.col("_was")), F.col("epoch"))).over(upto).alias("_best_at"),
+        F.sum(1 - F.col("is_wide")).over(upto).alias("_island")
+    )
+    out = marked.select(
+        "epoch", "best", (F.col("epoch") - F.col("_best_at")).alias("since_best"),
+        F.sum("is_wide").over(W.partitionBy("_island").orderBy("epoch")).alias("gap_run")
+    )
     return out.withColumn("is_stop", ((F.col("since_best") >= patience) | (F.col("gap_run") >= run)).cast("int"))

@@ -42,7 +42,9 @@ def allocate(groups: DataFrame, bucket: list[str], key: list[str], size: str, se
     tests = run.groupBy(*bucket).agg(F.max("_vend").alias("_v"), edge((left >= 0) & (left < share("test"))).alias("_tend"))
     tests = tests.withColumn("_tend", F.greatest("_tend", "_v")).drop("_v")
     run = run.alias("l").join(tests.alias("t"), same("l", "t")).select("l.*", "_tend")
-    split = F.when(F.col("_before") < F.col("_vend"), "val").when(F.col("_before") < F.col("_tend"), "test").when(F.col("_before") - F.col("_tend") < share("cal"), "cal").otherwise("train")
+    split = F.when(F.col("_before") < F.col("_vend"), "val").when(F.col("_before") < F.col("_tend"), "test").when(
+        F.col("_before") - F.col("_tend") < share("cal"), "cal"
+    ).otherwise("train")
     return run.select(*groups.columns, split.alias("split"))
 
 
@@ -77,7 +79,9 @@ def sampling_plan(rows: DataFrame, strata: list[str], target: int, protect: int)
     """Per stratum: n and plan. Strata of at most ``protect`` rows stay whole; the others give the same share."""
     counts = rows.groupBy(*strata).agg(F.count("*").alias("n"))
     small = F.col("n") <= protect
-    sums = counts.agg(F.coalesce(F.sum(F.when(small, F.col("n"))), F.lit(0)).alias("_kept"), F.coalesce(F.sum(F.when(~small, F.col("n"))), F.lit(0)).alias("_pool"))
+    sums = counts.agg(
+        F.coalesce(F.sum(F.when(small, F.col("n"))), F.lit(0)).alias("_kept"), F.coalesce(F.sum(F.when(~small, F.col("n"))), F.lit(0)).alias("_pool")
+    )
     rate = F.least(F.greatest((F.lit(target) - F.col("_kept")) / F.nullif(F.col("_pool"), F.lit(0)), F.lit(0.0)), F.lit(1.0))
     return counts.join(F.broadcast(sums)).select(*strata, "n", F.when(small, F.col("n")).otherwise(half_even(F.col("n") * rate)).cast("long").alias("plan"))  # one row
 
@@ -96,11 +100,15 @@ def stratified_sample(rows: DataFrame, strata: list[str], key: list[str], target
     plan = sampling_plan(rows, strata, target, protect)
     slack = (F.sqrt("plan") * SURELY + 10) / F.col("n")
     whole = F.col("plan") >= F.col("n")
-    plan = plan.withColumn("_low", F.when(whole, 2.0).otherwise(F.col("plan") / F.col("n") - slack)).withColumn("_high", F.when(whole, 2.0).otherwise(F.col("plan") / F.col("n") + slack))
+    plan = plan.withColumn("_low", F.when(whole, 2.0).otherwise(F.col("plan") / F.col("n") - slack)).withColumn(
+        "_high", F.when(whole, 2.0).otherwise(F.col("plan") / F.col("n") + slack)
+    )
     plan = materialize(plan, "sample-plan")
     same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in strata]
     names = [F.col(f"l.{c}") for c in hashed.columns]
-    marked = hashed.alias("l").join((F.broadcast(plan) if bytes_of(plan) <= BROADCAST_BYTES else plan).alias("p"), same("l", "p")).select(*names, "_low", "_high").withColumn("_u", place)
+    marked = hashed.alias("l").join(
+        (F.broadcast(plan) if bytes_of(plan) <= BROADCAST_BYTES else plan).alias("p"), same("l", "p")
+    ).select(*names, "_low", "_high").withColumn("_u", place)
     counted = marked.groupBy(*strata).agg(F.count_if(F.col("_u") < F.col("_low")).alias("_under"), F.count_if(F.col("_u") < F.col("_high")).alias("_upto"))
     counted = materialize(plan.alias("l").join(counted.alias("r"), same("l", "r")).select("l.*", "_under", "_upto"), "sample-cuts")
     if not counted.where((F.col("_under") > F.col("plan")) | (F.col("_upto") < F.col("plan"))).isEmpty():
@@ -113,11 +121,15 @@ def stratified_sample(rows: DataFrame, strata: list[str], key: list[str], target
     return sure.unionByName(ranked.where(F.col("_i") <= F.col("plan") - F.col("_under")).select(*[F.col(f"l.{c}") for c in rows.columns]))
 
 
-def memory_split(rows: DataFrame, key: list[str], category: str, vector: str, label: str = "label", seed: str = "42", fractions: dict[str, float] = FRACTIONS) -> DataFrame:
+def memory_split(
+    rows: DataFrame, key: list[str], category: str, vector: str, label: str = "label", seed: str = "42", fractions: dict[str, float] = FRACTIONS
+) -> DataFrame:
     """``rows`` with split: four ways, by groups that never leak. Dumps of one sample are a group where a label's
     samples have several dumps, else each row is one; groups that share a feature vector are merged; a merged group
     goes whole to the bucket of its most frequent family. A group of two labels is an error."""
-    named = rows.select(*key, label, F.col(vector).alias("_vector"), family_of(F.col(category)).alias("_family"), strip_dump_suffix(F.col(category)).alias("_sample"))
+    named = rows.select(
+        *key, label, F.col(vector).alias("_vector"), family_of(F.col(category)).alias("_family"), strip_dump_suffix(F.col(category)).alias("_sample")
+    )
     decided = by_sample(group_sizes(named, F.col("_sample"), label)).select(label, "is_grouped_by_sample")
     own = F.when(F.col("is_grouped_by_sample") == 1, F.concat_ws("|", F.lit("s"), F.col(label), "_sample")).otherwise(F.concat_ws("|", F.lit("r"), *key))
     named = materialize(named.join(F.broadcast(decided), label).withColumn("_group", own), "memory-groups")  # a row a label

@@ -23,8 +23,12 @@ def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = docs.join(calls, "doc_id", "left").join(labels, "doc_id", "left")
     return joined.select(
         "doc_id", "sha256", "length", "n_calls", unit(7919).alias("static_score"), unit(104729).alias("behavioral_score"),
-        F.when(F.col("toxic").isNotNull(), (d * 31 % 1009).cast("double") / 200000.0).alias("memory_score"), F.when(d % 3 != 0, unit(1299709)).alias("network_score"),
-        (d % 50 != 49).alias("exists"), F.when(d % 29 == 0, F.array(F.lit("header"))).when(d % 31 == 0, F.array(F.lit("exports"))).otherwise(F.array().cast("array<string>")).alias("degraded"),
+        F.when(
+            F.col("toxic").isNotNull(), (d * 31 % 1009).cast("double") / 200000.0
+        ).alias("memory_score"), F.when(d % 3 != 0, unit(1299709)).alias("network_score"),
+        (d % 50 != 49).alias("exists"), F.when(d % 29 == 0, F.array(F.lit("header"))).when(
+            d % 31 == 0, F.array(F.lit("exports"))
+        ).otherwise(F.array().cast("array<string>")).alias("degraded"),
     )
 
 
@@ -45,15 +49,24 @@ def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("behavioral", F.when(fine, behavioral).otherwise("NOT_PROVIDED"))
     marked = F.when(fine & ~listed, F.col("degraded")).otherwise(F.array().cast("array<string>"))
     rows = rows.withColumn("marked", marked).withColumn("static", policy.critical_override(F.col("static_first"), F.col("marked")))
-    rows = rows.withColumn("memory", policy.binary_verdict(F.col("memory_score"), T.memory)).withColumn("network", policy.binary_verdict(F.col("network_score"), T.network))
+    rows = rows.withColumn("memory", policy.binary_verdict(F.col("memory_score"), T.memory)).withColumn(
+        "network", policy.binary_verdict(F.col("network_score"), T.network)
+    )
     rows = policy.with_decision(rows)
     short = F.col("behavioral").isin("BENIGN", "MALICIOUS") & (F.col("n_calls") < 100)
-    early = F.array_compact(F.array(F.col("problem"), F.when(listed, "static_allowlisted_nsrl"), F.when(short, "behavioral_short_trace"), F.when(F.arrays_overlap("marked", F.array(*map(F.lit, policy.CRITICAL_GROUPS))), "static_features_degraded")))
+    early = F.array_compact(
+        F.array(
+            F.col("problem"), F.when(listed, "static_allowlisted_nsrl"), F.when(short, "behavioral_short_trace"),
+            F.when(F.arrays_overlap("marked", F.array(*map(F.lit, policy.CRITICAL_GROUPS))), "static_features_degraded")
+        )
+    )
     return rows.withColumn("reason_codes", F.concat(early, "reason_codes"))
 
 
 def q01_scan_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decided(spark, sf_dir).select("doc_id", "static", "behavioral", "memory", "network", "final_decision", F.array_join("reason_codes", ",").alias("reason_codes"))
+    return decided(spark, sf_dir).select(
+        "doc_id", "static", "behavioral", "memory", "network", "final_decision", F.array_join("reason_codes", ",").alias("reason_codes")
+    )
 
 
 def q02_decision_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +78,10 @@ def q03_reason_code_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def verdict_product(spark: SparkSession) -> DataFrame:
-    sides = [spark.createDataFrame([(v,) for v in values], f"{name} string") for name, values in zip(policy.SIGNALS, (policy.STATIC, policy.BEHAVIORAL, policy.OTHER, policy.OTHER), strict=True)]
+    sides = [
+        spark.createDataFrame([(v,) for v in values], f"{name} string") for name,
+        values in zip(policy.SIGNALS, (policy.STATIC, policy.BEHAVIORAL, policy.OTHER, policy.OTHER), strict=True)
+    ]
     out = sides[0]
     for side in sides[1:]:
         out = out.crossJoin(side)  # 4 * 5 * 4 * 4 constants
@@ -84,7 +100,9 @@ def q05_signal_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q06_allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policy.allowlisted(scans(spark, sf_dir), allowlist(spark, sf_dir)).groupBy("is_allowlisted").agg(F.count("*").alias("n")).select(F.col("is_allowlisted").cast("int").alias("is_allowlisted"), "n")
+    return policy.allowlisted(scans(spark, sf_dir), allowlist(spark, sf_dir)).groupBy("is_allowlisted").agg(F.count("*").alias("n")).select(
+        F.col("is_allowlisted").cast("int").alias("is_allowlisted"), "n"
+    )
 
 
 def q07_path_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,17 +144,27 @@ SCANS = f"""scans AS (SELECT doc_id, sha256(text) AS sha256, octet_length(encode
  decided AS (SELECT *, concat_ws(',', problem, CASE WHEN problem IS NULL AND listed THEN 'static_allowlisted_nsrl' END,
   CASE WHEN behavioral IN ('BENIGN', 'MALICIOUS') AND n_calls < 100 THEN 'behavioral_short_trace' END, CASE WHEN marked = 'header' THEN 'static_features_degraded' END, {REASONS}) AS reason_codes FROM f)"""
 HEALTH = " UNION ALL ".join(
-    f"SELECT '{s}' AS signal, CASE WHEN doc_id % {k} = 0 THEN 'model_not_configured' WHEN {s} = 'ERROR' THEN 'model_error'{" WHEN marked IS NOT NULL THEN 'degraded'" if s == 'static' else ''} END AS state FROM decided"
+    f"SELECT '{s}' AS signal, CASE WHEN doc_id % {k} = 0 THEN 'model_not_configured' WHEN {s} = 'ERROR' THEN 'model_error'{
+        " WHEN marked IS NOT NULL THEN 'degraded'" if s == 'static' else ''
+    } END AS state FROM decided"
     for s, k in zip(policy.SIGNALS, (1009, 11, 13, 17), strict=True)
 )
 
-QUERIES = {f.__name__: f for f in (q01_scan_decisions, q02_decision_counts, q03_reason_code_counts, q04_verdict_product, q05_signal_health, q06_allowlist, q07_path_checks, q08_emulation_verdicts)}
+QUERIES = {
+    f.__name__: f for f in (
+        q01_scan_decisions, q02_decision_counts, q03_reason_code_counts, q04_verdict_product, q05_signal_health, q06_allowlist, q07_path_checks,
+        q08_emulation_verdicts
+    )
+}
 ORACLE_SQL = {
     "q01_scan_decisions": f"WITH {SCANS} SELECT doc_id, static, behavioral, memory, network, final_decision, reason_codes FROM decided",
     "q02_decision_counts": f"WITH {SCANS} SELECT final_decision, count(*) AS n FROM decided GROUP BY 1",
     "q03_reason_code_counts": f"WITH {SCANS} SELECT reason_code, count(*) AS n FROM (SELECT unnest(string_split(reason_codes, ',')) AS reason_code FROM decided) GROUP BY 1",
     "q04_verdict_product": "WITH v AS (SELECT static, behavioral, memory, network FROM "
-    + ", ".join(f"(SELECT unnest([{', '.join(repr(v) for v in values)}]) AS {name})" for name, values in zip(policy.SIGNALS, (policy.STATIC, policy.BEHAVIORAL, policy.OTHER, policy.OTHER), strict=True))
+    + ", ".join(
+        f"(SELECT unnest([{', '.join(repr(v) for v in values)}]) AS {name})" for name,
+        values in zip(policy.SIGNALS, (policy.STATIC, policy.BEHAVIORAL, policy.OTHER, policy.OTHER), strict=True)
+    )
     + f"), w AS (SELECT *, {DECISION} AS final_decision FROM v) SELECT *, {REASONS} AS reason_codes FROM w",
     "q05_signal_health": f"WITH {SCANS} SELECT signal, state, count(*) AS n FROM ({HEALTH}) WHERE state IS NOT NULL GROUP BY 1, 2",
     "q06_allowlist": "WITH s AS (SELECT sha256(text) IN (SELECT sha256(text) FROM documents WHERE source = 'src7') AS k FROM documents) SELECT CAST(k AS INT) AS is_allowlisted, count(*) AS n FROM s GROUP BY 1",

@@ -92,23 +92,36 @@ def q24_per_class_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q25_error_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").alias("a"), F.col("l_extendedprice").cast("float").cast("double").alias("b"))
     out = metrics.error_statistics(pairs, 50000.0)
-    return out.select("n", F.round("max_abs", 9).alias("max_abs"), F.round("mean_abs", 9).alias("mean_abs"), F.round("median_abs", 9).alias("median_abs"), "n_flips", "n_ties", F.round("correlation", 6).alias("correlation"))
+    return out.select(
+        "n", F.round("max_abs", 9).alias("max_abs"), F.round("mean_abs", 9).alias("mean_abs"), F.round("median_abs", 9).alias("median_abs"), "n_flips",
+        "n_ties", F.round("correlation", 6).alias("correlation")
+    )
 
 
 def q26_class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Precision, recall, F1 and support of either class, and accuracy."""
     c = metrics.confusion(scored(spark, sf_dir), CUT)
-    each = F.explode(F.array(F.struct(F.lit(0).alias("label"), F.col("tn").alias("hit"), F.col("fn").alias("wrong"), F.col("fp").alias("missed")), F.struct(F.lit(1).alias("label"), F.col("tp").alias("hit"), F.col("fp").alias("wrong"), F.col("fn").alias("missed"))))
+    each = F.explode(
+        F.array(
+            F.struct(F.lit(0).alias("label"), F.col("tn").alias("hit"), F.col("fn").alias("wrong"), F.col("fp").alias("missed")),
+            F.struct(F.lit(1).alias("label"), F.col("tp").alias("hit"), F.col("fp").alias("wrong"), F.col("fn").alias("missed"))
+        )
+    )
     from argusframe.functions.columns import safe_ratio
 
     rows = c.select(safe_ratio(F.col("tp") + F.col("tn"), F.col("n")).alias("accuracy"), each.alias("c")).select("accuracy", "c.*")
     p, r = safe_ratio(F.col("hit"), F.col("hit") + F.col("wrong")), safe_ratio(F.col("hit"), F.col("hit") + F.col("missed"))
-    return rows.select("label", "accuracy", p.alias("precision"), r.alias("recall"), safe_ratio(2 * p * r, p + r).alias("f1"), (F.col("hit") + F.col("missed")).alias("support"))
+    return rows.select(
+        "label", "accuracy", p.alias("precision"), r.alias("recall"), safe_ratio(2 * p * r, p + r).alias("f1"),
+        (F.col("hit") + F.col("missed")).alias("support")
+    )
 
 
 def q27_source_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     right = ((F.col("score") >= CUT).cast("int") == F.col("label")).cast("int")
-    return scored(spark, sf_dir).groupBy("label_raw", "label").agg(F.count("*").alias("n"), (F.sum(right) / F.count("*")).alias("accuracy"), F.round(F.avg("score"), 9).alias("mean_score"))
+    return scored(spark, sf_dir).groupBy("label_raw", "label").agg(
+        F.count("*").alias("n"), (F.sum(right) / F.count("*")).alias("accuracy"), F.round(F.avg("score"), 9).alias("mean_score")
+    )
 
 
 def q28_band_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +130,9 @@ def q28_band_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     band = F.when(F.col("l_extendedprice") < 10000, "low").when(F.col("l_extendedprice") < 50000, "middle").otherwise("high")
     rows = price.select(band.alias("band"), (F.col("l_returnflag") == "R").cast("int").alias("label"), F.col("l_quantity").alias("score"))
     hit = F.col("score") >= CUT
-    return rows.rollup("band").agg(F.count("*").alias("n"), F.count_if(hit & (F.col("label") == 1)).alias("tp"), F.count_if(hit & (F.col("label") == 0)).alias("fp")).select(F.coalesce("band", F.lit("deployment_total")).alias("band"), "n", "tp", "fp")
+    return rows.rollup("band").agg(
+        F.count("*").alias("n"), F.count_if(hit & (F.col("label") == 1)).alias("tp"), F.count_if(hit & (F.col("label") == 0)).alias("fp")
+    ).select(F.coalesce("band", F.lit("deployment_total")).alias("band"), "n", "tp", "fp")
 
 
 LOG = [(i, 0.80 + 0.01 * min(i, 12) + 0.002 * i, 0.79 + 0.011 * min(i, 9)) for i in range(1, 31)]
@@ -148,7 +163,9 @@ QUERIES = {
 ORACLE_SQL = {
     "q10_confusion": f"WITH {SCORED}, {CONFUSION} SELECT n, tn, fp, fn, tp, precision, recall, {F1}, {RATE.format('fp', 'fp + tn')} AS fpr FROM r",
     "q11_three_way": f"WITH {SCORED} SELECT label, count(*) AS n, count(*) FILTER (score < 15) AS n_allow, count(*) FILTER (score >= 15 AND score < 40) AS n_alert, count(*) FILTER (score >= 40) AS n_block FROM scored GROUP BY label",
-    "q12_confusion_by_split": f"WITH {SCORED}, c AS (SELECT split, {CELLS} FROM scored GROUP BY split), r AS (SELECT *, {PR} FROM c) SELECT split, n, tn, fp, fn, tp, precision, recall, {F1}, {RATE.format('fp', 'fp + tn')} AS fpr FROM r",
+    "q12_confusion_by_split": f"WITH {SCORED}, c AS (SELECT split, {CELLS} FROM scored GROUP BY split), r AS (SELECT *, {PR} FROM c) SELECT split, n, tn, fp, fn, tp, precision, recall, {F1}, {
+        RATE.format('fp', 'fp + tn')
+    } AS fpr FROM r",
     "q13_auc": f"WITH {SCORED}, r AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS ar FROM scored), t AS (SELECT count(*) FILTER (label = 1) AS n_pos, count(*) FILTER (label = 0) AS n_neg, sum(ar) FILTER (label = 1) AS w FROM r) SELECT n_pos, n_neg, (w - n_pos * (n_pos + 1) / 2.0::DOUBLE) / (n_pos::DOUBLE * n_neg) AS auc FROM t",
     "q14_feature_auc_topk": """WITH x AS (SELECT CAST(label < 5 AS INT) AS label, unnest(range(64)) AS i, embedding FROM embeddings), y AS (SELECT label, 'f' || lpad(i::VARCHAR, 2, '0') AS feature, embedding[i + 1]::DOUBLE AS score FROM x),
  r AS (SELECT feature, label, rank() OVER (PARTITION BY feature ORDER BY score) + (count(*) OVER (PARTITION BY feature, score) - 1) / 2.0::DOUBLE AS ar FROM y), t AS (SELECT feature, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n, sum(ar) FILTER (label = 1) AS w FROM r GROUP BY feature),
@@ -162,7 +179,9 @@ ORACLE_SQL = {
     "q21_average_precision": f"WITH {CURVE}, {AREAS} SELECT round(average_precision, 9) AS average_precision FROM areas",
     "q22_prevalence_projection": f"""WITH {SCORED}, {CONFUSION}, x AS (SELECT unnest([0.001, 0.0001, 0.00001])::DOUBLE AS prevalence, fp::DOUBLE / (fp + tn) AS f, tp::DOUBLE / (tp + fn) AS t FROM r)
  SELECT prevalence, round(t * prevalence / (t * prevalence + f * (1 - prevalence)), 9) AS ppv, round(t * prevalence + f * (1 - prevalence), 9) AS alert_rate, round(f * (1 - prevalence) * 10000, 9) AS fp_per_10000, round(t * prevalence * 10000, 9) AS tp_per_10000, round(f * (1 - prevalence) * 100000, 9) AS fp_per_100000, round(t * prevalence * 100000, 9) AS tp_per_100000 FROM x""",
-    "q23_threshold_for_ppv": f"WITH {CURVE}, {GOALS.format(', '.join(map(str, PPV_TARGETS)))}, k AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY tp DESC, score DESC) AS o FROM points, goals WHERE tp > 0 AND (tp::DOUBLE / p * 0.001::DOUBLE) / (tp::DOUBLE / p * 0.001::DOUBLE + fp::DOUBLE / n * (1 - 0.001::DOUBLE)) >= target) SELECT target, score AS threshold, tp::BIGINT AS tp, fp::BIGINT AS fp FROM k WHERE o = 1",
+    "q23_threshold_for_ppv": f"WITH {CURVE}, {
+        GOALS.format(', '.join(map(str, PPV_TARGETS)))
+    }, k AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY tp DESC, score DESC) AS o FROM points, goals WHERE tp > 0 AND (tp::DOUBLE / p * 0.001::DOUBLE) / (tp::DOUBLE / p * 0.001::DOUBLE + fp::DOUBLE / n * (1 - 0.001::DOUBLE)) >= target) SELECT target, score AS threshold, tp::BIGINT AS tp, fp::BIGINT AS fp FROM k WHERE o = 1",
     "q24_per_class_detection": f"""WITH {SCORED}, a AS (SELECT count(*) FILTER (score >= 25)::DOUBLE / count(*) AS aggregate FROM scored WHERE label = 1), s AS (SELECT label_raw, count(*) AS n_train FROM scored WHERE split = 'F' GROUP BY 1),
  e AS (SELECT label_raw, label, count(*) AS n, count(*) FILTER (score >= 25) AS detected FROM scored GROUP BY 1, 2), o AS (SELECT label_raw, label, n, detected, detected::DOUBLE / n AS rate, coalesce(n_train, 0) AS n_train, label = 1 AND detected::DOUBLE / n < aggregate - 0.05::DOUBLE AS low FROM e LEFT JOIN s USING (label_raw), a)
  SELECT label_raw, label, n, detected, rate, n_train, CAST(low AS INT) AS is_low, CAST(low AND n_train < 5000 AS INT) AS is_low_support FROM o""",

@@ -12,16 +12,28 @@ from argusframe.plans.tables import table
 
 
 def q60_safe_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "F").alias("a"), F.count_if(F.col("o_orderstatus") == "P").alias("b"), F.sum(F.lit(1)).alias("n"))
-    return orders.select("o_custkey", C.safe_ratio(F.col("a"), F.col("b")).alias("a_per_b"), C.safe_ratio(F.col("b"), F.col("a")).alias("b_per_a"), C.safe_ratio(F.col("a"), F.col("n")).alias("a_share"))
+    orders = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
+        F.count_if(F.col("o_orderstatus") == "F").alias("a"), F.count_if(F.col("o_orderstatus") == "P").alias("b"), F.sum(F.lit(1)).alias("n")
+    )
+    return orders.select(
+        "o_custkey", C.safe_ratio(F.col("a"), F.col("b")).alias("a_per_b"), C.safe_ratio(F.col("b"), F.col("a")).alias("b_per_a"),
+        C.safe_ratio(F.col("a"), F.col("n")).alias("a_share")
+    )
 
 
 def q61_zscores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Population mean and deviation of each component (a deviation of 0 counts as 1), and the extremes."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x")).select("vec_id", "i", F.col("x").cast("double").alias("x"))
-    sums = rows.groupBy("i").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std")).select("i", "mean", F.when(F.col("std") == 0, 1.0).otherwise(F.col("std")).alias("std"))
+    rows = table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.posexplode("embedding").alias("i", "x")
+    ).select("vec_id", "i", F.col("x").cast("double").alias("x"))
+    sums = rows.groupBy("i").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std")).select(
+        "i", "mean", F.when(F.col("std") == 0, 1.0).otherwise(F.col("std")).alias("std")
+    )
     z = rows.join(F.broadcast(sums), "i").withColumn("z", (F.col("x") - F.col("mean")) / F.col("std"))  # one row a component
-    return z.groupBy("i").agg(F.round(F.max("mean"), 9).alias("mean"), F.round(F.max("std"), 9).alias("std"), F.round(F.max("z"), 6).alias("max_z"), F.round(F.min("z"), 6).alias("min_z"))
+    return z.groupBy("i").agg(
+        F.round(F.max("mean"), 9).alias("mean"), F.round(F.max("std"), 9).alias("std"), F.round(F.max("z"), 6).alias("max_z"),
+        F.round(F.min("z"), 6).alias("min_z")
+    )
 
 
 def q62_byte_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,14 +56,18 @@ def q64_string_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q65_category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(strings.category_counts(C.printable_runs(F.col("html"))).alias("m"))
-    each = pages.select(F.explode("m").alias("category", "n")).groupBy("category").agg(F.sum("n").cast("long").alias("n_strings"), F.count("*").alias("n_pages"))
+    each = pages.select(F.explode("m").alias("category", "n")).groupBy("category").agg(
+        F.sum("n").cast("long").alias("n_strings"), F.count("*").alias("n_pages")
+    )
     return each
 
 
 def q66_length_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n_chars").cast("double")
     cuts = [F.percentile(n, p).alias(f"p{int(p * 100)}") for p in (0.5, 0.9, 0.95, 0.99)]
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"), F.avg("n_chars").alias("mean"), *cuts)
+    return table(spark, sf_dir, "documents").groupBy("source").agg(
+        F.count("*").alias("n"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"), F.avg("n_chars").alias("mean"), *cuts
+    )
 
 
 KNOWN_TYPES = ["click", "view", "purchase", "login", "logout", "signup", "search"]
@@ -64,17 +80,25 @@ def q67_multi_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q68_json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k")
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(k).alias("n_with_k"), F.sum(k.cast("double")).alias("sum_k"), F.max(k.cast("double")).alias("max_k"))
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(
+        F.count(k).alias("n_with_k"), F.sum(k.cast("double")).alias("sum_k"), F.max(k.cast("double")).alias("max_k")
+    )
 
 
 def q69_family_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.concat("source", F.lit("-"), F.substring(F.md5(F.col("doc_id").cast("string")), 1, 10), F.lit("-"), (F.col("doc_id") % 7).cast("string"), F.lit(".raw"))
+    name = F.concat(
+        "source", F.lit("-"), F.substring(F.md5(F.col("doc_id").cast("string")), 1, 10), F.lit("-"), (F.col("doc_id") % 7).cast("string"), F.lit(".raw")
+    )
     rows = table(spark, sf_dir, "documents").select(name.alias("category"))
-    return rows.select(C.family_of(F.col("category")).alias("family"), C.strip_dump_suffix(F.col("category")).alias("sample")).groupBy("family").agg(F.count("*").alias("n"), F.count_distinct("sample").alias("n_samples"))
+    return rows.select(
+        C.family_of(F.col("category")).alias("family"), C.strip_dump_suffix(F.col("category")).alias("sample")
+    ).groupBy("family").agg(F.count("*").alias("n"), F.count_distinct("sample").alias("n_samples"))
 
 
 def q86_category_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n")).select("event_type", C.category_index(F.col("event_type"), KNOWN_TYPES).alias("idx"), "n")
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n")).select(
+        "event_type", C.category_index(F.col("event_type"), KNOWN_TYPES).alias("idx"), "n"
+    )
 
 
 def q87_sigmoid_logit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,16 +142,24 @@ ORACLE_SQL = {
  SELECT i, round(max(mean), 9) AS mean, round(max(std), 9) AS std, round(max((x - mean) / std), 6) AS max_z, round(min((x - mean) / std), 6) AS min_z FROM x JOIN s USING (i) GROUP BY i""",
     "q62_byte_entropy": f"WITH {PAIRS} SELECT doc_id, sum(n)::BIGINT AS size, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 9) AS entropy FROM c GROUP BY doc_id",
     "q63_byte_histogram": f"WITH {PAIRS} SELECT ('0x' || byte)::INT AS byte, sum(n)::BIGINT AS n, sum(n)::DOUBLE / sum(sum(n)) OVER () AS share FROM c GROUP BY byte",
-    "q64_string_stats": f"WITH {RUNS.format('text', 'documents')} SELECT doc_id, len(runs)::BIGINT AS n_strings, length(array_to_string(runs, ''))::BIGINT AS n_printable, coalesce(length(array_to_string(runs, ''))::DOUBLE / nullif(len(runs), 0), 0.0) AS mean_length FROM r",
-    "q65_category_counts": f"WITH {RUNS.format('html', 'pages')}, m AS ({COUNTED}) SELECT category, sum(n)::BIGINT AS n_strings, count(*) AS n_pages FROM m WHERE n > 0 GROUP BY category",
+    "q64_string_stats": f"WITH {
+        RUNS.format('text', 'documents')
+    } SELECT doc_id, len(runs)::BIGINT AS n_strings, length(array_to_string(runs, ''))::BIGINT AS n_printable, coalesce(length(array_to_string(runs, ''))::DOUBLE / nullif(len(runs), 0), 0.0) AS mean_length FROM r",
+    "q65_category_counts": f"WITH {
+        RUNS.format('html', 'pages')
+    }, m AS ({COUNTED}) SELECT category, sum(n)::BIGINT AS n_strings, count(*) AS n_pages FROM m WHERE n > 0 GROUP BY category",
     "q66_length_percentiles": "SELECT source, count(*) AS n, min(n_chars) AS least, max(n_chars) AS most, avg(n_chars) AS mean, quantile_cont(n_chars, 0.5) AS p50, quantile_cont(n_chars, 0.9) AS p90, quantile_cont(n_chars, 0.95) AS p95, quantile_cont(n_chars, 0.99) AS p99 FROM documents GROUP BY source",
     "q96_printable_spread": f"""WITH {RUNS.format('html', 'pages')}, j AS (SELECT page_id, len(runs)::BIGINT AS n_strings, array_to_string(runs, '') AS s FROM r), x AS (SELECT page_id, unnest(string_split(s, '')) AS c FROM j),
  c AS (SELECT page_id, c, count(*) AS n FROM x WHERE c <> '' GROUP BY ALL), e AS (SELECT page_id, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 9) AS entropy, count(*) AS k FROM c GROUP BY page_id)
  SELECT page_id, n_strings, length(s)::BIGINT AS n_printable, coalesce(entropy, 0.0) AS entropy, coalesce(k, 0) AS n_kinds FROM j LEFT JOIN e USING (page_id)""",
-    "q67_multi_hot": "SELECT user_id, " + " || ".join(f"CAST(bool_or(event_type = '{t}') AS INT)::VARCHAR" for t in KNOWN_TYPES) + " AS flags FROM events GROUP BY user_id",
+    "q67_multi_hot": "SELECT user_id, " + " || ".join(
+        f"CAST(bool_or(event_type = '{t}') AS INT)::VARCHAR" for t in KNOWN_TYPES
+    ) + " AS flags FROM events GROUP BY user_id",
     "q68_json_extract": "SELECT event_type, count(json_extract_string(props, '$.k')) AS n_with_k, sum(json_extract_string(props, '$.k')::DOUBLE) AS sum_k, max(json_extract_string(props, '$.k')::DOUBLE) AS max_k FROM events GROUP BY event_type",
     "q69_family_parse": "WITH c AS (SELECT regexp_replace(source || '-' || substr(md5(doc_id::VARCHAR), 1, 10) || '-' || (doc_id % 7) || '.raw', '^(.+)-([0-9]+)\\.raw$', '\\1') AS sample FROM documents) SELECT regexp_replace(sample, '-[0-9a-fA-F]{6,}$', '') AS family, count(*) AS n, count(DISTINCT sample) AS n_samples FROM c GROUP BY 1",
-    "q86_category_index": "SELECT event_type, CAST(coalesce(list_position([" + ", ".join(f"'{t}'" for t in KNOWN_TYPES) + "], event_type) - 1, 0) AS BIGINT) AS idx, count(*) AS n FROM events GROUP BY event_type",
+    "q86_category_index": "SELECT event_type, CAST(coalesce(list_position([" + ", ".join(
+        f"'{t}'" for t in KNOWN_TYPES
+    ) + "], event_type) - 1, 0) AS BIGINT) AS idx, count(*) AS n FROM events GROUP BY event_type",
     "q87_sigmoid_logit": "WITH p AS (SELECT doc_id, greatest(least((doc_id % 1001)::DOUBLE / 1000.0, 1 - 1e-7::DOUBLE), 1e-7::DOUBLE) AS q FROM documents), m AS (SELECT doc_id, ln(q / (1 - q)) AS z FROM p) SELECT doc_id, round(z, 9) AS margin, round(1 / (1 + exp(-z)), 9) AS p FROM m",
     "q88_float32": "WITH x AS (SELECT l_extendedprice * (1 - l_discount) AS x FROM lineitem) SELECT count(DISTINCT x) AS n_double, count(DISTINCT x::FLOAT) AS n_single FROM x",
     "q89_window_entropy": """WITH h AS (SELECT doc_id, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM documents WHERE text <> ''), b AS (SELECT doc_id, h, unnest(CASE WHEN n < 2048 THEN [0::BIGINT] ELSE range(0, n - 2047, 1024) END) AS "at" FROM h),

@@ -50,7 +50,9 @@ def q37_group_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q38_connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources linked by equal texts: groups that share a text are one group. Texts are named by their
     first document, below zero."""
-    docs = table(spark, sf_dir, "documents").select(F.regexp_extract("source", "([0-9]+)$", 1).cast("long").alias("source"), "doc_id", F.sha2("text", 256).alias("digest"))
+    docs = table(spark, sf_dir, "documents").select(
+        F.regexp_extract("source", "([0-9]+)$", 1).cast("long").alias("source"), "doc_id", F.sha2("text", 256).alias("digest")
+    )
     names = docs.groupBy("digest").agg((-F.min("doc_id") - 1).alias("text"))
     parts = connected_components(docs.join(names, "digest").select("source", "text"), "source", "text")
     return parts.groupBy("component").agg(F.count("*").alias("n_nodes"), F.count_if(F.col("node") >= 0).alias("n_sources"))
@@ -110,21 +112,28 @@ def q46_stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q47_stratum_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flows(spark, sf_dir).groupBy("day", "label_raw").agg(F.count("*").alias("n"), F.count_if(F.col("label") == 0).alias("n_benign"), F.count_if(F.col("label") == 1).alias("n_malicious"), F.count_distinct("vec").alias("n_vec"))
+    return flows(spark, sf_dir).groupBy("day", "label_raw").agg(
+        F.count("*").alias("n"), F.count_if(F.col("label") == 0).alias("n_benign"), F.count_if(F.col("label") == 1).alias("n_malicious"),
+        F.count_distinct("vec").alias("n_vec")
+    )
 
 
 def q48_sequence_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of identical sequences, bucketed by source and majority label."""
     rows = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("seq"), "source", (F.col("n_chars") % 2).cast("int").alias("label"))
     sizes = rows.groupBy("seq").agg(F.count("*").alias("size"))
-    return sizes.join(dedup.majority(rows, ["seq"], ["source", "label"]), "seq").groupBy("source", "label").agg(F.count("*").alias("n_groups"), F.sum("size").alias("n_rows"))
+    return sizes.join(dedup.majority(rows, ["seq"], ["source", "label"]), "seq").groupBy("source", "label").agg(
+        F.count("*").alias("n_groups"), F.sum("size").alias("n_rows")
+    )
 
 
 def q49_era_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Authored sides stay: each is collapsed by itself, and val is carved from train."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("digest"), (F.col("doc_id") % 3 == 0).alias("is_test"))
     test = dedup.representative(docs.where("is_test").select("digest", "doc_id", "lang"), ["digest"], ["doc_id"]).withColumn("split", F.lit("test"))
-    train = splits.carve(dedup.representative(docs.where("NOT is_test").select("digest", "doc_id", "lang"), ["digest"], ["doc_id"]), ["lang"], ["doc_id"], 0.1, SEED)
+    train = splits.carve(
+        dedup.representative(docs.where("NOT is_test").select("digest", "doc_id", "lang"), ["digest"], ["doc_id"]), ["lang"], ["doc_id"], 0.1, SEED
+    )
     return train.unionByName(test).select("doc_id", "lang", "duplicate_count", "split")
 
 
@@ -150,7 +159,9 @@ def q72_dropped_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q73_set_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines, orders = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k")).distinct(), table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    lines, orders = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("k")
+    ).distinct(), table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
     missing, extra = orders.exceptAll(lines), lines.exceptAll(orders)
     counted = missing.agg(F.count("*").alias("n_missing")).join(F.broadcast(extra.agg(F.count("*").alias("n_extra"))))  # one row each
     return counted.select("n_missing", "n_extra", ((F.col("n_missing") + F.col("n_extra")) == 0).cast("int").alias("is_equal"))
@@ -166,7 +177,9 @@ def q75_union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources of different kinds under one schema."""
     docs = table(spark, sf_dir, "documents").select(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), F.length("text").cast("long").alias("n"))
     pages = table(spark, sf_dir, "pages").select(F.lit("pages").alias("origin"), F.col("page_id").alias("id"), F.length("html").cast("long").alias("n"))
-    talk = table(spark, sf_dir, "conversations").select(F.lit("conversations").alias("origin"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.length("text").cast("long").alias("n"))
+    talk = table(spark, sf_dir, "conversations").select(
+        F.lit("conversations").alias("origin"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.length("text").cast("long").alias("n")
+    )
     return docs.unionByName(pages).unionByName(talk).groupBy("origin").agg(F.count("*").alias("rows"), F.sum("n").alias("n_chars"))
 
 
@@ -182,13 +195,19 @@ def q77_sorted_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digest artifact: valid 32-byte digests in byte order, others counted out."""
     from argusframe.functions.columns import digest_or_null
 
-    raw = table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 10 == 3, F.lit("zz")).when(F.col("doc_id") % 10 == 4, F.substring(F.sha2("text", 256), 1, 20)).otherwise(F.sha2("text", 256)).alias("h"))
+    raw = table(spark, sf_dir, "documents").select(
+        F.when(F.col("doc_id") % 10 == 3, F.lit("zz")).when(
+            F.col("doc_id") % 10 == 4, F.substring(F.sha2("text", 256), 1, 20)
+        ).otherwise(F.sha2("text", 256)).alias("h")
+    )
     return raw.select(digest_or_null(F.col("h")).alias("d")).where("d IS NOT NULL").orderBy("d").select(F.lower(F.hex("d")).alias("sha256"))
 
 
 def q80_rollup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = samples(spark, sf_dir)
-    return rows.rollup("family", "label").agg(F.count("*").alias("n"), F.count_distinct("digest").alias("n_distinct")).select(F.coalesce("family", F.lit("all")).alias("family"), F.coalesce(F.col("label").cast("string"), F.lit("all")).alias("label"), "n", "n_distinct")
+    return rows.rollup("family", "label").agg(F.count("*").alias("n"), F.count_distinct("digest").alias("n_distinct")).select(
+        F.coalesce("family", F.lit("all")).alias("family"), F.coalesce(F.col("label").cast("string"), F.lit("all")).alias("label"), "n", "n_distinct"
+    )
 
 
 def q81_approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:

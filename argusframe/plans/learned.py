@@ -17,7 +17,11 @@ FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "days"]
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items split by order: the days since the first shipment say something about the return flag."""
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("double").alias("days"), (F.col("l_returnflag") == "R").cast("int").alias("label"))
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+        F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("double").alias("days"),
+        (F.col("l_returnflag") == "R").cast("int").alias("label")
+    )
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.lit("all").alias("bucket"), F.lit(1).alias("size"))
     return rows.join(splits.allocate(orders, ["bucket"], ["l_orderkey"], "size", "42").select("l_orderkey", "split"), "l_orderkey")
 
@@ -38,26 +42,37 @@ def m02_model_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = metrics.thresholds_for_fpr(rows.where("split = 'cal'"), [0.01, 0.05, 0.1]).select("target", "threshold")
     hit = F.col("score") >= F.coalesce("threshold", F.lit(float("inf")))
     test = rows.where("split = 'test'").join(F.broadcast(chosen))  # a row a target
-    return test.groupBy("target", "threshold").agg(F.count("*").alias("n"), F.count_if(hit & (F.col("label") == 0)).alias("fp"), F.count_if(hit & (F.col("label") == 1)).alias("tp"))
+    return test.groupBy("target", "threshold").agg(
+        F.count("*").alias("n"), F.count_if(hit & (F.col("label") == 0)).alias("fp"), F.count_if(hit & (F.col("label") == 1)).alias("tp")
+    )
 
 
 def m03_pe_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feature vector of every document's bytes: none is an executable, so only byte-level groups are set."""
     files = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "utf-8").alias("content"))
     out = pe.pe_features(files, "doc_id")
-    return out.select("doc_id", "is_pe", F.size("features").alias("n_features"), F.round(F.aggregate(F.slice("features", 8, 256), F.lit(0.0), lambda a, x: a + x), 3).alias("histogram_sum"), F.array_join("degraded", ",").alias("degraded"))
+    return out.select(
+        "doc_id", "is_pe", F.size("features").alias("n_features"),
+        F.round(F.aggregate(F.slice("features", 8, 256), F.lit(0.0), lambda a, x: a + x), 3).alias("histogram_sum"),
+        F.array_join("degraded", ",").alias("degraded")
+    )
 
 
 def m04_session_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The streaming traces run as a batch: watermarks have no effect there."""
     events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return scoring.session_traces(events, "6 hours").select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.array_join("tokens", " ").alias("tokens"), F.col("n").cast("long").alias("n"))
+    return scoring.session_traces(events, "6 hours").select(
+        "user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.array_join("tokens", " ").alias("tokens"), F.col("n").cast("long").alias("n")
+    )
 
 
 def m06_sequence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Traces of events by user: a classifier trained on runs of tokens, stopped on val, scores them all."""
     traces = sequences.traces(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type")
-    rows = traces.select("user_id", "tokens", (F.array_position("tokens", "purchase") % 2).cast("int").alias("label"), F.when(F.col("user_id") % 5 < 3, "train").when(F.col("user_id") % 5 == 3, "val").otherwise("test").alias("split"))
+    rows = traces.select(
+        "user_id", "tokens", (F.array_position("tokens", "purchase") % 2).cast("int").alias("label"),
+        F.when(F.col("user_id") % 5 < 3, "train").when(F.col("user_id") % 5 == 3, "val").otherwise("test").alias("split")
+    )
     rows = materialize(rows, "sequence-rows")
     return models.train_sequences(rows).score(rows).select("user_id", "split", "label", "margin", "score")
 

@@ -52,7 +52,10 @@ def s01_memory_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CSV with a header a file, validated, with the derived ratios."""
     docs = table(spark, sf_dir, "documents")
     cells = [memory_cell(j).alias(n) for j, n in enumerate(MEMORY_NAMES)]
-    rows = docs.select(F.concat(F.lit("Fam-"), F.col("doc_id").cast("string")).alias("Category"), *cells, F.when(F.col("doc_id") % 3 == 0, "Benign").otherwise("Malware").alias("Class"))
+    rows = docs.select(
+        F.concat(F.lit("Fam-"), F.col("doc_id").cast("string")).alias("Category"), *cells,
+        F.when(F.col("doc_id") % 3 == 0, "Benign").otherwise("Malware").alias("Class")
+    )
     with folder(spark) as path:
         rows.write.option("header", True).csv(path)
         got = readers.with_memory_ratios(readers.read_memory(spark, path))
@@ -77,7 +80,9 @@ def s02_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
             own.write.option("header", True).option("emptyValue", "").csv(f"{path}/{day}")
             rename_parts(spark, f"{path}/{day}", f"{day}_{{}}.csv")
         got = readers.read_flows(spark, [f"{path}/Monday-01", f"{path}/Tuesday-02"])
-        return materialize(got.groupBy("capture_day", "label_raw", "label").agg(F.count("*").alias("n"), F.sum(F.col("Flow Duration").cast("long")).alias("duration")), "flows")
+        return materialize(
+            got.groupBy("capture_day", "label_raw", "label").agg(F.count("*").alias("n"), F.sum(F.col("Flow Duration").cast("long")).alias("duration")), "flows"
+        )
 
 
 def s03_dropped_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +128,9 @@ def s07_emulation_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("item_id")
     blank = {k: F.lit("") for k in readers.EMULATION_KEYS}
     apis = F.transform(F.sequence(F.lit(1), (i % 4 + 1).cast("int")), lambda k: F.struct(F.concat(F.lit("Api"), k.cast("string")).alias("api_name")))
-    entry = blank | {"ep_type": F.lit("module_entry"), "apihash": F.md5(i.cast("string")), "apis": apis, "error": F.when(i % 5 == 0, F.lit("fault")).otherwise("")}
+    entry = blank | {
+        "ep_type": F.lit("module_entry"), "apihash": F.md5(i.cast("string")), "apis": apis, "error": F.when(i % 5 == 0, F.lit("fault")).otherwise("")
+    }
     lists = table(spark, sf_dir, "benchmark").select("item_id", F.to_json(F.array(F.struct(*[c.alias(k) for k, c in entry.items()]))).alias("value"))
     with folder(spark) as path:
         for n, (split, family) in enumerate((("train_a", "clean"), ("train_a", "worm"), ("test_b", "trojan"))):
@@ -152,7 +159,9 @@ def s09_digest_artifact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def s10_split_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One folder a split, read back with the split from the folder's name, and what was excluded beside them."""
-    rows = table(spark, sf_dir, "orders").withColumn("split", F.when(F.col("o_orderkey") % 10 < 7, "train").when(F.col("o_orderkey") % 10 < 9, "val").otherwise("test"))
+    rows = table(spark, sf_dir, "orders").withColumn(
+        "split", F.when(F.col("o_orderkey") % 10 < 7, "train").when(F.col("o_orderkey") % 10 < 9, "val").otherwise("test")
+    )
     with folder(spark) as path:
         readers.write_splits(rows.where("o_orderstatus <> 'P'"), path, rows.where("o_orderstatus = 'P'"))
         kept, gone = spark.read.parquet(f"{path}/splits"), spark.read.parquet(f"{path}/excluded").withColumn("split", F.lit("excluded"))
@@ -172,8 +181,13 @@ def s12_security_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, "ALLOW").otherwise("ALERT").alias("final_decision"))
     events = materialize(readers.security_events(rows), "security-events")
     field = lambda k: F.get_json_object("event", f"$.{k}")
-    stamps = F.count_if(F.to_timestamp(field("timestamp")).between(F.current_timestamp() - F.expr("INTERVAL 1 DAY"), F.current_timestamp() + F.expr("INTERVAL 1 DAY")))
-    return events.groupBy(field("final_decision").alias("final_decision")).agg(F.count("*").alias("n"), F.sum(field("doc_id").cast("long")).alias("ids"), F.count_distinct(field("correlation_id")).alias("n_ids"), stamps.alias("n_stamps"))
+    stamps = F.count_if(
+        F.to_timestamp(field("timestamp")).between(F.current_timestamp() - F.expr("INTERVAL 1 DAY"), F.current_timestamp() + F.expr("INTERVAL 1 DAY"))
+    )
+    return events.groupBy(field("final_decision").alias("final_decision")).agg(
+        F.count("*").alias("n"), F.sum(field("doc_id").cast("long")).alias("ids"), F.count_distinct(field("correlation_id")).alias("n_ids"),
+        stamps.alias("n_stamps")
+    )
 
 
 def s13_feature_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +198,9 @@ def s13_feature_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = lambda group: F.round(F.aggregate(F.slice("features", at[group] + 1, pe.GROUPS[group]), F.lit(0.0), lambda a, x: a + x), 3)
     return got.select(
         "doc_id", F.col("is_pe").cast("int").alias("is_pe"), f("general").alias("size"), f("general", 3).alias("first_byte"), total("histogram").alias("histogram"), total("byteentropy").alias("byteentropy"), f("header").alias("stamp"),
-        f("section").alias("n_sections"), f("section", 221).alias("overlay"), f("imports").alias("n_imports"), f("imports", 1).alias("n_libraries"), f("exports").alias("n_exports"), f("datadirectories", 2).alias("import_size"), f("richheader").alias("n_tools"),
+        f("section").alias("n_sections"), f("section", 221).alias("overlay"), f("imports").alias("n_imports"), f("imports", 1).alias("n_libraries"), f("exports").alias("n_exports"), f(
+            "datadirectories", 2
+        ).alias("import_size"), f("richheader").alias("n_tools"),
         f("authenticode").alias("n_signatures"), F.array_join("degraded", ",").alias("degraded"),
     )
 
@@ -196,7 +212,10 @@ QUERIES = {
     )
 }
 CELL = {n: f"(doc_id * {j + 3} % 97)::DOUBLE" for j, n in enumerate(MEMORY_NAMES)}
-RATIOS = ", ".join(f"round(coalesce(({' + '.join(CELL[n] for n in a)}) / nullif({' + '.join(CELL[n] for n in b)}, 0), 0.0), 9) AS {k}" for k, (a, b) in readers.MEMORY_RATIOS.items())
+RATIOS = ", ".join(
+    f"round(coalesce(({' + '.join(CELL[n] for n in a)}) / nullif({' + '.join(CELL[n] for n in b)}, 0), 0.0), 9) AS {k}" for k,
+    (a, b) in readers.MEMORY_RATIOS.items()
+)
 LABELS = ", ".join(f"'{x}'" for x in [*readers.FLOW_LABELS, "Label", "odd"])
 FLOWS = f"f AS (SELECT l_orderkey * 10 + l_linenumber AS i, l_linestatus, [{LABELS}][(l_orderkey * 10 + l_linenumber) % 17 + 1] AS label_raw FROM lineitem)"
 ORACLE_SQL = {

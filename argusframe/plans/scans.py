@@ -29,7 +29,9 @@ def executable_head() -> bytes:
     body[0x80:0x8D] = b"KERNEL32.dll\0"
     body[0x92:0x9E] = b"CreateFileW\0"
     directories = [(0, 0), (rva, 0x28)] + [(0, 0)] * 14
-    optional = struct.pack("<H2B5I", 0x20B, 14, 0, 512, 0, 0, rva, rva) + struct.pack("<Q2I6H4I2H4Q2I", 0x140000000, 4096, 512, 6, 0, 0, 0, 6, 0, 0, 8192, 0x200, 0, 3, 0x160, 1, 1, 1, 1, 0, 16)
+    optional = struct.pack("<H2B5I", 0x20B, 14, 0, 512, 0, 0, rva, rva) + struct.pack(
+        "<Q2I6H4I2H4Q2I", 0x140000000, 4096, 512, 6, 0, 0, 0, 6, 0, 0, 8192, 0x200, 0, 3, 0x160, 1, 1, 1, 1, 0, 16
+    )
     optional += b"".join(struct.pack("<2I", *d) for d in directories)
     coff = struct.pack("<2H3I2H", 0x8664, 1, 1234, 0, 0, len(optional), 0x22)
     section = struct.pack("<8s4I12xI", b".text", 0x200, rva, 0x200, 0x200, 0x60000020)
@@ -46,9 +48,14 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     text = F.encode(F.coalesce("text", F.lit("")), "utf-8")
     content = F.when(d % 5 != 1, F.concat(F.unhex(F.lit(HEAD.hex())), text)).otherwise(text)
-    rows = table(spark, sf_dir, "documents").select("doc_id", (d % 13 != 12).alias("exists"), F.lit(True).alias("is_file"), F.lit(True).alias("readable"), content.alias("content"))
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", (d % 13 != 12).alias("exists"), F.lit(True).alias("is_file"), F.lit(True).alias("readable"), content.alias("content")
+    )
     found = F.col("exists")
-    return rows.select("doc_id", "exists", "is_file", "readable", F.when(found, F.octet_length("content").cast("long")).alias("length"), F.when(found, F.col("content")).alias("content"), F.when(found, F.sha2("content", 256)).alias("sha256"))
+    return rows.select(
+        "doc_id", "exists", "is_file", "readable", F.when(found, F.octet_length("content").cast("long")).alias("length"),
+        F.when(found, F.col("content")).alias("content"), F.when(found, F.sha2("content", 256)).alias("sha256")
+    )
 
 
 def by_size(parsed: DataFrame) -> DataFrame:
@@ -60,7 +67,10 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What else is known of each file: length of its trace and scores of the other models, by arithmetic."""
     d = F.col("doc_id")
     unit = lambda k: (d * k % 10007).cast("double") / 10007.0
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(d % 3 == 0, d % 140).alias("n_calls"), unit(104729).alias("behavioral_score"), F.when(d % 11 == 0, unit(31)).alias("memory_score"), F.when(d % 7 != 0, unit(1299709)).alias("network_score"))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.when(d % 3 == 0, d % 140).alias("n_calls"), unit(104729).alias("behavioral_score"), F.when(d % 11 == 0, unit(31)).alias("memory_score"),
+        F.when(d % 7 != 0, unit(1299709)).alias("network_score")
+    )
 
 
 def scanned(spark: SparkSession, sf_dir: str, score=by_size) -> DataFrame:
@@ -71,7 +81,9 @@ def scanned(spark: SparkSession, sf_dir: str, score=by_size) -> DataFrame:
 
 def q90_file_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes to decisions: an unsigned executable gets a verdict, not an error."""
-    return scanned(spark, sf_dir).select("doc_id", "static", "behavioral", "memory", "network", "final_decision", F.array_join("reason_codes", ",").alias("reason_codes"))
+    return scanned(spark, sf_dir).select(
+        "doc_id", "static", "behavioral", "memory", "network", "final_decision", F.array_join("reason_codes", ",").alias("reason_codes")
+    )
 
 
 def q91_signature_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,13 +96,17 @@ def q92_warning_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = F.array(*map(F.lit, WARNINGS))
     i = (F.col("doc_id") % (len(WARNINGS) + 5)).cast("int")
     one = F.get(known, i)
-    made = F.when(one.isNull(), F.concat(F.lit("unheard of "), F.col("doc_id").cast("string"))).when(F.startswith(one, F.lit(DOTS)), F.concat(F.lit("section 7: "), F.expr("substring(w, 4)"))).otherwise(F.concat(F.expr("substring(w, 1, length(w) - 3)"), F.col("doc_id").cast("string")))
+    made = F.when(one.isNull(), F.concat(F.lit("unheard of "), F.col("doc_id").cast("string"))).when(
+        F.startswith(one, F.lit(DOTS)), F.concat(F.lit("section 7: "), F.expr("substring(w, 4)"))
+    ).otherwise(F.concat(F.expr("substring(w, 1, length(w) - 3)"), F.col("doc_id").cast("string")))
     rows = table(spark, sf_dir, "documents").withColumn("w", one).select(made.alias("w"))
     return rows.groupBy(F.coalesce(normalised(F.col("w")), F.lit("unknown")).alias("form")).agg(F.count("*").alias("n"))
 
 
 def q93_worst_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") * F.col("l_discount")).alias("a"), (F.col("l_extendedprice") * F.col("l_tax")).alias("b"))
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", (F.col("l_extendedprice") * F.col("l_discount")).alias("a"), (F.col("l_extendedprice") * F.col("l_tax")).alias("b")
+    )
     return metrics.worst_row(rows, ["l_orderkey", "l_linenumber"])
 
 
@@ -106,7 +122,9 @@ def q94_prevalence_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evaluated(spark: SparkSession, sf_dir: str) -> dict:
     """Line items as scored rows of each signal."""
     rows = table(spark, sf_dir, "lineitem").select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.when(F.col("l_linestatus") == "O", "val").otherwise("test").alias("split"), (F.col("l_returnflag") == "R").cast("int").alias("label"),
+        (
+            F.col("l_orderkey") * 10 + F.col("l_linenumber")
+        ).alias("id"), F.when(F.col("l_linestatus") == "O", "val").otherwise("test").alias("split"), (F.col("l_returnflag") == "R").cast("int").alias("label"),
         (F.col("l_quantity") / 50.0).alias("score"), (F.col("l_orderkey") % 150).alias("n_calls"),
     )
     return {name: lambda: rows for name in evaluators.EVALUATORS}
@@ -122,14 +140,21 @@ def m05_trained_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same files under a detector fitted on their own feature vectors: trained, calibrated, then decided."""
     held = files(spark, sf_dir)
     vectors = pe.pe_features(held.where("content IS NOT NULL"), "doc_id").where("is_pe")
-    labels = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") > 600).cast("int").alias("label"), F.when(F.col("doc_id") % 10 < 6, "train").when(F.col("doc_id") % 10 < 8, "val").otherwise("cal").alias("split"))
+    labels = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.col("n_chars") > 600).cast("int").alias("label"),
+        F.when(F.col("doc_id") % 10 < 6, "train").when(F.col("doc_id") % 10 < 8, "val").otherwise("cal").alias("split")
+    )
     rows = materialize(vectors.join(labels, "doc_id").select("doc_id", "features", "label", "split"), "scan-training")
     detector = models.train(rows, ["features"], rounds=5, depth=3)
     out = scanned(spark, sf_dir, lambda parsed: detector.score(parsed).select("doc_id", F.col("score").alias("static_score")))
     return out.select("doc_id", "static_score", "static", "final_decision", F.array_join("reason_codes", ",").alias("reason_codes"))
 
 
-QUERIES = {f.__name__: f for f in (q90_file_decisions, q91_signature_trust, q92_warning_forms, q93_worst_rows, q94_prevalence_labels, q95_signal_reports, m05_trained_scan)}
+QUERIES = {
+    f.__name__: f for f in (
+        q90_file_decisions, q91_signature_trust, q92_warning_forms, q93_worst_rows, q94_prevalence_labels, q95_signal_reports, m05_trained_scan
+    )
+}
 FILES = f"""files AS (SELECT doc_id, doc_id % 13 <> 12 AS found, doc_id % 5 <> 1 AS pe, octet_length(encode(coalesce(text, ''))) + CASE WHEN doc_id % 5 <> 1 THEN {len(HEAD)} ELSE 0 END AS length,
   concat(doc_id % 5 <> 1, coalesce(text, '')) AS bytes FROM documents),
  listed AS (SELECT DISTINCT bytes FROM files WHERE found AND doc_id % 17 = 3),
@@ -140,10 +165,18 @@ FILES = f"""files AS (SELECT doc_id, doc_id % 13 <> 12 AS found, doc_id % 5 <> 1
  c AS (SELECT *, CASE WHEN static = 'ERROR' OR n_calls IS NULL THEN 'NOT_PROVIDED' WHEN n_calls < 10 THEN 'PENDING' WHEN bs >= {T.behavioral}::DOUBLE THEN 'MALICIOUS' ELSE 'BENIGN' END AS behavioral,
   CASE WHEN ms IS NULL THEN 'NOT_PROVIDED' WHEN ms >= {T.memory}::DOUBLE THEN 'MALICIOUS' ELSE 'BENIGN' END AS memory, CASE WHEN ns IS NULL THEN 'NOT_PROVIDED' WHEN ns >= {T.network}::DOUBLE THEN 'MALICIOUS' ELSE 'BENIGN' END AS network FROM b),
  f AS (SELECT *, {DECISION} AS final_decision FROM c)"""
-FORM = "CASE " + " ".join(f"WHEN ends_with(w, '{p.replace(chr(39), chr(39) * 2)}') THEN '{DOTS}{p.replace(chr(39), chr(39) * 2)}'" for p in ENDINGS) + " " + " ".join(f"WHEN starts_with(w, '{p.replace(chr(39), chr(39) * 2)}') THEN '{p.replace(chr(39), chr(39) * 2)}{DOTS}'" for p in BEGINNINGS) + " ELSE 'unknown' END"
+FORM = "CASE " + " ".join(f"WHEN ends_with(w, '{p.replace(chr(39), chr(39) * 2)}') THEN '{DOTS}{p.replace(chr(39), chr(39) * 2)}'" for p in ENDINGS) + " " + " ".join(
+    f"WHEN starts_with(w, '{p.replace(chr(39), chr(39) * 2)}') THEN '{p.replace(chr(39), chr(39) * 2)}{DOTS}'" for p in BEGINNINGS
+) + " ELSE 'unknown' END"
 LISTED = ", ".join("'" + w.replace("'", "''") + "'" for w in WARNINGS)
-PARTS = [("static", "allow_boundary", T.static_allow, "true"), ("static", "block_boundary", T.static_block, "true"), ("behavioral", "band:too_short", T.behavioral, "k < 10"), ("behavioral", "band:short", T.behavioral, "k >= 10 AND k < 100")]
-PARTS += [("behavioral", "band:ok+truncated", T.behavioral, "k >= 100"), ("behavioral", "deployment_total", T.behavioral, "k >= 10"), ("behavioral", "model_raw_total", T.behavioral, "true")]
+PARTS = [
+    ("static", "allow_boundary", T.static_allow, "true"), ("static", "block_boundary", T.static_block, "true"),
+    ("behavioral", "band:too_short", T.behavioral, "k < 10"), ("behavioral", "band:short", T.behavioral, "k >= 10 AND k < 100")
+]
+PARTS += [
+    ("behavioral", "band:ok+truncated", T.behavioral, "k >= 100"), ("behavioral", "deployment_total", T.behavioral, "k >= 10"),
+    ("behavioral", "model_raw_total", T.behavioral, "true")
+]
 EVALUATED = " UNION ALL ".join(
     f"""(WITH x AS (SELECT *, rank() OVER (PARTITION BY split ORDER BY score) + (count(*) OVER (PARTITION BY split, score) - 1) / 2.0::DOUBLE AS ar FROM r WHERE {where}),
  y AS (SELECT split, count(*) AS n, count(*) FILTER (label = 0 AND score < {cut}::DOUBLE) AS tn, count(*) FILTER (label = 0 AND score >= {cut}::DOUBLE) AS fp, count(*) FILTER (label = 1 AND score < {cut}::DOUBLE) AS fn,

@@ -23,7 +23,9 @@ def q51_encode_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q52_sequence_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"))
-    return counts.groupBy(C.behavioral_status(F.col("n")).alias("behavioral"), C.emulation_status(F.col("n") * 7).alias("emulation")).agg(F.count("*").alias("n"))
+    return counts.groupBy(
+        C.behavioral_status(F.col("n")).alias("behavioral"), C.emulation_status(F.col("n") * 7).alias("emulation")
+    ).agg(F.count("*").alias("n"))
 
 
 def q53_length_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +53,10 @@ def q57_head_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q58_class_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "labels").agg(F.count_if(F.col("toxic") == 0).alias("n_neg"), F.count_if(F.col("toxic") == 1).alias("n_pos"), (F.count_if(F.col("toxic") == 0) / F.greatest(F.count_if(F.col("toxic") == 1), F.lit(1))).alias("pos_weight"))
+    return table(spark, sf_dir, "labels").agg(
+        F.count_if(F.col("toxic") == 0).alias("n_neg"), F.count_if(F.col("toxic") == 1).alias("n_pos"),
+        (F.count_if(F.col("toxic") == 0) / F.greatest(F.count_if(F.col("toxic") == 1), F.lit(1))).alias("pos_weight")
+    )
 
 
 def q59_separability(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,13 +76,20 @@ def q84_bounded_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q85_token_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each distinct test sequence, the best token-set similarity to a train sequence (distinct sets only)."""
     sets = dialogues(spark, sf_dir).select("split", F.array_sort(F.array_distinct("tokens")).alias("s")).distinct()
-    test, train = sets.where("split = 'test'").select(F.col("s").alias("a")), sets.where("split = 'train'").select(F.col("s").alias("b"), F.explode("s").alias("t"))
+    test, train = sets.where("split = 'test'").select(F.col("s").alias("a")), sets.where("split = 'train'").select(
+        F.col("s").alias("b"), F.explode("s").alias("t")
+    )
     near = test.withColumn("t", F.explode("a")).join(train, "t").groupBy("a").agg(F.max(sequences.jaccard(F.col("a"), F.col("b"))).alias("best"))
     return near.select(F.array_join("a", ",").alias("tokens"), "best", (F.col("best") >= 0.9).cast("int").alias("is_near"))
 
 
 SEP = "chr(31)"
-QUERIES = {f.__name__: f for f in (q50_vocabulary, q51_encode_prefix, q52_sequence_status, q53_length_bands, q54_sequence_hash, q55_lookup_baseline, q56_token_ablation, q57_head_share, q58_class_weight, q59_separability, q84_bounded_traces, q85_token_sets)}
+QUERIES = {
+    f.__name__: f for f in (
+        q50_vocabulary, q51_encode_prefix, q52_sequence_status, q53_length_bands, q54_sequence_hash, q55_lookup_baseline, q56_token_ablation, q57_head_share,
+        q58_class_weight, q59_separability, q84_bounded_traces, q85_token_sets
+    )
+}
 ORACLE_SQL = {
     "q50_vocabulary": "SELECT event_type AS token, count(*) AS freq, CAST(row_number() OVER (ORDER BY count(*) DESC, event_type) + 1 AS INT) AS token_id FROM events GROUP BY event_type HAVING count(*) >= 2",
     "q51_encode_prefix": f"""WITH {DIALOGUES}, v AS (SELECT t, row_number() OVER (ORDER BY count(*) DESC, t) + 1 AS id FROM (SELECT unnest(tokens) AS t FROM dialogues WHERE split = 'train') WHERE t <> 'system' GROUP BY t),

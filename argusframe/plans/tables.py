@@ -44,7 +44,10 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linestatus").alias("day"),
         F.col("l_returnflag").alias("label_raw"),
         (F.col("l_returnflag") == "R").cast("int").alias("label"),
-        F.concat_ws("|", F.col("l_quantity").cast("long"), F.round(F.col("l_discount") * 100).cast("long"), F.round(F.col("l_tax") * 100).cast("long"), F.col("l_partkey") % 5).alias("vec"),
+        F.concat_ws(
+            "|", F.col("l_quantity").cast("long"), F.round(F.col("l_discount") * 100).cast("long"), F.round(F.col("l_tax") * 100).cast("long"),
+            F.col("l_partkey") % 5
+        ).alias("vec"),
     )
 
 
@@ -55,7 +58,9 @@ FLOWS = """flows AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_linestatus A
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as samples: sample_id, family (source), label (quality 0 or toxic 1), digest of the text."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return docs.join(labels, "doc_id").select("doc_id", "lang", F.col("source").alias("family"), F.col("toxic").cast("int").alias("label"), F.sha2("text", 256).alias("digest"))
+    return docs.join(labels, "doc_id").select(
+        "doc_id", "lang", F.col("source").alias("family"), F.col("toxic").cast("int").alias("label"), F.sha2("text", 256).alias("digest")
+    )
 
 
 SAMPLES = """samples AS (SELECT doc_id, lang, source AS family, CAST(toxic AS INT) AS label, sha256(text) AS digest FROM documents JOIN labels USING (doc_id))"""
@@ -78,7 +83,10 @@ def dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
     from argusframe.operators.sequences import traces
 
     rows = traces(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], "role")
-    return rows.select("conv_id", "tokens", "n", F.array_join("tokens", SEPARATOR).alias("seq"), (F.col("n") % 2).cast("int").alias("label"), F.when(F.col("conv_id") % 4 == 0, "test").otherwise("train").alias("split"))
+    return rows.select(
+        "conv_id", "tokens", "n", F.array_join("tokens", SEPARATOR).alias("seq"), (F.col("n") % 2).cast("int").alias("label"),
+        F.when(F.col("conv_id") % 4 == 0, "test").otherwise("train").alias("split")
+    )
 
 
 DIALOGUES = f"""dialogues AS (SELECT conv_id, list(role ORDER BY turn) AS tokens, count(*) AS n, string_agg(role, chr({ord(SEPARATOR)}) ORDER BY turn) AS seq,

@@ -86,7 +86,10 @@ class PE:
         return None if where is None or where + struct.calcsize(form) > len(self.data) else struct.unpack_from(form, self.data, where)[0]
 
 
-COMMON = ["magic", "major_linker_version", "minor_linker_version", "sizeof_code", "sizeof_initialized_data", "sizeof_uninitialized_data", "address_of_entrypoint", "base_of_code"]
+COMMON = [
+    "magic", "major_linker_version", "minor_linker_version", "sizeof_code", "sizeof_initialized_data", "sizeof_uninitialized_data", "address_of_entrypoint",
+    "base_of_code"
+]
 WINDOWS = [
     "image_base", "section_alignment", "file_alignment", "major_operating_system_version", "minor_operating_system_version", "major_image_version", "minor_image_version", "major_subsystem_version", "minor_subsystem_version",
     "reserved", "sizeof_image", "sizeof_headers", "checksum", "subsystem", "dll_characteristics", "sizeof_stack_reserve", "sizeof_stack_commit", "sizeof_heap_reserve", "sizeof_heap_commit", "loader_flags", "number_of_rvas_and_sizes",
@@ -257,10 +260,16 @@ def section(data: bytes, pe: PE | None) -> list[float]:
     ratios, vratios = [s.size / len(data) for s in pe.sections], [s.size / max(s.vsize, 1) for s in pe.sections]
     props = [[k for k, f in SECTION_FLAGS.items() if s.flags & f] for s in pe.sections]
     most = [*(f(x) for x in ([*entropies, over[2], 0], [*ratios, over[1], 0], [*vratios, 0]) for f in (max, min))]
-    counts = [len(pe.sections), sum(s.size == 0 for s in pe.sections), sum(s.name == "" for s in pe.sections), sum({"MEM_READ", "MEM_EXECUTE"} <= {*p} for p in props), sum("MEM_WRITE" in p for p in props)]
+    counts = [
+        len(pe.sections), sum(s.size == 0 for s in pe.sections), sum(s.name == "" for s in pe.sections),
+        sum({"MEM_READ", "MEM_EXECUTE"} <= {*p} for p in props), sum("MEM_WRITE" in p for p in props)
+    ]
     named = lambda values: hashed(zip((s.name for s in pe.sections), values, strict=True), 50)
     flagged = hashed(((f"{s.name}:{p}", 1.0) for s, ps in zip(pe.sections, props, strict=True) for p in ps), 50)
-    return [*counts, *most, *named([s.size for s in pe.sections]), *named([s.vsize for s in pe.sections]), *named(entropies), *flagged, *hashed([(entry, 1.0)], 10), *over]
+    return [
+        *counts, *most, *named([s.size for s in pe.sections]), *named([s.vsize for s in pe.sections]), *named(entropies), *flagged, *hashed([(entry, 1.0)], 10),
+        *over
+    ]
 
 
 def imported(data: bytes, pe: PE | None) -> list[float]:
@@ -343,7 +352,12 @@ def pefilewarnings(data: bytes, pe: PE | None) -> list[float]:
     return flags(warnings_of(pe)) if pe else [0.0] * GROUPS["pefilewarnings"]
 
 
-EXTRACTORS: dict[str, Callable] = dict(zip(GROUPS, (general, histogram, byteentropy, strings, header, section, imported, exported, datadirectories, richheader, authenticode, pefilewarnings), strict=True))
+EXTRACTORS: dict[str, Callable] = dict(
+    zip(
+        GROUPS, (general, histogram, byteentropy, strings, header, section, imported, exported, datadirectories, richheader, authenticode, pefilewarnings),
+        strict=True
+    )
+)
 
 
 def vector(data: bytes, extractors: dict[str, Callable] = EXTRACTORS) -> tuple[bool, np.ndarray, list[str]]:

@@ -67,7 +67,9 @@ MEMORY_RATIOS = {
     "svcscan_driver_ratio": (["svcscan.kernel_drivers", "svcscan.fs_drivers"], ["svcscan.nservices"]),
     "handles_file_ratio": (["handles.nfile"], ["handles.nhandles"]),
     "handles_mutant_ratio": (["handles.nmutant"], ["handles.nhandles"]),
-    "psxview_hiding_score": ([f"psxview.not_in_{x}" for x in ("pslist", "eprocess_pool", "ethread_pool", "pspcid_list", "csrss_handles", "session", "deskthrd")], ["pslist.nproc"]),
+    "psxview_hiding_score": (
+        [f"psxview.not_in_{x}" for x in ("pslist", "eprocess_pool", "ethread_pool", "pspcid_list", "csrss_handles", "session", "deskthrd")], ["pslist.nproc"]
+    ),
     "ldrmodules_hidden_ratio": (["ldrmodules.not_in_load", "ldrmodules.not_in_init", "ldrmodules.not_in_mem"], ["dlllist.ndlls"]),
     "malfind_injection_rate": (["malfind.ninjections"], ["pslist.nproc"]),
 }
@@ -90,7 +92,9 @@ def flow_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
         names = header_of(spark, path)
         if names not in (FLOW_COLUMNS, IDENTITY_COLUMNS + FLOW_COLUMNS):
             raise BadSource(f"{path}: neither layout; got {len(names)} columns")
-        raw = spark.read.csv(path, schema=T.StructType([T.StructField(n, T.StringType()) for n in names]), header=True, mode="FAILFAST", ignoreLeadingWhiteSpace=False)
+        raw = spark.read.csv(
+            path, schema=T.StructType([T.StructField(n, T.StringType()) for n in names]), header=True, mode="FAILFAST", ignoreLeadingWhiteSpace=False
+        )
         raw = raw.select("*", day_of(F.col("_metadata.file_path")).alias("capture_day")).drop(*IDENTITY_COLUMNS)
         out = raw if out is None else out.unionByName(raw)
     if out is None:
@@ -113,7 +117,10 @@ def read_flows(spark: SparkSession, paths: list[str]) -> DataFrame:
     typed = known.select("capture_day", "Timestamp", *[number(c).alias(c) for c in FLOW_FEATURES], F.col("Label").alias("label_raw"))
     usable = lambda c: F.col(f"`{c}`").isNotNull() & ~F.isnan(F.col(f"`{c}`")) & (F.abs(F.col(f"`{c}`")) < float("inf"))
     fine = typed.where(usable("Flow Byts/s") & usable("Flow Pkts/s"))
-    return fine.select("capture_day", "Timestamp", *[F.col(f"`{c}`").cast("float").alias(c) for c in FLOW_FEATURES], "label_raw", (F.lower(F.trim("label_raw")) != "benign").cast("int").alias("label"))
+    return fine.select(
+        "capture_day", "Timestamp", *[F.col(f"`{c}`").cast("float").alias(c) for c in FLOW_FEATURES], "label_raw",
+        (F.lower(F.trim("label_raw")) != "benign").cast("int").alias("label")
+    )
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -130,7 +137,10 @@ def read_text_traces(spark: SparkSession, traces: str, labels: str) -> DataFrame
     """Traces one a line, families one a line, joined by line number: id (digest of the line), family_raw, label 1, api_calls."""
     t, f = numbered_lines(spark, traces), numbered_lines(spark, labels).withColumnRenamed("value", "family_raw")
     calls = F.filter(F.split(F.lower("value"), r"\s+"), lambda x: x != "")
-    return t.join(f, "line", "left").select(F.sha2("value", 256).alias("id"), F.lit("text").alias("source"), F.trim("family_raw").alias("family_raw"), F.lit(1).alias("label"), calls.alias("api_calls"))
+    return t.join(f, "line", "left").select(
+        F.sha2("value", 256).alias("id"), F.lit("text").alias("source"), F.trim("family_raw").alias("family_raw"), F.lit(1).alias("label"),
+        calls.alias("api_calls")
+    )
 
 
 def read_ragged_traces(spark: SparkSession, path: str) -> DataFrame:
@@ -141,7 +151,10 @@ def read_ragged_traces(spark: SparkSession, path: str) -> DataFrame:
         raise BadSource(f"{path}: expected sha256, labels and numbered columns")
     rows = spark.read.csv(path, schema=T.StructType([T.StructField(n, T.StringType()) for n in names]), header=True)
     calls = F.transform(F.filter(F.array(*[F.col(f"`{n}`") for n in numbered]), lambda x: x.isNotNull() & (F.trim(x) != "")), lambda x: F.lower(F.trim(x)))
-    return rows.select(F.col("sha256").alias("id"), F.lit("ragged").alias("source"), F.lit(None).cast("string").alias("family_raw"), F.col("labels").cast("int").alias("label"), calls.alias("api_calls"))
+    return rows.select(
+        F.col("sha256").alias("id"), F.lit("ragged").alias("source"), F.lit(None).cast("string").alias("family_raw"),
+        F.col("labels").cast("int").alias("label"), calls.alias("api_calls")
+    )
 
 
 def read_json_traces(spark: SparkSession, path: str) -> DataFrame:
@@ -150,7 +163,10 @@ def read_json_traces(spark: SparkSession, path: str) -> DataFrame:
     name = F.when(F.col("name") == "benign", F.col("name")).otherwise(F.raise_error(F.lit("name is not benign")))
     lists = one.select(name.alias("name"), F.explode("apis").alias("c"))
     calls = F.transform("c", lambda x: F.lower(x))
-    return lists.select(F.sha2(F.array_join("c", " "), 256).alias("id"), F.col("name").alias("source"), F.lit(None).cast("string").alias("family_raw"), F.lit(0).alias("label"), calls.alias("api_calls"))
+    return lists.select(
+        F.sha2(F.array_join("c", " "), 256).alias("id"), F.col("name").alias("source"), F.lit(None).cast("string").alias("family_raw"), F.lit(0).alias("label"),
+        calls.alias("api_calls")
+    )
 
 
 def parse_trace(text: Column) -> Column:
@@ -182,12 +198,16 @@ def read_emulation(spark: SparkSession, root: str) -> DataFrame:
     fine = F.when(F.col("entries").isNotNull(), F.col("entries")).otherwise(F.raise_error(F.concat(F.lit("not a list: "), F.col("path"))))
     rows = files.select("path", F.posexplode(fine).alias("ep_index", "raw"))
     keys = F.json_object_keys("raw")
-    checked = F.when(F.size(F.array_except(F.array(*map(F.lit, EMULATION_KEYS)), F.coalesce(keys, F.array().cast("array<string>")))) == 0, F.col("raw")).otherwise(F.raise_error(F.concat(F.lit("keys missing: "), F.col("path"))))
+    checked = F.when(
+        F.size(F.array_except(F.array(*map(F.lit, EMULATION_KEYS)), F.coalesce(keys, F.array().cast("array<string>")))) == 0, F.col("raw")
+    ).otherwise(F.raise_error(F.concat(F.lit("keys missing: "), F.col("path"))))
     rows = rows.withColumn("raw", checked)
     names = F.from_json(F.get_json_object("raw", "$.apis"), "array<struct<api_name:string>>")["api_name"]
     rows = rows.select(
         sample_of(F.col("path")).alias("sample_id"), "ep_index", F.get_json_object("raw", "$.ep_type").alias("ep_type"), emulation_family(F.col("path")).alias("family"), split_of(F.col("path")).alias("split"),
-        F.get_json_object("raw", "$.apihash").alias("apihash"), names.alias("api_names"), is_error(F.get_json_object("raw", "$.error")).alias("has_error"), F.col("raw").alias("raw_entry_json"),
+        F.get_json_object("raw", "$.apihash").alias("apihash"), names.alias("api_names"), is_error(
+            F.get_json_object("raw", "$.error")
+        ).alias("has_error"), F.col("raw").alias("raw_entry_json"),
     )
     return rows.withColumn("n_apis", F.size("api_names")).withColumn("label", (~F.col("family").isin(BENIGN_FAMILIES)).cast("int"))
 
@@ -224,7 +244,10 @@ class _SqliteReader(DataSourceReader):
 
     def read(self, part: _Range) -> Iterator[tuple]:
         with self.connect() as con:
-            yield from con.execute(f'SELECT "{self.column}" FROM "{self.table}" WHERE rowid >= ? AND rowid < ? AND "{self.column}" IS NOT NULL AND "{self.column}" <> \'\'', (part.low, part.high))
+            yield from con.execute(
+                f'SELECT "{self.column}" FROM "{self.table}" WHERE rowid >= ? AND rowid < ? AND "{self.column}" IS NOT NULL AND "{self.column}" <> \'\'',
+                (part.low, part.high)
+            )
 
 
 class SqliteDigests(DataSource):

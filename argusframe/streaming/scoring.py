@@ -17,7 +17,9 @@ def decide_stream(scores: DataFrame, thresholds: policy.Thresholds | None = None
     t = thresholds or policy.Thresholds()
     rows = scores.withColumn("static", policy.static_verdict(F.col("static_score"), t))
     rows = rows.withColumn("behavioral", policy.behavioral_verdict(F.col("static"), F.col("n_calls"), F.col("behavioral_score"), t))
-    rows = rows.withColumn("memory", policy.binary_verdict(F.col("memory_score"), t.memory)).withColumn("network", policy.binary_verdict(F.col("network_score"), t.network))
+    rows = rows.withColumn("memory", policy.binary_verdict(F.col("memory_score"), t.memory)).withColumn(
+        "network", policy.binary_verdict(F.col("network_score"), t.network)
+    )
     return policy.with_decision(rows)
 
 
@@ -26,12 +28,16 @@ def session_traces(events: DataFrame, gap: str = "30 minutes", late: str = "1 ho
     dropped, and a session's state goes when the watermark has passed it."""
     rows = events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w"))
     lists = rows.agg(F.collect_list(F.struct("ts", "event_id", "event_type")).alias("l"))
-    return lists.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.array_sort("l")["event_type"].alias("tokens"), F.size("l").alias("n"))
+    return lists.select(
+        "user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.array_sort("l")["event_type"].alias("tokens"), F.size("l").alias("n")
+    )
 
 
 def windowed_alerts(decided: DataFrame, window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """Decisions counted by window of event time ``ts``."""
-    return decided.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "final_decision").agg(F.count("*").alias("n")).select("w.start", "final_decision", "n")
+    return decided.withWatermark("ts", late).groupBy(
+        F.window("ts", window).alias("w"), "final_decision"
+    ).agg(F.count("*").alias("n")).select("w.start", "final_decision", "n")
 
 
 def run_batches(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
