@@ -19,7 +19,6 @@ from argusframe.operators import policy
 from argusframe.sources import pe, signatures
 
 SHORT_TRACE = 100
-NO_GROUPS = F.array().cast("array<string>")
 
 
 def guarded(predict: Callable[[np.ndarray], np.ndarray]) -> Callable[[Column], Column]:
@@ -83,9 +82,10 @@ def with_static(
         F.col("is_pe") & (F.col("trust") == "verified"), "static_allowlisted_authenticode_chain"
     )
     out = out.withColumn("allowlist_reason", reason).withColumn("problem", F.coalesce("problem", F.when(~F.col("is_pe"), "invalid_or_non_pe_file")))
+    no_groups = F.array().cast("array<string>")
     used = F.col("is_pe") & F.col("allowlist_reason").isNull()
     return out.withColumn("static_score", F.when(used, F.col("static_score"))).withColumn(
-        "degraded", F.when(used, F.coalesce("degraded", NO_GROUPS)).otherwise(NO_GROUPS)
+        "degraded", F.when(used, F.coalesce("degraded", no_groups)).otherwise(no_groups)
     )
 
 
