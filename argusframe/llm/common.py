@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\x0b\f\r"
 #: Bytes of one column chunk that a task hands from Python to the JVM at once.
 BATCH_BYTES = 16 << 20
+#: What a list of documents to read again, or to leave out, may take to be broadcast: else whole texts are shuffled.
+LIST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

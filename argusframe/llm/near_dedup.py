@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from argusframe.checkpoints import discard, materialize, scratch
 from argusframe.components import connected_components
-from argusframe.llm.common import doc_texts, unused
+from argusframe.llm.common import LIST_BYTES, doc_texts, unused
 from argusframe.llm.shingles import WORDS, WordHashes, band_keys, one_permutation, shingle_set, similar, word_hashes, words_of
 from argusframe.sizing import join_checked
 
@@ -89,7 +89,7 @@ def shingle_table(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                     sets, held, first = [], 0, i + 1
 
     texts = doc_texts(docs).select("doc_id", text_key(F.col("text")).alias("key"), "text")
-    return join_checked(texts, wanted, ["doc_id", "key"]).select("node", "text").mapInArrow(run, "node long, set binary")
+    return join_checked(texts, wanted, ["doc_id", "key"], most=LIST_BYTES).select("node", "text").mapInArrow(run, "node long, set binary")
 
 
 def cells_of(rows: DataFrame, sets: DataFrame, key: list[str]) -> DataFrame:
@@ -348,11 +348,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
         again = materialize(heads.groupBy("part").agg(F.min("key").alias("least"), F.count("*").alias("rows")).where("rows > 1"), "near-again")
         held.pass_on(gone)
         if not again.count():
-            return join_checked(docs, gone, same, "left_anti")
+            return join_checked(docs, gone, same, "left_anti", LIST_BYTES)
         heads = join_checked(heads.select("part", "doc_id", "key").distinct(), again, "part")
         extra = as_found(heads.where("key <> least"))
         firsts = materialize(as_found(heads.where("key = least")), "near-firsts")
         out_of_rows = materialize(gone.unionByName(extra).unionByName(firsts), "near-gone")
         held.pass_on(firsts, out_of_rows)
-        one = join_checked(docs, firsts, same).groupBy(gone_id, gone_key).agg(F.first(F.struct(*[docs[c] for c in docs.columns])).alias(is_first))
-        return join_checked(docs, out_of_rows, same, "left_anti").unionByName(one.select(f"{is_first}.*"))
+        one = join_checked(docs, firsts, same, most=LIST_BYTES).groupBy(gone_id, gone_key).agg(F.first(F.struct(*[docs[c] for c in docs.columns])).alias(is_first))
+        return join_checked(docs, out_of_rows, same, "left_anti", LIST_BYTES).unionByName(one.select(f"{is_first}.*"))

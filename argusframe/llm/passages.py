@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from argusframe.checkpoints import discard, materialize, scratch
-from argusframe.llm.common import doc_texts
+from argusframe.llm.common import LIST_BYTES, doc_texts
 from argusframe.llm.near_dedup import links
 from argusframe.llm.shingles import WORDS, WordHashes, mixed, word_hashes
 from argusframe.sizing import join_checked
@@ -45,8 +45,6 @@ WINDOWS = 17
 GAP_WORDS = 8
 #: Words of repeated lines that make a passage without a repeated window.
 PASSAGE_WORDS = 45
-#: What a list of documents to read again may take to be broadcast.
-LIST_BYTES = 32 << 20
 BATCH_SHINGLES = 1 << 21
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
