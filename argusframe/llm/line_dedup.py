@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from argusframe.checkpoints import materialize, scratch
-from argusframe.llm.common import BLANKS, doc_texts, map_rows, unused
+from argusframe.llm.common import BLANKS, LIST_BYTES, doc_texts, map_rows, unused
 from argusframe.sizing import join_checked
 
 MIN_CHARS = 40
@@ -71,7 +71,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
             out.append(("\n".join(kept), len(lines), len(lines) - len(kept)))
         return pd.DataFrame(out, columns=["text", "n_lines", "n_dropped"])
 
-    joined = join_checked(docs, lost, docs["doc_id"].cast("long") == F.col(lost_id), "left")
+    joined = join_checked(docs, lost, docs["doc_id"].cast("long") == F.col(lost_id), "left", LIST_BYTES)
     made = joined.withColumn(made_name, reassemble(F.col("text").cast("string"), F.col(lost_lines)))
     names = [F.col(made_name)["text"].alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     counts = F.struct(F.col(made_name)["n_lines"].alias("n_lines"), F.col(made_name)["n_dropped"].alias("n_dropped"))
