@@ -94,9 +94,9 @@ def shingle_table(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 def cells_of(rows: DataFrame, sets: DataFrame, key: list[str]) -> DataFrame:
     """``rows`` (key, side, node, ...) with the set of each node, every cell of equal key in one task and there
-    in order of side."""
+    in order of side. The join sorts both at any size, and the planner may split it where a node is hot."""
     rows = materialize(rows, "near-cells")
-    filled = join_checked(sets, rows, "node").select(*rows.columns, "set")
+    filled = sets.join(rows.hint("merge"), "node").select(*rows.columns, "set")
     return filled.repartition(*key).sortWithinPartitions(*key, "side")
 
 
