@@ -98,12 +98,27 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back: one job, no lineage left."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _open[-1].folders.append(path)
+    path = reserve(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def reserve(spark: SparkSession, label: str) -> str:
+    """A new folder's path below the shared folder, which belongs to the innermost scope as a cut table does."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _open[-1].folders.append(path)
+    return path
+
+
+def move(folder: str, to: str) -> bool:
+    """Give a folder another name on its file system; False if there is none."""
+    jvm = SparkContext._jvm
+    source, target = jvm.org.apache.hadoop.fs.Path(folder), jvm.org.apache.hadoop.fs.Path(to)
+    files = source.getFileSystem(SparkContext._active_spark_context._jsc.hadoopConfiguration())
+    files.mkdirs(target.getParent())
+    return files.exists(source) and files.rename(source, target)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that :func:`materialize` wrote, once nothing reads them any more."""
     wanted = names_of(*tables)
