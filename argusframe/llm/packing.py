@@ -47,23 +47,37 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def plain_byte_level(spec: dict, byte: dict[str, int]) -> bool:
+    """Whether a vocabulary file is byte-level BPE and nothing else: bytes, every longer token made by a merge, merges
+    in the order of their ids, the usual split, and no step that changes a text or an id list."""
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    odd = [spec.get("normalizer"), spec.get("truncation"), spec.get("padding"), model.get("continuing_subword_prefix"), model.get("end_of_word_suffix"), model.get("dropout"), model.get("byte_fallback"), model.get("ignore_merges")]
+    if model.get("type", "BPE") != "BPE" or any(odd) or split.get("type") != "ByteLevel" or split.get("add_prefix_space", True) or not split.get("use_regex", True):
+        return False
+    added = {t["content"] for t in spec.get("added_tokens", [])}
+    merged = [a + b for a, b in (m if isinstance(m, list) else m.split(" ") for m in model["merges"])]
+    ids = [model["vocab"].get(m, -1) for m in merged]
+    return ids == sorted(set(ids)) and ids[:1] != [-1] and set(model["vocab"]) - added == set(byte) | set(merged)
+
+
 class LibraryIds:
     """Ids as the tokenizers library gives them. For a text of Latin characters without special tokens a
-    second library, given the same vocabulary, finds the same ids several times faster, as long as the
-    file's merges stand in the order of their ids; every other text goes to the first."""
+    second library, given the same vocabulary, finds the same ids several times faster, as long as the file says
+    nothing else than byte-level BPE; every other text goes to the first. special_as_text: their strings are plain text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's threads would only spin
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = special_as_text
         added = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
-        self.special = sorted(added)
+        self.special = [] if special_as_text else sorted(added)
         with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
-        merged = [model["vocab"][a + b] for a, b in (m if isinstance(m, list) else m.split(" ") for m in model["merges"])]
+            spec = json.load(file)
         byte = byte_symbols()
+        self.vocabulary = spec["model"]["vocab"]
         self.fast = None
-        if merged == sorted(merged):
-            ranks = {bytes(map(byte.__getitem__, token)): i for token, i in model["vocab"].items() if token not in added}
+        if plain_byte_level(spec, byte):
+            ranks = {bytes(map(byte.__getitem__, token)): i for token, i in self.vocabulary.items() if token not in added}
             self.fast = tiktoken.Encoding("packing", pat_str=GPT_SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
