@@ -2,9 +2,9 @@
 
 Lines are cut into batches by arrival, written below the shared folder and shown to one streaming query batch by
 batch; it is started anew for each on one checkpoint. Its state sums revenue by nation and item (and keeps the last
-batch that touched a pair). In ``foreachBatch`` the pairs it updates meet their own daily sums of the batch: the closing
-revenue less the batch's sum is the opening one, and running sums over a pair's days give its revenue after each
-day. Items that a batch leaves alone cannot change within it, so ten of them a nation suffice: they are read from the
+batch that touched a pair). In ``foreachBatch`` the pairs it updates meet the lines of the batch: the
+closing revenue less the batch's sum is the opening one. From there running sums over a pair's days give its revenue after
+each day. Items that a batch leaves alone cannot change within it, so ten of them a nation suffice: they are read from the
 state store. A revenue that holds from one day to another is laid over a binary tree of days, ten rows a node are kept, and
 a day's board is the best ten on its path to the root: no item is repeated for each day it stands still.
 
@@ -21,6 +21,8 @@ changes. Extra columns of any name are not looked at; there are no long texts he
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,8 +35,10 @@ DAYS = 180
 #: Days that a line may lag behind the latest one of earlier batches.
 LATE_DAYS = 3
 BOARD = 10
+TASKS_A_CORE = 4
 
 CUT = "nation_id int, item_id long, shipped long, arrived long, cents long, batch int"
+PAIR = ["nation_id", "item_id"]
 CHANGES = "nation_id int, arrival_day long, item_id long, batch int, change string, old_rank int, new_rank int, revenue long"
 
 
@@ -62,39 +66,43 @@ def dated(lines: DataFrame) -> DataFrame:
 
 
 def cut(lines: DataFrame, items: DataFrame, vendors: DataFrame) -> DataFrame:
-    """Every line as ``CUT``; nation_id is null where the line is to be ignored. The small sides are hashed within their partitions."""
+    """Every line as ``CUT``; nation_id is null where the line is to be ignored. The small sides are hashed within their
+    partitions; they are written first, since the planner splits hot keys only of joins right above their shuffles."""
     prices = items.where("item_id IS NOT NULL").groupBy("item_id").agg(F.max(cents(F.col("price"))).alias("price"), F.lit(True).alias("listed"))
     nations = vendors.where("vendor_id IS NOT NULL").groupBy("vendor_id").agg(F.max("nation_id").cast("int").alias("nation_id"))
-    joined = dated(lines).join(prices.hint("shuffle_hash"), "item_id", "left")
+    joined = dated(lines).join(materialize(prices, "prices").hint("shuffle_hash"), "item_id", "left")
     priced = joined.select("vendor_id", F.when(F.col("listed"), F.col("item_id")).cast("long").alias("item_id"), "shipped", "arrived", F.coalesce("known", F.col("units") * F.col("price"), F.lit(0)).cast("long").alias("cents"), "batch")
     nation = F.when(F.col("item_id").isNotNull(), F.col("nation_id"))
-    return priced.join(nations.hint("shuffle_hash"), "vendor_id", "left").select(nation.alias("nation_id"), "item_id", "shipped", "arrived", "cents", "batch")
-
-
-def write_moves(closing: DataFrame, kept: DataFrame, origin: int, before: int, last: int, path: str) -> None:
-    """For each pair that a batch touches, its revenue over days: item, nation, from and upto (days since ``origin``; the day
-    ``before`` stands for the opening), revenue, and after: the revenue on the next day, if the batch has one that changes it."""
-    pair = ["nation_id", "item_id"]
-    daily = kept.groupBy(*pair, (F.col("arrived") - origin).alias("day")).agg(F.sum("cents").alias("delta"))
-    days = W.partitionBy(*pair).orderBy("day")
-    summed = daily.select(
-        *pair, "day", "delta",
-        F.sum("delta").over(days).alias("running"), F.sum("delta").over(W.partitionBy(*pair)).alias("all"),
-        F.lead("day").over(days).alias("next"), F.lead("delta").over(days).alias("more"), F.row_number().over(days).alias("k"),
-    )
-    opening = F.col("revenue") - F.col("all")
-    now = opening + F.col("running")
-    held = F.struct(F.col("day").alias("from"), F.coalesce(F.col("next") - 1, F.lit(last)).alias("upto"), now.alias("revenue"), (now + F.col("more")).alias("after"))
-    first = F.when(F.col("k") == 1, F.struct(F.lit(before).cast("long").alias("from"), (F.col("day") - 1).alias("upto"), opening.alias("revenue"), now.alias("after")))
-    rows = summed.join(closing, pair).select(*pair, F.inline(F.array_compact(F.array(first, held))))
-    rows.write.mode("overwrite").parquet(path)
+    return priced.join(materialize(nations, "nations").hint("shuffle_hash"), "vendor_id", "left").select(nation.alias("nation_id"), "item_id", "shipped", "arrived", "cents", "batch")
+
+
+def by_batch(values: dict[int, int]) -> Column:
+    """What belongs to a row's batch, of which there are few."""
+    return F.create_map(*[F.lit(x).cast("long") for pair in values.items() for x in pair])[F.col("batch").cast("long")]
+
+
+def write_openings(closing: DataFrame, kept: DataFrame, path: str) -> None:
+    """The revenue of each pair that a batch touches as it was before: its closing revenue less what the batch's lines add.
+    Lines are dealt by pair as the state is, so the state's tasks join both where they are."""
+    deltas = kept.groupBy(*PAIR).agg(F.sum("cents").alias("more")).hint("shuffle_hash")
+    closing.join(deltas, PAIR).select(*PAIR, (F.col("revenue") - F.col("more")).alias("delta")).write.mode("overwrite").parquet(path)
+
+
+def moves(kept: DataFrame, openings: DataFrame, before: Column, last: Column) -> DataFrame:
+    """The revenue of each touched pair over the days of its batch: from and upto, revenue, and after: the revenue on the next
+    day, if a later one of the batch changes it. The day ``before`` the first stands for the opening."""
+    daily = kept.groupBy("batch", *PAIR, "day").agg(F.sum("cents").alias("delta"))
+    rows = daily.unionByName(openings.select("batch", *PAIR, before.alias("day"), "delta"))
+    days = W.partitionBy("batch", *PAIR).orderBy("day")
+    now, next_day = F.sum("delta").over(days), F.lead("day").over(days)
+    return rows.select("batch", *PAIR, F.col("day").alias("from"), F.coalesce(next_day - 1, last).alias("upto"), now.alias("revenue"), (now + F.lead("delta").over(days)).alias("after"))
 
 
-def leaders(state: DataFrame, batch: int, before: int, last: int) -> DataFrame:
-    """The best pairs of each nation that ``batch`` left alone, from the rows of the state store."""
-    rows = state.select("key.nation_id", "key.item_id", F.col("value.sum").alias("revenue"), F.col("value.max").alias("last_batch")).where((F.col("last_batch") < batch) & (F.col("revenue") > 0))
-    best = rows.withColumn("k", F.row_number().over(W.partitionBy("nation_id").orderBy(F.desc("revenue"), "item_id"))).where(F.col("k") <= BOARD)
-    return best.select("nation_id", "item_id", F.lit(before).cast("long").alias("from"), F.lit(last).cast("long").alias("upto"), "revenue", F.lit(None).cast("long").alias("after"))
+def leaders(state: DataFrame, before: Column, last: Column) -> DataFrame:
+    """The best pairs of each nation that a batch left alone, from rows of the state store with their batch."""
+    rows = state.select("batch", "key.nation_id", "key.item_id", F.col("value.sum").alias("revenue"), F.col("value.max").alias("touched")).where((F.col("touched") < F.col("batch")) & (F.col("revenue") > 0))
+    best = rows.withColumn("k", F.row_number().over(W.partitionBy("batch", "nation_id").orderBy(F.desc("revenue"), "item_id"))).where(F.col("k") <= BOARD)
+    return best.select("batch", *PAIR, before.alias("from"), last.alias("upto"), "revenue", F.lit(None).cast("long").alias("after"))
 
 
 def nodes(bits: int) -> Column:
@@ -107,15 +115,13 @@ def nodes(bits: int) -> Column:
     return F.array_compact(F.array(*out))
 
 
-def board_changes(moves: DataFrame, bits: int, origin: int) -> DataFrame:
-    """The change feed, from what every pair's revenue was on which days: rows of batch, nation_id, item_id, from,
-    upto, revenue, after and before (the day that stands for the batch's opening)."""
+def board_changes(held: DataFrame, days: DataFrame, bits: int, origin: int) -> DataFrame:
+    """The change feed from what every pair's revenue was on which days (as :func:`moves` has it) and the days of each
+    batch and nation on which it changes: day, next, before."""
     board, best = ["batch", "nation_id"], [F.desc("revenue"), "item_id"]
-    placed = moves.where("revenue > 0").select(*board, "item_id", "revenue", "upto", "after", F.inline(nodes(bits)))
+    placed = held.where("revenue > 0").select(*board, "item_id", "revenue", "upto", "after", F.inline(nodes(bits)))
     node = [*board, "level", "at"]
     kept = placed.withColumn("k", F.row_number().over(W.partitionBy(*node).orderBy(*best))).where(F.col("k") <= BOARD).drop("k")
-    days = moves.select(*board, F.col("from").alias("day"), "before").unionByName(moves.select(*board, F.col("before").alias("day"), "before")).distinct()
-    days = materialize(days.withColumn("next", F.lead("day").over(W.partitionBy(*board).orderBy("day"))), "board-days")
     paths = days.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(bits)))).withColumn("at", F.expr("shiftright(day, level)"))
     ranked = paths.join(kept, node).withColumn("rank", F.row_number().over(W.partitionBy(*board, "day").orderBy(*best))).where(F.col("rank") <= BOARD)
     boards = materialize(ranked.select(*board, "item_id", "day", "next", "before", "rank", "revenue", "upto", "after"), "boards")
@@ -133,31 +139,43 @@ def board_changes(moves: DataFrame, bits: int, origin: int) -> DataFrame:
 def change_feed(lines: DataFrame, items: DataFrame, vendors: DataFrame) -> DataFrame:
     """A row for each item whose rank on its nation's board differs from the board before, after every arrival day: ``CHANGES``."""
     spark: SparkSession = lines.sparkSession
-    with scratch() as held:
+    with scratch() as scope:
         root = reserve(spark, "leaderboard")
-        cut(lines, items, vendors).write.partitionBy("batch").parquet(f"{root}/cut")
+        tasks = TASKS_A_CORE * spark.sparkContext.defaultParallelism  # each writes a file a batch
+        cut(lines, items, vendors).coalesce(tasks).write.partitionBy("batch").parquet(f"{root}/cut")
         spans = spark.read.schema(CUT).parquet(f"{root}/cut").groupBy("batch").agg(F.max("shipped"), F.min("arrived"), F.max("arrived")).collect()  # one row a batch
         if not spans:
             return spark.createDataFrame([], CHANGES)
-        origin, seen = min(r[2] for r in spans) - 1, None  # day 0 stands for the first opening
-        for batch, shipped, first, final in sorted(spans, key=lambda r: r.batch):
-            before, last = first - origin - 1, final - origin
-            fresh = F.col("nation_id").isNotNull() & (F.lit(True) if seen is None else F.col("shipped") + LATE_DAYS >= seen)
+        spans = sorted(spans, key=lambda r: r.batch)
+        origin = min(r[2] for r in spans) - 1  # day 0 stands for the first opening
+        floors = {r.batch: max([q[1] - LATE_DAYS for q in spans[:i]], default=-(1 << 40)) for i, r in enumerate(spans)}
+        before, last = by_batch({r.batch: r[2] - origin - 1 for r in spans}), by_batch({r.batch: r[3] - origin for r in spans})
+        states = []
+        for number, batch in enumerate(floors):
             move(f"{root}/cut/batch={batch}", f"{root}/feed/batch={batch}")
+            fresh = F.col("nation_id").isNotNull() & (F.col("shipped") >= floors[batch])
             feed = spark.readStream.schema(CUT).parquet(f"{root}/feed").where(fresh)
-            sums = feed.groupBy("nation_id", "item_id").agg(F.sum("cents").alias("revenue"), F.max("batch").alias("last_batch"))
+            sums = feed.groupBy(*PAIR).agg(F.sum("cents").alias("revenue"), F.max("batch").alias("touched"))
 
-            def opened(closing: DataFrame, _: int, batch: int = batch, fresh: Column = fresh, before: int = before, last: int = last) -> None:
+            def opened(closing: DataFrame, _: int, batch: int = batch, fresh: Column = fresh) -> None:
                 kept = closing.sparkSession.read.schema(CUT).parquet(f"{root}/feed").where((F.col("batch") == batch) & fresh)
-                write_moves(closing.drop("last_batch"), kept, origin, before, last, f"{root}/moves/touched/batch={batch}/before={before}")
+                write_openings(closing, kept, f"{root}/openings/batch={batch}")
 
             query = sums.writeStream.outputMode("update").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(opened).start()
             query.awaitTermination()
-            state = spark.read.format("statestore").load(f"{root}/checkpoint")
-            leaders(state, batch, before, last).write.parquet(f"{root}/moves/leaders/batch={batch}/before={before}")
-            seen = shipped if seen is None else max(seen, shipped)
-        kinds = "nation_id int, item_id long, from long, upto long, revenue long, after long, batch int, before long"
-        touched, alone = (spark.read.schema(kinds).parquet(f"{root}/moves/{name}") for name in ("touched", "leaders"))
-        out = materialize(board_changes(touched.unionByName(alone), last.bit_length(), origin), "leaderboard-changes")
-        held.pass_on(out)
+            if number:  # the first batch finds no state
+                state = spark.read.format("statestore").option("batchId", number).load(f"{root}/checkpoint")
+                states.append(state.withColumn("batch", F.lit(batch)))
+        fed = spark.read.schema(CUT).parquet(f"{root}/feed").where(F.col("nation_id").isNotNull() & (F.col("shipped") >= by_batch(floors)))
+        kept = fed.select("batch", *PAIR, (F.col("arrived") - origin).alias("day"), "cents")
+        openings = spark.read.schema("nation_id int, item_id long, delta long, batch int").parquet(f"{root}/openings")
+        held = moves(kept, openings, before, last)
+        if states:
+            held = held.unionByName(leaders(reduce(DataFrame.unionByName, states), before, last))
+        changed = kept.select("batch", "nation_id", "day").distinct()
+        changed = changed.unionByName(changed.select("batch", "nation_id", before.alias("day")).distinct())
+        days = changed.select("*", F.lead("day").over(W.partitionBy("batch", "nation_id").orderBy("day")).alias("next"), before.alias("before"))
+        most = max(r[3] for r in spans) - origin
+        out = materialize(board_changes(held, materialize(days, "board-days"), most.bit_length(), origin), "leaderboard-changes")
+        scope.pass_on(out)
     return out
