@@ -99,8 +99,9 @@ WARNINGS = [
     "...Assuming corrupt.",
 ]
 DOTS = "..."
-ENDINGS = [w.removeprefix(DOTS) for w in WARNINGS if w.startswith(DOTS)]
-BEGINNINGS = [w.removesuffix(DOTS) for w in WARNINGS if not w.startswith(DOTS)]
+# Of several known parts that fit, the longest says most.
+ENDINGS = sorted((w.removeprefix(DOTS) for w in WARNINGS if w.startswith(DOTS)), key=len, reverse=True)
+BEGINNINGS = sorted((w.removesuffix(DOTS) for w in WARNINGS if not w.startswith(DOTS)), key=len, reverse=True)
 
 
 def known(warning: str) -> str | None:
@@ -114,14 +115,21 @@ def known(warning: str) -> str | None:
     return None
 
 
+def flags_of_forms(forms: Iterable[str]) -> list[float]:
+    """One flag for each known form among forms that are brought to the vocabulary already, then how many entries there are,
+    known or not."""
+    entries = list(forms)
+    found = set(entries)
+    return [*(float(w in found) for w in WARNINGS), float(len(entries))]
+
+
 def flags(warnings: Iterable[str]) -> list[float]:
-    """One flag for each known warning that occurs, then how many different ones do."""
-    found = {known(w) or (w if w in WARNINGS else None) for w in warnings} - {None}
-    return [*(float(w in found) for w in WARNINGS), float(len(found))]
+    """The same of raw warnings: the distinct forms of those that are known."""
+    return flags_of_forms(sorted({known(w) for w in warnings} - {None}))
 
 
 def normalised(warning: Column) -> Column:
-    """The same as an expression over a column; null for unknown warnings."""
+    """The known form as an expression over a column; null for unknown warnings."""
     by_end = [F.when(F.endswith(warning, F.lit(p)), F.lit(DOTS + p)) for p in ENDINGS]
     by_start = [F.when(F.startswith(warning, F.lit(p)), F.lit(p + DOTS)) for p in BEGINNINGS]
     return F.coalesce(*by_end, *by_start)

@@ -8,6 +8,9 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from argusframe.checkpoints import materialize
+from argusframe.operators import membership
+
 # Verdicts, decisions and reason codes of the decision contract, and the groups of features
 # without which a static score does not count.
 STATIC = ("ALLOW", "ALERT", "BLOCK", "ERROR")
@@ -127,8 +130,10 @@ def path_problem(exists: Column, is_file: Column, readable: Column, length: Colu
     return F.when(~exists, "path_not_found").when(~is_file, "not_a_file").when(~readable, "unreadable").when(length > most, "file_too_large")
 
 
-def allowlisted(files: DataFrame, digests: DataFrame, on: str = "sha256") -> DataFrame:
-    """``files`` with the flag is_allowlisted. The digest table is as large as it is: it is joined by key,
-    and broadcast only where the planner's own size statistics allow."""
-    known = digests.select(F.col(on).alias("_digest")).where("_digest IS NOT NULL").distinct()
-    return files.join(known, F.col(on) == F.col("_digest"), "left").select(*files.columns, F.col("_digest").isNotNull().alias("is_allowlisted"))
+def allowlisted(files: DataFrame, digests: DataFrame | membership.Artifact, on: str = "sha256") -> DataFrame:
+    """``files`` with the flag is_allowlisted, for narrow rows: what the list's filter passes is looked up exactly, and
+    the few listed digests are joined back. Rows with contents: see ``scan.with_static``."""
+    held = membership.of(digests, on)
+    found = materialize(held.listed(files.select(membership.normal(F.col(on)).alias("digest"))), "listed")
+    listed = found.select(F.col("digest").alias("_digest"))
+    return files.join(listed, membership.normal(F.col(on)) == F.col("_digest"), "left").select(*files.columns, F.col("_digest").isNotNull().alias("is_allowlisted"))

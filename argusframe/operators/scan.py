@@ -12,10 +12,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from argusframe.operators import policy
+from argusframe.checkpoints import materialize, scratch
+from argusframe.operators import membership, policy
 from argusframe.sources import pe, signatures
 
 SHORT_TRACE = 100
@@ -64,26 +66,71 @@ def manifest(files: DataFrame, wanted: DataFrame) -> DataFrame:
     )
 
 
+def examined(files: DataFrame, key: str, verify=None) -> DataFrame:
+    """key, is_pe, trust, features, degraded of a table of key, content and skip, in one pass over the bytes. Of a file
+    to skip, or one whose signature is verified, only the format is told."""
+
+    def one(data: bytes, skip: bool) -> tuple:
+        try:
+            pe.parse(data)
+        except pe.NotPE:
+            return False, None, None, None
+        if skip:
+            return True, None, None, None
+        found = signatures.trust(data, verify)
+        if found == "verified":
+            return True, found, None, None
+        return True, found, *pe.vector(data)[1:]
+
+    types = [pa.bool_(), pa.string(), pa.list_(pa.float32()), pa.list_(pa.string())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                cut = batch.slice(i, 64)
+                made = zip(*(one(data.as_py(), skip.as_py()) for data, skip in zip(cut.column(1), cut.column(2), strict=True)), strict=True)
+                yield pa.RecordBatch.from_arrays([cut.column(0), *(pa.array(c, t) for c, t in zip(made, types, strict=True))], names=[key, "is_pe", "trust", "features", "degraded"])
+
+    kind = files.schema[key].dataType.simpleString()
+    return files.select(key, "content", "skip").mapInArrow(run, f"`{key}` {kind}, is_pe boolean, trust string, features array<float>, degraded array<string>")
+
+
 def with_static(
-    files: DataFrame, key: str, score: Callable[[DataFrame], DataFrame], digests: DataFrame | None = None, verify=None, most: int = policy.MAX_FILE_BYTES
+    files: DataFrame, key: str, score: Callable[[DataFrame], DataFrame], digests: DataFrame | membership.Artifact | None = None, verify=None, most: int = policy.MAX_FILE_BYTES
 ) -> DataFrame:
     """``files`` (key, exists, is_file, readable, length, content, sha256) without content, but with problem,
-    allowlist_reason, is_pe, degraded and static_score. Listed and trusted files are neither parsed nor scored."""
+    allowlist_reason, is_pe, degraded and static_score. A file must be executable before any list is asked.
+
+    Contents are read once and never shuffled. Whether a file is listed is found from keys and digests; the pass over
+    contents knows it by two filters: what the list's filter turns away is parsed, and so is what a second filter holds
+    of the digests that passed the first but aren't listed. A listed file is parsed only if it meets one of its bits by chance.
+    """
     rows = files.withColumn("problem", policy.path_problem(F.col("exists"), F.col("is_file"), F.col("readable"), F.col("length"), most))
     rows = rows.withColumn("problem", F.coalesce("problem", F.when(F.col("content").isNull(), "unreadable")))
-    rows = policy.allowlisted(rows, digests) if digests is not None else rows.withColumn("is_allowlisted", F.lit(False))
+    fine, digest = F.col("problem").isNull(), membership.normal(F.col("sha256"))
+    with scratch() as held:
+        if digests is None:
+            flags, skip = None, F.lit(False)
+        else:
+            known = membership.of(digests)
+            asked = materialize(rows.where(fine).select(key, digest.alias("digest")).where(known.filter.possible(F.col("digest"))), "asked")
+            listed = materialize(known.listed(asked), "listed")
+            flags = materialize(asked.join(listed, "digest", "left_semi").select(key, F.lit(True).alias("_listed")), "listed-keys")
+            strays = materialize(asked.join(listed, "digest", "left_anti").select("digest").distinct(), "strays")
+            again = membership.Filter.of(strays, strays.count())
+            again = membership.Filter(materialize(again.words, "stray-filter"), again.bits)
+            skip = F.coalesce(known.filter.possible(digest) & ~again.possible(digest), F.lit(False))
+        seen = materialize(examined(rows.where(fine).withColumn("skip", skip), key, verify), "examined")
+        held.pass_on(seen, flags)
+    scored = score(seen.where("features IS NOT NULL")).select(key, "static_score")
+    out = rows.drop("content").join(seen.drop("features"), key, "left").join(scored, key, "left")
+    out = out.join(flags, key, "left").withColumn("is_allowlisted", F.col("_listed").isNotNull()).drop("_listed") if flags is not None else out.withColumn("is_allowlisted", F.lit(False))
+    out = out.withColumn("problem", F.coalesce("problem", F.when(~F.col("is_pe"), "invalid_or_non_pe_file")))
     fine = F.col("problem").isNull()
-    parsed = pe.pe_features(rows.where(fine & ~F.col("is_allowlisted")), key)
-    trusted = signatures.with_trust(rows.where(fine & ~F.col("is_allowlisted")), key, verify=verify)
-    scored = score(parsed.where("is_pe")).select(key, "static_score")
-    out = rows.drop("content").join(parsed.drop("features"), key, "left").join(trusted, key, "left").join(scored, key, "left")
-    # A listed file's format is known from its first bytes alone.
-    reason = F.when(F.col("is_allowlisted") & fine, "static_allowlisted_nsrl").when(
-        F.col("is_pe") & (F.col("trust") == "verified"), "static_allowlisted_authenticode_chain"
-    )
-    out = out.withColumn("allowlist_reason", reason).withColumn("problem", F.coalesce("problem", F.when(~F.col("is_pe"), "invalid_or_non_pe_file")))
+    reason = F.when(fine & F.col("is_allowlisted"), "static_allowlisted_nsrl").when(fine & (F.col("trust") == "verified"), "static_allowlisted_authenticode_chain")
+    out = out.withColumn("allowlist_reason", reason)
     no_groups = F.array().cast("array<string>")
-    used = F.col("is_pe") & F.col("allowlist_reason").isNull()
+    used = fine & F.col("allowlist_reason").isNull()
     return out.withColumn("static_score", F.when(used, F.col("static_score"))).withColumn(
         "degraded", F.when(used, F.coalesce("degraded", no_groups)).otherwise(no_groups)
     )

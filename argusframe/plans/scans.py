@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from argusframe import models
-from argusframe.checkpoints import materialize
+from argusframe.checkpoints import materialize, scratch
 from argusframe.functions import columns as C
-from argusframe.functions.warnings import BEGINNINGS, DOTS, ENDINGS, WARNINGS, normalised
-from argusframe.operators import evaluators, metrics, policy, scan
+from argusframe.functions.warnings import DOTS, WARNINGS, normalised
+from argusframe.operators import evaluators, membership, metrics, policy, scan
 from argusframe.plans.decisions import DECISION, REASONS
 from argusframe.plans.tables import table
 from argusframe.sources import pe, signatures
@@ -103,6 +103,16 @@ def q92_warning_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.coalesce(normalised(F.col("w")), F.lit("unknown")).alias("form")).agg(F.count("*").alias("n"))
 
 
+def q97_listed_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents of each source a list of digests holds: filter first, exact look-up of what passes."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("source", F.sha2("text", 256).alias("sha256"))
+    with scratch() as held:
+        known = membership.of(docs.where(F.col("source").isin("src3", "src7")))
+        flagged = materialize(policy.allowlisted(docs, known), "flagged")
+        held.pass_on(flagged)
+    return flagged.groupBy("source").agg(F.count("*").alias("n"), F.count_if("is_allowlisted").alias("n_listed"))
+
+
 def q93_worst_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", (F.col("l_extendedprice") * F.col("l_discount")).alias("a"), (F.col("l_extendedprice") * F.col("l_tax")).alias("b")
@@ -152,22 +162,19 @@ def m05_trained_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f for f in (
-        q90_file_decisions, q91_signature_trust, q92_warning_forms, q93_worst_rows, q94_prevalence_labels, q95_signal_reports, m05_trained_scan
+        q90_file_decisions, q91_signature_trust, q92_warning_forms, q93_worst_rows, q94_prevalence_labels, q95_signal_reports, q97_listed_digests, m05_trained_scan
     )
 }
 FILES = f"""files AS (SELECT doc_id, doc_id % 13 <> 12 AS found, doc_id % 5 <> 1 AS pe, octet_length(encode(coalesce(text, ''))) + CASE WHEN doc_id % 5 <> 1 THEN {len(HEAD)} ELSE 0 END AS length,
   concat(doc_id % 5 <> 1, coalesce(text, '')) AS bytes FROM documents),
  listed AS (SELECT DISTINCT bytes FROM files WHERE found AND doc_id % 17 = 3),
- a AS (SELECT *, bytes IN (SELECT bytes FROM listed) AS is_listed, CASE WHEN NOT found THEN 'path_not_found' WHEN length > {MOST_BYTES} THEN 'file_too_large' WHEN bytes NOT IN (SELECT bytes FROM listed) AND NOT pe THEN 'invalid_or_non_pe_file' END AS problem,
+ a AS (SELECT *, bytes IN (SELECT bytes FROM listed) AS is_listed, CASE WHEN NOT found THEN 'path_not_found' WHEN length > {MOST_BYTES} THEN 'file_too_large' WHEN NOT pe THEN 'invalid_or_non_pe_file' END AS problem,
   length / 8000.0::DOUBLE AS score, CASE WHEN doc_id % 3 = 0 THEN doc_id % 140 END AS n_calls, CAST(doc_id * 104729 % 10007 AS DOUBLE) / 10007.0 AS bs,
   CASE WHEN doc_id % 11 = 0 THEN CAST(doc_id * 31 % 10007 AS DOUBLE) / 10007.0 END AS ms, CASE WHEN doc_id % 7 <> 0 THEN CAST(doc_id * 1299709 % 10007 AS DOUBLE) / 10007.0 END AS ns FROM files),
  b AS (SELECT *, CASE WHEN problem IS NOT NULL THEN 'ERROR' WHEN is_listed OR score < {T.static_allow}::DOUBLE THEN 'ALLOW' WHEN score < {T.static_block}::DOUBLE THEN 'ALERT' ELSE 'BLOCK' END AS static FROM a),
  c AS (SELECT *, CASE WHEN static = 'ERROR' OR n_calls IS NULL THEN 'NOT_PROVIDED' WHEN n_calls < 10 THEN 'PENDING' WHEN bs >= {T.behavioral}::DOUBLE THEN 'MALICIOUS' ELSE 'BENIGN' END AS behavioral,
   CASE WHEN ms IS NULL THEN 'NOT_PROVIDED' WHEN ms >= {T.memory}::DOUBLE THEN 'MALICIOUS' ELSE 'BENIGN' END AS memory, CASE WHEN ns IS NULL THEN 'NOT_PROVIDED' WHEN ns >= {T.network}::DOUBLE THEN 'MALICIOUS' ELSE 'BENIGN' END AS network FROM b),
  f AS (SELECT *, {DECISION} AS final_decision FROM c)"""
-FORM = "CASE " + " ".join(f"WHEN ends_with(w, '{p.replace(chr(39), chr(39) * 2)}') THEN '{DOTS}{p.replace(chr(39), chr(39) * 2)}'" for p in ENDINGS) + " " + " ".join(
-    f"WHEN starts_with(w, '{p.replace(chr(39), chr(39) * 2)}') THEN '{p.replace(chr(39), chr(39) * 2)}{DOTS}'" for p in BEGINNINGS
-) + " ELSE 'unknown' END"
 LISTED = ", ".join("'" + w.replace("'", "''") + "'" for w in WARNINGS)
 PARTS = [
     ("static", "allow_boundary", T.static_allow, "true"), ("static", "block_boundary", T.static_block, "true"),
@@ -188,8 +195,8 @@ ORACLE_SQL = {
     "q90_file_decisions": f"""WITH {FILES} SELECT doc_id, static, behavioral, memory, network, final_decision, concat_ws(',', problem, CASE WHEN problem IS NULL AND is_listed THEN 'static_allowlisted_nsrl' END,
  CASE WHEN behavioral IN ('BENIGN', 'MALICIOUS') AND n_calls < 100 THEN 'behavioral_short_trace' END, {REASONS}) AS reason_codes FROM f""",
     "q91_signature_trust": "SELECT CASE WHEN doc_id % 13 = 12 THEN 'no file' WHEN doc_id % 5 = 1 THEN 'parse_error' ELSE 'not_signed' END AS trust, count(*) AS n FROM documents GROUP BY 1",
-    "q92_warning_forms": f"""WITH k AS (SELECT doc_id, [{LISTED}][doc_id % {len(WARNINGS) + 5} + 1] AS w FROM documents), m AS (SELECT CASE WHEN w IS NULL THEN 'unheard of ' || doc_id WHEN starts_with(w, '...') THEN 'section 7: ' || substr(w, 4) ELSE substr(w, 1, length(w) - 3) || doc_id END AS w FROM k)
- SELECT {FORM} AS form, count(*) AS n FROM m GROUP BY 1""",
+    "q92_warning_forms": f"""WITH k AS (SELECT [{LISTED}][doc_id % {len(WARNINGS) + 5} + 1] AS w FROM documents) SELECT coalesce(w, 'unknown') AS form, count(*) AS n FROM k GROUP BY 1""",
+    "q97_listed_digests": "WITH l AS (SELECT DISTINCT sha256(text) AS h FROM documents WHERE source IN ('src3', 'src7')), d AS (SELECT source, sha256(text) IN (SELECT h FROM l) AS is_in FROM documents WHERE text IS NOT NULL) SELECT source, count(*) AS n, count(*) FILTER (is_in) AS n_listed FROM d GROUP BY source",
     "q93_worst_rows": "SELECT l_orderkey, l_linenumber, l_extendedprice * l_discount AS a, l_extendedprice * l_tax AS b, abs(l_extendedprice * l_discount - l_extendedprice * l_tax) AS gap FROM lineitem ORDER BY gap DESC, l_orderkey, l_linenumber LIMIT 1",
     "q94_prevalence_labels": "SELECT event_type, '1 in ' || format('{:,}', round_even(1 / (count(*)::DOUBLE / (sum(count(*)) OVER () * 1000)), 0)::BIGINT) AS odds FROM events GROUP BY event_type",
     "q95_signal_reports": f"WITH r AS (SELECT CASE WHEN l_linestatus = 'O' THEN 'val' ELSE 'test' END AS split, CAST(l_returnflag = 'R' AS INT) AS label, l_quantity / 50.0::DOUBLE AS score, l_orderkey % 150 AS k FROM lineitem) {EVALUATED}",

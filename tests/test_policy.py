@@ -64,12 +64,12 @@ def test_scan_from_files(spark, tmp_path):
     from argusframe.sources import readers
 
     (tmp_path / "d").mkdir()
-    for name, data in (("a.exe", HEAD), ("b.exe", HEAD + b"over"), ("c.exe", HEAD + b"raise"), ("e.exe", HEAD + b"listed"), ("t.txt", b"text")):
+    for name, data in (("a.exe", HEAD), ("b.exe", HEAD + b"over"), ("c.exe", HEAD + b"raise"), ("e.exe", HEAD + b"listed"), ("t.txt", b"text"), ("l.txt", b"listed text")):
         (tmp_path / "d" / name).write_bytes(data)
-    names = ["a.exe", "b.exe", "c.exe", "e.exe", "t.txt", "gone.exe", ""]
+    names = ["a.exe", "b.exe", "c.exe", "e.exe", "t.txt", "l.txt", "gone.exe", ""]
     wanted = spark.createDataFrame([(f"{tmp_path}/d/{n}".rstrip("/"),) for n in names], "path string")
     found = readers.read_files(spark, str(tmp_path / "d"))
-    digests = found.where("path LIKE '%e.exe' AND path LIKE '%/e.exe'").select("sha256")
+    digests = found.where("path LIKE '%/e.exe' OR path LIKE '%/l.txt'").select("sha256")
 
     def predict(matrix):
         if any(int(v[0]) == len(HEAD) + 5 for v in matrix):
@@ -87,6 +87,7 @@ def test_scan_from_files(spark, tmp_path):
     assert got["c.exe"].static == "ERROR" and got["c.exe"].reason_codes[0] == "static_scan_exception" and got["c.exe"].final_decision == "NEEDS_REVIEW"
     assert got["e.exe"].static == "ALLOW" and got["e.exe"].reason_codes[0] == "static_allowlisted_nsrl" and got["e.exe"].static_score is None
     assert got["t.txt"].reason_codes[0] == "invalid_or_non_pe_file" and got["gone.exe"].reason_codes[0] == "path_not_found" and got["d"].reason_codes[0] == "not_a_file"
+    assert got["l.txt"].reason_codes == got["t.txt"].reason_codes and got["l.txt"].final_decision == "NEEDS_REVIEW"  # the format comes first
     assert all(got[n].static == "ERROR" for n in ("t.txt", "gone.exe", "d"))
     neutral = {r.path.rsplit("/", 1)[-1]: r for r in scan.decide_scans(rows, policy.Thresholds(), {"behavioral": False, "network": False}).collect()}
     assert neutral["a.exe"].behavioral == "NOT_PROVIDED" and neutral["a.exe"].signal_health == {"behavioral": "model_not_configured"}
