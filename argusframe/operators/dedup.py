@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from argusframe.checkpoints import materialize, scratch
+from argusframe.operators.percentiles import with_percentiles
+
 
 def keep_first(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The first row of each key by ``order``. A minimum over whole rows: partial in every task, so a key
@@ -57,11 +60,11 @@ def key_validation(rows: DataFrame, given: Column, computed: Column) -> DataFram
 
 def group_sizes(rows: DataFrame, group: Column, label: str = "label") -> DataFrame:
     """Per label: rows, groups, and least, mean, median and largest group size."""
-    sizes = rows.groupBy(label, group.alias("_g")).agg(F.count("*").alias("size"))
-    return sizes.groupBy(label).agg(
-        F.sum("size").alias("n_rows"), F.count("*").alias("n_groups"), F.min("size").alias("min_size"), F.avg("size").alias("mean_size"),
-        F.percentile("size", 0.5).alias("median_size"), F.max("size").alias("max_size")
-    )
+    with scratch() as held:
+        sizes = materialize(rows.groupBy(label, group.alias("_g")).agg(F.count("*").alias("size")).drop("_g"), "group-sizes")
+        held.pass_on(sizes)
+    told = [F.sum("size").alias("n_rows"), F.count("*").alias("n_groups"), F.min("size").alias("min_size"), F.avg("size").alias("mean_size"), F.max("size").alias("max_size")]
+    return with_percentiles(sizes, [label], F.col("size"), {"median_size": 0.5}, told)
 
 
 def by_sample(sizes: DataFrame) -> DataFrame:

@@ -7,12 +7,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from argusframe.checkpoints import materialize
+from argusframe.checkpoints import materialize, scratch
 from argusframe.functions.columns import PAD, UNKNOWN, half_even
 from argusframe.operators.ordering import running_totals
 
-#: Vocabularies up to this size are ranked on one task and travel as a hash table.
+#: Vocabularies up to this size are ranked on one task; of larger ones so many tokens travel as a hash table.
 MOST_TOKENS = 100_000
+#: Marks a place whose token the table doesn't hold.
+OPEN = -1
 
 
 def traces(events: DataFrame, by: list[str], order: list[str], token: str, most: int | None = None) -> DataFrame:
@@ -39,20 +41,36 @@ def vocabulary(tokens: DataFrame, token: str, least: int = 1, reserved: int = 2)
     return ranked.select("token", "freq", (F.col("i") + (reserved - 1)).cast("int").alias("token_id"))
 
 
-def encode(sequences: DataFrame, vocab: DataFrame, length: int, tokens: str = "tokens") -> DataFrame:
-    """``sequences`` with ids: the fixed-length encoding. The vocabulary travels as one hash table, which is why its
-    size is tested first; a token costs one look-up, however large it is."""
-    known = {r.token: r.token_id for r in vocab.select("token", "token_id").limit(MOST_TOKENS + 1).collect()}
-    if len(known) > MOST_TOKENS:
-        raise ValueError(f"more than {MOST_TOKENS} tokens: raise min_count")
-    shared = sequences.sparkSession.sparkContext.broadcast(known)
+def encode(sequences: DataFrame, vocab: DataFrame, length: int, tokens: str = "tokens", heavy: int = MOST_TOKENS) -> DataFrame:
+    """``sequences`` with ids: the fixed-length encoding, whatever the size of the vocabulary (token, token_id by falling
+    frequency). The ``heavy`` most frequent tokens travel as a hash table and settle most places. Where tokens are left
+    over, only those among the first ``length`` are looked up by a join and put back by position; sequences without any are done."""
+    spark = sequences.sparkSession
+    first = vocab.agg(F.min("token_id")).first()[0]
+    known = {r.token: r.token_id for r in vocab.where(F.col("token_id") < (first or 0) + heavy).select("token", "token_id").collect()}
+    shared = spark.sparkContext.broadcast(known)
+    rest = vocab.where(F.col("token_id") >= (first or 0) + heavy).select("token", "token_id")
+    is_whole = rest.isEmpty()
+    missing = UNKNOWN if is_whole else OPEN
 
     @F.pandas_udf("array<int>")
     def ids(rows: pd.Series) -> pd.Series:
         get, blank = shared.value.get, [PAD] * length
-        return pd.Series([None if r is None else ([get(t, UNKNOWN) for t in r[:length]] + blank)[:length] for r in rows])
-
-    return sequences.withColumn("ids", ids(F.col(tokens)))
+        return pd.Series([None if r is None else ([get(t, missing) for t in r[:length]] + blank)[:length] for r in rows])
+
+    looked = sequences.withColumn("ids", ids(F.col(tokens)))
+    if is_whole:
+        return looked
+    with scratch() as held:
+        rows = materialize(looked.withColumn("_row", F.monotonically_increasing_id()), "encoded")
+        is_open = F.coalesce(F.array_contains("ids", OPEN), F.lit(False))
+        held.pass_on(rows)
+    places = rows.where(is_open).select("_row", F.posexplode(F.arrays_zip(F.slice(tokens, 1, length).alias("t"), F.slice("ids", 1, length).alias("i"))).alias("_at", "_p"))
+    found = places.where(F.col("_p.i") == OPEN).select("_row", "_at", F.col("_p.t").alias("token")).join(rest, "token")
+    told = found.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_at", "token_id"))).alias("_ids"))  # at most length entries
+    put = F.transform("ids", lambda x, k: F.when(x == OPEN, F.coalesce(F.element_at("_ids", k), F.lit(UNKNOWN))).otherwise(x).cast("int"))
+    mended = rows.where(is_open).join(told, "_row", "left").withColumn("ids", put)
+    return rows.where(~is_open).drop("_row").unionByName(mended.drop("_row", "_ids"))
 
 
 def lookup_baseline(train: DataFrame, test: DataFrame, sequence: str = "seq") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from argusframe.functions import byteops
 from argusframe.functions import columns as C
 from argusframe.functions import strings
+from argusframe.operators.percentiles import with_percentiles
 from argusframe.plans.tables import table
 
 
@@ -63,11 +64,9 @@ def q65_category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q66_length_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("n_chars").cast("double")
-    cuts = [F.percentile(n, p).alias(f"p{int(p * 100)}") for p in (0.5, 0.9, 0.95, 0.99)]
-    return table(spark, sf_dir, "documents").groupBy("source").agg(
-        F.count("*").alias("n"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"), F.avg("n_chars").alias("mean"), *cuts
-    )
+    told = [F.count("*").alias("n"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"), F.avg("n_chars").alias("mean")]
+    docs = table(spark, sf_dir, "documents").select("source", "n_chars")
+    return with_percentiles(docs, ["source"], F.col("n_chars"), {f"p{int(p * 100)}": p for p in (0.5, 0.9, 0.95, 0.99)}, told)
 
 
 KNOWN_TYPES = ["click", "view", "purchase", "login", "logout", "signup", "search"]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from argusframe.functions import columns as C
-from argusframe.operators import dedup, metrics, sequences
+from argusframe.operators import dedup, metrics, sequences, setjoin
 from argusframe.plans.tables import DIALOGUES, TRACES, dialogues, table, user_traces
 
 
@@ -21,6 +21,15 @@ def q51_encode_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.encode(rows, vocab, 6).select("conv_id", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))
 
 
+def q98_encode_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 64 words of each document by a vocabulary of all words, of which a table holds but the most frequent 500."""
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^a-z]+"), lambda w: w != "")
+    rows = table(spark, sf_dir, "documents").select("doc_id", words.alias("tokens"))
+    vocab = sequences.vocabulary(rows.select(F.explode("tokens").alias("t")), "t", least=2)
+    ids = sequences.encode(rows, vocab, 64, heavy=500).select("doc_id", "ids")
+    return ids.select("doc_id", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"), F.size(F.filter("ids", lambda i: i == 1)).cast("long").alias("n_unknown"))
+
+
 def q52_sequence_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"))
     return counts.groupBy(
@@ -76,10 +85,7 @@ def q84_bounded_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q85_token_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each distinct test sequence, the best token-set similarity to a train sequence (distinct sets only)."""
     sets = dialogues(spark, sf_dir).select("split", F.array_sort(F.array_distinct("tokens")).alias("s")).distinct()
-    test, train = sets.where("split = 'test'").select(F.col("s").alias("a")), sets.where("split = 'train'").select(
-        F.col("s").alias("b"), F.explode("s").alias("t")
-    )
-    near = test.withColumn("t", F.explode("a")).join(train, "t").groupBy("a").agg(F.max(sequences.jaccard(F.col("a"), F.col("b"))).alias("best"))
+    near = setjoin.best_matches(sets.where("split = 'test'").select(F.col("s").alias("a")), sets.where("split = 'train'").select(F.col("s").alias("b")))
     return near.select(F.array_join("a", ",").alias("tokens"), "best", (F.col("best") >= 0.9).cast("int").alias("is_near"))
 
 
@@ -87,7 +93,7 @@ SEP = "chr(31)"
 QUERIES = {
     f.__name__: f for f in (
         q50_vocabulary, q51_encode_prefix, q52_sequence_status, q53_length_bands, q54_sequence_hash, q55_lookup_baseline, q56_token_ablation, q57_head_share,
-        q58_class_weight, q59_separability, q84_bounded_traces, q85_token_sets
+        q58_class_weight, q59_separability, q84_bounded_traces, q85_token_sets, q98_encode_words
     )
 }
 ORACLE_SQL = {
@@ -102,6 +108,10 @@ ORACLE_SQL = {
     "q57_head_share": f"WITH {DIALOGUES}, s AS (SELECT seq, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, seq) AS r FROM dialogues GROUP BY seq) SELECT sum(size)::BIGINT AS n_rows, count(*) AS n_groups, (sum(size) FILTER (r <= 1))::DOUBLE / sum(size) AS top1_share, (sum(size) FILTER (r <= 5))::DOUBLE / sum(size) AS top5_share FROM s",
     "q58_class_weight": "SELECT count(*) FILTER (toxic = 0) AS n_neg, count(*) FILTER (toxic = 1) AS n_pos, count(*) FILTER (toxic = 0)::DOUBLE / greatest(count(*) FILTER (toxic = 1), 1) AS pos_weight FROM labels",
     "q59_separability": f"WITH {DIALOGUES}, r AS (SELECT label, rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2.0::DOUBLE AS ar FROM dialogues), t AS (SELECT count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS q, sum(ar) FILTER (label = 1) AS w FROM r), a AS (SELECT (w - p * (p + 1) / 2.0::DOUBLE) / (p::DOUBLE * q) AS auc FROM t) SELECT count(*) AS n, count(DISTINCT seq) AS n_unique, count(DISTINCT seq)::DOUBLE / count(*) AS unique_share, max(greatest(auc, 1 - auc)) AS length_auc FROM dialogues, a",
+    "q98_encode_words": """WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z]+'), lambda w: w <> '') AS t FROM documents),
+ v AS (SELECT w, row_number() OVER (ORDER BY count(*) DESC, w) + 1 AS id FROM (SELECT unnest(t) AS w FROM d) GROUP BY w HAVING count(*) >= 2),
+ p AS (SELECT doc_id, i, t[i] AS w FROM d, (SELECT unnest(range(1, 65)) AS i)), x AS (SELECT doc_id, i, CASE WHEN p.w IS NULL THEN 0 ELSE coalesce(id, 1) END AS id FROM p LEFT JOIN v ON p.w = v.w)
+ SELECT doc_id, string_agg(id::VARCHAR, ',' ORDER BY i) AS ids, count(*) FILTER (id = 1) AS n_unknown FROM x GROUP BY doc_id""",
     "q84_bounded_traces": "WITH o AS (SELECT user_id, event_type, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT user_id, string_agg(event_type, ' ' ORDER BY ts, event_id) AS tokens, max(n) AS n FROM o WHERE i <= 10 GROUP BY user_id",
     "q85_token_sets": f"""WITH {DIALOGUES}, s AS (SELECT DISTINCT split, list_sort(list_distinct(tokens)) AS s FROM dialogues), p AS (SELECT x.s AS a, max(len(list_intersect(x.s, y.s))::DOUBLE / len(list_distinct(list_concat(x.s, y.s)))) AS best FROM s x, s y WHERE x.split = 'test' AND y.split = 'train' GROUP BY x.s)
  SELECT array_to_string(a, ',') AS tokens, best, CAST(best >= 0.9 AS INT) AS is_near FROM p""",
