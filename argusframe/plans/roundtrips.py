@@ -11,11 +11,11 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from argusframe.checkpoints import delete, materialize, shared_dir
+from argusframe.checkpoints import delete, materialize, scratch, shared_dir
 from argusframe.operators import sequences
 from argusframe.plans.scans import HEAD, files
 from argusframe.plans.tables import table
-from argusframe.sources import pe, readers
+from argusframe.sources import pe, pushdown, readers
 
 
 @contextlib.contextmanager
@@ -205,10 +205,24 @@ def s13_feature_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def s14_file_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts written as text files, each beginning with its source, and told by size and first bytes alone."""
+    text = F.concat_ws(" ", "source", F.regexp_replace(F.coalesce("text", F.lit("")), r"[\n\r]", " "))
+    with folder(spark) as path, scratch() as held:
+        table(spark, sf_dir, "documents").select("source", text.alias("value")).repartition(8, "source").write.partitionBy("source").text(path)
+        heads = pushdown.read_heads(spark, path).where(F.col("path").endswith(".txt") & (F.col("length") > 0))
+        source = F.regexp_extract("path", "source=([^/]*)/", 1)
+        named = F.startswith(F.decode(F.substring("head", 1, 16), "utf-8"), F.concat(source, F.lit(" ")))
+        told = heads.groupBy(source.alias("source")).agg(F.sum("length").alias("n_bytes"), F.min(named.cast("int")).alias("is_named"))
+        kept = materialize(told, "heads")
+        held.pass_on(kept)
+    return kept
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        s01_memory_snapshots, s02_flows, s03_dropped_flows, s04_text_traces, s05_ragged_traces, s06_json_traces, s07_emulation_reports, s08_files, s09_digest_artifact, s10_split_folders, s11_vocabulary_file, s12_security_events, s13_feature_groups,
+        s01_memory_snapshots, s02_flows, s03_dropped_flows, s04_text_traces, s05_ragged_traces, s06_json_traces, s07_emulation_reports, s08_files, s09_digest_artifact, s10_split_folders, s11_vocabulary_file, s12_security_events, s13_feature_groups, s14_file_heads,
     )
 }
 CELL = {n: f"(doc_id * {j + 3} % 97)::DOUBLE" for j, n in enumerate(MEMORY_NAMES)}
@@ -219,6 +233,7 @@ RATIOS = ", ".join(
 LABELS = ", ".join(f"'{x}'" for x in [*readers.FLOW_LABELS, "Label", "odd"])
 FLOWS = f"f AS (SELECT l_orderkey * 10 + l_linenumber AS i, l_linestatus, [{LABELS}][(l_orderkey * 10 + l_linenumber) % 17 + 1] AS label_raw FROM lineitem)"
 ORACLE_SQL = {
+    "s14_file_heads": "SELECT source, sum(octet_length(encode(concat(source, ' ', coalesce(text, '')))) + 1)::BIGINT AS n_bytes, 1 AS is_named FROM documents GROUP BY source",
     "s01_memory_snapshots": f"SELECT 'Fam-' || doc_id AS \"Category\", CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END AS label, {RATIOS} FROM documents",
     "s02_flows": f"""WITH {FLOWS} SELECT CASE WHEN l_linestatus = 'F' THEN 'Monday-01' ELSE 'Tuesday-02' END AS capture_day, label_raw, CAST(label_raw <> 'Benign' AS INT) AS label, count(*) AS n, sum(i % 5000)::BIGINT AS duration
  FROM f WHERE label_raw NOT IN ('Label', 'odd') AND i % 11 <> 0 AND i % 13 <> 0 AND i % 17 <> 0 GROUP BY ALL""",

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from argusframe.functions.columns import digest_or_null, is_error, safe_ratio
+from argusframe.sources import pushdown
 
 # The columns of flow captures, those that identify machines, and the labels that occur.
 IDENTITY_COLUMNS = ["Flow ID", "Src IP", "Src Port", "Dst IP"]
@@ -220,53 +218,10 @@ def read_files(spark: SparkSession, path: str, most: int | None = None) -> DataF
     return files.select("path", "length", "content", F.sha2("content", 256).alias("sha256"))
 
 
-class _Range(InputPartition):
-    def __init__(self, low: int, high: int):
-        self.low, self.high = low, high
-
-
-class _SqliteReader(DataSourceReader):
-    def __init__(self, options: dict[str, str]):
-        self.path, self.table, self.column = options["path"], options["table"], options["column"]
-        self.step = int(options.get("rows", "200000"))
-
-    def connect(self):
-        import sqlite3
-
-        return sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
-
-    def partitions(self) -> list[_Range]:
-        with self.connect() as con:
-            if not con.execute("SELECT 1 FROM sqlite_master WHERE name = ?", (self.table,)).fetchone():
-                raise BadSource(f"{self.path} has no {self.table}")
-            top = con.execute(f'SELECT max(rowid) FROM "{self.table}"').fetchone()[0] or 0
-        return [_Range(i, i + self.step) for i in range(0, top + 1, self.step)]
-
-    def read(self, part: _Range) -> Iterator[tuple]:
-        with self.connect() as con:
-            yield from con.execute(
-                f'SELECT "{self.column}" FROM "{self.table}" WHERE rowid >= ? AND rowid < ? AND "{self.column}" IS NOT NULL AND "{self.column}" <> \'\'',
-                (part.low, part.high)
-            )
-
-
-class SqliteDigests(DataSource):
-    """One text column of an SQLite table, read in ranges of rows; null and empty values are skipped."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "sqlite_column"
-
-    def schema(self) -> str:
-        return f"{self.options['column']} string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _SqliteReader(dict(self.options))
-
-
 def read_digests(spark: SparkSession, path: str, table: str = "FILE", column: str = "sha256") -> DataFrame:
-    spark.dataSource.register(SqliteDigests)
-    return spark.read.format("sqlite_column").options(path=path, table=table, column=column).load()
+    """One text column of an SQLite table, in ranges of rows; null and empty values are left out there, as is whatever a
+    later filter on the column rules out."""
+    return pushdown.read_sqlite(spark, path, table, f"{column} string").where(F.col(column) > "")
 
 
 def write_digests(digests: DataFrame, column: str, path: str) -> None:
