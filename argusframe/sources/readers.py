@@ -195,17 +195,15 @@ def read_emulation(spark: SparkSession, root: str) -> DataFrame:
     files = files.select("path", F.from_json("value", "array<string>").alias("entries"))
     fine = F.when(F.col("entries").isNotNull(), F.col("entries")).otherwise(F.raise_error(F.concat(F.lit("not a list: "), F.col("path"))))
     rows = files.select("path", F.posexplode(fine).alias("ep_index", "raw"))
-    keys = F.json_object_keys("raw")
-    checked = F.when(
-        F.size(F.array_except(F.array(*map(F.lit, EMULATION_KEYS)), F.coalesce(keys, F.array().cast("array<string>")))) == 0, F.col("raw")
-    ).otherwise(F.raise_error(F.concat(F.lit("keys missing: "), F.col("path"))))
-    rows = rows.withColumn("raw", checked)
-    names = F.from_json(F.get_json_object("raw", "$.apis"), "array<struct<api_name:string>>")["api_name"]
+    rows = rows.withColumn("entry", F.parse_json("raw"))  # the one parse of an entry; what follows looks into the result
+    missing = F.array_compact(F.array(*[F.when(F.try_variant_get("entry", f"$.{k}", "variant").isNull(), F.lit(k)) for k in EMULATION_KEYS]))
+    whole = F.when(F.size(missing) == 0, True).otherwise(F.raise_error(F.concat(F.lit("keys missing: "), F.col("path"))).cast("boolean"))
+    rows = rows.where(whole)  # a filter, so that no choice of columns goes round it
+    text = lambda k: F.try_variant_get("entry", f"$.{k}", "string")
     rows = rows.select(
-        sample_of(F.col("path")).alias("sample_id"), "ep_index", F.get_json_object("raw", "$.ep_type").alias("ep_type"), emulation_family(F.col("path")).alias("family"), split_of(F.col("path")).alias("split"),
-        F.get_json_object("raw", "$.apihash").alias("apihash"), names.alias("api_names"), is_error(
-            F.get_json_object("raw", "$.error")
-        ).alias("has_error"), F.col("raw").alias("raw_entry_json"),
+        sample_of(F.col("path")).alias("sample_id"), "ep_index", text("ep_type").alias("ep_type"), emulation_family(F.col("path")).alias("family"), split_of(F.col("path")).alias("split"),
+        text("apihash").alias("apihash"), F.try_variant_get("entry", "$.apis", "array<struct<api_name:string>>")["api_name"].alias("api_names"),
+        is_error(text("error")).alias("has_error"), F.col("raw").alias("raw_entry_json"),
     )
     return rows.withColumn("n_apis", F.size("api_names")).withColumn("label", (~F.col("family").isin(BENIGN_FAMILIES)).cast("int"))
 
