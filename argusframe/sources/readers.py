@@ -194,8 +194,8 @@ def read_emulation(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json").select("value", F.col("_metadata.file_path").alias("path"))
     files = files.select("path", F.from_json("value", "array<string>").alias("entries"))
     fine = F.when(F.col("entries").isNotNull(), F.col("entries")).otherwise(F.raise_error(F.concat(F.lit("not a list: "), F.col("path"))))
-    rows = files.select("path", F.posexplode(fine).alias("ep_index", "raw"))
-    rows = rows.withColumn("entry", F.parse_json("raw"))  # the one parse of an entry; what follows looks into the result
+    parsed = F.transform(fine, lambda raw: F.struct(raw.alias("raw"), F.parse_json(raw).alias("entry")))  # the one parse of an entry
+    rows = files.select("path", F.posexplode(parsed).alias("ep_index", "e")).select("path", "ep_index", "e.*")
     missing = F.array_compact(F.array(*[F.when(F.try_variant_get("entry", f"$.{k}", "variant").isNull(), F.lit(k)) for k in EMULATION_KEYS]))
     whole = F.when(F.size(missing) == 0, True).otherwise(F.raise_error(F.concat(F.lit("keys missing: "), F.col("path"))).cast("boolean"))
     rows = rows.where(whole)  # a filter, so that no choice of columns goes round it
