@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from argusframe.checkpoints import materialize, scratch
 from argusframe.components import connected_components
 from argusframe.operators import dedup, splits
 from argusframe.plans.tables import FLOWS, SAMPLES, flows, samples, table
+from argusframe.sources import layout
 
 SEED = "42"
 
@@ -92,6 +94,17 @@ def q42_leak_check_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.leaks(rows, F.col("vec")).agg(F.count("*").alias("n_leaks"), F.sum("n_rows").alias("n_rows"))
 
 
+def q99_leaks_by_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two checks over one layout by group, without a shuffle of rows: groups in several splits, and groups of both labels."""
+    rows = flows(spark, sf_dir).withColumn("split", F.when(F.col("id") % 5 == 0, "test").otherwise("train")).select("id", "label", "vec", "split")
+    with layout.laid_out(rows, "vec", 16) as held, scratch() as scope:
+        both = splits.leaks(held, F.col("vec")).join(splits.leaks(held, F.col("vec"), "label").select("leak_key", F.col("n_rows").alias("n")), "leak_key", "full")
+        counts = both.agg(F.count("n_rows").alias("n_leaks"), F.sum("n_rows").alias("n_rows"), F.count("n").alias("n_ambiguous"))
+        kept = materialize(counts, "leaks")
+        scope.pass_on(kept)
+    return kept
+
+
 def q43_carve_val(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
     return splits.carve(docs, ["lang", "source"], ["doc_id"], 0.1, SEED)
@@ -235,7 +248,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         q30_dedup_keep_first, q31_duplicate_profile, q32_ambiguous_excluded, q33_ambiguous_clean, q34_collapse_with_count, q35_key_validation, q36_group_sizes, q37_group_decision, q38_connected_components, q39_greedy_split,
-        q40_split_report, q41_leak_check_group, q42_leak_check_control, q43_carve_val, q44_permutation_carve, q45_sampling_plan, q46_stratified_sample, q47_stratum_counts, q48_sequence_groups, q49_era_split,
+        q40_split_report, q41_leak_check_group, q42_leak_check_control, q99_leaks_by_layout, q43_carve_val, q44_permutation_carve, q45_sampling_plan, q46_stratified_sample, q47_stratum_counts, q48_sequence_groups, q49_era_split,
         q70_label_filter, q71_finite_filter, q72_dropped_entities, q73_set_equality, q74_unlabeled_filter, q75_union_sources, q76_prefix_limit, q77_sorted_digests, q80_rollup_report, q81_approx_distinct, q83_distinct_counts,
     )
 }
@@ -255,6 +268,7 @@ ORACLE_SQL = {
     "q40_split_report": f"WITH {SPLIT_ROWS}, n AS (SELECT split, count(*) AS n, count(*) FILTER (label = 1) AS n_malicious FROM s GROUP BY split), t AS (SELECT *, n::DOUBLE / sum(n) OVER () AS share, CASE split WHEN 'val' THEN 0.1 WHEN 'test' THEN 0.1 WHEN 'cal' THEN 0.2 ELSE 0.6 END::DOUBLE AS target FROM n) SELECT split, n, n_malicious, round(share, 9) AS share, target, round((share - target) * 100, 7) AS delta_pp FROM t",
     "q41_leak_check_group": f"WITH {SPLIT_ROWS} SELECT count(*) AS n_leaks FROM (SELECT vec FROM s GROUP BY vec HAVING min(split) <> max(split))",
     "q42_leak_check_control": f"WITH {FLOWS}, s AS (SELECT vec, CASE WHEN id % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM flows) SELECT count(*) AS n_leaks, sum(n)::BIGINT AS n_rows FROM (SELECT vec, count(*) AS n FROM s GROUP BY vec HAVING min(split) <> max(split))",
+    "q99_leaks_by_layout": f"WITH {FLOWS}, g AS (SELECT vec, count(*) AS n, count(DISTINCT id % 5 = 0) > 1 AS leaks, min(label) <> max(label) AS amb FROM flows GROUP BY vec) SELECT count(*) FILTER (leaks) AS n_leaks, (sum(n) FILTER (leaks))::BIGINT AS n_rows, count(*) FILTER (amb) AS n_ambiguous FROM g",
     "q43_carve_val": f"SELECT doc_id, lang, source, CASE WHEN row_number() OVER (PARTITION BY lang, source ORDER BY md5('{SEED}|' || doc_id), doc_id) - 1 < round_even(count(*) OVER (PARTITION BY lang, source) * 0.1::DOUBLE, 0) THEN 'val' ELSE 'train' END AS split FROM documents",
     "q44_permutation_carve": f"WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5('{SEED}|' || doc_id), doc_id) - 1 AS i, floor(count(*) OVER () * 0.1::DOUBLE) AS v FROM documents) SELECT doc_id, CASE WHEN i < v THEN 'val' WHEN i < 2 * v THEN 'cal' ELSE 'train' END AS split FROM r",
     "q45_sampling_plan": f"WITH {PLAN} SELECT * FROM plan",

@@ -67,3 +67,18 @@ def test_a_zip_has_a_partition_a_member(spark, tmp_path):
     assert rows.where("member = 'm/7.jsonl'").count() == 7
     kept = records.read_lines(spark, str(tmp_path), "train", ("Win32",)).collect()
     assert sorted(r.line for r in kept) == sorted(x for own in lines.values() for x in own) and {r.file for r in kept} == {"Win32_train.zip"}
+
+
+def test_checks_by_group_read_a_layout_without_a_shuffle(spark):
+    from argusframe.operators import splits
+    from argusframe.sources import layout
+
+    rows = spark.range(2000).select((F.col("id") % 97).alias("g"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("split"))
+    with layout.laid_out(rows, "g", 4) as held:
+        found = splits.leaks(held, F.col("g"))
+        assert found.count() == 97 and held.count() == 2000
+        other = held.groupBy("g").agg(F.count("*").alias("n"))
+        for df in (found, found.join(other.hint("merge"), found.leak_key == other.g)):
+            assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+        name = held._jdf.queryExecution().analyzed().toString()
+    assert "laid_out_" in name and not [t.name for t in spark.catalog.listTables() if t.name.startswith("laid_out_")]
