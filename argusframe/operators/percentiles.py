@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from argusframe.checkpoints import materialize, scratch
-from argusframe.sizing import join_checked
+from argusframe.sizing import BROADCAST_BYTES, bytes_of
 
 
 def same(keys: list[str], names: list[str]) -> Column:
@@ -42,20 +42,19 @@ def percentiles(rows: DataFrame, by: list[str], value: Column, wanted: dict[str,
         asked = based.select(*keys, "_range", "_upto", "_total", F.inline(F.array(*ranks)))
         base = F.col("_upto") - F.col("_total")
         asked = materialize(asked.where((F.col("_rank") >= base) & (F.col("_rank") < F.col("_upto"))).select(*keys, "_range", "_i", (F.col("_rank") - base).alias("_rank"), "_weight"), "wanted-ranks")
-        named = [f"_a{i}" for i in range(len(by))]
-        renamed = [F.col(k).alias(a) for k, a in zip(keys, named, strict=True)]
-        places = materialize(asked.select(*renamed, F.col("_range").alias("_at")).distinct(), "wanted-ranges")
-        inside = join_checked(valued, places, same(keys, named) & (F.col("_range") == F.col("_at")), "left_semi")
-        ordered = inside.withColumn("_end", F.sum("_n").over(W.partitionBy(*keys, "_range").orderBy("_v")))
-        few = asked.select(*renamed, F.col("_range").alias("_at"), "_i", "_rank", "_weight")
-        hit = (F.col("_rank") >= F.col("_end") - F.col("_n")) & (F.col("_rank") < F.col("_end"))
-        found = join_checked(ordered, few, same(keys, named) & (F.col("_range") == F.col("_at")) & hit)
-        part = lambda i: F.when(F.col("_i") == i, F.when(F.col("_weight") > 0, F.col("_weight") * F.col("_v")).otherwise(0.0))
-        sums = materialize(found.groupBy(*keys).agg(*[F.sum(part(i)).alias(f"_p{i}") for i in range(len(wanted))]), "percentiles")
-        groups = dealt.select(*keys).distinct().join(sums.select(*renamed, *[f"_p{i}" for i in range(len(wanted))]), same(keys, named), "left")
-        out = materialize(groups.select(*[F.col(k).alias(b) for k, b in zip(keys, by, strict=True)], *[F.col(f"_p{i}").alias(name) for i, name in enumerate(wanted)]), "percentiles-by-group")
-        held.pass_on(out)
-    return out
+        held.pass_on(dealt, asked)
+    named = [f"_a{i}" for i in range(len(by))]
+    renamed = [F.col(k).alias(a) for k, a in zip(keys, named, strict=True)]
+    small = F.broadcast if bytes_of(asked) <= BROADCAST_BYTES else lambda df: df
+    few = asked.select(*renamed, F.col("_range").alias("_at"), "_i", "_rank", "_weight")
+    there = same(keys, named) & (F.col("_range") == F.col("_at"))
+    inside = valued.join(small(few.select(*named, "_at").distinct()), there, "left_semi")
+    ordered = inside.withColumn("_end", F.sum("_n").over(W.partitionBy(*keys, "_range").orderBy("_v")))
+    hit = (F.col("_rank") >= F.col("_end") - F.col("_n")) & (F.col("_rank") < F.col("_end"))
+    found = ordered.join(small(few), there & hit)
+    part = lambda i: F.when(F.col("_i") == i, F.when(F.col("_weight") > 0, F.col("_weight") * F.col("_v")).otherwise(0.0))
+    sums = found.select(*keys, *[part(i).alias(f"_p{i}") for i in range(len(wanted))]).unionByName(dealt.select(*keys).distinct(), allowMissingColumns=True)
+    return sums.groupBy(*[F.col(k).alias(b) for k, b in zip(keys, by, strict=True)]).agg(*[F.sum(f"_p{i}").alias(name) for i, name in enumerate(wanted)])
 
 
 def with_percentiles(rows: DataFrame, by: list[str], value: Column, wanted: dict[str, float], aggregates: list[Column]) -> DataFrame:

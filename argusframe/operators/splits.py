@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from argusframe.checkpoints import materialize
+from argusframe.checkpoints import materialize, scratch
 from argusframe.components import connected_components
 from argusframe.functions.columns import family_of, half_even, strip_dump_suffix
 from argusframe.operators.dedup import by_sample, group_sizes, majority
@@ -75,9 +75,8 @@ def report(rows: DataFrame, fractions: dict[str, float]) -> DataFrame:
     return sizes.join(F.broadcast(total)).select("split", "n", "n_malicious", share.alias("share"), target.alias("target"), ((share - target) * 100).alias("delta_pp"))  # one row
 
 
-def sampling_plan(rows: DataFrame, strata: list[str], target: int, protect: int) -> DataFrame:
-    """Per stratum: n and plan. Strata of at most ``protect`` rows stay whole; the others give the same share."""
-    counts = rows.groupBy(*strata).agg(F.count("*").alias("n"))
+def plan_of(counts: DataFrame, strata: list[str], target: int, protect: int) -> DataFrame:
+    """From n of each stratum: n and plan."""
     small = F.col("n") <= protect
     sums = counts.agg(
         F.coalesce(F.sum(F.when(small, F.col("n"))), F.lit(0)).alias("_kept"), F.coalesce(F.sum(F.when(~small, F.col("n"))), F.lit(0)).alias("_pool")
@@ -86,39 +85,36 @@ def sampling_plan(rows: DataFrame, strata: list[str], target: int, protect: int)
     return counts.join(F.broadcast(sums)).select(*strata, "n", F.when(small, F.col("n")).otherwise(half_even(F.col("n") * rate)).cast("long").alias("plan"))  # one row
 
 
-#: Standard deviations by which the planned share of a stratum is widened; only rows in between are ranked.
-SURELY = 6.0
+def sampling_plan(rows: DataFrame, strata: list[str], target: int, protect: int) -> DataFrame:
+    """Per stratum: n and plan. Strata of at most ``protect`` rows stay whole; the others give the same share."""
+    return plan_of(rows.groupBy(*strata).agg(F.count("*").alias("n")), strata, target, protect)
+
+
+#: Hexadecimal digits of the digest by which rows are counted; only rows of one such slot in a stratum are ranked.
+SLOT_DIGITS = 3
 
 
 def stratified_sample(rows: DataFrame, strata: list[str], key: list[str], target: int, protect: int, seed: str) -> DataFrame:
-    """The planned number of rows of each stratum, first in seeded order. Digests are spread evenly, so where the
-    planned share ends is known but for a sliver: rows under it stay, rows over it go, and only the sliver is
-    ordered. Where digests are not even (keys repeat without end), all rows are ordered."""
-    # In whole numbers: the first 52 bits of the digest.
+    """The planned number of rows of each stratum, first in seeded order. One pass counts rows by stratum and the first
+    digits of the digest; its sums give the plan and the slot in which it ends. Rows of earlier slots stay, later ones
+    go, and only that slot is ordered."""
     hashed = rows.withColumn("_h", seeded(F.concat_ws("|", *key), seed))
-    place = F.conv(F.substring("_h", 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
-    plan = sampling_plan(rows, strata, target, protect)
-    slack = (F.sqrt("plan") * SURELY + 10) / F.col("n")
-    whole = F.col("plan") >= F.col("n")
-    plan = plan.withColumn("_low", F.when(whole, 2.0).otherwise(F.col("plan") / F.col("n") - slack)).withColumn(
-        "_high", F.when(whole, 2.0).otherwise(F.col("plan") / F.col("n") + slack)
-    )
-    plan = materialize(plan, "sample-plan")
+    slot = F.substring("_h", 1, SLOT_DIGITS)
     same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in strata]
-    names = [F.col(f"l.{c}") for c in hashed.columns]
-    marked = hashed.alias("l").join(
-        (F.broadcast(plan) if bytes_of(plan) <= BROADCAST_BYTES else plan).alias("p"), same("l", "p")
-    ).select(*names, "_low", "_high").withColumn("_u", place)
-    counted = marked.groupBy(*strata).agg(F.count_if(F.col("_u") < F.col("_low")).alias("_under"), F.count_if(F.col("_u") < F.col("_high")).alias("_upto"))
-    counted = materialize(plan.alias("l").join(counted.alias("r"), same("l", "r")).select("l.*", "_under", "_upto"), "sample-cuts")
-    if not counted.where((F.col("_under") > F.col("plan")) | (F.col("_upto") < F.col("plan"))).isEmpty():
-        run = in_seeded_order(rows, strata, key, F.lit(1), seed)
-        return run.alias("l").join(plan.alias("p"), same("l", "p")).where(F.col("_before") < F.col("plan")).select(*[F.col(f"l.{c}") for c in rows.columns])
-    sure = marked.where(F.col("_u") < F.col("_low")).select(*rows.columns)
-    sliver = marked.where((F.col("_u") >= F.col("_low")) & (F.col("_u") < F.col("_high")))
+    with scratch() as held:
+        slots = materialize(hashed.groupBy(*strata, slot.alias("_slot")).agg(F.count("*").alias("_c")), "sample-slots")
+        plan = plan_of(slots.groupBy(*strata).agg(F.sum("_c").alias("n")), strata, target, protect)
+        upto = slots.withColumn("_upto", F.sum("_c").over(W.partitionBy(*strata).orderBy("_slot")))  # 4,096 rows a stratum at most
+        over = upto.alias("l").join(plan.alias("r"), same("l", "r")).where(F.col("_upto") > F.col("plan"))
+        cut = over.groupBy(*[F.col(f"l.{c}").alias(c) for c in strata]).agg(F.min("_slot").alias("_cut"), F.min_by(F.col("plan") - F.col("_upto") + F.col("_c"), "_slot").alias("_take"))
+        cuts = materialize(cut, "sample-cuts")
+        held.pass_on(cuts)
+    few = F.broadcast(cuts) if bytes_of(cuts) <= BROADCAST_BYTES else cuts
+    marked = hashed.alias("l").join(few.alias("r"), same("l", "r"), "left").select(*[F.col(f"l.{c}") for c in hashed.columns], "_cut", "_take")
+    sure = marked.where(F.col("_cut").isNull() | (slot < F.col("_cut"))).select(*rows.columns)
+    sliver = marked.where(slot == F.col("_cut"))
     ranked = sliver.withColumn("_i", F.row_number().over(W.partitionBy(*strata).orderBy("_h", *key)))
-    ranked = ranked.alias("l").join(F.broadcast(counted).alias("r") if bytes_of(counted) <= BROADCAST_BYTES else counted.alias("r"), same("l", "r"))
-    return sure.unionByName(ranked.where(F.col("_i") <= F.col("plan") - F.col("_under")).select(*[F.col(f"l.{c}") for c in rows.columns]))
+    return sure.unionByName(ranked.where(F.col("_i") <= F.col("_take")).select(*rows.columns))
 
 
 def memory_split(
