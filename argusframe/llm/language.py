@@ -2,12 +2,14 @@
 
 A text is its lower-cased words; each run of two to four letters, word ends included, is hashed to a
 bucket with a learned embedding. The mean embedding goes through a linear softmax, all trained together
-by stochastic gradient descent in numpy. A temperature fitted on rows kept from training turns scores
-into probabilities, and a probability below the calibrated threshold is a rejection.
+by stochastic gradient descent in numpy. One more class of the softmax stands for none of the languages: it
+learns from sample texts whose letters were put out of order or replaced by others, of the same alphabet or not.
+A temperature fitted on rows kept from training turns scores into probabilities, and a probability below the
+calibrated threshold is a rejection: it lies between what clean and what spoilt texts of those rows score.
 
 The classifier is fitted on at most ``SAMPLE_ROWS`` labelled rows (those of the smallest hashes of doc_id and
-text) and one stretch of ``SAMPLE_CHARS`` characters of each, at a hashed place; predictions read whole texts,
-slice after slice, however long.
+text), each read whole: tasks count its subwords, at most 2**BITS numbers a text, and only these travel.
+Predictions read whole texts as well, slice after slice, however long.
 
 Nulls: text that is null or has no letter is ``und`` with score 0 and rejected; null lang is never learned from,
 nor is a row of null doc_id. With nothing to learn from, every text is ``und``. Repeats: equal rows get equal
@@ -30,20 +32,22 @@ from argusframe.llm.common import doc_texts, map_rows
 
 UNKNOWN = "und"
 SAMPLE_ROWS = 6000
-SAMPLE_CHARS = 2000
 BITS = 16
 WIDTH = 16
-EPOCHS = 4
+EPOCHS = 3
 #: Small samples are gone through more often, until there were so many steps.
 LEAST_STEPS = 12_000
 RATE = 0.3
 #: One row in so many of the sample calibrates and is not trained on.
 CALIBRATE = 5
-#: The threshold is the lowest score above which this share of calibration rows is right, but at least so many
-#: times what a guess scores, and at most MOST_DOUBT.
-RIGHT_SHARE = 0.98
-OVER_GUESS = 1.2
-MOST_DOUBT = 0.5
+#: One row in so many of the sample is spoilt as well, for the class of no language.
+SPOIL = 3
+#: Shares of the clean texts kept from training that the threshold keeps, and of the spoilt ones that it rejects;
+#: where both are possible it lies a quarter of the way up from these to those, since clean texts come first.
+KEPT_SHARE = 0.995
+SPOILT_SHARE = 0.95
+#: First letters and sizes of the alphabets that replace letters: Latin, Greek, Cyrillic, Hebrew, Devanagari, Kana, Han.
+ALPHABETS = ((0x61, 26), (0x3B1, 25), (0x430, 32), (0x5D0, 27), (0x904, 54), (0x3041, 86), (0x4E00, 20_000))
 SLICE = 1 << 18
 SPACE = 32
 
@@ -87,14 +91,53 @@ def buckets(text: str) -> Iterator[np.ndarray]:
         yield hashed >> np.uint32(32 - BITS)
 
 
+def spoilt(text: str, rng: np.random.Generator) -> str:
+    """The text with its letters in another order, or with some or all of its alphabet replaced by other letters."""
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    at = np.flatnonzero(letter_table()[codes])
+    if rng.random() < 0.4:
+        codes[at] = codes[rng.permutation(at)]
+    else:
+        own, which = np.unique(codes[at], return_inverse=True)
+        first, size = ALPHABETS[0] if rng.random() < 0.6 else ALPHABETS[rng.integers(1, len(ALPHABETS))]
+        share = rng.uniform(0.4, 1) if first == ALPHABETS[0][0] else 1
+        codes[at] = np.where(rng.random(len(own)) < share, first + rng.integers(0, size, len(own)), own).astype(np.uint32)[which]
+    return codes.tobytes().decode("utf-32-le", "surrogatepass")
+
+
+#: An example: distinct buckets of a text, and how often each occurs.
+Example = tuple[np.ndarray, np.ndarray]
+
+
+def counted(text: str) -> Example:
+    """Buckets are summed slice by slice, so that a very long text takes no more than their number."""
+    total = None
+    for part in buckets(text):
+        n = np.bincount(part, minlength=1 << BITS)
+        total = n if total is None else total + n
+    which = np.flatnonzero(total) if total is not None else np.zeros(0, np.int64)
+    return which.astype(np.uint16), (total[which] if total is not None else which).astype(np.uint32)
+
+
+def examples_of(text: str, seed: int) -> list[Example]:
+    """The text, a few words of it (short texts must be known as well), and both spoilt, or empty for most seeds."""
+    rng = np.random.default_rng(seed & 0xFFFFFFFFFFFFFFFF)
+    parts = text.split()
+    few = int(rng.integers(1, 13))
+    at = int(rng.integers(0, max(1, len(parts) - few + 1)))
+    short = " ".join(parts[at : at + few])
+    bad = (spoilt(text, rng), spoilt(short, rng)) if rng.integers(SPOIL) == 0 else ("", "")
+    return [counted(x) for x in (text, short, *bad)]
+
+
 class Model:
-    """Languages, the score each bucket adds to each language, temperature and threshold."""
+    """Languages, the score each bucket adds to each of them and to none, temperature and threshold."""
 
     def __init__(self, languages: list[str], scores: np.ndarray, bias: np.ndarray, temperature: float, threshold: float):
         self.languages, self.scores, self.bias, self.temperature, self.threshold = languages, scores, bias, temperature, threshold
 
     def logits(self, text: str) -> np.ndarray | None:
-        total, n = np.zeros(len(self.languages)), 0
+        total, n = np.zeros(len(self.bias)), 0
         for part in buckets(text):
             total += self.scores.take(part, axis=0).sum(0, dtype=np.float64)
             n += len(part)
@@ -106,8 +149,8 @@ class Model:
         if z is None:
             return UNKNOWN, 0.0, True
         z = z / self.temperature
-        best = int(z.argmax())
-        score = float(1 / np.exp(z - z[best]).sum())
+        best = int(z[:-1].argmax())
+        score = float(softmax(z)[best])
         return self.languages[best], score, score < self.threshold
 
 
@@ -116,42 +159,51 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
+def threshold_between(clean: np.ndarray, bad: np.ndarray) -> float:
+    """A score that keeps KEPT_SHARE of the clean scores and, where that is possible, rejects SPOILT_SHARE of the bad."""
+    low = float(np.quantile(clean, 1 - KEPT_SHARE, method="lower")) if len(clean) else 0.0
+    high = float(np.quantile(bad, SPOILT_SHARE, method="higher")) if len(bad) else 0.0
+    return high + (low - high) / 4 if high < low else low
+
+
 def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     """Train on (text, language) rows, in their order but for a seeded shuffle."""
+    return fit_counted([(examples_of(text, i), lang) for i, (text, lang) in enumerate(rows)], seed)
+
+
+def fit_counted(rows: list[tuple[list[Example], str]], seed: int = 7) -> Model:
+    """Train on the examples of each row (clean ones, then spoilt ones) and its language."""
     rng = np.random.default_rng(seed)
     languages = sorted({lang for _, lang in rows})
     index = {lang: i for i, lang in enumerate(languages)}
-    n_lang = len(languages)
+    none = len(languages)
     examples: list[tuple[np.ndarray, np.ndarray, int]] = []
     held: list[tuple[np.ndarray, np.ndarray, int]] = []
     held_whole: list[bool] = []
-    for i, (text, lang) in enumerate(rows):
-        parts = text.split()
-        few = int(rng.integers(1, 13))
-        at = int(rng.integers(0, max(1, len(parts) - few + 1)))
-        for one in (text, " ".join(parts[at : at + few])):  # the second: short texts must be known as well
-            found = list(buckets(one))
-            if found:
-                which, counts = np.unique(np.concatenate(found), return_counts=True)
-                kept = i % CALIBRATE == 0 and len(rows) >= 5 * CALIBRATE
+    for i, (made, lang) in enumerate(rows):
+        kept = i % CALIBRATE == 0 and len(rows) >= 5 * CALIBRATE
+        for j, (which, counts) in enumerate(made):
+            if len(which):
                 if kept:
-                    held_whole.append(one is text)
-                (held if kept else examples).append((which, (counts / counts.sum()).astype(np.float32), index[lang]))
+                    held_whole.append(j % 2 == 0)
+                (held if kept else examples).append((which, (counts / counts.sum()).astype(np.float32), none if j >= 2 else index[lang]))
     embed = rng.uniform(-1 / WIDTH, 1 / WIDTH, (1 << BITS, WIDTH)).astype(np.float32)
-    out, bias = np.zeros((WIDTH, n_lang), np.float32), np.zeros(n_lang, np.float32)
+    out, bias = np.zeros((WIDTH, none + 1), np.float32), np.zeros(none + 1, np.float32)
     epochs = max(EPOCHS, -(-LEAST_STEPS // max(len(examples), 1))) if examples else 0
     steps, done = epochs * len(examples), 0
     for _ in range(epochs):
         for i in rng.permutation(len(examples)).tolist():
             which, weight, y = examples[i]
             rate = np.float32(RATE * (1 - done / steps) + 1e-4)
-            mean = weight @ embed[which]
+            own = embed[which]
+            mean = weight @ own
             error = softmax(mean @ out + bias)
             error[y] -= 1
             back = out @ error
             out -= rate * np.outer(mean, error)
             bias -= rate * np.float32(0.1) * error
-            embed[which] -= (rate * len(which) ** 0.5) * weight[:, None] * back
+            own -= np.multiply.outer((rate * len(which) ** 0.5) * weight, back)
+            embed[which] = own
             done += 1
     model = Model(languages, (embed @ out).astype(np.float32), bias.astype(np.float64), 1.0, 0.0)
     if held:
@@ -159,12 +211,9 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
         y = np.array([label for _, _, label in held])
         loss = lambda t: -np.log(softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean()
         model.temperature = min((math.exp(t) for t in np.linspace(-3, 3, 121)), key=loss)
-        p, y = softmax(z / model.temperature)[held_whole], y[held_whole]  # documents are rejected, not parts of them
-        order = np.argsort(-p.max(1), kind="stable")
-        right = np.cumsum(p.argmax(1)[order] == y[order]) / np.arange(1, len(order) + 1)
-        good = np.flatnonzero(right >= RIGHT_SHARE)
-        lowest = 1.0 if not len(good) else 0.0 if good[-1] == len(order) - 1 else float(p.max(1)[order[good[-1]]])
-        model.threshold = min(MOST_DOUBT, max(lowest, OVER_GUESS / n_lang))
+        best = softmax(z / model.temperature)[:, :none].max(1)
+        whole = np.array(held_whole)  # documents are rejected, not parts of them
+        model.threshold = threshold_between(best[whole & (y < none)], best[whole & (y == none)])
     return model
 
 
@@ -180,17 +229,25 @@ def train(docs: DataFrame) -> Model:
     # Rows of one doc_id differ by their texts, so that few ids make no small sample.
     rows = rows.withColumn("h", F.xxhash64("doc_id", "text"))
     low = F.pmod("h", F.lit(1 << 30))
-    place = F.pmod(F.shiftrightunsigned("h", 30), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1)
-    stretch = F.substring("text", place.cast("int") + 1, F.lit(SAMPLE_CHARS)).alias("text")
+    names = [f"{kind}{j}" for j in range(4) for kind in ("which", "counts")]
+
+    def make():
+        def one(h: int, doc_id: int, text: str, lang: str) -> Iterator[tuple]:
+            yield (h, doc_id, lang, *(array.tobytes() for pair in examples_of(text, h) for array in pair))
+
+        return one
+
     n = rows.count()
     # Only about twice the rows of the sample are ordered, so what tasks send does not grow with their number;
     # where equal rows hash so unevenly that fewer are found, all are.
     for share in (2 * SAMPLE_ROWS / max(n, 1), 1.0):
-        drawn = rows.where(low < F.lit(int(min(share, 1) * (1 << 30))))
-        few = drawn.select("h", "doc_id", stretch, "lang").orderBy(low, "h", "doc_id", "text", "lang").limit(SAMPLE_ROWS).collect()
+        drawn = rows.where(low < F.lit(int(min(share, 1) * (1 << 30)))).select("h", "doc_id", "text", "lang")
+        made = map_rows(drawn, make, ", ".join(["h long, doc_id long, lang string", *(f"{c} binary" for c in names)]))
+        few = made.orderBy(low, "h", "doc_id", "lang", *names).limit(SAMPLE_ROWS).collect()
         if len(few) >= min(SAMPLE_ROWS, n):
             break
-    return fit([(r.text, r.lang) for r in few])
+    pairs = lambda r: [(np.frombuffer(r[f"which{j}"], np.uint16), np.frombuffer(r[f"counts{j}"], np.uint32)) for j in range(4)]
+    return fit_counted([(pairs(r), r.lang) for r in few])
 
 
 def predict_documents(docs: DataFrame, model: Model) -> DataFrame:

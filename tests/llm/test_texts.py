@@ -6,6 +6,7 @@ import random
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -193,6 +194,42 @@ def test_language_held_out(spark):
     assert sum(r.rejected for r in got) <= 0.01 * len(got)
 
 
+FOREIGN = [
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах.", "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια",
+    "人人生而自由，在尊严和权利上一律平等。", "xq zvk wjj qpt", "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar.", "모든 인간은 태어날 때부터 자유로우며",
+]
+
+
+def test_language_rejects_foreign_and_garbled_texts(spark):
+    """Nine in ten garbled texts and all foreign ones but one go, and 98 of a hundred clean ones stay, on rows not learned from."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.train(docs)
+    clean = [r.text for r in docs.where(language.held_out(F.col("doc_id"))).select("text").collect() if any(map(str.isalpha, r.text or ""))]
+    assert sum(not model.predict(t)[2] for t in clean) >= 0.98 * len(clean)
+    rng = random.Random(3)
+
+    def shuffled(text: str) -> str:
+        letters = [c for c in text if c.isalpha()]
+        rng.shuffle(letters)
+        left = iter(letters)
+        return "".join(next(left) if c.isalpha() else c for c in text)
+
+    garbled = [shuffled(t) for t in clean if sum(map(str.isalpha, t)) >= 20]
+    assert len(garbled) > 30 and sum(model.predict(t)[2] for t in garbled) >= 0.9 * len(garbled)
+    assert sum(model.predict(t)[2] for t in FOREIGN) >= len(FOREIGN) - 1
+
+
+def test_language_examples_read_whole_texts():
+    """Counts of a text longer than a slice are those of all its subwords, and spoiling keeps what is no letter."""
+    text = "der die und das " * 40_000 + "zebra"
+    which, counts = language.counted(text)
+    assert counts.sum() == sum(map(len, language.buckets(text))) > 2 * language.SLICE and len(which) == len(set(which.tolist()))
+    bad = language.spoilt("Ab, cd: 12!", np.random.default_rng(1))
+    assert [c for c in bad if not c.isalpha()] == [c for c in "Ab, cd: 12!" if not c.isalpha()]
+    assert language.threshold_between(np.array([0.5, 0.9]), np.array([0.8])) == 0.5 and language.threshold_between(np.zeros(0), np.zeros(0)) == 0
+
+
 def test_language_learns_only_where_it_may(spark):
     """Wrong labels on held-out rows, and other columns, must change nothing."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
