@@ -77,6 +77,19 @@ def m06_sequence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.train_sequences(rows).score(rows).select("user_id", "split", "label", "margin", "score")
 
 
+SHARES = {"spaces": " ", "e": "e", "a": "a", "o": "o", "t": "t", "digits": "0-9", "capitals": "A-Z", "accents": "\\x{C0}-\\x{17F}"}
+
+
+def letter_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with shares of kinds of letters, and whether they are German; split by a checksum of the id."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL AND lang IS NOT NULL")
+    n = F.greatest(F.length("text"), F.lit(1))
+    shares = [(F.length(F.regexp_replace("text", f"[^{kind}]", "")) / n).alias(name) for name, kind in SHARES.items()]
+    part = F.crc32(F.col("doc_id").cast("string")) % 10
+    split = F.when(part < 6, "train").when(part == 6, "val").when(part == 7, "cal").otherwise("test")
+    return docs.select("doc_id", *shares, F.length("text").cast("double").alias("n"), (F.col("lang") == "de").cast("int").alias("label"), split.alias("split"))
+
+
 QUERIES = {f.__name__: f for f in (m01_calibrated_scores, m02_model_evaluation, m03_pe_features, m04_session_traces, m06_sequence_scores)}
 ORACLE_SQL = {
     "m04_session_traces": """WITH l AS (SELECT user_id, ts, event_id, event_type, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
