@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from argusframe.checkpoints import materialize
+from argusframe.operators.membership import Filter
+
 #: ASCII white space: what the contracts write as [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\f\r"
 #: Bytes of one column chunk that a task hands from Python to the JVM at once.
 BATCH_BYTES = 16 << 20
-#: What a list of documents to read again, or to leave out, may take to be broadcast: else whole texts are shuffled.
-LIST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,23 @@ def doc_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+class Listed:
+    """Which rows may stand on a list: a Bloom filter of at most 8 MiB over its keys, kept as a table of one row.
+
+    Whole texts meet a list of documents by it: those it turns away are settled where they are read, and only those
+    that may be on the list travel to an exact join with it. The plan is the same for lists of every length; one too
+    long for the filter lets more texts travel."""
+
+    def __init__(self, few: DataFrame, names: list[str]):
+        made = Filter.of(few.select(F.xxhash64(*names).alias("digest")), few.count())
+        self.words = materialize(made.words, "list-filter")
+        self.filter = Filter(self.words, made.bits)
+
+    def possible(self, *key: Column) -> Column:
+        """Never null. The key's columns have the types and the order of the list's."""
+        return self.filter.possible(F.xxhash64(*key))
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each with underscores before it until ``df`` has no such column."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -3,7 +3,8 @@
 Each document gives the distinct hashes of its long normalised lines; documents are counted per hash; the
 hashes over the threshold go back to the documents that lose them, and texts are put together again from
 their lines in order. A hash held by a third of all documents is counted by partial aggregates, and joined
-by broadcast if the frequent lines are few, else by a join that may be split.
+by broadcast if the frequent lines are few, else by a join that may be split. Of the texts only those travel
+to their lists that a filter of bounded size doesn't turn away; the others stay as they are read.
 
 Nulls: null or empty text is one empty line; a row of null doc_id is no document: it isn't counted and keeps its
 lines. Repeats: rows that share a doc_id are one document. Ties cannot occur: of the documents that hold a line, the
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from argusframe.checkpoints import materialize, scratch
-from argusframe.llm.common import BLANKS, LIST_BYTES, doc_texts, map_rows, unused
+from argusframe.llm.common import BLANKS, Listed, doc_texts, map_rows, unused
 from argusframe.sizing import join_checked
 
 MIN_CHARS = 40
@@ -56,7 +57,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     lost_id, lost_lines, made_name = unused(docs, "_lost_id", "_lost", "_made")
     with scratch() as held:
         lost = materialize(frequent_lines(docs, min_chars, min_docs).select(F.col("doc_id").alias(lost_id), F.col("dropped").alias(lost_lines)), "lost-lines")
-        held.pass_on(lost)
+        listed = Listed(lost, [lost_id])
+        held.pass_on(lost, listed.words)
 
     @F.pandas_udf("text string, n_lines long, n_dropped long")
     def reassemble(texts: pd.Series, dropped: pd.Series) -> pd.DataFrame:
@@ -71,8 +73,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
             out.append(("\n".join(kept), len(lines), len(lines) - len(kept)))
         return pd.DataFrame(out, columns=["text", "n_lines", "n_dropped"])
 
-    joined = join_checked(docs, lost, docs["doc_id"].cast("long") == F.col(lost_id), "left", LIST_BYTES)
-    made = joined.withColumn(made_name, reassemble(F.col("text").cast("string"), F.col(lost_lines)))
+    text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    joined = docs.where(listed.possible(doc_id)).join(lost.hint("merge"), doc_id == F.col(lost_id), "left")
+    made = joined.withColumn(made_name, reassemble(text, F.col(lost_lines)))
+    n_lines = F.size(F.split(F.coalesce(text, F.lit("")), "\n", -1)).cast("long")
+    whole = F.struct(text.alias("text"), n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
+    settled = docs.where(~listed.possible(doc_id)).withColumn(made_name, whole)
     names = [F.col(made_name)["text"].alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     counts = F.struct(F.col(made_name)["n_lines"].alias("n_lines"), F.col(made_name)["n_dropped"].alias("n_dropped"))
-    return made.select(*names, counts.alias(unused(docs, "_lines")[0]))
+    out = [*names, counts.alias(unused(docs, "_lines")[0])]
+    return settled.select(*out).unionByName(made.select(*out))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from argusframe.checkpoints import discard, materialize, scratch
 from argusframe.components import connected_components
-from argusframe.llm.common import LIST_BYTES, doc_texts, unused
+from argusframe.llm.common import Listed, doc_texts, unused
 from argusframe.llm.shingles import WORDS, WordHashes, band_keys, one_permutation, shingle_set, similar, word_hashes, words_of
 from argusframe.sizing import join_checked
 
@@ -89,7 +89,8 @@ def shingle_table(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                     sets, held, first = [], 0, i + 1
 
     texts = doc_texts(docs).select("doc_id", text_key(F.col("text")).alias("key"), "text")
-    return join_checked(texts, wanted, ["doc_id", "key"], most=LIST_BYTES).select("node", "text").mapInArrow(run, "node long, set binary")
+    asked = texts.where(Listed(wanted, ["doc_id", "key"]).possible(F.col("doc_id"), F.col("key")))
+    return asked.join(wanted.hint("merge"), ["doc_id", "key"]).select("node", "text").mapInArrow(run, "node long, set binary")
 
 
 def cells_of(rows: DataFrame, sets: DataFrame, key: list[str]) -> DataFrame:
@@ -341,18 +342,27 @@ def keep_one(docs: DataFrame) -> DataFrame:
     with scratch() as held:
         named = materialize(assign(docs, WORDS, PERCENT, BANDS, ROWS), "near-named")
         as_found = lambda rows: rows.select(F.col("doc_id").alias(gone_id), F.col("key").alias(gone_key))
-        same = (docs["doc_id"].cast("long") == F.col(gone_id)) & (text_key(docs["text"]) == F.col(gone_key))
+        own = docs["doc_id"].cast("long"), text_key(docs["text"])
+        same = (own[0] == F.col(gone_id)) & (own[1] == F.col(gone_key))
+
+        def without(out: DataFrame) -> DataFrame:
+            listed = Listed(out, [gone_id, gone_key])
+            held.pass_on(out, listed.words)
+            maybe = docs.where(listed.possible(*own))
+            return docs.where(~listed.possible(*own)).unionByName(maybe.join(out.hint("merge"), same, "left_anti"))
+
         gone = materialize(as_found(named.where("NOT kept")).distinct(), "near-gone")
         # Several rows may share a component's smallest doc_id: equal ones, or near copies of each other.
         heads = named.where("kept AND n > 0 AND doc_id IS NOT NULL")
         again = materialize(heads.groupBy("part").agg(F.min("key").alias("least"), F.count("*").alias("rows")).where("rows > 1"), "near-again")
-        held.pass_on(gone)
         if not again.count():
-            return join_checked(docs, gone, same, "left_anti", LIST_BYTES)
+            return without(gone)
         heads = join_checked(heads.select("part", "doc_id", "key").distinct(), again, "part")
         extra = as_found(heads.where("key <> least"))
         firsts = materialize(as_found(heads.where("key = least")), "near-firsts")
         out_of_rows = materialize(gone.unionByName(extra).unionByName(firsts), "near-gone")
-        held.pass_on(firsts, out_of_rows)
-        one = join_checked(docs, firsts, same, most=LIST_BYTES).groupBy(gone_id, gone_key).agg(F.first(F.struct(*[docs[c] for c in docs.columns])).alias(is_first))
-        return join_checked(docs, out_of_rows, same, "left_anti", LIST_BYTES).unionByName(one.select(f"{is_first}.*"))
+        listed = Listed(firsts, [gone_id, gone_key])
+        held.pass_on(firsts, listed.words)
+        one = docs.where(listed.possible(*own)).join(firsts.hint("merge"), same)
+        one = one.groupBy(gone_id, gone_key).agg(F.first(F.struct(*[docs[c] for c in docs.columns])).alias(is_first))
+        return without(out_of_rows).unionByName(one.select(f"{is_first}.*"))

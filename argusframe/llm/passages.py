@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from argusframe.checkpoints import discard, materialize, scratch
-from argusframe.llm.common import LIST_BYTES, doc_texts
+from argusframe.llm.common import Listed, doc_texts
 from argusframe.llm.near_dedup import links
 from argusframe.llm.shingles import WORDS, WordHashes, mixed, word_hashes
 from argusframe.sizing import join_checked
@@ -161,7 +161,7 @@ def shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """node and set (its sorted shingles) of the wanted lines: node, doc_id, first_word, n_words, c1, c2."""
     item = F.struct("node", "first_word", "n_words", "c1", "c2")
     lists = materialize(wanted.groupBy("doc_id").agg(F.collect_list(item).alias("lines")), "passage-wanted")  # lines of one document
-    again = join_checked(doc_texts(docs), materialize(lists.select("doc_id"), "passage-holders"), "doc_id", "left_semi", LIST_BYTES)
+    again = doc_texts(docs).where(Listed(lists, ["doc_id"]).possible(F.col("doc_id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
@@ -182,7 +182,7 @@ def shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "set"])
                     nodes, sets, held = [], [], 0
 
-    sets = materialize(join_checked(again, lists, "doc_id").select("text", "lines").mapInArrow(run, "node long, set binary"), "passage-sets")
+    sets = materialize(again.join(lists.hint("merge"), "doc_id").select("text", "lines").mapInArrow(run, "node long, set binary"), "passage-sets")
     return sets if sets.count() <= wanted.count() else materialize(sets.dropDuplicates(["node"]), "passage-sets")
 
 
