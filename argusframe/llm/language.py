@@ -21,6 +21,7 @@ do not travel otherwise.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -233,20 +234,24 @@ def train(docs: DataFrame) -> Model:
 
     def make():
         def one(h: int, doc_id: int, text: str, lang: str) -> Iterator[tuple]:
-            yield (h, doc_id, lang, *(array.tobytes() for pair in examples_of(text, h) for array in pair))
+            yield (h, doc_id, lang, *(zlib.compress(array.tobytes(), 1) for pair in examples_of(text, h) for array in pair))
 
         return one
 
     n = rows.count()
-    # Only about twice the rows of the sample are ordered, so what tasks send does not grow with their number;
-    # where equal rows hash so unevenly that fewer are found, all are.
+    # Only about twice the rows of the sample are ordered, by hash alone, so what tasks send does not grow with their
+    # number; where equal rows hash so unevenly that fewer are found, all are. Examples are made up to the last hash.
     for share in (2 * SAMPLE_ROWS / max(n, 1), 1.0):
         drawn = rows.where(low < F.lit(int(min(share, 1) * (1 << 30)))).select("h", "doc_id", "text", "lang")
+        last = drawn.select(low.alias("low"), "h").orderBy("low", "h").limit(SAMPLE_ROWS).agg(F.max(F.struct("low", "h")).alias("last")).first().last
+        if last is not None:
+            drawn = drawn.where((low < last.low) | ((low == last.low) & (F.col("h") <= last.h)))
         made = map_rows(drawn, make, ", ".join(["h long, doc_id long, lang string", *(f"{c} binary" for c in names)]))
         few = made.orderBy(low, "h", "doc_id", "lang", *names).limit(SAMPLE_ROWS).collect()
         if len(few) >= min(SAMPLE_ROWS, n):
             break
-    pairs = lambda r: [(np.frombuffer(r[f"which{j}"], np.uint16), np.frombuffer(r[f"counts{j}"], np.uint32)) for j in range(4)]
+    array = lambda packed, kind: np.frombuffer(zlib.decompress(packed), kind)
+    pairs = lambda r: [(array(r[f"which{j}"], np.uint16), array(r[f"counts{j}"], np.uint32)) for j in range(4)]
     return fit_counted([(pairs(r), r.lang) for r in few])
 
 
