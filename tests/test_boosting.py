@@ -94,7 +94,7 @@ def auc(scored):
     return ((pos[:, None] > neg).mean() + (pos[:, None] == neg).mean() / 2)
 
 
-@pytest.mark.xfail(reason="the margins agree, but over these 200 documents the fit has three distinct ones where over ten are asked; not explained yet")
+@pytest.mark.xfail(reason="the margins agree, but over these 200 documents the fit has three distinct ones where over ten are asked: all six trees have the same three leaves")
 def test_sql_of_the_trees_gives_the_same_margins_elsewhere(spark, rows):
     """Nulls and NaN included."""
     holes = rows.withColumn("e", F.when(F.col("doc_id") % 3 == 0, None).otherwise(F.col("e")))
