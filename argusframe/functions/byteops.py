@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from argusframe.functions import strings
+
 WINDOW, STEP = 2048, 1024
 
 
@@ -65,6 +67,27 @@ def printable_profile(rows: DataFrame, key: str, content: str) -> DataFrame:
     return rows.select(key, content).mapInArrow(run, f"`{key}` {kind}, n_strings long, n_printable long, entropy double, n_kinds long")
 
 
+def category_counts(rows: DataFrame, content: str) -> DataFrame:
+    """category, n_strings (printable runs that match it) and n_rows (contents with such runs), partial as in
+    ``byte_histogram``; categories without a match are absent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = list(strings.categories())
+        n_strings, n_rows = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+        for batch in batches:
+            for b in as_bytes(batch.column(0)):
+                if b is not None:
+                    counts = np.array(strings.matching_counts(RUNS.findall(b)), np.int64)
+                    n_strings += counts
+                    n_rows += counts > 0
+        at = np.flatnonzero(n_rows)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([names[i] for i in at], pa.string()), pa.array(n_strings[at]), pa.array(n_rows[at])], names=["category", "n_strings", "n_rows"]
+        )
+
+    return rows.select(content).mapInArrow(run, "category string, n_strings long, n_rows long")
+
+
 def byte_histogram(rows: DataFrame, content: str) -> DataFrame:
     """byte and n, partial: one row a byte value and task, to be summed by byte."""
 

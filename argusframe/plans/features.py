@@ -56,11 +56,8 @@ def q64_string_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q65_category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select(strings.category_counts(C.printable_runs(F.col("html"))).alias("m"))
-    each = pages.select(F.explode("m").alias("category", "n")).groupBy("category").agg(
-        F.sum("n").cast("long").alias("n_strings"), F.count("*").alias("n_pages")
-    )
-    return each
+    counts = byteops.category_counts(table(spark, sf_dir, "pages"), "html")
+    return counts.groupBy("category").agg(F.sum("n_strings").alias("n_strings"), F.sum("n_rows").alias("n_pages"))
 
 
 def q66_length_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
