@@ -82,14 +82,14 @@ def examined(files: DataFrame, key: str, verify=None) -> DataFrame:
             return True, found, None, None
         return True, found, *pe.vector(data)[1:]
 
-    types = [pa.bool_(), pa.string(), pa.list_(pa.float32()), pa.list_(pa.string())]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 cut = batch.slice(i, 64)
-                made = zip(*(one(data.as_py(), skip.as_py()) for data, skip in zip(cut.column(1), cut.column(2), strict=True)), strict=True)
-                yield pa.RecordBatch.from_arrays([cut.column(0), *(pa.array(c, t) for c, t in zip(made, types, strict=True))], names=[key, "is_pe", "trust", "features", "degraded"])
+                made = (one(data, skip) for data, skip in zip(cut.column(1).to_pylist(), cut.column(2).to_pylist(), strict=True))
+                ok, found, features, degraded = zip(*made, strict=True)
+                arrays = [cut.column(0), pa.array(ok, pa.bool_()), pa.array(found, pa.string()), pe.feature_lists(features), pa.array(degraded, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=[key, "is_pe", "trust", "features", "degraded"])
 
     kind = files.schema[key].dataType.simpleString()
     return files.select(key, "content", "skip").mapInArrow(run, f"`{key}` {kind}, is_pe boolean, trust string, features array<float>, degraded array<string>")
