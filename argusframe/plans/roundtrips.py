@@ -206,13 +206,14 @@ def s13_feature_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s14_file_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts written as text files, each beginning with its source, and told by size and first bytes alone."""
+    """Texts written as text files, each beginning with its source, and told by size and first bytes alone.
+    Each task writes what it read, a file a source: no source is gathered in one task."""
     text = F.concat_ws(" ", "source", F.regexp_replace(F.coalesce("text", F.lit("")), r"[\n\r]", " "))
     with folder(spark) as path, scratch() as held:
-        table(spark, sf_dir, "documents").select("source", text.alias("value")).repartition(8, "source").write.partitionBy("source").text(path)
+        table(spark, sf_dir, "documents").select("source", text.alias("value")).write.partitionBy("source").text(path)
         heads = pushdown.read_heads(spark, path).where(F.col("path").endswith(".txt") & (F.col("length") > 0))
         source = F.regexp_extract("path", "source=([^/]*)/", 1)
-        named = F.startswith(F.decode(F.substring("head", 1, 16), "utf-8"), F.concat(source, F.lit(" ")))
+        named = F.startswith("head", F.encode(F.concat(source, F.lit(" ")), "utf-8"))
         told = heads.groupBy(source.alias("source")).agg(F.sum("length").alias("n_bytes"), F.min(named.cast("int")).alias("is_named"))
         kept = materialize(told, "heads")
         held.pass_on(kept)
