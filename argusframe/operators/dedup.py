@@ -72,9 +72,9 @@ def by_sample(sizes: DataFrame) -> DataFrame:
     return sizes.select("*", ((F.col("median_size") > 1) & (F.col("n_groups") > 1)).cast("int").alias("is_grouped_by_sample"))
 
 
-def majority(rows: DataFrame, group: list[str], value: list[str]) -> DataFrame:
-    """The most frequent ``value`` of each group; of equals the smallest."""
-    counted = rows.groupBy(*group, *value).agg(F.count("*").alias("_n"))
+def majority(rows: DataFrame, group: list[str], value: list[str], times: Column | None = None) -> DataFrame:
+    """The most frequent ``value`` of each group; of equals the smallest. ``times``: how many rows each row stands for."""
+    counted = rows.groupBy(*group, *value).agg(F.sum(F.lit(1) if times is None else times).alias("_n"))
     best = counted.groupBy(*group).agg(F.min(F.struct((-F.col("_n")).alias("_n"), *value)).alias("_m"))
     return best.select(*group, *[F.col(f"_m.{v}") for v in value])
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,11 +14,15 @@ from argusframe.components import connected_components
 from argusframe.functions.columns import family_of, half_even, strip_dump_suffix
 from argusframe.operators.dedup import by_sample, group_sizes, majority
 from argusframe.operators.ordering import running_totals, seeded
-from argusframe.sizing import BROADCAST_BYTES, bytes_of
+from argusframe.sizing import BROADCAST_BYTES, bytes_of, join_checked
 
 FRACTIONS = {"val": 0.1, "test": 0.1, "cal": 0.2}
 
 
+def _all_of(conditions: list[Column]) -> Column:
+    return reduce(operator.and_, conditions, F.lit(True))
+
+
 def in_seeded_order(rows: DataFrame, bucket: list[str], key: list[str], size: Column, seed: str) -> DataFrame:
     """``rows`` with _before and _total: sizes of the earlier rows of its bucket in seeded order, and of all.
     The order is one over (bucket, digest, key), so a bucket with most rows is summed by many tasks."""
@@ -24,7 +31,7 @@ def in_seeded_order(rows: DataFrame, bucket: list[str], key: list[str], size: Co
     run = materialize(running_totals(hashed, order, {"_upto": F.col("_size")}, "split-order"), "split-sums")
     ends = run.groupBy(*bucket).agg(F.min(F.col("_upto") - F.col("_size")).alias("_base"), F.sum("_size").alias("_total"))
     same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in bucket]
-    joined = run.alias("l").join(ends.alias("r"), same or F.lit(True), "inner")
+    joined = join_checked(run.alias("l"), materialize(ends, "split-ends").alias("r"), _all_of(same))
     return joined.select(*[F.col(f"l.{c}") for c in hashed.columns], (F.col("_upto") - F.col("_size") - F.col("_base")).alias("_before"), "_total")
 
 
@@ -35,13 +42,13 @@ def allocate(groups: DataFrame, bucket: list[str], key: list[str], size: str, se
     share = lambda name: half_even(F.col("_total") * F.lit(fractions[name]))
     edge = lambda ok: F.coalesce(F.max(F.when(ok, F.col("_before") + F.col("_size"))), F.lit(0))
     run = materialize(run.select(*groups.columns, "_before", "_size", "_total"), "allocate")
-    same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in bucket] or F.lit(True)
+    same = lambda a, b: _all_of([F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in bucket])
     vals = run.groupBy(*bucket).agg(edge(F.col("_before") < share("val")).alias("_vend"))
-    run = run.alias("l").join(vals.alias("v"), same("l", "v")).select("l.*", "_vend")
+    run = join_checked(run.alias("l"), materialize(vals, "val-ends").alias("v"), same("l", "v")).select("l.*", "_vend")
     left = F.col("_before") - F.col("_vend")
     tests = run.groupBy(*bucket).agg(F.max("_vend").alias("_v"), edge((left >= 0) & (left < share("test"))).alias("_tend"))
     tests = tests.withColumn("_tend", F.greatest("_tend", "_v")).drop("_v")
-    run = run.alias("l").join(tests.alias("t"), same("l", "t")).select("l.*", "_tend")
+    run = join_checked(run.alias("l"), materialize(tests, "test-ends").alias("t"), same("l", "t")).select("l.*", "_tend")
     split = F.when(F.col("_before") < F.col("_vend"), "val").when(F.col("_before") < F.col("_tend"), "test").when(
         F.col("_before") - F.col("_tend") < share("cal"), "cal"
     ).otherwise("train")
@@ -66,10 +73,11 @@ def leaks(rows: DataFrame, key: Column, over: str = "split") -> DataFrame:
     return rows.groupBy(key.alias("leak_key")).agg(F.min(over).alias("a"), F.max(over).alias("b"), F.count("*").alias("n_rows")).where("a <> b")
 
 
-def report(rows: DataFrame, fractions: dict[str, float]) -> DataFrame:
-    """Per split: rows, share, target and difference in percentage points."""
+def report(rows: DataFrame, fractions: dict[str, float], times: Column | None = None) -> DataFrame:
+    """Per split: rows, share, target and difference in percentage points. ``times``: how many rows each row stands for."""
+    times = F.lit(1) if times is None else times
     target = F.coalesce(F.create_map(*[F.lit(x) for k, v in fractions.items() for x in (k, float(v))])[F.col("split")], F.lit(1.0 - sum(fractions.values())))
-    sizes = rows.groupBy("split").agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("n_malicious"))
+    sizes = rows.groupBy("split").agg(F.sum(times).alias("n"), F.sum(F.when(F.col("label") == 1, times).otherwise(0)).alias("n_malicious"))
     total = sizes.agg(F.sum("n").alias("_total"))
     share = F.col("n") / F.col("_total")
     return sizes.join(F.broadcast(total)).select("split", "n", "n_malicious", share.alias("share"), target.alias("target"), ((share - target) * 100).alias("delta_pp"))  # one row

@@ -60,27 +60,34 @@ def q38_connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.groupBy("component").agg(F.count("*").alias("n_nodes"), F.count_if(F.col("node") >= 0).alias("n_sources"))
 
 
-def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean, _ = dedup.split_ambiguous(flows(spark, sf_dir), ["vec"])
-    sizes = clean.groupBy("vec").agg(F.count("*").alias("size"), F.max("label").alias("label"))
-    named = dedup.majority(clean, ["vec"], ["day", "label_raw"])
-    return sizes.join(named, "vec")
+def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many flows of each vector there are, by what is asked of them: counted in every task before anything is shuffled."""
+    return materialize(flows(spark, sf_dir).groupBy("vec", "label", "day", "label_raw").agg(F.count("*").alias("n")), "flow-counts")
 
 
-def _allocated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.allocate(_groups(spark, sf_dir), ["day", "label_raw"], ["vec"], "size", SEED)
+def _groups(counted: DataFrame) -> DataFrame:
+    """Vectors of one label with their size, label and most frequent day and raw label."""
+    sizes = counted.groupBy("vec").agg(F.sum("n").alias("size"), F.min("label").alias("_least"), F.max("label").alias("label"))
+    clean = sizes.where(~F.coalesce(F.col("_least") != F.col("label"), F.lit(False))).drop("_least")
+    return clean.join(dedup.majority(counted, ["vec"], ["day", "label_raw"], F.col("n")), "vec")
+
+
+def _allocated(counted: DataFrame) -> DataFrame:
+    return splits.allocate(_groups(counted), ["day", "label_raw"], ["vec"], "size", SEED)
 
 
 def q39_greedy_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _allocated(spark, sf_dir).select("vec", "day", "label_raw", "size", "split")
+    return _allocated(_counted(spark, sf_dir)).select("vec", "day", "label_raw", "size", "split")
 
 
 def _split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flows(spark, sf_dir).join(_allocated(spark, sf_dir).select("vec", "split"), "vec")
+    """Flows with their split, those of one vector, label, day and raw label as one row with n."""
+    counted = _counted(spark, sf_dir)
+    return counted.join(_allocated(counted).select("vec", "split"), "vec")
 
 
 def q40_split_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = splits.report(_split_rows(spark, sf_dir), splits.FRACTIONS)
+    out = splits.report(_split_rows(spark, sf_dir), splits.FRACTIONS, F.col("n"))
     return out.select("split", "n", "n_malicious", F.round("share", 9).alias("share"), "target", F.round("delta_pp", 7).alias("delta_pp"))
 
 
