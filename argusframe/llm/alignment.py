@@ -21,7 +21,6 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,22 +44,29 @@ MEMO_ENTRIES, MEMO_CHARS = 300_000, 40
 
 
 class Memo(dict):
-    """Text -> ids, filled on demand; emptied when full."""
+    """Piece of text -> its ids, packed, filled on demand; emptied when full. Whether a piece's tokens spell it out is
+    tested once, when it is met first; those that do not are kept in ``strange``."""
 
-    def __init__(self, encode: Callable[[str], list[int]]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[str], list[int]], bytes_of: list[bytes]):
+        self.encode, self.bytes_of, self.strange = encode, bytes_of, set()
 
-    def __missing__(self, text: str) -> list[int]:
-        ids = self.encode(text)
+    def __missing__(self, text: str) -> bytes:
+        ids = np.array(self.encode(text), np.int64)
+        packed = ids.tobytes()
+        if not spells(ids, self.bytes_of, text.encode("utf-8", "surrogatepass")):
+            self.strange.add(text)
         if len(text) <= MEMO_CHARS:
-            if len(self) >= MEMO_ENTRIES:
-                self.clear()
-            self[text] = ids
-        return ids
+            self[text] = packed
+        return packed
 
-
-def gathered(parts: Iterator[list[int]]) -> np.ndarray:
-    return np.fromiter(chain.from_iterable(parts), np.int64)
+    def ids_of(self, pieces: list[str], text: str, spelled: bytes) -> tuple[np.ndarray, bool]:
+        """Ids of the pieces one after the other, and whether they spell out the text."""
+        if len(self) >= MEMO_ENTRIES or len(self.strange) >= MEMO_ENTRIES:
+            self.clear()
+            self.strange.clear()
+        ids = np.frombuffer(b"".join(map(self.__getitem__, pieces)), np.int64)
+        is_sure = self.strange.isdisjoint(pieces) and "".join(pieces) == text
+        return ids, is_sure or spells(ids, self.bytes_of, spelled)
 
 
 class ByteLevel:
@@ -73,13 +79,14 @@ class ByteLevel:
         for token, i in self.library.vocabulary.items():
             self.bytes_of[i] = bytes(map(byte.__getitem__, token)) if all(c in byte for c in token) else token.encode()
         self.split = splitter()
-        self.memo = Memo(self.library.fast.encode_ordinary) if self.library.fast else None
+        self.memo = Memo(self.library.fast.encode_ordinary, self.bytes_of) if self.library.fast else None
 
-    def encode(self, text: str, spelled: bytes) -> np.ndarray:
-        """Ids of the text; pieces of the usual split are encoded one by one and remembered."""
+    def encode(self, text: str, spelled: bytes) -> tuple[np.ndarray, bool]:
+        """Ids of the text, and whether they spell it out; pieces of the usual split are encoded one by one and remembered."""
         if self.memo is None or not latin_only(text):
-            return self.library(text).astype(np.int64)
-        return gathered(map(self.memo.__getitem__, self.split(text)))
+            ids = self.library(text).astype(np.int64)
+            return ids, spells(ids, self.bytes_of, spelled)
+        return self.memo.ids_of(self.split(text), text, spelled)
 
 
 class Pieced:
@@ -93,16 +100,18 @@ class Pieced:
             self.bytes_of.append(bytes([int(piece[3:5], 16)]) if model.is_byte(i) else piece.replace("▁", " ").encode())
         # no token goes on past the end of a word, so words may be encoded one by one
         by_words = not any(re.search("[^▁]▁", model.id_to_piece(i)) for i in range(model.get_piece_size()))
-        self.memo = Memo(lambda word: model.encode(word[1:], num_threads=1)) if by_words else None
+        self.memo = Memo(lambda word: model.encode(word[1:], num_threads=1), self.bytes_of) if by_words else None
         self.words = re.compile(" +[^ ]*").findall
 
-    def encode(self, text: str, spelled: bytes) -> np.ndarray:
-        """Ids of a text that begins with the space: word by word and remembered if they spell it out, else as a whole."""
+    def encode(self, text: str, spelled: bytes) -> tuple[np.ndarray, bool]:
+        """Ids of a text that begins with the space, and whether they spell it out: word by word and remembered if they do,
+        else as a whole."""
         if self.memo is not None and not text.endswith(" "):
-            ids = gathered(map(self.memo.__getitem__, self.words(text)))
-            if spells(ids, self.bytes_of, spelled):
-                return ids
-        return np.array(self.model.encode(text[1:], num_threads=1), np.int64)
+            ids, is_spelled = self.memo.ids_of(self.words(text), text, spelled)
+            if is_spelled:
+                return ids, True
+        ids = np.array(self.model.encode(text[1:], num_threads=1), np.int64)
+        return ids, spells(ids, self.bytes_of, spelled)
 
 
 def spells(ids: np.ndarray, bytes_of: list[bytes], text: bytes) -> bool:
@@ -124,8 +133,8 @@ class Aligner:
             return 0, 0, 0, 0, "", none, none
         spaced = " " + text
         spelled = spaced.encode("utf-8", "surrogatepass")
-        a, b = (side.encode(spaced, spelled) for side in self.sides)
-        if not all(spells(ids, side.bytes_of, spelled) for ids, side in zip((a, b), self.sides, strict=True)):
+        (a, is_a), (b, is_b) = (side.encode(spaced, spelled) for side in self.sides)
+        if not (is_a and is_b):
             return 0, 0, 0, 0, "", none, none
         size_a, size_b = self.sizes[0][a], self.sizes[1][b]
         ends_a, ends_b = np.cumsum(size_a), np.cumsum(size_b)
