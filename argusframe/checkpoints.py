@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from pyspark import SparkContext
 from pyspark.errors import PySparkRuntimeError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 class Scope:
@@ -95,12 +96,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and read it back: one job, no lineage left."""
+def materialize(df: DataFrame, label: str, kinds: dict[str, T.DataType] | None = None) -> DataFrame:
+    """Write ``df`` as Parquet below the shared folder and read it back: one job, no lineage left. ``kinds`` are columns
+    that are read back as another type which is stored alike, as a vector is as its parts."""
     spark = df.sparkSession
     path = reserve(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    schema = T.StructType([T.StructField(f.name, (kinds or {}).get(f.name, f.dataType), f.nullable) for f in df.schema])
+    return spark.read.schema(schema).parquet(path)
 
 
 def reserve(spark: SparkSession, label: str) -> str:

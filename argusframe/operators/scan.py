@@ -8,11 +8,13 @@ one.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,9 +68,10 @@ def manifest(files: DataFrame, wanted: DataFrame) -> DataFrame:
     )
 
 
-def examined(files: DataFrame, key: str, verify=None) -> DataFrame:
-    """key, is_pe, trust, features, degraded of a table of key, content and skip, in one pass over the bytes. Of a file
-    to skip, or one whose signature is verified, only the format is told."""
+def examined(files: DataFrame, key: str, verify=None, carry: Sequence[str] = ()) -> DataFrame:
+    """key, is_pe, trust, vector, degraded of a table of key, content and skip, and its columns to carry, in one pass over
+    the bytes, stored. Of a file to skip, or one whose signature is verified, only the format is told. Vectors are
+    sparse, since few of the 2,568 features of a file are set."""
 
     def one(data: bytes, skip: bool) -> tuple:
         try:
@@ -88,18 +91,22 @@ def examined(files: DataFrame, key: str, verify=None) -> DataFrame:
                 cut = batch.slice(i, 64)
                 made = (one(data, skip) for data, skip in zip(cut.column(1).to_pylist(), cut.column(2).to_pylist(), strict=True))
                 ok, found, features, degraded = zip(*made, strict=True)
-                arrays = [cut.column(0), pa.array(ok, pa.bool_()), pa.array(found, pa.string()), pe.feature_lists(features), pa.array(degraded, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(arrays, names=[key, "is_pe", "trust", "features", "degraded"])
+                arrays = [cut.column(0), pa.array(ok, pa.bool_()), pa.array(found, pa.string()), pe.sparse_vectors(features), pa.array(degraded, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*arrays, *cut.columns[3:]], names=[*names, *carry])
 
-    kind = files.schema[key].dataType.simpleString()
-    return files.select(key, "content", "skip").mapInArrow(run, f"`{key}` {kind}, is_pe boolean, trust string, features array<float>, degraded array<string>")
+    names, kind = [key, "is_pe", "trust", "vector", "degraded"], lambda c: f"`{c}` {files.schema[c].dataType.simpleString()}"
+    schema = ", ".join([kind(key), f"is_pe boolean, trust string, vector {pe.SPARSE}, degraded array<string>", *map(kind, carry)])
+    return materialize(files.select(key, "content", "skip", *carry).mapInArrow(run, schema), "examined", {"vector": VectorUDT()})
 
 
 def with_static(
-    files: DataFrame, key: str, score: Callable[[DataFrame], DataFrame], digests: DataFrame | membership.Artifact | None = None, verify=None, most: int = policy.MAX_FILE_BYTES
+    files: DataFrame, key: str, score: Callable[[DataFrame], DataFrame], digests: DataFrame | membership.Artifact | None = None, verify=None, most: int = policy.MAX_FILE_BYTES,
+    seen: DataFrame | None = None
 ) -> DataFrame:
     """``files`` (key, exists, is_file, readable, length, content, sha256) without content, but with problem,
-    allowlist_reason, is_pe, degraded and static_score. A file must be executable before any list is asked.
+    allowlist_reason, is_pe, degraded and static_score. A file must be executable before any list is asked. ``score`` is
+    given features as a list of numbers, and as a sparse vector. ``seen`` is what ``examined`` told of all the contents,
+    where that is known already: they are not parsed again.
 
     Contents are read once and never shuffled. Whether a file is listed is found from keys and digests; the pass over
     contents knows it by two filters: what the list's filter turns away is parsed, and so is what a second filter holds
@@ -116,14 +123,18 @@ def with_static(
             asked = materialize(rows.where(fine).select(key, digest.alias("digest")).where(known.filter.possible(F.col("digest"))), "asked")
             listed = materialize(known.listed(asked), "listed")
             flags = materialize(asked.join(listed, "digest", "left_semi").select(key, F.lit(True).alias("_listed")), "listed-keys")
-            strays = materialize(asked.join(listed, "digest", "left_anti").select("digest").distinct(), "strays")
-            again = membership.Filter.of(strays, strays.count())
-            again = membership.Filter(materialize(again.words, "stray-filter"), again.bits)
-            skip = F.coalesce(known.filter.possible(digest) & ~again.possible(digest), F.lit(False))
-        seen = materialize(examined(rows.where(fine).withColumn("skip", skip), key, verify), "examined")
+            if seen is None:
+                strays = materialize(asked.join(listed, "digest", "left_anti").select("digest").distinct(), "strays")
+                again = membership.Filter.of(strays, strays.count())
+                again = membership.Filter(materialize(again.words, "stray-filter"), again.bits)
+                skip = F.coalesce(known.filter.possible(digest) & ~again.possible(digest), F.lit(False))
+        if seen is None:
+            seen = examined(rows.where(fine).withColumn("skip", skip), key, verify)
         held.pass_on(seen, flags)
-    scored = score(seen.where("features IS NOT NULL")).select(key, "static_score")
-    out = rows.drop("content").join(seen.drop("features"), key, "left").join(scored, key, "left")
+    vectors = seen.where("vector IS NOT NULL").select(key, "vector", vector_to_array("vector", "float32").alias("features"))
+    scored = score(vectors).select(key, "static_score")
+    told = seen.select(key, "is_pe", "trust", "degraded")
+    out = rows.drop("content").join(told, key, "left").join(scored, key, "left").withColumn("is_pe", F.when(fine, F.col("is_pe")))
     out = out.join(flags, key, "left").withColumn("is_allowlisted", F.col("_listed").isNotNull()).drop("_listed") if flags is not None else out.withColumn("is_allowlisted", F.lit(False))
     out = out.withColumn("problem", F.coalesce("problem", F.when(~F.col("is_pe"), "invalid_or_non_pe_file")))
     fine = F.col("problem").isNull()

@@ -1,10 +1,12 @@
 """Steps whose largest task must not grow with a table: looked at in plans, partitions and files."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from argusframe.operators import splits
-from argusframe.plans import decisions, groups, roundtrips
-from argusframe.sources import pushdown
+from argusframe.operators import scan, splits
+from argusframe.plans import decisions, groups, roundtrips, scans
+from argusframe.sources import pe, pushdown
 
 
 def test_a_source_is_written_by_more_than_one_task(spark, tmp_path, monkeypatch):
@@ -55,3 +57,15 @@ def test_ends_of_few_buckets_are_broadcast(spark):
         assert {r.split: r["count"] for r in split.groupBy("split").count().collect()} == {"val": 300, "test": 300, "cal": 600, "train": 1800}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_vectors_are_stored_sparse(spark):
+    """What a scorer is given equals the dense vector, and a file to skip has none."""
+    made = [pe.vector(scans.HEAD + b"some words of text " * k)[1] for k in range(1, 4)]
+    parts = pe.sparse_vectors([made[0], None, made[1]])
+    assert len(pe.sparse_vectors([])) == 0 and pe.sparse_vectors([None]).null_count == 1
+    assert all(np.array_equal(np.bincount(p["indices"], p["values"], p["size"]).astype(np.float32), v) for p, v in zip(parts.to_pylist()[::2], made, strict=False))
+    assert len(parts[0]["values"]) < pe.DIMENSIONS / 4 and pa.types.is_struct(parts.type)
+    files = spark.createDataFrame([(k, scans.HEAD + b"some words of text " * k, k == 3) for k in range(1, 4)] + [(4, b"no executable", False)], "doc_id long, content binary, skip boolean")
+    seen = {r.doc_id: r for r in scan.examined(files, "doc_id", carry=["skip"]).collect()}
+    assert np.array_equal(seen[2].vector.toArray().astype(np.float32), made[1]) and seen[3].is_pe and seen[3].vector is None and not seen[4].is_pe and seen[3].skip
