@@ -13,34 +13,56 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF, VectorAssembler
+from pyspark.ml.feature import HashingTF, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from argusframe.functions.columns import sigmoid
 
 
-def with_vector(rows: DataFrame, features: list[str]) -> DataFrame:
-    """``rows`` with _x: one column that is an array of all features, or a column each."""
-    if len(features) == 1 and rows.schema[features[0]].dataType.typeName() == "array":
-        return rows.withColumn("_x", array_to_vector(F.col(features[0]).cast("array<double>")))
+def is_whole(rows: DataFrame, features: list[str]) -> bool:
+    """Whether one column holds all features, as an array or a vector."""
+    return len(features) == 1 and isinstance(rows.schema[features[0]].dataType, (T.ArrayType, VectorUDT))
+
+
+def with_vector(rows: DataFrame, features: list[str], kept: list[int] | None = None) -> DataFrame:
+    """``rows`` with _x: one column that is an array or a vector of all features, or a column each. Of these only the
+    ``kept`` places, if given."""
+    if kept is not None:
+        return VectorSlicer(inputCol="_all", outputCol="_x", indices=kept).transform(with_vector(rows, features).withColumnRenamed("_x", "_all")).drop("_all")
+    if is_whole(rows, features):
+        whole = F.col(features[0])
+        return rows.withColumn("_x", whole if isinstance(rows.schema[features[0]].dataType, VectorUDT) else array_to_vector(whole.cast("array<double>")))
     return VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep").transform(rows)
 
 
+def varying(rows: DataFrame, features: list[str]) -> list[int]:
+    """The places at which some rows differ, or hold NaN; the first where none does. Trees can split nowhere else."""
+    found = with_vector(rows, features).agg(Summarizer.metrics("min", "max", "sum").summary(F.col("_x")).alias("s")).select("s.*").first()
+    low, high, total = (np.zeros(1) if v is None or not v.size else v.toArray() for v in (found["min"], found["max"], found["sum"]))
+    return np.flatnonzero((low != high) | np.isnan(total)).tolist() or [0]
+
+
 @dataclass
 class Detector:
+    """``kept`` are the places of a whole vector that the trees were given."""
+
     features: list[str]
     trees: GBTClassificationModel
     slope: float
     intercept: float
+    kept: list[int] | None = None
 
     def margins(self, rows: DataFrame) -> DataFrame:
         """``rows`` with margin; a missing feature column is an error, whatever else the table holds."""
         missing = [c for c in self.features if c not in rows.columns]
         if missing:
             raise ValueError(f"features missing: {missing}")
-        ready = with_vector(rows, self.features)
+        ready = with_vector(rows, self.features, self.kept)
         out = self.trees.setFeaturesCol("_x").setRawPredictionCol("_raw").setProbabilityCol("").setPredictionCol("_hit").transform(ready)
         return out.withColumn("margin", vector_to_array("_raw")[1]).drop("_x", "_raw", "_hit")
 
@@ -49,36 +71,43 @@ class Detector:
         return self.margins(rows).withColumn("score", sigmoid(F.col("margin") * self.slope + self.intercept))
 
     def fingerprint(self) -> str:
-        return hashlib.sha256(self.trees.toDebugString.encode()).hexdigest()[:16]
+        told = self.trees.toDebugString + ("" if self.kept is None else str(self.kept))
+        return hashlib.sha256(told.encode()).hexdigest()[:16]
 
     def save(self, path: str) -> None:
         self.trees.write().overwrite().save(f"{path}/trees")
         spark = SparkSession.getActiveSession()
         spark.createDataFrame(
-            [(self.features, self.slope, self.intercept)], "features array<string>, slope double, intercept double"
+            [(self.features, self.slope, self.intercept, self.kept)], CALIBRATION
         ).write.mode("overwrite").json(f"{path}/calibration")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Detector:
-        meta = spark.read.json(f"{path}/calibration", schema="features array<string>, slope double, intercept double").first()
-        return Detector(list(meta.features), GBTClassificationModel.load(f"{path}/trees"), meta.slope, meta.intercept)
+        meta = spark.read.json(f"{path}/calibration", schema=CALIBRATION).first()
+        return Detector(list(meta.features), GBTClassificationModel.load(f"{path}/trees"), meta.slope, meta.intercept, meta.kept)
+
+
+#: What is saved beside the trees; ``kept`` is missing in older files.
+CALIBRATION = "features array<string>, slope double, intercept double, kept array<int>"
 
 
 def train(rows: DataFrame, features: list[str], rounds: int = 20, depth: int = 4, rate: float = 0.1, balanced: bool = True, seed: int = 42) -> Detector:
-    """Fit on ``rows`` (label, split in train, val, cal, and features)."""
+    """Fit on ``rows`` (label, split in train, val, cal, and features). Of a whole vector only those places are binned and
+    kept in memory at which rows of train differ; the trees are the same."""
+    kept = varying(rows.where("split = 'train'"), features) if is_whole(rows, features) else None
     parts = rows.where(F.col("split").isin("train", "val")).withColumn("_val", F.col("split") == "val")
     sizes = {r.label: r.n for r in parts.where("NOT _val").groupBy("label").agg(F.count("*").alias("n")).collect()}
     weight = F.when(F.col("label") == 1, sizes.get(0, 0) / max(sizes.get(1, 0), 1)).otherwise(1.0) if balanced else F.lit(1.0)
-    ready = with_vector(parts.withColumn("_w", weight).withColumn("label", F.col("label").cast("double")), features)
+    ready = with_vector(parts.withColumn("_w", weight).withColumn("label", F.col("label").cast("double")), features, kept)
     trees = GBTClassifier(
         featuresCol="_x", labelCol="label", weightCol="_w", validationIndicatorCol="_val", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed
     ).fit(ready)
-    raw = Detector(features, trees, 1.0, 0.0)
+    raw = Detector(features, trees, 1.0, 0.0, kept)
     margins = VectorAssembler(inputCols=["margin"], outputCol="_m").transform(
         raw.margins(rows.where("split = 'cal'")).withColumn("label", F.col("label").cast("double"))
     )
     platt: LogisticRegressionModel = LogisticRegression(featuresCol="_m", labelCol="label", regParam=0.0).fit(margins)
-    return Detector(features, trees, float(platt.coefficients[0]), float(platt.intercept))
+    return Detector(features, trees, float(platt.coefficients[0]), float(platt.intercept), kept)
 
 
 class SequenceNet:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from argusframe import models
@@ -14,7 +14,7 @@ from argusframe.functions.warnings import DOTS, WARNINGS, normalised
 from argusframe.operators import evaluators, membership, metrics, policy, scan
 from argusframe.plans.decisions import DECISION, REASONS
 from argusframe.plans.tables import table
-from argusframe.sources import pe, signatures
+from argusframe.sources import signatures
 
 T = policy.Thresholds()
 MOST_BYTES = 30_000
@@ -42,19 +42,20 @@ def executable_head() -> bytes:
 HEAD = executable_head()
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def files(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
     """Documents as files: four of five are executables with the text as overlay, the others the text alone; some
-    are missing, and the longest too large."""
+    are missing, and the longest too large. ``more`` are columns besides."""
     d = F.col("doc_id")
     text = F.encode(F.coalesce("text", F.lit("")), "utf-8")
     content = F.when(d % 5 != 1, F.concat(F.unhex(F.lit(HEAD.hex())), text)).otherwise(text)
     rows = table(spark, sf_dir, "documents").select(
-        "doc_id", (d % 13 != 12).alias("exists"), F.lit(True).alias("is_file"), F.lit(True).alias("readable"), content.alias("content")
+        "doc_id", (d % 13 != 12).alias("exists"), F.lit(True).alias("is_file"), F.lit(True).alias("readable"), content.alias("content"), *more
     )
-    found = F.col("exists")
+    found, base = F.col("exists"), ["doc_id", "exists", "is_file", "readable", "content"]
     return rows.select(
         "doc_id", "exists", "is_file", "readable", F.when(found, F.octet_length("content").cast("long")).alias("length"),
-        F.when(found, F.col("content")).alias("content"), F.when(found, F.sha2("content", 256)).alias("sha256")
+        F.when(found, F.col("content")).alias("content"), F.when(found, F.sha2("content", 256)).alias("sha256"),
+        *[c for c in rows.columns if c not in base]
     )
 
 
@@ -73,9 +74,9 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def scanned(spark: SparkSession, sf_dir: str, score=by_size) -> DataFrame:
+def scanned(spark: SparkSession, sf_dir: str, score=by_size, seen: DataFrame | None = None) -> DataFrame:
     digests = files(spark, sf_dir).where("doc_id % 17 = 3").select("sha256")
-    rows = scan.with_static(files(spark, sf_dir), "doc_id", score, digests, most=MOST_BYTES)
+    rows = scan.with_static(files(spark, sf_dir), "doc_id", score, digests, most=MOST_BYTES, seen=seen)
     return scan.decide_scans(rows.join(signals(spark, sf_dir), "doc_id"), T, {"network": True})
 
 
@@ -147,16 +148,14 @@ def q95_signal_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def m05_trained_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same files under a detector fitted on their own feature vectors: trained, calibrated, then decided."""
-    held = files(spark, sf_dir)
-    vectors = pe.pe_features(held.where("content IS NOT NULL"), "doc_id").where("is_pe")
-    labels = table(spark, sf_dir, "documents").select(
-        "doc_id", (F.col("n_chars") > 600).cast("int").alias("label"),
-        F.when(F.col("doc_id") % 10 < 6, "train").when(F.col("doc_id") % 10 < 8, "val").otherwise("cal").alias("split")
-    )
-    rows = materialize(vectors.join(labels, "doc_id").select("doc_id", "features", "label", "split"), "scan-training")
-    detector = models.train(rows, ["features"], rounds=5, depth=3)
-    out = scanned(spark, sf_dir, lambda parsed: detector.score(parsed).select("doc_id", F.col("score").alias("static_score")))
+    """The same files under a detector fitted on their own feature vectors: trained, calibrated, then decided. Each file
+    is parsed once: what is trained on is scored too."""
+    label = (F.col("n_chars") > 600).cast("int").alias("label")
+    split = F.when(F.col("doc_id") % 10 < 6, "train").when(F.col("doc_id") % 10 < 8, "val").otherwise("cal").alias("split")
+    held = files(spark, sf_dir, label, split).where("content IS NOT NULL").withColumn("skip", F.lit(False))
+    seen = scan.examined(held, "doc_id", carry=["label", "split"])
+    detector = models.train(seen.where("is_pe"), ["vector"], rounds=5, depth=3)
+    out = scanned(spark, sf_dir, lambda parsed: detector.score(parsed).select("doc_id", F.col("score").alias("static_score")), seen)
     return out.select("doc_id", "static_score", "static", "final_decision", F.array_join("reason_codes", ",").alias("reason_codes"))
 
 

@@ -2,11 +2,15 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import functions as F
 
+from argusframe import models
+from argusframe.checkpoints import materialize
 from argusframe.operators import scan, splits
 from argusframe.plans import decisions, groups, roundtrips, scans
 from argusframe.sources import pe, pushdown
+from oracle import SF
 
 
 def test_a_source_is_written_by_more_than_one_task(spark, tmp_path, monkeypatch):
@@ -59,6 +63,15 @@ def test_ends_of_few_buckets_are_broadcast(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_files_of_a_trained_scan_are_parsed_once(spark, monkeypatch):
+    """Before, vectors were made for the training and made again for the scan, and dense ones were joined by a shuffle."""
+    passes = []
+    for module, name in ((scan, "examined"), (pe, "pe_features")):
+        monkeypatch.setattr(module, name, lambda *a, _f=getattr(module, name), _n=name, **k: passes.append(_n) or _f(*a, **k))
+    rows = scans.m05_trained_scan(spark, SF).where("static_score IS NOT NULL")
+    assert passes == ["examined"] and rows.count() > 50
+
+
 def test_vectors_are_stored_sparse(spark):
     """What a scorer is given equals the dense vector, and a file to skip has none."""
     made = [pe.vector(scans.HEAD + b"some words of text " * k)[1] for k in range(1, 4)]
@@ -69,3 +82,31 @@ def test_vectors_are_stored_sparse(spark):
     files = spark.createDataFrame([(k, scans.HEAD + b"some words of text " * k, k == 3) for k in range(1, 4)] + [(4, b"no executable", False)], "doc_id long, content binary, skip boolean")
     seen = {r.doc_id: r for r in scan.examined(files, "doc_id", carry=["skip"]).collect()}
     assert np.array_equal(seen[2].vector.toArray().astype(np.float32), made[1]) and seen[3].is_pe and seen[3].vector is None and not seen[4].is_pe and seen[3].skip
+
+
+def test_places_without_a_difference_are_not_trained_on(spark):
+    """Of a wide vector only places that differ are binned and kept in memory; margins are those of all places."""
+    varied = [F.col("id") % 7, F.col("id") % 5, (F.col("id") * 31 % 11)]
+    wide = [F.lit(3.0), varied[0], F.lit(0.0), varied[1], *[F.lit(float(k)) for k in range(50)], varied[2]]
+    rows = spark.range(0, 600, 1, 4).select(
+        "id", F.array(*[c.cast("float") for c in wide]).alias("features"), *[c.cast("double").alias(f"x{i}") for i, c in enumerate(varied)],
+        ((F.col("id") % 7 > 3) | (F.col("id") % 5 == 1)).cast("int").alias("label"), F.element_at(F.array(*map(F.lit, ["train", "train", "val", "cal"])), (F.hash("id") % 4 + 4).cast("int") % 4 + 1).alias("split")
+    )
+    rows = materialize(rows, "wide")
+    one, other = models.train(rows, ["features"], rounds=3, depth=2), models.train(rows, ["x0", "x1", "x2"], rounds=3, depth=2)
+    assert one.kept == [1, 3, len(wide) - 1] and one.trees.numFeatures == 3
+    margins = [[r.margin for r in d.margins(rows).orderBy("id").collect()] for d in (one, other)]
+    assert margins[0] == margins[1] and len(set(margins[0])) > 2
+    assert isinstance(models.with_vector(rows, ["features"], one.kept).schema["_x"].dataType, VectorUDT)
+
+
+def test_a_model_of_kept_places_is_saved_with_them(spark, tmp_path):
+    rows = materialize(spark.range(0, 200, 1, 2).select(
+        F.array(F.lit(1.0), (F.col("id") % 3).cast("double")).alias("f"), (F.col("id") % 3 == 1).cast("int").alias("label"),
+        F.when(F.col("id") % 4 == 0, "cal").when(F.col("id") % 4 == 1, "val").otherwise("train").alias("split")
+    ), "narrow")
+    made = models.train(rows, ["f"], rounds=2, depth=1)
+    made.save(str(tmp_path / "m"))
+    again = models.Detector.load(spark, str(tmp_path / "m"))
+    assert again.kept == made.kept == [1] and again.fingerprint() == made.fingerprint()
+    assert [r.margin for r in again.margins(rows).collect()] == [r.margin for r in made.margins(rows).collect()]
