@@ -62,22 +62,36 @@ def s01_memory_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
         return materialize(got.select("Category", "label", *[F.round(r, 9).alias(r) for r in readers.MEMORY_RATIOS]), "memory-snapshots")
 
 
-def flow_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as flows: unknown labels, and rates that are no numbers, among them."""
+def flow_cells() -> dict[str, Column | str]:
+    """Line items as flows, by column, constants as they are: unknown labels, and rates that are no numbers, among them."""
     i = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     labels = F.array(*map(F.lit, [*readers.FLOW_LABELS, "Label", "odd"]))
     rate = F.when(i % 11 == 0, "Infinity").when(i % 13 == 0, "NaN").when(i % 17 == 0, "").otherwise((i % 1000).cast("string"))
-    own = {"Timestamp": F.lit("t"), "Label": F.get(labels, (i % 17).cast("int")), "Flow Byts/s": rate, "Flow Duration": (i % 5000).cast("string")}
-    return table(spark, sf_dir, "lineitem").select("l_linestatus", *[own.get(c, F.lit("2")).alias(c) for c in readers.FLOW_COLUMNS])
+    own = {"Timestamp": "t", "Label": F.get(labels, (i % 17).cast("int")), "Flow Byts/s": rate, "Flow Duration": (i % 5000).cast("string")}
+    return {c: own.get(c, "2") for c in readers.FLOW_COLUMNS}
+
+
+def write_flows(rows: DataFrame, cells: dict[str, Column | str], path: str) -> None:
+    """Comma-separated files with a header each, of cells without commas, quotes and ends of lines. Most of the 80 cells
+    are constants, so a line is put together from a few pieces and written as one field."""
+    pieces, fixed = [], ""
+    for i, cell in enumerate(cells.values()):
+        fixed += "," if i else ""
+        if isinstance(cell, str):
+            fixed += cell
+        else:
+            pieces += [F.lit(fixed), F.coalesce(cell, F.lit(""))]
+            fixed = ""
+    line = F.concat(*pieces, F.lit(fixed)).alias(",".join(cells))
+    rows.select(line).write.option("header", True).option("sep", "\x01").option("quote", "").csv(path)
 
 
 def s02_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both layouts of flow captures, named by day; what can't be used goes."""
-    rows = flow_rows(spark, sf_dir)
+    rows = table(spark, sf_dir, "lineitem")
     with folder(spark) as path:
         for day, status, extra in (("Monday-01", "F", []), ("Tuesday-02", "O", readers.IDENTITY_COLUMNS)):
-            own = rows.where(F.col("l_linestatus") == status).select(*[F.lit("m").alias(c) for c in extra], *[F.col(f"`{c}`") for c in readers.FLOW_COLUMNS])
-            own.write.option("header", True).option("emptyValue", "").csv(f"{path}/{day}")
+            write_flows(rows.where(F.col("l_linestatus") == status), dict.fromkeys(extra, "m") | flow_cells(), f"{path}/{day}")
             rename_parts(spark, f"{path}/{day}", f"{day}_{{}}.csv")
         got = readers.read_flows(spark, [f"{path}/Monday-01", f"{path}/Tuesday-02"])
         return materialize(
@@ -88,7 +102,7 @@ def s02_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s03_dropped_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many rows go for their label, by label."""
     with folder(spark) as path:
-        flow_rows(spark, sf_dir).drop("l_linestatus").write.option("header", True).option("emptyValue", "").csv(path)
+        write_flows(table(spark, sf_dir, "lineitem"), flow_cells(), path)
         return materialize(readers.dropped_labels(spark, [path]), "dropped-flows")
 
 
