@@ -7,7 +7,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from argusframe.functions import strings
 
@@ -88,6 +90,23 @@ def category_counts(rows: DataFrame, content: str) -> DataFrame:
     return rows.select(content).mapInArrow(run, "category string, n_strings long, n_rows long")
 
 
+#: Bytes other than a to z part words.
+LETTERS = bytes(b if ord("a") <= b <= ord("z") else ord(" ") for b in range(256))
+
+
+def word_counts(rows: DataFrame, content: str) -> DataFrame:
+    """token and n, partial, a row a word and batch: how often each run of the letters a to z occurs in a column of text or bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spaced = pa.array([(b or b"").translate(LETTERS) for b in batch.column(0).to_pylist()], pa.binary()).cast(pa.string())
+            words = pc.ascii_split_whitespace(spaced).flatten()
+            counts = words.filter(pc.not_equal(words, "")).value_counts()
+            yield pa.RecordBatch.from_arrays([counts.field(0), counts.field(1)], names=["token", "n"])
+
+    return rows.select(F.col(content).cast("binary").alias("content")).mapInArrow(run, "token string, n long")
+
+
 def byte_histogram(rows: DataFrame, content: str) -> DataFrame:
     """byte and n, partial: one row a byte value and task, to be summed by byte."""
 

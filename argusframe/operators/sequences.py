@@ -30,10 +30,11 @@ def traces(events: DataFrame, by: list[str], order: list[str], token: str, most:
     return lists.select(*by, F.col("_l")[token].alias("tokens"), F.size("_l").alias("n"))
 
 
-def vocabulary(tokens: DataFrame, token: str, least: int = 1, reserved: int = 2) -> DataFrame:
+def vocabulary(tokens: DataFrame, token: str, least: int = 1, reserved: int = 2, n: str | None = None) -> DataFrame:
     """token, freq, token_id: dense ids by falling frequency, then by the token's bytes. Only distinct tokens are
-    ranked: few in one window, many in ranges."""
-    counted = tokens.where(F.col(token).isNotNull()).groupBy(F.col(token).alias("token")).agg(F.count("*").alias("freq")).where(F.col("freq") >= least)
+    ranked: few in one window, many in ranges. ``n`` is a column that tells how often a row counts."""
+    times = F.count("*") if n is None else F.sum(n)
+    counted = tokens.where(F.col(token).isNotNull()).groupBy(F.col(token).alias("token")).agg(times.alias("freq")).where(F.col("freq") >= least)
     counted = materialize(counted, "vocabulary")
     if counted.count() <= MOST_TOKENS:
         return counted.withColumn("token_id", F.row_number().over(W.orderBy(F.desc("freq"), "token")) + (reserved - 1))
@@ -56,9 +57,9 @@ def encode(sequences: DataFrame, vocab: DataFrame, length: int, tokens: str = "t
     @F.pandas_udf("array<int>")
     def ids(rows: pd.Series) -> pd.Series:
         get, blank = shared.value.get, [PAD] * length
-        return pd.Series([None if r is None else ([get(t, missing) for t in r[:length]] + blank)[:length] for r in rows])
+        return pd.Series([None if r is None else ([get(t, missing) for t in r] + blank)[:length] for r in rows])
 
-    looked = sequences.withColumn("ids", ids(F.col(tokens)))
+    looked = sequences.withColumn("ids", ids(F.slice(tokens, 1, length)))
     if is_whole:
         return looked
     with scratch() as held:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from argusframe.functions import byteops
 from argusframe.functions import columns as C
 from argusframe.operators import dedup, metrics, sequences, setjoin
 from argusframe.plans.tables import DIALOGUES, TRACES, dialogues, table, user_traces
@@ -23,10 +24,10 @@ def q51_encode_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q98_encode_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 64 words of each document by a vocabulary of all words, of which a table holds but the most frequent 500."""
-    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^a-z]+"), lambda w: w != "")
-    rows = table(spark, sf_dir, "documents").select("doc_id", words.alias("tokens"))
-    vocab = sequences.vocabulary(rows.select(F.explode("tokens").alias("t")), "t", least=2)
-    ids = sequences.encode(rows, vocab, 64, heavy=500).select("doc_id", "ids")
+    docs, text = table(spark, sf_dir, "documents"), F.lower(F.coalesce("text", F.lit("")))
+    vocab = sequences.vocabulary(byteops.word_counts(docs.select(text.alias("text")), "text"), "token", least=2, n="n")
+    words = F.filter(F.slice(F.split(text, r"[^a-z]+", 66), 1, 65), lambda w: w != "")  # the first may be empty; the 66th is all the rest
+    ids = sequences.encode(docs.select("doc_id", F.slice(words, 1, 64).alias("tokens")), vocab, 64, heavy=500).select("doc_id", "ids")
     return ids.select("doc_id", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"), F.size(F.filter("ids", lambda i: i == 1)).cast("long").alias("n_unknown"))
 
 

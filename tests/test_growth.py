@@ -1,5 +1,8 @@
 """Steps whose largest task must not grow with a table: looked at in plans, partitions and files."""
 
+import re
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.linalg import VectorUDT
@@ -7,8 +10,10 @@ from pyspark.sql import functions as F
 
 from argusframe import models
 from argusframe.checkpoints import materialize
+from argusframe.functions import byteops
 from argusframe.operators import scan, splits
-from argusframe.plans import decisions, groups, roundtrips, scans
+from argusframe.operators import sequences as encoded
+from argusframe.plans import decisions, groups, roundtrips, scans, sequences
 from argusframe.sources import pe, pushdown
 from oracle import SF
 
@@ -121,3 +126,28 @@ def test_flows_are_written_as_one_field_a_line(spark, tmp_path):
     rows.select(*each).write.option("header", True).option("emptyValue", "").csv(f"{tmp_path}/cells")
     told = [sorted(f.read_bytes() for f in (tmp_path / kind).glob("part-*.csv")) for kind in ("lines", "cells")]
     assert told[0] == told[1] and len(told[0]) == 3
+
+
+def test_words_are_counted_in_tasks_and_only_first_ones_kept(spark, tmp_path, monkeypatch):
+    """Before, all words of a document were kept beside its first 64 ids, and each was a row before it was counted."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda k: letters[k % 26] + letters[k // 26 % 26] * (k % 3 + 1)
+    texts = [lead.join(["", *map(word, range(n))]) + end for n in (0, 1, 63, 64, 65, 66, 400) for lead, end in ((" ", ""), ("-É\u0130\u212a ", "!"))]
+    texts += [" ".join(map(word, range(n))) + end for n in (1, 63, 64, 65, 66, 67, 700) for end in ("", ".")] + [None, "", "...", "\u212aelvin K Straße"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    low = docs.select(F.lower(F.coalesce("text", F.lit(""))).alias("t"))
+    words = [[w for w in re.split("[^a-z]+", r.t) if w] for r in low.collect()]
+    counts = Counter(w for ws in words for w in ws)
+    found: Counter = Counter()
+    for r in byteops.word_counts(low, "t").collect():
+        found[r.token] += r.n
+    assert found == counts
+    kept, write = [], encoded.materialize
+    monkeypatch.setattr(encoded, "materialize", lambda df, label: kept.append((label, write(df, label))) or kept[-1][1])
+    encode = encoded.encode
+    monkeypatch.setattr(encoded, "encode", lambda rows, vocab, length, heavy: encode(rows, vocab, length, heavy=5))
+    got = {r.doc_id: r.ids for r in sequences.q98_encode_words(spark, str(tmp_path)).collect()}
+    rank = {w: i + 2 for i, w in enumerate(sorted((w for w in counts if counts[w] >= 2), key=lambda w: (-counts[w], w)))}
+    assert got == {i: ",".join(str(rank.get(w, 1)) for w in ws[:64]) + ",0" * (64 - len(ws)) if ws else ",".join(["0"] * 64) for i, ws in enumerate(words)}
+    assert all(t.agg(F.max(F.size("tokens"))).first()[0] <= 64 for label, t in kept if label == "encoded") and len(kept) > 1
