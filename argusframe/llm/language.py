@@ -8,7 +8,8 @@ A temperature fitted on rows kept from training turns scores into probabilities,
 calibrated threshold is a rejection: it lies between what clean and what spoilt texts of those rows score.
 
 The classifier is fitted on at most ``SAMPLE_ROWS`` labelled rows (those of the smallest hashes of doc_id and
-text), each read whole: tasks count its subwords, at most 2**BITS numbers a text, and only these travel.
+text), each read whole: tasks count its subwords, at most 2**BITS numbers a text, and only these travel, packed, to
+the task that fits. It unpacks one example a step; the driver gets the fitted model and no example.
 Predictions read whole texts as well, slice after slice, however long.
 
 Nulls: text that is null or has no letter is ``und`` with score 0 and rejected; null lang is never learned from,
@@ -26,10 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from argusframe.llm.common import doc_texts, map_rows
+from argusframe.llm.common import doc_texts, emit, map_rows
 
 UNKNOWN = "und"
 SAMPLE_ROWS = 6000
@@ -106,11 +108,31 @@ def spoilt(text: str, rng: np.random.Generator) -> str:
     return codes.tobytes().decode("utf-32-le", "surrogatepass")
 
 
-#: An example: distinct buckets of a text, and how often each occurs.
-Example = tuple[np.ndarray, np.ndarray]
+#: An example: distinct buckets of a text and how often each occurs, packed; empty for a text without a letter.
+Example = bytes
 
 
-def counted(text: str) -> Example:
+def packed(which: np.ndarray, counts: np.ndarray) -> Example:
+    """Gaps between ascending buckets, and counts, first bytes first: most others are zeros then, in one run."""
+    if not len(which):
+        return b""
+    planes = [x.view(np.uint8).reshape(len(x), -1).T.ravel() for x in (np.diff(which, prepend=which[:1] * 0), counts)]
+    return zlib.compress(np.concatenate(planes), 1)
+
+
+def unpacked(example: Example) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zlib.decompress(example), np.uint8).reshape(6, -1)
+    gaps, counts = (np.ascontiguousarray(part.T).view(kind).ravel() for part, kind in ((planes[:2], np.uint16), (planes[2:], np.uint32)))
+    return gaps.cumsum(dtype=np.uint16), counts
+
+
+def weighted(example: Example) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets, and the share of each in the text."""
+    which, counts = unpacked(example)
+    return which, (counts / counts.sum()).astype(np.float32)
+
+
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets are summed slice by slice, so that a very long text takes no more than their number."""
     total = None
     for part in buckets(text):
@@ -128,7 +150,7 @@ def examples_of(text: str, seed: int) -> list[Example]:
     at = int(rng.integers(0, max(1, len(parts) - few + 1)))
     short = " ".join(parts[at : at + few])
     bad = (spoilt(text, rng), spoilt(short, rng)) if rng.integers(SPOIL) == 0 else ("", "")
-    return [counted(x) for x in (text, short, *bad)]
+    return [packed(*counted(x)) for x in (text, short, *bad)]
 
 
 class Model:
@@ -173,28 +195,30 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
 
 
 def fit_counted(rows: list[tuple[list[Example], str]], seed: int = 7) -> Model:
-    """Train on the examples of each row (clean ones, then spoilt ones) and its language."""
+    """Train on the examples of each row (clean ones, then spoilt ones) and its language. They stay packed but for the
+    one of a step, since they are most of what fitting holds."""
     rng = np.random.default_rng(seed)
     languages = sorted({lang for _, lang in rows})
     index = {lang: i for i, lang in enumerate(languages)}
     none = len(languages)
-    examples: list[tuple[np.ndarray, np.ndarray, int]] = []
-    held: list[tuple[np.ndarray, np.ndarray, int]] = []
+    examples: list[tuple[Example, int]] = []
+    held: list[tuple[Example, int]] = []
     held_whole: list[bool] = []
     for i, (made, lang) in enumerate(rows):
         kept = i % CALIBRATE == 0 and len(rows) >= 5 * CALIBRATE
-        for j, (which, counts) in enumerate(made):
-            if len(which):
+        for j, example in enumerate(made):
+            if example:
                 if kept:
                     held_whole.append(j % 2 == 0)
-                (held if kept else examples).append((which, (counts / counts.sum()).astype(np.float32), none if j >= 2 else index[lang]))
+                (held if kept else examples).append((example, none if j >= 2 else index[lang]))
     embed = rng.uniform(-1 / WIDTH, 1 / WIDTH, (1 << BITS, WIDTH)).astype(np.float32)
     out, bias = np.zeros((WIDTH, none + 1), np.float32), np.zeros(none + 1, np.float32)
     epochs = max(EPOCHS, -(-LEAST_STEPS // max(len(examples), 1))) if examples else 0
     steps, done = epochs * len(examples), 0
     for _ in range(epochs):
         for i in rng.permutation(len(examples)).tolist():
-            which, weight, y = examples[i]
+            example, y = examples[i]
+            which, weight = weighted(example)
             rate = np.float32(RATE * (1 - done / steps) + 1e-4)
             own = embed[which]
             mean = weight @ own
@@ -208,8 +232,8 @@ def fit_counted(rows: list[tuple[list[Example], str]], seed: int = 7) -> Model:
             done += 1
     model = Model(languages, (embed @ out).astype(np.float32), bias.astype(np.float64), 1.0, 0.0)
     if held:
-        z = np.array([w @ model.scores[which] + model.bias for which, w, _ in held])
-        y = np.array([label for _, _, label in held])
+        z = np.array([w @ model.scores[which] + model.bias for which, w in (weighted(example) for example, _ in held)])
+        y = np.array([label for _, label in held])
         loss = lambda t: -np.log(softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean()
         model.temperature = min((math.exp(t) for t in np.linspace(-3, 3, 121)), key=loss)
         best = softmax(z / model.temperature)[:, :none].max(1)
@@ -230,29 +254,38 @@ def train(docs: DataFrame) -> Model:
     # Rows of one doc_id differ by their texts, so that few ids make no small sample.
     rows = rows.withColumn("h", F.xxhash64("doc_id", "text"))
     low = F.pmod("h", F.lit(1 << 30))
-    names = [f"{kind}{j}" for j in range(4) for kind in ("which", "counts")]
+    names = [f"example{j}" for j in range(4)]
 
     def make():
         def one(h: int, doc_id: int, text: str, lang: str) -> Iterator[tuple]:
-            yield (h, doc_id, lang, *(zlib.compress(array.tobytes(), 1) for pair in examples_of(text, h) for array in pair))
+            yield (h, doc_id, lang, *examples_of(text, h))
 
         return one
 
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = fit_counted([(made, lang) for batch in batches for lang, *made in zip(*(c.to_pylist() for c in batch.columns), strict=True)])
+        row = model.languages, model.scores.tobytes(), model.bias.tobytes(), model.temperature, model.threshold
+        types = [pa.list_(pa.string()), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
+        yield emit(["languages", "scores", "bias", "temperature", "threshold"], [row], types)
+
     n = rows.count()
     # Only about twice the rows of the sample are ordered, by hash alone, so what tasks send does not grow with their
     # number; where equal rows hash so unevenly that fewer are found, all are. Examples are made up to the last hash.
     for share in (2 * SAMPLE_ROWS / max(n, 1), 1.0):
         drawn = rows.where(low < F.lit(int(min(share, 1) * (1 << 30)))).select("h", "doc_id", "text", "lang")
-        last = drawn.select(low.alias("low"), "h").orderBy("low", "h").limit(SAMPLE_ROWS).agg(F.max(F.struct("low", "h")).alias("last")).first().last
-        if last is not None:
-            drawn = drawn.where((low < last.low) | ((low == last.low) & (F.col("h") <= last.h)))
-        made = map_rows(drawn, make, ", ".join(["h long, doc_id long, lang string", *(f"{c} binary" for c in names)]))
-        few = made.orderBy(low, "h", "doc_id", "lang", *names).limit(SAMPLE_ROWS).collect()
-        if len(few) >= min(SAMPLE_ROWS, n):
+        first = drawn.select(low.alias("low"), "h").orderBy("low", "h").limit(SAMPLE_ROWS)
+        found, last = first.agg(F.count("*"), F.max(F.struct("low", "h"))).first()
+        if found >= min(SAMPLE_ROWS, n):
             break
-    array = lambda packed, kind: np.frombuffer(zlib.decompress(packed), kind)
-    pairs = lambda r: [(array(r[f"which{j}"], np.uint16), array(r[f"counts{j}"], np.uint32)) for j in range(4)]
-    return fit_counted([(pairs(r), r.lang) for r in few])
+    if last is None:
+        return fit_counted([])
+    drawn = drawn.where((low < last.low) | ((low == last.low) & (F.col("h") <= last.h)))
+    made = map_rows(drawn, make, ", ".join(["h long, doc_id long, lang string", *(f"{c} binary" for c in names)]))
+    few = made.orderBy(low, "h", "doc_id", "lang", *names).limit(SAMPLE_ROWS).select("lang", *names)  # one partition, in this order
+    schema = "languages array<string>, scores binary, bias binary, temperature double, threshold double"
+    model = few.coalesce(1).mapInArrow(fitted, schema).first()
+    scores = np.frombuffer(model.scores, np.float32).reshape(1 << BITS, -1)
+    return Model(list(model.languages), scores, np.frombuffer(model.bias), model.temperature, model.threshold)
 
 
 def predict_documents(docs: DataFrame, model: Model) -> DataFrame:

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -230,6 +231,19 @@ def test_language_examples_read_whole_texts():
     assert language.threshold_between(np.array([0.5, 0.9]), np.array([0.8])) == 0.5 and language.threshold_between(np.zeros(0), np.zeros(0)) == 0
 
 
+def test_language_driver_holds_no_examples(spark):
+    """They are fitted in a task, and what the driver holds is a model's size a few times. Packing loses nothing."""
+    tracemalloc.start()
+    model = language.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.languages) > 1 and most < 6 * model.scores.nbytes
+    for which, counts in (language.counted("der die und das " * 400 + "zebra"), (np.array([0, 65535], np.uint16), np.array([1, 2**32 - 1], np.uint32))):
+        a, b = language.unpacked(language.packed(which, counts))
+        assert a.dtype == which.dtype and b.dtype == counts.dtype and a.tolist() == which.tolist() and b.tolist() == counts.tolist()
+    assert language.packed(*language.counted("1 2")) == b""
+
+
 def test_language_learns_only_where_it_may(spark):
     """Wrong labels on held-out rows, and other columns, must change nothing."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
